@@ -7,15 +7,17 @@ library and remembered. The memory is bounded: a full cache is emptied, and very
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
 #: Characters that Python counts as white space and the tokenizers' patterns don't: such texts go whole through the library.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE_THEN_WORD = re.compile(r"\s*\S+|\s+")
-_CACHE, _LONGEST = 700_000, 48
+_CACHE, _LONGEST = 1_200_000, 48
 _encoders: dict[tuple[str, bool], "ChunkEncoder"] = {}
 
 
@@ -50,26 +52,32 @@ class ChunkEncoder:
         self.sizes = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _learn(self, chunks: list[str]) -> list[int]:
+    def _learn(self, chunks: list[str]) -> range:
         """Encode new chunks and return their numbers."""
         found = [e.ids for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
-        first = self.known
-        need = self.used + sum(map(len, found))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        first, last, need = self.known, self.known + len(found), self.used + int(sizes.sum())
         while need > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while first + len(found) > len(self.starts):
+        while last > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        for i, x in enumerate(found, first):
-            self.ids[self.used : self.used + len(x)] = x
-            self.starts[i], self.sizes[i] = self.used, len(x)
-            self.used += len(x)
-        self.known = first + len(found)
-        return list(range(first, self.known))
+        self.ids[self.used : need] = np.fromiter(chain.from_iterable(found), np.int32, need - self.used)
+        self.sizes[first:last] = sizes
+        self.starts[first:last] = self.used + np.cumsum(sizes) - sizes
+        self.used, self.known = need, last
+        return range(first, last)
 
     known = 0
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the number of ids of each text."""
+        gc.disable()  # the many lists here hold no cycles; looking for some costs more than the encoding
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > _CACHE:
             self._clear()
             self.known = 0
@@ -82,10 +90,12 @@ class ChunkEncoder:
         get = self.index.get
         numbers = list(map(get, chunks))
         if None in numbers:
-            new = list(dict.fromkeys(c for c, n in zip(chunks, numbers) if n is None))
+            missing = [i for i, n in enumerate(numbers) if n is None]
+            new = list({chunks[i] for i in missing})
             learnt = dict(zip(new, self._learn(new)))
-            numbers = [learnt[c] if n is None else n for c, n in zip(chunks, numbers)]
-            self.index.update((c, n) for c, n in learnt.items() if len(c) <= _LONGEST)
+            for i in missing:
+                numbers[i] = learnt[chunks[i]]
+            self.index.update(learnt if max(map(len, new)) <= _LONGEST else {c: n for c, n in learnt.items() if len(c) <= _LONGEST})
         at = np.array(numbers, np.int64)
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
