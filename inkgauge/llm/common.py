@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,10 +58,22 @@ def drop(df: DataFrame) -> None:
             _scratch.remove(own)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all scratch tables made so far; only for callers that have consumed every result that reads them."""
-    while _scratch:
-        delete(spark, _scratch.pop())
+def made_by(work: Callable[[], DataFrame]) -> tuple[DataFrame, list[str]]:
+    """What work returns, and the scratch paths that it made; release() them when every result that reads them is consumed."""
+    before = set(_scratch)
+    return work(), [p for p in _scratch if p not in before]
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        delete(spark, path)
+        if path in _scratch:
+            _scratch.remove(path)
+
+
+def small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
+    """df, of so many rows of a few short columns, to be broadcast if they are few; else as a hash table for each partition."""
+    return F.broadcast(df) if rows <= most else df.hint("shuffle_hash")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -31,6 +31,10 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(common.ascii_lower(F.coalesce(text, F.lit(""))), F.lit(common.WORD_CLASS), F.lit(0))
 
 
+def _md5(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -63,7 +67,7 @@ def entries(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
 
 
 def index(docs: DataFrame, terms: list[str], window: int, row: Column) -> DataFrame:
-    """row, doc_id, n_words, and the postings of terms: term, pos, left (nearest word first) and right."""
+    """row, doc_id, md5 (of the text), n_words, and the postings of terms: term, pos, left (nearest word first) and right."""
     listed = ", ".join(f"'{t}'" for t in terms) or "''"  # terms have no punctuation, so no quotes
 
     near = window - 1
@@ -72,8 +76,8 @@ def index(docs: DataFrame, terms: list[str], window: int, row: Column) -> DataFr
             filter(transform(w, (x, i) -> if(x IN ({listed}), i, null)), i -> i IS NOT NULL),
             i -> named_struct('term', get(w, i), 'pos', i, 'left', reverse(slice(w, greatest(i - {near - 1}, 1), least(i, {near}))), 'right', slice(w, i + 2, {near})))))[0]"""
     )
-    rows = docs.select(row.alias("row"), "doc_id", words_of(F.col("text")).alias("w0")).select("row", "doc_id", found.alias("x"))
-    return rows.select("row", "doc_id", F.col("x.n").cast("long").alias("n_words"), F.col("x.at").alias("at"))
+    rows = docs.select(row.alias("row"), "doc_id", _md5(F.col("text")).alias("md5"), words_of(F.col("text")).alias("w0")).select("row", "doc_id", "md5", found.alias("x"))
+    return rows.select("row", "doc_id", "md5", F.col("x.n").cast("long").alias("n_words"), F.col("x.at").alias("at"))
 
 
 def _equal(a: Column, b: Column) -> Column:
@@ -82,19 +86,19 @@ def _equal(a: Column, b: Column) -> Column:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """row, doc_id, n_words, items (ids of items with an occurring window) and spans (merged word ranges, end exclusive) of every document."""
+    """row, doc_id, md5, n_words, items (ids of items with an occurring window) and spans (merged word ranges, end exclusive) of every document."""
     docs = common.columns(docs, doc_id="long", text="string")
     known = entries(docs, benchmark, window)
     n_known, n_terms = known.count(), known.select("term").distinct().count()
     blocks = max(1, -(-n_terms // TERMS_A_BLOCK))
     # with several passes a row is known by its content (equal rows have equal hits), else by a number given when it is stored
-    row = F.monotonically_increasing_id() if blocks == 1 else F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))).cast("binary"))
+    row = F.monotonically_increasing_id() if blocks == 1 else F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), _md5(F.col("text")))
     parts, base = [], None
     for k in range(blocks):
         own = known.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k)
         terms = sorted(r.term for r in own.select("term").distinct().collect())  # at most about TERMS_A_BLOCK
         stored = common.table(index(docs, terms, window, row), "decontamination-index")
-        base = base if base is not None else stored.select("row", "doc_id", "n_words")
+        base = base if base is not None else stored.select("row", "doc_id", "md5", "n_words")
         posting = stored.select("row", F.explode("at").alias("p")).select("row", "p.*")
         met = posting.withColumnsRenamed({"left": "dl", "right": "dr"}).join(_small(own, n_known), "term")
         second = F.when(F.col("gap") > 0, F.get("dr", F.col("gap") - 1)).when(F.col("gap") < 0, F.get("dl", -F.col("gap") - 1)).otherwise(F.col("term"))
@@ -116,6 +120,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     return base.join(each, "row", "left").withColumns({"items": F.coalesce("items", F.expr("array()").cast("array<string>")), "spans": F.coalesce("spans", F.expr("array()").cast("array<struct<a:long,b:long>>"))})
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """docs without the documents that any window of the benchmark occurs in."""
+    found = common.table(hits(docs, benchmark, window).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("md5").alias("_md5")).distinct(), "decontamination-found")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (_md5(docs["text"]) == F.col("_md5"))
+    return docs.join(common.small(found, found.count()), same, "left_anti")
+
+
 def digest(found: DataFrame) -> DataFrame:
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["b"] - x["a"])
     return found.select(

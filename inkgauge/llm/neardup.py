@@ -304,7 +304,8 @@ def dedupe(docs: DataFrame) -> DataFrame:
     """docs without the documents that aren't their group's keeper; all columns stay."""
     decided = common.table(groups(docs), "neardup-decided")
     by_id = decided.groupBy("doc_id").agg(F.bool_and("keeper").alias("all_stay"), F.count_if("keeper").alias("stay"))
-    some = common.table(by_id.where("not all_stay"), "neardup-leaving").hint("shuffle_hash")
+    some = common.table(by_id.where("not all_stay"), "neardup-leaving")
+    some = common.small(some, some.count())
     staying = docs.join(some, docs["doc_id"].eqNullSafe(some["doc_id"]), "left_anti")
     again = some.where("stay > 0")
     if again.isEmpty():

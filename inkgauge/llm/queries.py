@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgauge.llm import decontamination, packing, quality_rules, secret_scan, token_counts, token_files
+from inkgauge.llm import common, decontamination, licenses, neardup, packing, quality, quality_rules, secret_scan, token_counts, token_files, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_read(spark, sf_dir, "documents")).withColumn("base", F.filter("matches", lambda m: m["base"]))
+    joined = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda m: m["label"]))), ",")
+    starts = F.transform("base", lambda m: m["start"])
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), joined("base").alias("base_labels"), joined("matches").alias("labels"), "score"
+    )
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = token_files.read(token_files.write(_read(spark, sf_dir, "documents")))
     return docs.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
@@ -23,6 +32,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(_read(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.columns(_read(spark, sf_dir, "documents"), doc_id="long", text="string")
+    model = quality.fit(docs, _read(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), quality.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.hits(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
 
@@ -40,8 +56,20 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find(_read(spark, sf_dir, "documents")))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.columns(_read(spark, sf_dir, "documents"), doc_id="long", text="string")
+    model = toxicity.fit(docs, _read(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.groups(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op3_token_counts, op5_decontamination, op6_quality_rules, op7_packing, op8_secret_scan)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_token_counts, op4_quality, op5_decontamination, op6_quality_rules, op7_packing, op8_secret_scan, op9_toxicity, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -130,14 +130,27 @@ def discoveries(tokens: Column) -> Column:
     return let(F.transform(tokens, lambda t: F.struct(t.alias("t"), assess_token(t["s"]).alias("v"))), control)
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, text, base and spans: arrays of spans (a, k, b, s), k the kind's place in KINDS, in code points, end exclusive, by start and kind."""
-    rows = common.columns(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
-    base = F.concat(matches(F.col("text"), ASSIGN, 0, 2, 8), matches(F.col("text"), ACCESS, 1), matches(F.col("text"), HEX, 2))
-    rows = rows.select("doc_id", "text", F.sort_array(base).alias("base"), matches(F.col("text"), TOKEN, 3).alias("tokens"))
+def with_spans(df: DataFrame) -> DataFrame:
+    """df with base and spans of its column text: arrays of spans (a, k, b, s), k the kind's place in KINDS, in code points, end exclusive, by start and kind."""
+    text = F.coalesce("text", F.lit(""))
+    base = F.sort_array(F.concat(matches(text, ASSIGN, 0, 2, 8), matches(text, ACCESS, 1), matches(text, HEX, 2)))
+    rows = df.withColumns({"base": base, "tokens": matches(text, TOKEN, 3)})
     own = F.filter(discoveries(F.col("tokens")), lambda t: ~F.exists("base", lambda x: (x["a"] < t["b"]) & (t["a"] < x["b"])))
     added = F.when(F.size("tokens") > 0, own).otherwise(F.expr(f"cast(array() as {_SPANS})"))
-    return rows.select("doc_id", "text", "base", F.sort_array(F.concat("base", added)).alias("spans"))
+    return rows.withColumn("spans", F.sort_array(F.concat("base", added))).drop("tokens")
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """doc_id, text, base and spans of every document."""
+    return with_spans(common.columns(docs, doc_id="long", text="string"))
+
+
+def without_secrets(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
+    """docs with every span of text replaced by mark; n_chars, where there is one, follows. Columns named base or spans are not lost."""
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
+    spanned = with_spans(held).withColumn("text", redact(F.col("text"), F.col("spans"), mark))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return spanned.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def listed(spans: str) -> Column:
