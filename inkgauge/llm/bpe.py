@@ -17,6 +17,8 @@ import numpy as np
 #: Characters that Python counts as white space and the tokenizers' patterns don't: such texts go whole through the library.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE_THEN_WORD = re.compile(r"\s*\S+|\s+")
+#: A Latin letter or an ASCII digit before the last character, a comma or full stop: both vocabularies' patterns cut between them.
+_ENDED = re.compile("[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][.,]\\Z")
 _CACHE, _LONGEST = 1_200_000, 48
 _encoders: dict[tuple[str, bool], "ChunkEncoder"] = {}
 
@@ -57,16 +59,46 @@ class ChunkEncoder:
         found = [e.ids for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         first, last, need = self.known, self.known + len(found), self.used + int(sizes.sum())
-        while need > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while last > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        self._room(last, need)
         self.ids[self.used : need] = np.fromiter(chain.from_iterable(found), np.int32, need - self.used)
         self.sizes[first:last] = sizes
         self.starts[first:last] = self.used + np.cumsum(sizes) - sizes
         self.used, self.known = need, last
         return range(first, last)
 
+    def _learn_all(self, new: set[str]) -> dict[str, int]:
+        """Numbers of new chunks. A word with a comma or full stop after it is put together from the two, which merge apart."""
+        split = {c: c[:-1] for c in new if _ENDED.search(c)}
+        bases = list({*(b for b in split.values() if b not in self.index), *(new - split.keys()), *{c[-1] for c in split}})
+        learnt = dict(zip(bases, self._learn(bases)))
+        if split:
+            get, two = self.index.get, np.empty((len(split), 2), np.int64)
+            two[:, 0] = [learnt[b] if b in learnt else get(b) for b in split.values()]
+            two[:, 1] = [learnt[c[-1]] for c in split]
+            sizes = self.sizes[two]
+            whole = sizes.sum(1)
+            flat = self._gather(two.ravel())
+            first, last, need = self.known, self.known + len(split), self.used + len(flat)
+            self._room(last, need)
+            self.ids[self.used : need] = flat
+            self.sizes[first:last] = whole
+            self.starts[first:last] = self.used + np.cumsum(whole) - whole
+            self.used, self.known = need, last
+            learnt.update(zip(split, range(first, last)))
+        return learnt
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids of chunks, by their numbers, one after the other."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def _room(self, chunks: int, ids: int) -> None:
+        while ids > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while chunks > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+
     known = 0
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -91,16 +123,13 @@ class ChunkEncoder:
         numbers = list(map(get, chunks))
         if None in numbers:
             missing = [i for i, n in enumerate(numbers) if n is None]
-            new = list({chunks[i] for i in missing})
-            learnt = dict(zip(new, self._learn(new)))
+            learnt = self._learn_all({chunks[i] for i in missing})
             for i in missing:
                 numbers[i] = learnt[chunks[i]]
-            self.index.update(learnt if max(map(len, new)) <= _LONGEST else {c: n for c, n in learnt.items() if len(c) <= _LONGEST})
+            self.index.update(learnt if max(map(len, learnt)) <= _LONGEST else {c: n for c, n in learnt.items() if len(c) <= _LONGEST})
         at = np.array(numbers, np.int64)
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        flat = self.ids[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        edges = np.concatenate([[0], ends])
+        flat = self._gather(at)
+        edges = np.concatenate([[0], np.cumsum(self.sizes[at])])
         upto = np.concatenate([[0], np.cumsum(counts)])
         return flat, np.diff(edges[upto])
 

@@ -63,25 +63,21 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for part, local, doc, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                first = base[part] + local
-                ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4").tobytes()
-                a = 0
-                while a < n:
-                    sequence, offset = divmod(first + a, window)
-                    b = min(n, a + window - offset)
-                    rows.append((doc, a, b - a, n, sequence, offset, ids[4 * a : 4 * b]))
-                    a = b
-                if len(rows) >= 4000:
-                    yield _batch(rows)
-                    rows = []
-            if rows:
-                yield _batch(rows)
+            part, local, n = (batch.column(c).to_numpy() for c in ("part", "local_start", "n"))
+            first = np.array([base[p] for p in part.tolist()], np.int64) + local
+            raw, offsets = batch.column("ids").buffers()[2], np.frombuffer(batch.column("ids").buffers()[1], np.int32)[batch.column("ids").offset :][: len(n) + 1]
+            wide = "<u2" if offsets[-1] - offsets[0] == 2 * n.sum() else "<u4"
+            ids = np.frombuffer(raw, wide, int(n.sum()), int(offsets[0])).astype("<u4")
+            pieces = (first + n - 1) // window - first // window + 1
+            doc = np.repeat(np.arange(len(n)), pieces)
+            k = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            sequence = first[doc] // window + k
+            begin = np.maximum(first[doc], sequence * window)
+            length = np.minimum((first + n)[doc], (sequence + 1) * window) - begin
+            edges = np.concatenate([[0], np.cumsum(4 * length)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(doc)), *map(pa.array, (begin - first[doc], length, n[doc].astype(np.int64), sequence, begin - sequence * window)), pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(edges), pa.py_buffer(ids)])],
+                names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
+            )
 
     return stored.mapInArrow(cut, _PIECES)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 6 + [pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
