@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
 1. Voters: a fixed lexicon of insults, and words and word beginnings that the labelled rows of the learning fold show far more
-   often in toxic texts. A voter votes for toxic where it occurs and abstains elsewhere; one voter speaks against where no
+   often in toxic texts. A voter votes for toxic where it is at least one word in RATE and abstains elsewhere; one voter speaks against where no
    other speaks at all.
 2. A generative label model over the votes of labelled and unlabelled rows: EM estimates each voter's rates in both classes
    and the class balance, known labels being one more voter of high accuracy. Voters that agree beyond what the class explains
@@ -33,6 +33,8 @@ from inkgauge.llm import common
 MAX_LABELLED, MAX_UNLABELLED, MAX_VOTERS = 20_000, 5_000, 300
 SHORTEST, LONGEST = 4, 8  # of word beginnings
 LABEL_ACCURACY = 0.97
+#: Inputs of the classifier besides the voters; words of a text that one vote needs.
+EXTRA, RATE = 6, 250
 # A small lexicon of insults.
 LEXICON = (
     "clown", "disgusting", "dumb", "filth", "fool", "garbage", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "shut", "stupid", "trash", "ugly", "vermin", "worthless",
@@ -54,62 +56,80 @@ def signs_of(word: str) -> list[str]:
 
 @dataclass
 class Voters:
-    """Signs in order of their numbers; counts(text) is fast as words are remembered, up to a bound."""
+    """Signs in order of their numbers, with their lifts (log ratio of their rates among words of toxic and other texts)."""
 
     signs: list[str]
-    seen: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
+    lifts: list[float]
+    seen: dict[str, tuple[tuple[int, ...], float]] = field(default_factory=dict, repr=False)
+    number: dict[str, int] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
-        return {"signs": self.signs, "seen": {}}
-
-    def counts(self, text: str) -> tuple[Counter, int]:
-        """How often each voter occurs, and the number of words."""
-        number = self.__dict__.get("number") or self.__dict__.setdefault("number", {s: i for i, s in enumerate(self.signs)})
-        words, get, found = words_of(text), self.seen.get, Counter()
-        votes = list(map(get, words))
+        return {"signs": self.signs, "lifts": self.lifts, "seen": {}, "number": {}}
+
+    def _of(self, word: str) -> tuple[tuple[int, ...], float] | tuple[()]:
+        own = tuple(self.number[s] for s in signs_of(word) if s in self.number)
+        return (own, max(self.lifts[i] for i in own)) if own else ()
+
+    def counts(self, text: str) -> tuple[Counter, int, float, int]:
+        """How often each voter occurs; how many words have a vote, and their lifts' sum; the number of words. Words are remembered, up to a bound."""
+        if not self.number:
+            self.number.update((s, i) for i, s in enumerate(self.signs))
+        words, found = words_of(text), Counter()
+        votes = list(map(self.seen.get, words))
         if None in votes:
             if len(self.seen) > 400_000:
                 self.seen.clear()
             for i, v in enumerate(votes):
                 if v is None:
-                    votes[i] = self.seen[words[i]] = tuple(number[s] for s in signs_of(words[i]) if s in number)
+                    votes[i] = self.seen[words[i]] = self._of(words[i])
+        voting, lift = 0, 0.0
         for v in filter(None, votes):
-            found.update(v)
-        return found, len(words)
+            found.update(v[0])
+            voting += 1
+            lift += v[1]
+        return found, voting, lift, len(words)
 
     def vector(self, text: str) -> np.ndarray:
-        """The classifier's inputs: per voter log(1 + count), then density, its root, distinct voters and length."""
-        found, n = self.counts(text)
-        x = np.zeros(len(self.signs) + 4)
+        """The classifier's inputs: for each voter log(1 + its count in 200 words), then shares of voting words, their weight, distinct voters and length."""
+        found, voting, lift, n = self.counts(text)
+        x = np.zeros(len(self.signs) + EXTRA)
         for j, c in found.items():
-            x[j] = np.log1p(c)
-        total = sum(found.values())
-        x[-4:] = [10 * min(1.0, total / max(1, n)), 3 * min(1.0, total / max(1, n)) ** 0.5, np.log1p(len(found)), np.log1p(n) / 4]
+            x[j] = np.log1p(200 * c / max(n, 50))
+        share = voting / max(n, 20)
+        x[-EXTRA:] = [20 * min(0.1, share), 4 * share**0.5, 5 * min(0.4, lift / max(n, 20)), np.log1p(len(found)) / 2, np.log1p(voting), np.log1p(n) / 4]
         return x
 
 
-def induce(rows: DataFrame) -> list[str]:
-    """Signs that toxic rows (text, y) show far more often, with the fixed lexicon. Counts are added up by Spark."""
+def induce(rows: DataFrame) -> Voters:
+    """Signs that words of toxic rows (text, y) bear far more often than words of others, with the fixed lexicon. Counts are added up by Spark."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_texts, y = common.texts(batch), batch.column("y").to_pylist()
             for lo, hi in common.spans_of([len(t) for t in all_texts], 1_000_000):
-                pos, neg = Counter(), Counter()
+                docs, pos, neg = Counter(), Counter(), Counter()
                 for text, label in zip(all_texts[lo:hi], y[lo:hi]):
-                    (pos if label else neg).update({s for w in set(words_of(text)) for s in signs_of(w)})
+                    own = Counter()
+                    for word, n in Counter(words_of(text)).items():
+                        own[""] += n  # all words
+                        for s in signs_of(word):
+                            own[s] += n
+                    (pos if label else neg).update(own)
+                    if label:
+                        docs.update(own.keys())
                 signs = list(pos.keys() | neg.keys())
-                yield pa.RecordBatch.from_arrays([pa.array(signs, pa.string()), pa.array([pos[s] for s in signs], pa.int64()), pa.array([neg[s] for s in signs], pa.int64())], names=["sign", "pos", "neg"])
+                yield pa.RecordBatch.from_arrays([pa.array(signs, pa.string()), *(pa.array([c[s] for s in signs], pa.int64()) for c in (docs, pos, neg))], names=["sign", "docs", "pos", "neg"])
 
-    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n_pos, n_neg = n.get(1, 0), n.get(0, 0)
-    fixed = [f"={w}" for w in LEXICON]
-    if not n_pos or not n_neg:
-        return fixed
-    lift = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
-    summed = rows.mapInArrow(count, "sign string, pos long, neg long").groupBy("sign").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    strong = summed.where((F.col("pos") >= max(4, 0.004 * n_pos)) & (lift >= np.log(6.0))).orderBy((F.col("pos") * lift).desc(), "sign").limit(MAX_VOTERS)
-    return [*dict.fromkeys([*fixed, *(r["sign"] for r in strong.select("sign").collect())])]
+    summed = common.table(rows.mapInArrow(count, "sign string, docs long, pos long, neg long").groupBy("sign").agg(*(F.sum(c).alias(c) for c in ("docs", "pos", "neg"))), "toxicity-signs")
+    total = summed.where("sign = ''").first()
+    fixed = {f"={w}": 3.0 for w in LEXICON}
+    if total is not None and total["pos"] and total["neg"]:
+        lift = F.log((F.col("pos") + 0.5) / total["pos"]) - F.log((F.col("neg") + 0.5) / total["neg"])
+        strong = summed.where("sign <> ''").where((F.col("docs") >= max(4, 0.002 * total["docs"])) & (lift >= np.log(6.0)))
+        strong = strong.select("sign", lift.alias("lift")).orderBy((F.col("pos") * F.col("lift")).desc(), "sign").limit(MAX_VOTERS).collect()
+        fixed |= {r["sign"]: r["lift"] for r in strong}
+    common.drop(summed)
+    return Voters(list(fixed), list(fixed.values()))
 
 
 def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -165,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = common.table(taught.unionByName(other.select("doc_id", F.lit(-1).alias("y"))), "toxicity-ids")
     # at most MAX_LABELLED + MAX_UNLABELLED ids
     sample = common.table(docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).repartition(8), "toxicity-sample")
-    voters = Voters(induce(sample.where("y >= 0")))
+    voters = induce(sample.where("y >= 0"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,12 +195,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     got = sample.select("text", "y").mapInArrow(vectors, "y int, x binary").toArrow()  # of bounded size, as the sample is
     common.drop(sample)
     common.drop(chosen)
-    width = len(voters.signs) + 4
+    width = len(voters.signs) + EXTRA
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, width).astype(float)
     y = got.column("y").to_numpy()
     if not (y == 1).any() or not (y == 0).any():
-        return Model(voters, np.concatenate([np.zeros(width - 4), [20.0, 0, 0, 0, -2.0]]))
-    q = label_model(x[:, : width - 4] > 0, y)
+        return Model(voters, np.concatenate([np.zeros(width - EXTRA), [4.0, 0, 0, 0, 0, 0, -2.0]]))
+    q = label_model(x[:, : width - EXTRA] >= np.log1p(200 / RATE), y)
     return Model(voters, logistic(x, q))
 
 
