@@ -33,6 +33,7 @@ from inkgauge.llm import common
 MAX_LABELLED, MAX_UNLABELLED, MAX_VOTERS = 20_000, 5_000, 300
 SHORTEST, LONGEST = 4, 8  # of word beginnings
 LABEL_ACCURACY = 0.97
+CORRELATED = 0.4  # least residual correlation of voters that share a vote
 #: Inputs of the classifier besides the voters; words of a text that one vote needs.
 EXTRA, RATE = 6, 250
 # A small lexicon of insults.
@@ -137,15 +138,17 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 30) -> np.nda
     known = gold >= 0
     q = np.where(known, np.where(gold == 1, LABEL_ACCURACY, 1 - LABEL_ACCURACY), np.where(votes.sum(1) > 0, 0.3, 0.02))
     v = np.concatenate([votes, (votes.sum(1, keepdims=True) == 0)], 1).astype(float)
-    share = np.ones(v.shape[1])
+    share, trust = np.ones(v.shape[1]), np.where(known, 1.0, 0.25)
     for k in range(rounds):
-        pos, neg = q.sum() + 1, (1 - q).sum() + 1
-        rate1, rate0 = (q @ v + 0.3) / (pos + 0.6), ((1 - q) @ v + 0.3) / (neg + 0.6)
+        one, zero = trust * q, trust * (1 - q)
+        pos, neg = one.sum() + 1, zero.sum() + 1
+        rate1, rate0 = (one @ v + 0.3) / (pos + 0.6), (zero @ v + 0.3) / (neg + 0.6)
         if k in (3, 10):  # correlations that the classes leave unexplained
             rest = v - q[:, None] * rate1 - (1 - q)[:, None] * rate0
             cov = rest.T @ rest / len(v)
             dev = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            share = 1 / (1 + np.clip(cov / np.outer(dev, dev) - np.eye(len(dev)), 0, 1).sum(1))
+            rho = cov / np.outer(dev, dev) - np.eye(len(dev))
+            share = 1 / (1 + np.where(rho >= CORRELATED, rho, 0).sum(1))
         # an absent voter abstains; silence has a voter of its own
         logit = np.log(pos / neg) + v @ (share * (np.log(rate1) - np.log(rate0)))
         logit += np.where(known, np.where(gold == 1, 1, -1) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY)) * 2, 0)
@@ -153,14 +156,14 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 30) -> np.nda
     return q
 
 
-def logistic(x: np.ndarray, q: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights (last: intercept) of a logistic regression on soft labels, by Newton steps."""
+def logistic(x: np.ndarray, q: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Weights (last: intercept) of a logistic regression on soft labels of rows that count by weight, by Newton steps."""
     x = np.insert(x, x.shape[1], 1.0, 1)
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     penalty[-1] = 1e-3
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (q - p) - penalty * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (weight * (q - p)) - penalty * w)
         w = w + step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
     return w
 
@@ -201,7 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not (y == 1).any() or not (y == 0).any():
         return Model(voters, np.concatenate([np.zeros(width - EXTRA), [4.0, 0, 0, 0, 0, 0, -2.0]]))
     q = label_model(x[:, : width - EXTRA] >= np.log1p(200 / RATE), y)
-    return Model(voters, logistic(x, q))
+    # an unlabelled row counts as far as the label model is sure of it
+    return Model(voters, logistic(x, q, np.where(y >= 0, 1.0, 0.25 * (2 * q - 1) ** 2)))
 
 
 def score(text: Column, model: Model) -> Column:
