@@ -19,7 +19,7 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE_THEN_WORD = re.compile(r"\s*\S+|\s+")
 #: A Latin letter or an ASCII digit before the last character, a comma or full stop: both vocabularies' patterns cut between them.
 _ENDED = re.compile("[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][.,]\\Z")
-_CACHE, _LONGEST = 1_200_000, 48
+_CACHE, _LONGEST = 900_000, 48
 _encoders: dict[tuple[str, bool], "ChunkEncoder"] = {}
 
 
