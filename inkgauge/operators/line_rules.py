@@ -10,7 +10,6 @@ from inkgauge.functions.text import CASELESS, EXACT, first, has, indent, matches
 from inkgauge.operators.findings import NONE, issue, only_if, quoted, rows
 from inkgauge.plans import lexicon as L
 
-TEXT, N = F.col("text"), F.col("n")
 
 
 def any_of(patterns: tuple[str, ...] | list[str], flags: str = CASELESS) -> str:
@@ -22,7 +21,7 @@ def escaped(phrases: list[str] | tuple[str, ...]) -> list[str]:
 
 
 def spans_to_issues(spans: Column, rule: str, label: str, order: int, after: str = "", confidence: Column | str = "medium", suggestion: Column | str | None = None) -> Column:
-    return F.transform(spans, lambda x, i: issue(rule, quoted(label, x["t"], after), N, x["a"] + 1, x["b"] + 1, confidence=confidence, suggestion=suggestion, place=(N, order, i)))
+    return F.transform(spans, lambda x, i: issue(rule, quoted(label, x["t"], after), F.col("n"), x["a"] + 1, x["b"] + 1, confidence=confidence, suggestion=suggestion, place=(F.col("n"), order, i)))
 
 
 def literal_rule(rule: str, label: str, phrases: tuple[str, ...], base: int = 0) -> Column:
@@ -96,19 +95,19 @@ def false_ranges() -> Column:
     parts = []
     for k, lead in enumerate(("", "ranging ")):
         regex, full = rf"{CASELESS}{lead}from\s+(\w+)\s+to\s+(\w+)", rf"{CASELESS}\A{lead}from\s+(?:{pairs})\z"
-        parts.append(spans_to_issues(F.filter(matches(TEXT, regex), _unary(lambda x, full=full: has(x["t"], full))), "S007", "Vague range", k))
-    return only_if(has(TEXT, rf"{CASELESS}from\s+\w+\s+to\s+\w+"), F.concat(*parts))
+        parts.append(spans_to_issues(F.filter(matches(F.col("text"), regex), _unary(lambda x, full=full: has(x["t"], full))), "S007", "Vague range", k))
+    return only_if(has(F.col("text"), rf"{CASELESS}from\s+\w+\s+to\s+\w+"), F.concat(*parts))
 
 
 def countdown() -> Column:
-    spans = first(TEXT, CASELESS + r"Not\s+[^.!?\n]+[.!]\s*Not\s+[^.!?\n]+[.!]\s*(?:Just|But|Only|Simply)\s+[^.!?\n]+[.!]")
-    return F.transform(spans, lambda x: issue("S008", quoted("Dramatic countdown", strip(x["t"])), N, x["a"] + 1, x["b"] + 1))
+    spans = first(F.col("text"), CASELESS + r"Not\s+[^.!?\n]+[.!]\s*Not\s+[^.!?\n]+[.!]\s*(?:Just|But|Only|Simply)\s+[^.!?\n]+[.!]")
+    return F.transform(spans, lambda x: issue("S008", quoted("Dramatic countdown", strip(x["t"])), F.col("n"), x["a"] + 1, x["b"] + 1))
 
 
 def self_answer() -> Column:
     regex = EXACT + r"([A-Z][^.!?\n]{0,60}\?)\s+([A-Z][^.!?\n]{0,50}[.!])"
-    spans = F.filter(matches(TEXT, regex), lambda x: F.size(words(F.regexp_extract(x["t"], regex, 2))) < 8)
-    return F.transform(spans, lambda x, i: issue("S009", quoted("Rhetorical self-answer", strip(x["t"])), N, x["a"] + 1, x["b"] + 1, place=(N, i)))
+    spans = F.filter(matches(F.col("text"), regex), lambda x: F.size(words(F.regexp_extract(x["t"], regex, 2))) < 8)
+    return F.transform(spans, lambda x, i: issue("S009", quoted("Rhetorical self-answer", strip(x["t"])), F.col("n"), x["a"] + 1, x["b"] + 1, place=(F.col("n"), i)))
 
 
 CHAIN = r"(?iUd)(?:^|,\s*)((?<!-)\b[a-z]+ing\b)[^.!?]*?(?:,\s*|\s+(?:and|while)\s+)((?<!-)\b[a-z]+ing\b)(?=\s+[a-z])(?:[^.!?]*?(?:,\s*|\s+(?:and|while)\s+)((?<!-)\b[a-z]+ing\b)(?=\s+[a-z]))?"
@@ -116,15 +115,15 @@ CHAIN = r"(?iUd)(?:^|,\s*)((?<!-)\b[a-z]+ing\b)[^.!?]*?(?:,\s*|\s+(?:and|while)\
 
 def participle_chain() -> Column:
     """G003: the first chain of a line, from its first participle on."""
-    part = lambda k: F.regexp_extract(TEXT, CHAIN, k)
+    part = lambda k: F.regexp_extract(F.col("text"), CHAIN, k)
     said = F.array_join(F.filter(F.array(part(1), part(2), part(3)), lambda w: w != ""), ", ")
-    lead = F.length(F.regexp_extract(F.regexp_extract(TEXT, CHAIN, 0), r"(?U)^,?\s*", 0))
-    return F.transform(first(TEXT, CHAIN), lambda x: issue("G003", quoted("Participle chain", said), N, x["a"] + lead + 1, x["b"] + 1))
+    lead = F.length(F.regexp_extract(F.regexp_extract(F.col("text"), CHAIN, 0), r"(?U)^,?\s*", 0))
+    return F.transform(first(F.col("text"), CHAIN), lambda x: issue("G003", quoted("Participle chain", said), F.col("n"), x["a"] + lead + 1, x["b"] + 1))
 
 
 def slide_deck() -> Column:
     """S021: a short line without a finite verb in its main clause and with two buzzwords."""
-    bare = strip(TEXT)
+    bare = strip(F.col("text"))
     trimmed = lambda w: F.regexp_replace(F.lower(w), r"[.,;:!?'\"]+$", "")
     buzz = F.array(*map(F.lit, L.BUZZWORDS))
     own = F.transform(words(bare), trimmed)
@@ -136,17 +135,17 @@ def slide_deck() -> Column:
     main = F.when(has_prefix & led & ends, prefix).otherwise(bare)
     finite = r"(?iU)^(?:i|we|you|he|she|it|they)(?:['’](?:m|re|s|ve|d|ll)\b|\s+(?![a-z-]+ing\b)[a-z-]+\b)|\b(?:is|are|was|were|has|have|had|do|does|did|will|shall|can|could|would|should|may|might|must)\b"
     fits = F.endswith(bare, F.lit(".")) & F.size(words(bare)).between(4, 20) & ~has(main, finite) & (F.size(F.array_intersect(own, buzz)) >= 2)
-    left = indent(TEXT)
-    return only_if(fits, F.array(issue("S021", quoted("Slide deck fragment", bare, " — consider adding a subject and verb"), N, left + 1, left + F.length(bare) + 1, confidence="low")))
+    left = indent(F.col("text"))
+    return only_if(fits, F.array(issue("S021", quoted("Slide deck fragment", bare, " — consider adding a subject and verb"), F.col("n"), left + 1, left + F.length(bare) + 1, confidence="low")))
 
 
 def template_residue() -> Column:
     """M006: unfinished placeholders, those of earlier patterns first; later ones that overlap are dropped. Not under example headings."""
-    parts = [F.transform(matches(TEXT, p), _unary(lambda x, kind=kind, sure=sure: F.struct(x["t"].alias("t"), x["a"].alias("a"), x["b"].alias("b"), F.lit(kind).alias("kind"), F.lit(sure).alias("sure")))) for p, kind, sure in L.TEMPLATES]
+    parts = [F.transform(matches(F.col("text"), p), _unary(lambda x, kind=kind, sure=sure: F.struct(x["t"].alias("t"), x["a"].alias("a"), x["b"].alias("b"), F.lit(kind).alias("kind"), F.lit(sure).alias("sure")))) for p, kind, sure in L.TEMPLATES]
     kind = "array<struct<t:string,a:int,b:int,kind:string,sure:string>>"
     kept = F.aggregate(F.concat(*parts), F.expr(f"cast(array() as {kind})"), lambda acc, x: F.when(F.exists(acc, lambda y: (x["a"] < y["b"]) & (y["a"] < x["b"])), acc).otherwise(F.concat(acc, F.array(x))))
-    made = F.transform(kept, lambda x: issue("M006", F.concat(F.lit("Template residue ("), x["kind"], F.lit("): '"), x["t"], F.lit("'")), N, x["a"] + 1, x["b"] + 1, confidence=x["sure"], suggestion="Replace this placeholder with final content", place=(N, x["a"])))
-    return only_if(~F.col("example") & has(TEXT, "|".join(f"(?:{p})" for p, _, _ in L.TEMPLATES)), made)
+    made = F.transform(kept, lambda x: issue("M006", F.concat(F.lit("Template residue ("), x["kind"], F.lit("): '"), x["t"], F.lit("'")), F.col("n"), x["a"] + 1, x["b"] + 1, confidence=x["sure"], suggestion="Replace this placeholder with final content", place=(F.col("n"), x["a"])))
+    return only_if(~F.col("example") & has(F.col("text"), "|".join(f"(?:{p})" for p, _, _ in L.TEMPLATES)), made)
 
 
 def row_rules(chosen: set[str], vocabulary: dict) -> list[Column]:
@@ -176,32 +175,32 @@ def counted(prose: DataFrame, chosen: set[str], thresholds: dict[str, int]) -> l
     lines = prose.select("path", "scope", "n", "text")
     for rule, label, patterns, name, strictly in L.COUNTED:
         if rule in chosen:
-            hits = lines.where(has(TEXT, any_of(patterns))).select("path", "scope", F.explode(all_rule(rule, label, patterns, "", True)).alias("x"))
+            hits = lines.where(has(F.col("text"), any_of(patterns))).select("path", "scope", F.explode(all_rule(rule, label, patterns, "", True)).alias("x"))
             n = F.count("*").over(Window.partitionBy("path", "scope"))
             out.append(hits.withColumn("total", n).where(F.col("total") > thresholds[name] if strictly else F.col("total") >= thresholds[name]).select("path", "x.*"))
     if "V007" in chosen:
         regex = CASELESS + r"\b(\w+)\s+(" + "|".join(L.LABEL_SUFFIXES) + r")\b"
-        hits = lines.where(has(TEXT, regex)).select("path", "n", "text", F.posexplode(matches(TEXT, regex)).alias("i", "m"))
+        hits = lines.where(has(F.col("text"), regex)).select("path", "n", "text", F.posexplode(matches(F.col("text"), regex)).alias("i", "m"))
         head, tail = F.lower(F.regexp_extract("m.t", regex, 1)), F.lower(F.regexp_extract("m.t", regex, 2))
-        possessive = (head == "s") & F.substring(TEXT, F.col("m.a"), F.lit(1)).isin("'", "’") & (F.col("m.a") > 0)
+        possessive = (head == "s") & F.substring(F.col("text"), F.col("m.a"), F.lit(1)).isin("'", "’") & (F.col("m.a") > 0)
         hits = hits.where(~possessive & ~(head.isin(*L.LABEL_HEADS) & tail.isin("gap", "dilemma")))
         hits = hits.withColumn("total", F.count("*").over(Window.partitionBy("path"))).where(F.col("total") >= thresholds["invented_concept_labels"])
-        out.append(rows(hits, issue("V007", quoted("Invented concept label", F.col("m.t")), N, F.col("m.a") + 1, F.col("m.b") + 1, place=(N, F.col("i")))))
+        out.append(rows(hits, issue("V007", quoted("Invented concept label", F.col("m.t")), F.col("n"), F.col("m.a") + 1, F.col("m.b") + 1, place=(F.col("n"), F.col("i")))))
     if "T003" in chosen:
-        hits = lines.where(has(TEXT, "—|--")).select("path", "n", matches(TEXT, "—|--").alias("m"))
+        hits = lines.where(has(F.col("text"), "—|--")).select("path", "n", matches(F.col("text"), "—|--").alias("m"))
         whole = hits.groupBy("path").agg(F.sum(F.size("m")).alias("total"), F.min(F.struct("n", F.col("m")[0]["a"].alias("a"))).alias("at")).where(F.col("total") > thresholds["em_dash_overuse"])
         out.append(rows(whole, issue("T003", F.concat(F.lit("Em dash overuse: "), F.col("total").cast("string"), F.lit(" occurrences")), F.col("at.n"), F.col("at.a") + 1)))
     if "T004" in chosen:
         curly = r"[“”‘’]"
-        whole = lines.groupBy("path").agg(F.bool_or(has(TEXT, "[\"']")).alias("straight"), F.min(F.when(has(TEXT, curly), F.struct("n", F.length(F.split(TEXT, curly, 2)[0]).alias("a")))).alias("at")).where("straight and at is not null")
+        whole = lines.groupBy("path").agg(F.bool_or(has(F.col("text"), "[\"']")).alias("straight"), F.min(F.when(has(F.col("text"), curly), F.struct("n", F.length(F.split(F.col("text"), curly, 2)[0]).alias("a")))).alias("at")).where("straight and at is not null")
         out.append(rows(whole, issue("T004", "Mixed quote styles (curly and straight)", F.col("at.n"), F.col("at.a") + 1, F.col("at.a") + 2)))
     if "S013" in chosen:
         known = F.array(*map(F.lit, L.COMPANIES))
-        named = F.array_distinct(F.array_intersect(F.transform(words(TEXT), lambda w: F.regexp_replace(F.lower(w), r"[.,;:!?'\"]+$", "")), known))
+        named = F.array_distinct(F.array_intersect(F.transform(words(F.col("text")), lambda w: F.regexp_replace(F.lower(w), r"[.,;:!?'\"]+$", "")), known))
         w = Window.partitionBy("path").orderBy("n")
         order = prose.select("path", "n", "markdown", named.alias("named")).withColumn("place", F.when(F.col("markdown"), F.row_number().over(w)).otherwise(F.col("n")))
         hits = order.where(F.size("named") > 0).withColumn("island", F.col("place") - F.row_number().over(w))
         whole = hits.groupBy("path", "island").agg(F.min("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("named")))).alias("all")).where(F.size("all") >= thresholds["historical_analogy_stacking"])
         message = F.concat(F.lit("Historical analogy stacking: "), F.size("all").cast("string"), F.lit(" companies ("), F.array_join("all", ", "), F.lit(")"))
-        out.append(rows(whole, issue("S013", message, N, 1)))
+        out.append(rows(whole, issue("S013", message, F.col("n"), 1)))
     return out

@@ -10,7 +10,6 @@ from inkgauge.operators import markdown as M
 from inkgauge.operators.findings import issue, quoted, rows
 from inkgauge.plans import lexicon as L
 
-START, COL, END = F.col("start"), F.col("col"), F.col("end_col")
 
 
 def heading_rules(heads: DataFrame, chosen: set[str]) -> list[DataFrame]:
@@ -19,16 +18,16 @@ def heading_rules(heads: DataFrame, chosen: set[str]) -> list[DataFrame]:
     if "T001" in chosen:
         own = words(F.col("title"))
         large = F.size(F.filter(own, lambda x: has(x, r"(?U)^\p{Lu}") & ~F.lower(x).isin(*L.SMALL_WORDS)))
-        out.append(rows(heads.where((F.size(own) >= 3) & (large / F.size(own) > 0.6)), issue("T001", "Title case heading (consider sentence case)", START, COL, END)))
+        out.append(rows(heads.where((F.size(own) >= 3) & (large / F.size(own) > 0.6)), issue("T001", "Title case heading (consider sentence case)", F.col("start"), F.col("col"), F.col("end_col"))))
     if "S028" in chosen:
         message = F.concat(F.lit("Excessive heading depth: level "), F.col("level").cast("string"), F.lit(" heading '"), F.col("title"), F.lit("'"))
-        out.append(rows(heads.where("level >= 5"), issue("S028", message, START, COL, END, suggestion="Use a level-4 or shallower heading")))
+        out.append(rows(heads.where("level >= 5"), issue("S028", message, F.col("start"), F.col("col"), F.col("end_col"), suggestion="Use a level-4 or shallower heading")))
     if "M008" in chosen:
         before = F.col("before")
         jump = heads.withColumn("before", F.lag("level").over(w)).where("level > before + 1")
         message = F.concat(F.lit("Heading level jumps from "), before.cast("string"), F.lit(" to "), F.col("level").cast("string"))
         hint = F.concat(F.lit("Add a level-"), (before + 1).cast("string"), F.lit(" heading before this level-"), F.col("level").cast("string"), F.lit(" heading"))
-        out.append(rows(jump, issue("M008", message, START, COL, END, confidence="high", suggestion=hint)))
+        out.append(rows(jump, issue("M008", message, F.col("start"), F.col("col"), F.col("end_col"), confidence="high", suggestion=hint)))
     return out
 
 
@@ -41,7 +40,7 @@ def empty_headings(heads: DataFrame, lines: DataFrame) -> DataFrame:
     d = d.withColumn("below", below)
     body = d.join(filled, "path").where("n > below and n < next_start").select("path", "start").distinct()
     empty = d.join(body, ["path", "start"], "left_anti")
-    return rows(empty, issue("S025", quoted("Heading without body", F.col("title")), START, COL, END, confidence="high", suggestion="Add content under this heading or remove it"))
+    return rows(empty, issue("S025", quoted("Heading without body", F.col("title")), F.col("start"), F.col("col"), F.col("end_col"), confidence="high", suggestion="Add content under this heading or remove it"))
 
 
 def tiny_sections(heads: DataFrame, lines: DataFrame) -> DataFrame:
@@ -74,12 +73,12 @@ def tiny_sections(heads: DataFrame, lines: DataFrame) -> DataFrame:
     d = d.withColumn("step", step).withColumn("run", F.sum("step").over(w)).where("tiny")
     whole = d.groupBy("path", "run").agg(F.count("*").alias("n"), F.min(F.struct("start", "col", "end_col", "level")).alias("f")).where("n >= 3").select("path", "n", "f.*")
     message = F.concat(F.lit("Tiny-section run: "), F.col("n").cast("string"), F.lit(" consecutive level-"), F.col("level").cast("string"), F.lit(" sections"))
-    return rows(whole, issue("S029", message, START, COL, END, confidence="low", suggestion="Merge related sections or expand their content"))
+    return rows(whole, issue("S029", message, F.col("start"), F.col("col"), F.col("end_col"), confidence="low", suggestion="Merge related sections or expand their content"))
 
 
 def bold_overuse(parts: DataFrame, threshold: int) -> DataFrame:
     n = count(F.col("text"), r"\*\*[^*]+\*\*")
-    return rows(parts.where(n > threshold), issue("T002", F.concat(F.lit("Bold overuse: "), n.cast("string"), F.lit(" bold phrases in paragraph")), START, 1))
+    return rows(parts.where(n > threshold), issue("T002", F.concat(F.lit("Bold overuse: "), n.cast("string"), F.lit(" bold phrases in paragraph")), F.col("start"), 1))
 
 
 def label_lists(lines: DataFrame, threshold: int) -> DataFrame:
@@ -119,7 +118,7 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     lead = F.when(F.col("restated"), F.lit("Repeated conclusion (first seen at line ")).otherwise(F.lit("Duplicate paragraph (first seen at line "))
     line = F.when(F.col("restated"), F.col("said")).otherwise(F.col("first"))
     hit = p.where("first < start or restated")
-    return rows(hit, issue("S016", F.concat(lead, line.cast("string"), F.lit(")")), START, COL, END, F.col("last")))
+    return rows(hit, issue("S016", F.concat(lead, line.cast("string"), F.lit(")")), F.col("start"), F.col("col"), F.col("end_col"), F.col("last")))
 
 
 def reference_rules(lines: DataFrame, heads: DataFrame, chosen: set[str]) -> list[DataFrame]:
@@ -131,9 +130,9 @@ def reference_rules(lines: DataFrame, heads: DataFrame, chosen: set[str]) -> lis
     if "M005" in chosen:
         lost = used.join(defs.select("path", "label").distinct(), ["path", "label"], "left_anti")
         hint = F.concat(F.lit("Define '["), F.col("label"), F.lit("]: destination' or use an inline link"))
-        out.append(rows(lost, issue("M005", quoted("Undefined reference label", F.col("label")), n, COL, END, confidence="high", suggestion=hint)))
+        out.append(rows(lost, issue("M005", quoted("Undefined reference label", F.col("label")), n, F.col("col"), F.col("end_col"), confidence="high", suggestion=hint)))
         several = defs.withColumn("kinds", F.size(F.collect_set("destination").over(Window.partitionBy("path", "label")))).where("kinds >= 2")
-        out.append(rows(several, issue("M005", quoted("Conflicting reference definition", F.col("label")), n, COL, END, confidence="low", suggestion=F.concat(F.lit("Use one destination for reference label '"), F.col("label"), F.lit("'")))))
+        out.append(rows(several, issue("M005", quoted("Conflicting reference definition", F.col("label")), n, F.col("col"), F.col("end_col"), confidence="low", suggestion=F.concat(F.lit("Use one destination for reference label '"), F.col("label"), F.lit("'")))))
     if not chosen & {"M003", "M004", "M010"}:
         return out
     found = M.links(lines, defs, used)
@@ -155,7 +154,7 @@ def reference_rules(lines: DataFrame, heads: DataFrame, chosen: set[str]) -> lis
         at = lambda a, k: F.substring(F.col("raw"), a, F.lit(k))
         weak = weak.where((at(F.col("col"), 1) == "[") & ~((F.col("col") > 1) & (at(F.col("col") - 1, 2) == "![")))
         weak = M.with_example(weak, heads, "n").where("not example")
-        out.append(rows(weak, issue("M010", quoted("Non-descriptive link text", F.col("text")), n, COL + 1, COL + 1 + F.length("text"), confidence="high", suggestion="Replace with text that describes the destination")))
+        out.append(rows(weak, issue("M010", quoted("Non-descriptive link text", F.col("text")), n, F.col("col") + 1, F.col("col") + 1 + F.length("text"), confidence="high", suggestion="Replace with text that describes the destination")))
     return out
 
 

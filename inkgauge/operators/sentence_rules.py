@@ -8,20 +8,24 @@ from pyspark.sql import functions as F
 from inkgauge.functions import sqltext as S
 from inkgauge.functions.text import CASELESS, EXACT, column_of, count, first, has, let, line_of, matches, squeeze, strip, words
 from inkgauge.operators.findings import NONE, issue, only_if, quoted, rows
-from inkgauge.operators.line_rules import TEXT, _unary, any_of, escaped, spans_to_issues
+from inkgauge.operators.line_rules import _unary, any_of, escaped, spans_to_issues
 from inkgauge.operators.prose import runs
 from inkgauge.plans import lexicon as L
 
-MAIN = F.col("context").isin("body", "list_item", "blockquote")
-SHOWN = ~F.col("example")
+def main() -> Column:
+    return F.col("context").isin("body", "list_item", "blockquote")
+
+
+def shown() -> Column:
+    return ~F.col("example")
 
 
 def line_at(offset: Column) -> Column:
-    return line_of(F.col("source_lines"), TEXT, offset)
+    return line_of(F.col("source_lines"), F.col("text"), offset)
 
 
 def column_at(offset: Column) -> Column:
-    return column_of(TEXT, offset, F.col("start_col"))
+    return column_of(F.col("text"), offset, F.col("start_col"))
 
 
 def span_issue(rule: str, message: Column | str, x: Column, order: Column | int = 0, confidence: Column | str = "medium", suggestion: Column | str | None = None, full: bool = True, a: Column | None = None) -> Column:
@@ -49,13 +53,13 @@ def _evidenced(rule: str, label: str, patterns: tuple[str, ...]) -> Column:
 def _imprecise_quantity() -> Column:
     regex = CASELESS + r"\b(?:a\s+(?:considerable|large|small)\s+number\s+of|a\s+handful\s+of)\b"
     sure = F.when(quantity_evidence(), "low").otherwise("medium")
-    made = F.transform(matches(TEXT, regex), lambda x, i: span_issue("V014", quoted("Imprecise quantity", squeeze(x["t"])), x, i, sure, "Use a measured quantity or cite the source"))
-    return only_if((F.col("context") != "heading") & SHOWN & has(TEXT, regex), made)
+    made = F.transform(matches(F.col("text"), regex), lambda x, i: span_issue("V014", quoted("Imprecise quantity", squeeze(x["t"])), x, i, sure, "Use a measured quantity or cite the source"))
+    return only_if((F.col("context") != "heading") & shown() & has(F.col("text"), regex), made)
 
 
 def _claims(regex: str) -> Column:
     """Matches of a verb and a claim (group 1, at the end), from the claim on, unless a hypothesis comes before in the sentence."""
-    spans = F.filter(matches(TEXT, regex), lambda x: ~has(F.substring(TEXT, F.lit(1), x["a"]), r"(?iU)\b(?:if|whether)\b"))
+    spans = F.filter(matches(F.col("text"), regex), lambda x: ~has(F.substring(F.col("text"), F.lit(1), x["a"]), r"(?iU)\b(?:if|whether)\b"))
     return F.transform(spans, lambda x: F.struct(F.regexp_extract(x["t"], regex, 1).alias("t"), (x["b"] - F.length(F.regexp_extract(x["t"], regex, 1))).alias("a"), x["b"].alias("b")))
 
 
@@ -64,23 +68,23 @@ def _superlative() -> Column:
     compared = (
         r"(?iU)\b(?:among|between|compared\s+(?:to|with)|out\s+of|within)\b|\bof\s+(?:all|our|the|these|those|\d+|one|two|three|four|five|six|seven|eight|nine|ten)\b|\bin\s+(?:our|the|this)\s+(?:benchmark|comparison|evaluation|test)s?\b"
     )
-    open_ = (F.col("context") != "heading") & SHOWN & has(TEXT, regex) & ~has(TEXT, r"(?U)\?\s*\z") & ~has(TEXT, f"(?iU){L.LITERAL_CLAIM}|\\bthe (?:label|phrase|wording)\\b") & ~has(F.col("window"), compared) & ~quantity_evidence()
+    open_ = (F.col("context") != "heading") & shown() & has(F.col("text"), regex) & ~has(F.col("text"), r"(?U)\?\s*\z") & ~has(F.col("text"), f"(?iU){L.LITERAL_CLAIM}|\\bthe (?:label|phrase|wording)\\b") & ~has(F.col("window"), compared) & ~quantity_evidence()
     made = F.transform(_claims(regex), lambda x, i: span_issue("V015", quoted("Unbounded superlative", squeeze(x["t"])), x, i, "low", "Name the comparison set and supporting evidence"))
     return only_if(open_, made)
 
 
 def _absolute() -> Column:
     regex = CASELESS + r"\b(?:never\s+fails|always\s+succeeds|eliminates\s+all\s+errors)\b|(?<!\w)100%\s+secure\b"
-    open_ = SHOWN & has(TEXT, regex) & ~has(TEXT, f"(?iU){L.LITERAL_CLAIM}|\\bthe (?:phrase|wording)\\b") & ~has(F.col("window"), "(?iU)" + L.TESTED_BOUND)
-    made = F.transform(matches(TEXT, regex), lambda x, i: span_issue("V016", quoted("Absolute reliability claim", squeeze(x["t"])), x, i, suggestion="State the tested scope and observed result"))
+    open_ = shown() & has(F.col("text"), regex) & ~has(F.col("text"), f"(?iU){L.LITERAL_CLAIM}|\\bthe (?:phrase|wording)\\b") & ~has(F.col("window"), "(?iU)" + L.TESTED_BOUND)
+    made = F.transform(matches(F.col("text"), regex), lambda x, i: span_issue("V016", quoted("Absolute reliability claim", squeeze(x["t"])), x, i, suggestion="State the tested scope and observed result"))
     return only_if(open_, made)
 
 
 def _anecdote() -> Column:
-    window = F.concat_ws(" ", TEXT, F.col("next_text"))
+    window = F.concat_ws(" ", F.col("text"), F.col("next_text"))
     general = r"(?iU)\b(?:shows?|proves?|demonstrates?|illustrates?|every|all|broader|nationwide|generally)\b"
-    parts = [F.transform(first(TEXT, CASELESS + p), _unary(lambda x, k=k: span_issue("S017", quoted("Anecdote as evidence", x["t"]), x, k, full=False))) for k, p in enumerate(L.ANECDOTES)]
-    return only_if(has(TEXT, any_of(L.ANECDOTES)) & ~has(TEXT, r"(?iU)\b(?:example|dateline|format|quoted sentence)\b") & has(window, general), F.concat(*parts))
+    parts = [F.transform(first(F.col("text"), CASELESS + p), _unary(lambda x, k=k: span_issue("S017", quoted("Anecdote as evidence", x["t"]), x, k, full=False))) for k, p in enumerate(L.ANECDOTES)]
+    return only_if(has(F.col("text"), any_of(L.ANECDOTES)) & ~has(F.col("text"), r"(?iU)\b(?:example|dateline|format|quoted sentence)\b") & has(window, general), F.concat(*parts))
 
 
 def _euphemism() -> Column:
@@ -91,25 +95,25 @@ def _euphemism() -> Column:
     return F.expr(S.guarded(f"text rlike {S.lit(any_of(escaped(L.EUPHEMISMS)))}", parts, NONE))
 
 
-def _all_spans(rule: str, label: str, regex: str, suggestion: str, confidence: str = "medium", plain: bool = False, keep=None, where: Column = SHOWN) -> Column:
+def _all_spans(rule: str, label: str, regex: str, suggestion: str, confidence: str = "medium", plain: bool = False, keep=None, where: Column | None = None) -> Column:
     """All matches with full spans; plain: the text as it is, else with single blanks."""
-    spans = matches(TEXT, regex) if keep is None else F.filter(matches(TEXT, regex), keep)
+    spans = matches(F.col("text"), regex) if keep is None else F.filter(matches(F.col("text"), regex), keep)
     made = F.transform(spans, lambda x, i: span_issue(rule, quoted(label, x["t"] if plain else squeeze(x["t"])), x, i, confidence, suggestion))
-    return only_if(where & has(TEXT, regex), made)
+    return only_if((shown() if where is None else where) & has(F.col("text"), regex), made)
 
 
 def _ellipsis() -> Column:
     regex = r"(?<![0-9.])\.{3}(?![0-9.!?])"
-    bare = F.regexp_replace(strip(TEXT), r"^['\"“”‘’`()\[\]{}]+|['\"“”‘’`()\[\]{}]+$", "")
-    open_ = SHOWN & has(TEXT, regex) & ~has(TEXT, r"(?iU)\b(?:ellipsis|omission|omit(?:ted|s|ting)?|truncat(?:e|ed|es|ion))\b") & ~has(TEXT, r"(?iU)^\s*(?:console|log|message|output)\s*:") & (bare != "...")
-    return only_if(open_, F.transform(matches(TEXT, regex), lambda x, i: span_issue("T012", "Rhetorical ellipsis: '...'", x, i, suggestion="Use direct punctuation or complete the thought")))
+    bare = F.regexp_replace(strip(F.col("text")), r"^['\"“”‘’`()\[\]{}]+|['\"“”‘’`()\[\]{}]+$", "")
+    open_ = shown() & has(F.col("text"), regex) & ~has(F.col("text"), r"(?iU)\b(?:ellipsis|omission|omit(?:ted|s|ting)?|truncat(?:e|ed|es|ion))\b") & ~has(F.col("text"), r"(?iU)^\s*(?:console|log|message|output)\s*:") & (bare != "...")
+    return only_if(open_, F.transform(matches(F.col("text"), regex), lambda x, i: span_issue("T012", "Rhetorical ellipsis: '...'", x, i, suggestion="Use direct punctuation or complete the thought")))
 
 
 def _capitals() -> Column:
     regex = r"(?U)(?<![\w'-])[A-Z]+(?:'[A-Z]+)?(?:[ \t]+[A-Z]+(?:'[A-Z]+)?){2,}(?![\w'-])"
     cues = F.array(*map(F.lit, L.CAPS_CUES))
     keep = lambda x: F.arrays_overlap(F.regexp_extract_all(x["t"], F.lit("[A-Z]+(?:'[A-Z]+)?"), F.lit(0)), cues)
-    return _all_spans("T013", "ALL-CAPS emphasis", regex, "Use normal sentence casing unless uppercase is required", "low", True, keep, F.col("context").isin("body", "list_item") & SHOWN)
+    return _all_spans("T013", "ALL-CAPS emphasis", regex, "Use normal sentence casing unless uppercase is required", "low", True, keep, F.col("context").isin("body", "list_item") & shown())
 
 
 WORD = r"(?U)\b\w+(?:[-'’]\w+)*\b"
@@ -131,7 +135,7 @@ def pairs_of(text: Column) -> Column:
 
 
 def _parentheticals() -> Column:
-    wide = F.filter(pairs_of(TEXT), lambda p: (p["parent"] < 0) & (count(F.substring(TEXT, p["a"] + 2, p["b"] - p["a"] - 1), WORD) >= 3))
+    wide = F.filter(pairs_of(F.col("text")), lambda p: (p["parent"] < 0) & (count(F.substring(F.col("text"), p["a"] + 2, p["b"] - p["a"] - 1), WORD) >= 3))
 
     def made(spans: Column) -> Column:
         whole = F.struct(spans[0]["a"].alias("a"), (F.element_at(spans, -1)["b"] + 1).alias("b"))
@@ -139,44 +143,44 @@ def _parentheticals() -> Column:
         one = span_issue("T014", message, whole, suggestion="Rewrite the sentence or move parenthetical details into separate sentences")
         return only_if(F.size(spans) >= 3, F.array(one))
 
-    return only_if(MAIN & SHOWN & (count(TEXT, r"\(") >= 3), let(wide, made))
+    return only_if(main() & shown() & (count(F.col("text"), r"\(") >= 3), let(wide, made))
 
 
 def nested_parentheses(parts: DataFrame) -> DataFrame:
     """T015, over chunks: a balanced pair inside another balanced pair, which may span lines."""
-    nested = let(pairs_of(TEXT), lambda ps: F.filter(ps, lambda p: (p["parent"] >= 0) & F.exists(ps, lambda o: o["a"] == p["parent"])))
+    nested = let(pairs_of(F.col("text")), lambda ps: F.filter(ps, lambda p: (p["parent"] >= 0) & F.exists(ps, lambda o: o["a"] == p["parent"])))
     numbers = F.transform("lines", lambda x: x["n"])
-    hits = parts.where(count(TEXT, r"\(") >= 2).select("path", TEXT, numbers.alias("ns"), F.explode(nested).alias("p"))
-    line = lambda o: line_of(F.col("ns"), TEXT, o)
+    hits = parts.where(count(F.col("text"), r"\(") >= 2).select("path", F.col("text"), numbers.alias("ns"), F.explode(nested).alias("p"))
+    line = lambda o: line_of(F.col("ns"), F.col("text"), o)
     a, b = F.col("p.a"), F.col("p.b") + 1
-    one = issue("T015", "Nested parenthetical", line(a), column_of(TEXT, a, F.lit(1)), column_of(TEXT, b, F.lit(1)), F.when(line(a) != line(b), line(b)), "high", "Remove one level of parentheses or rewrite the sentence")
+    one = issue("T015", "Nested parenthetical", line(a), column_of(F.col("text"), a, F.lit(1)), column_of(F.col("text"), b, F.lit(1)), F.when(line(a) != line(b), line(b)), "high", "Remove one level of parentheses or rewrite the sentence")
     return rows(hits, one)
 
 
 def _overloaded() -> Column:
     regex = r"(?iU);(?!\s*(?:and|but|nor|or|so|yet)\b)|\b(?:and|but|nor|or|so|yet)\b|\b(?:although|because(?!\s+of\b)|even\s+(?:if|though)|if|unless|whereas|while)\b"
-    n = count(TEXT, regex)
+    n = count(F.col("text"), regex)
     message = F.concat(F.lit("Clause/coordination overload: "), n.cast("string"), F.lit(" boundaries in one sentence"))
     one = issue("G031", message, F.col("start_line"), F.col("start_col"), F.col("end_col"), F.col("end_line"), suggestion="Split the sentence or simplify its clause structure", place=(F.col("sent"),))
-    return only_if(MAIN & SHOWN & (n >= 4), F.array(one))
+    return only_if(main() & shown() & (n >= 4), F.array(one))
 
 
 def _long_sentence(threshold: int) -> Column:
-    n = F.size(words(TEXT))
+    n = F.size(words(F.col("text")))
     message = F.concat(F.lit("Long sentence: "), n.cast("string"), F.lit(f" words (threshold {threshold})"))
-    return only_if(MAIN & (n > threshold), F.array(issue("T008", message, F.col("start_line"), F.col("start_col"), F.col("end_col"), F.col("end_line"), place=(F.col("sent"),))))
+    return only_if(main() & (n > threshold), F.array(issue("T008", message, F.col("start_line"), F.col("start_col"), F.col("end_col"), F.col("end_line"), place=(F.col("sent"),))))
 
 
 def _opener(rule: str, label: str, pattern: str, suggestion: str, confidence: str, extra: Column | None = None) -> Column:
-    made = F.transform(first(TEXT, CASELESS + pattern), lambda x: span_issue(rule, quoted(label, squeeze(x["t"])), x, confidence=confidence, suggestion=suggestion))
-    where = MAIN & SHOWN & has(TEXT, CASELESS + pattern)
+    made = F.transform(first(F.col("text"), CASELESS + pattern), lambda x: span_issue(rule, quoted(label, squeeze(x["t"])), x, confidence=confidence, suggestion=suggestion))
+    where = main() & shown() & has(F.col("text"), CASELESS + pattern)
     return only_if(where if extra is None else where & extra, made)
 
 
 def _slash() -> Column:
     regex = CASELESS + r"(?<![/\w])and/or(?![/\w])"
-    made = let(matches(TEXT, r"(?iU)https?://\S+"), lambda urls: F.transform(F.filter(matches(TEXT, regex), lambda x: ~F.exists(urls, lambda u: (u["a"] <= x["a"]) & (x["a"] < u["b"]))), lambda x, i: span_issue("T016", quoted("Slash alternative", x["t"]), x, i, suggestion="Choose 'and', 'or', or 'both' explicitly")))
-    return only_if(SHOWN & has(TEXT, regex), made)
+    made = let(matches(F.col("text"), r"(?iU)https?://\S+"), lambda urls: F.transform(F.filter(matches(F.col("text"), regex), lambda x: ~F.exists(urls, lambda u: (u["a"] <= x["a"]) & (x["a"] < u["b"]))), lambda x, i: span_issue("T016", quoted("Slash alternative", x["t"]), x, i, suggestion="Choose 'and', 'or', or 'both' explicitly")))
+    return only_if(shown() & has(F.col("text"), regex), made)
 
 
 def _bare_url() -> Column:
@@ -189,17 +193,17 @@ def _bare_url() -> Column:
         url = F.substring(url, F.lit(1), F.length(url) - F.least(extra, tail))
         return F.struct(url.alias("t"), x["a"].alias("a"), (x["a"] + F.length(url)).alias("b"))
 
-    made = F.transform(F.transform(matches(TEXT, regex), trimmed), lambda x, i: span_issue("M009", quoted("Bare URL in prose", x["t"]), x, i, "high", "Use descriptive Markdown link text"))
-    return only_if(F.col("markdown") & (F.col("context") == "body") & SHOWN & has(TEXT, regex) & ~has(TEXT, r"(?iU)\b(?:literal URL|URL (?:literal|string|value|format|syntax))\b"), made)
+    made = F.transform(F.transform(matches(F.col("text"), regex), trimmed), lambda x, i: span_issue("M009", quoted("Bare URL in prose", x["t"]), x, i, "high", "Use descriptive Markdown link text"))
+    return only_if(F.col("markdown") & (F.col("context") == "body") & shown() & has(F.col("text"), regex) & ~has(F.col("text"), r"(?iU)\b(?:literal URL|URL (?:literal|string|value|format|syntax))\b"), made)
 
 
 def row_rules(chosen: set[str], thresholds: dict[str, int]) -> list[Column]:
     """The chosen rules as columns over sentences with their windows (and example, markdown)."""
     made = {rule: lambda x=x: _evidenced(*x) for x in L.EVIDENCED for rule in [x[0]]}
     made |= {x[0]: lambda x=x: _opener(*x) for x in L.OPENERS}
-    made |= {x[0]: lambda x=x: _all_spans(x[0], x[1], CASELESS + x[2], x[3], where=MAIN & SHOWN) for x in L.ANYWHERE}
+    made |= {x[0]: lambda x=x: _all_spans(x[0], x[1], CASELESS + x[2], x[3], where=main() & shown()) for x in L.ANYWHERE}
     there = r"^There\s+(?:is|are|was|were)\b"
-    rest = F.regexp_replace(TEXT, CASELESS + there, "")
+    rest = F.regexp_replace(F.col("text"), CASELESS + there, "")
     made |= {
         "V014": _imprecise_quantity,
         "V015": _superlative,
@@ -231,13 +235,13 @@ def grouped(found: DataFrame, chosen: set[str], thresholds: dict[str, int]) -> l
     out, n = [], F.col("n").cast("string")
     prose = found.where(F.col("context").isin("body", "blockquote"))
     if "S010" in chosen:
-        message = F.concat(F.lit("Anaphora: "), n, F.lit(" consecutive sentences starting with '"), words(TEXT)[0], F.lit("'"))
-        out.append(_run_rule(prose, F.lower(words(TEXT)[0]), "S010", thresholds["anaphora_abuse"], message))
+        message = F.concat(F.lit("Anaphora: "), n, F.lit(" consecutive sentences starting with '"), words(F.col("text"))[0], F.lit("'"))
+        out.append(_run_rule(prose, F.lower(words(F.col("text"))[0]), "S010", thresholds["anaphora_abuse"], message))
     if "S011" in chosen:
-        fragment = F.when(has(TEXT, EXACT + r"\A[A-Z][a-z]*ing\b[^.!?]{0,60}[.!?]\z"), True)
+        fragment = F.when(has(F.col("text"), EXACT + r"\A[A-Z][a-z]*ing\b[^.!?]{0,60}[.!?]\z"), True)
         out.append(_run_rule(prose, fragment, "S011", thresholds["gerund_fragment_litany"], F.concat(F.lit("Gerund fragment litany: "), n, F.lit(" consecutive gerund fragments"))))
     if "S018" in chosen:
-        cited = F.when(has(TEXT, EXACT + L.CITATION), True)
+        cited = F.when(has(F.col("text"), EXACT + L.CITATION), True)
         out.append(_run_rule(found, cited, "S018", thresholds["citation_name_drop"], F.concat(F.lit("Citation name-dropping: "), n, F.lit(" consecutive 'Author (Year) verb' sentences"))))
     if "S022" in chosen:
         least = thresholds["wall_of_text_sentences"]
@@ -247,11 +251,11 @@ def grouped(found: DataFrame, chosen: set[str], thresholds: dict[str, int]) -> l
         out.append(rows(whole, issue("S022", message, F.col("f.start_line"), F.col("f.start_col"), F.col("l.end_col"), F.col("l.end_line"), suggestion="Split the paragraph into shorter paragraphs")))
     if "T006" in chosen:
         pairs = F.array(*(F.struct(F.lit(a).alias("plain"), F.lit(b).alias("formal"), F.lit(k).alias("k")) for k, (a, b) in enumerate(L.SYNONYMS)))
-        said = F.filter(pairs, lambda p: has(F.lower(TEXT), r"(?U)\b(?:said|use|show|get)\b") & F.rlike(F.lower(TEXT), F.concat(F.lit(r"(?U)\b"), p["plain"], F.lit(r"\b"))))
-        plain = found.where(has(TEXT, CASELESS + r"\b(?:said|use|show|get)\b")).select("path", "scope", F.explode(said).alias("p")).select("path", "scope", "p.*").distinct()
+        said = F.filter(pairs, lambda p: has(F.lower(F.col("text")), r"(?U)\b(?:said|use|show|get)\b") & F.rlike(F.lower(F.col("text")), F.concat(F.lit(r"(?U)\b"), p["plain"], F.lit(r"\b"))))
+        plain = found.where(has(F.col("text"), CASELESS + r"\b(?:said|use|show|get)\b")).select("path", "scope", F.explode(said).alias("p")).select("path", "scope", "p.*").distinct()
         formal = "|".join(sorted({b for _, b in L.SYNONYMS}))
-        hits = found.where(has(TEXT, rf"{CASELESS}\b(?:{formal})\b"))
-        each = F.flatten(F.array(*(F.transform(first(TEXT, rf"{CASELESS}\b{b}\b"), _unary(lambda x, b=b: F.struct(x["t"].alias("t"), x["a"].alias("a"), x["b"].alias("b"), F.lit(b).alias("formal")))) for b in sorted({b for _, b in L.SYNONYMS}))))
+        hits = found.where(has(F.col("text"), rf"{CASELESS}\b(?:{formal})\b"))
+        each = F.flatten(F.array(*(F.transform(first(F.col("text"), rf"{CASELESS}\b{b}\b"), _unary(lambda x, b=b: F.struct(x["t"].alias("t"), x["a"].alias("a"), x["b"].alias("b"), F.lit(b).alias("formal")))) for b in sorted({b for _, b in L.SYNONYMS}))))
         hits = hits.select("path", "scope", "sent", "text", "source_lines", "start_col", F.explode(each).alias("x"))
         hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("path", "scope", "x.formal").orderBy("sent"))).where("rank = 1")
         met = hits.withColumn("formal", F.col("x.formal")).join(plain, ["path", "scope", "formal"])
@@ -259,16 +263,16 @@ def grouped(found: DataFrame, chosen: set[str], thresholds: dict[str, int]) -> l
         x = F.col("x")
         out.append(rows(met, issue("T006", message, line_at(x["a"]), column_at(x["a"]), column_at(x["b"]), line_at(x["b"]), place=(F.col("scope"), F.col("k")))))
     if "G015" in chosen:
-        body = found.where(F.col("markdown") & (F.col("context") == "body") & SHOWN)
+        body = found.where(F.col("markdown") & (F.col("context") == "body") & shown())
         one = body.withColumn("rank", F.row_number().over(Window.partitionBy("path").orderBy("sent"))).where("rank = 1")
-        parts = F.concat(*(F.transform(first(TEXT, CASELESS + p), lambda x: span_issue("G015", quoted("Generic scene-setting opener", squeeze(x["t"])), x, suggestion="Replace the generic opener with the concrete subject or change")) for p in L.SCENE_OPENERS))
-        out.append(one.where(has(TEXT, any_of(L.SCENE_OPENERS))).select("path", F.explode(F.slice(parts, 1, 1)).alias("x")).select("path", "x.*"))
+        parts = F.concat(*(F.transform(first(F.col("text"), CASELESS + p), lambda x: span_issue("G015", quoted("Generic scene-setting opener", squeeze(x["t"])), x, suggestion="Replace the generic opener with the concrete subject or change")) for p in L.SCENE_OPENERS))
+        out.append(one.where(has(F.col("text"), any_of(L.SCENE_OPENERS))).select("path", F.explode(F.slice(parts, 1, 1)).alias("x")).select("path", "x.*"))
     return out
 
 
 def punchy_fragments(parts: DataFrame, threshold: int) -> DataFrame:
     """T007, over chunks: consecutive body paragraphs of at most five words; other contexts and breaks end a run."""
-    short = (F.size(words(TEXT)) <= 5) & (F.col("context") == "body")
+    short = (F.size(words(F.col("text"))) <= 5) & (F.col("context") == "body")
     w = Window.partitionBy("path").orderBy("chunk")
     d = parts.select("path", "chunk", "first_line", short.alias("short"), F.col("break_before").alias("cut"))
     d = d.withColumn("step", (~F.col("short") | F.col("cut") | ~F.coalesce(F.lag("short").over(w), F.lit(False))).cast("int")).withColumn("run", F.sum("step").over(w)).where("short")
@@ -280,11 +284,11 @@ def listicles(found: DataFrame, parts: DataFrame) -> DataFrame:
     """S012: three sentences First, Second, Third; else ordinals in a paragraph; else patterns in its lines."""
     w = Window.partitionBy("path", "scope").orderBy("k")
     opener = r"(?iU)^(first|second|third)(?:ly)?,"
-    said = F.lower(F.regexp_extract(TEXT, opener, 1))
+    said = F.lower(F.regexp_extract(F.col("text"), opener, 1))
     d = found.where(F.col("context").isin("body", "blockquote")).withColumn("said", said)
     d = d.withColumns({"one": F.lead("said", 1).over(w), "two": F.lead("said", 2).over(w)}).where("said = 'first' and one = 'second' and two = 'third'")
     d = d.withColumn("rank", F.row_number().over(w)).where("rank = 1")
-    b = F.length(F.regexp_extract(TEXT, opener, 0))
+    b = F.length(F.regexp_extract(F.col("text"), opener, 0))
     opening = d.select("path", "scope", issue("S012", "Listicle in prose: 'First... Second... Third...'", F.col("start_line"), F.col("start_col"), column_at(b), line_at(b), suggestion="Use an explicit numbered list", place=(0, F.col("sent"))).alias("x"))
     rest = parts.where(F.col("context").isin("body", "blockquote")).join(opening.select("path", F.col("scope").alias("chunk")).distinct(), ["path", "chunk"], "left_anti")
     lowered = F.lower(F.array_join(F.transform("lines", lambda x: x["text"]), " "))
@@ -294,21 +298,21 @@ def listicles(found: DataFrame, parts: DataFrame) -> DataFrame:
     rest = rest.withColumn("three", three)
     lead = F.filter("lines", lambda x: has(x["text"], r"(?iU)\bthe first\b"))
     ordinal = rest.where(F.col("three") & (F.size(lead) > 0)).select("path", issue("S012", "Listicle in prose: 'the first... the second... the third...'", lead[0]["n"], 1, place=(1, lead[0]["n"])).alias("x"))
-    line = rest.where(~F.col("three")).select("path", F.explode("lines").alias("l")).select("path", F.col("l.n").alias("n"), F.col("l.text").alias("text")).where(has(TEXT, any_of(L.LISTICLES)))
-    hit = F.slice(F.concat(*(first(TEXT, CASELESS + p) for p in L.LISTICLES)), 1, 1)
+    line = rest.where(~F.col("three")).select("path", F.explode("lines").alias("l")).select("path", F.col("l.n").alias("n"), F.col("l.text").alias("text")).where(has(F.col("text"), any_of(L.LISTICLES)))
+    hit = F.slice(F.concat(*(first(F.col("text"), CASELESS + p) for p in L.LISTICLES)), 1, 1)
     lined = line.select("path", F.explode(F.transform(hit, lambda x: issue("S012", "Listicle in prose pattern", F.col("n"), x["a"] + 1, x["b"] + 1, place=(1, F.col("n"))))).alias("x"))
     return opening.drop("scope").unionByName(ordinal).unionByName(lined).select("path", "x.*")
 
 
 def hedging(prose: DataFrame, found: DataFrame) -> DataFrame:
     """G002: hedging phrases, redundant modals and stacked hedges. What lies in a redundant modal is dropped; of findings at one place the last kind stays."""
-    phrase = prose.where(has(TEXT, any_of(L.HEDGING))).select("path", "n", F.explode(F.concat(*(spans_to_issues(matches(TEXT, CASELESS + p), "G002", "Hedging phrase", k) for k, p in enumerate(L.HEDGING)))).alias("x"))
+    phrase = prose.where(has(F.col("text"), any_of(L.HEDGING))).select("path", "n", F.explode(F.concat(*(spans_to_issues(matches(F.col("text"), CASELESS + p), "G002", "Hedging phrase", k) for k, p in enumerate(L.HEDGING)))).alias("x"))
     phrase = phrase.select("path", F.lit(0).alias("kind"), "x")
     modal, hedge = r"(?iU)\b(may|might|could)\s+(?:possibly|potentially|perhaps)\b", r"(?iU)\b(?:may|might|potentially|arguably|possibly|perhaps)\b|(?:appears? to|suggests? that|could be(?: interpreted as)?)"
-    s = found.where(has(TEXT, hedge) | has(TEXT, modal))
-    red = s.select("path", F.lit(2).alias("kind"), F.explode(F.transform(matches(TEXT, modal), lambda x, i: span_issue("G002", quoted("Redundant modal hedge", squeeze(x["t"])), x, i, "high", F.lower(F.regexp_extract(x["t"], modal, 1))))).alias("x"))
-    n = count(TEXT, hedge)
-    stacked = s.where((n >= 2) & ~((n == 2) & has(TEXT, modal))).select(
+    s = found.where(has(F.col("text"), hedge) | has(F.col("text"), modal))
+    red = s.select("path", F.lit(2).alias("kind"), F.explode(F.transform(matches(F.col("text"), modal), lambda x, i: span_issue("G002", quoted("Redundant modal hedge", squeeze(x["t"])), x, i, "high", F.lower(F.regexp_extract(x["t"], modal, 1))))).alias("x"))
+    n = count(F.col("text"), hedge)
+    stacked = s.where((n >= 2) & ~((n == 2) & has(F.col("text"), modal))).select(
         "path", F.lit(1).alias("kind"), issue("G002", F.concat(F.lit("Hedge stacking: "), n.cast("string"), F.lit(" hedges in one sentence")), F.col("start_line"), F.col("start_col"), confidence="high", place=(F.col("sent"),)).alias("x")
     )
     ranges = red.groupBy("path").agg(F.collect_list(F.struct(F.struct("x.line", "x.column").alias("a"), F.struct("x.end_line", "x.end_column").alias("b"))).alias("ranges"))
@@ -331,7 +335,7 @@ def comparatives(found: DataFrame, content: DataFrame) -> DataFrame:
         r"|\bof\s+(?:both|our|the\s+two|these|those)\b|\b(?:benchmark(?:ed|ing|s)?|chart|figure|table)\s+(?:\d+|[A-Z])\b|\b(?:both|first|former|latter|other|second|third)\b"
     )
     measure = r"(?iU)\b\d+(?:,\d{3})*(?:\.\d+)?\s*(?:%|bytes?|gib|gigabytes?|hours?|kb|kib|mb|mib|milliseconds?|ms|operations?|points?|requests?|runs?|seconds?|times?|x)\b"
-    hits = found.where(F.col("context").isin("body", "list_item") & SHOWN & has(TEXT, regex) & ~has(TEXT, r"(?U)\?\s*\z") & ~has(TEXT, f"(?iU){L.LITERAL_CLAIM}|\\bthe (?:label|phrase|wording)\\b"))
+    hits = found.where(F.col("context").isin("body", "list_item") & shown() & has(F.col("text"), regex) & ~has(F.col("text"), r"(?U)\?\s*\z") & ~has(F.col("text"), f"(?iU){L.LITERAL_CLAIM}|\\bthe (?:label|phrase|wording)\\b"))
     split = F.split(F.col("content"), r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]", -1)
     hits = hits.join(content.select("path", "content"), "path")
     low = F.greatest(F.col("start_line") - 4, F.lit(1))
