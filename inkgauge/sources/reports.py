@@ -100,12 +100,12 @@ def quality(expected: DataFrame, found: DataFrame, negatives: DataFrame | None =
     """Per rule: tp, fp, fn, precision and recall of findings against expected ones (path, rule_id, line, column), and passed negative cases (path, rule_id, line)."""
     key = ["path", "rule_id", "line", "column"]
     e, g = expected.select(*key).distinct().withColumn("e", F.lit(1)), found.select(*key).distinct().withColumn("g", F.lit(1))
-    m = e.join(g, key, "full_outer").groupBy("rule_id").agg(F.count_if("e is not null and g is not null").alias("tp"), F.count_if("e is null").alias("fp"), F.count_if("g is null").alias("fn"))
+    m = e.join(g, key, "full_outer").groupBy("rule_id").agg(F.count_if(F.expr("e is not null and g is not null")).alias("tp"), F.count_if(F.expr("e is null")).alias("fp"), F.count_if(F.expr("g is null")).alias("fn"))
     m = m.withColumns({"precision": F.try_divide("tp", F.col("tp") + F.col("fp")), "recall": F.try_divide("tp", F.col("tp") + F.col("fn"))})
     if negatives is None:
         return m
     hit = found.select("path", "rule_id", "line").distinct().withColumn("hit", F.lit(True))
-    n = negatives.select("path", "rule_id", "line").distinct().join(hit, ["path", "rule_id", "line"], "left").groupBy("rule_id").agg(F.count_if("hit is null").alias("negatives_passed"), F.count("*").alias("negatives_total"))
+    n = negatives.select("path", "rule_id", "line").distinct().join(hit, ["path", "rule_id", "line"], "left").groupBy("rule_id").agg(F.count_if(F.expr("hit is null")).alias("negatives_passed"), F.count("*").alias("negatives_total"))
     return m.join(n, "rule_id", "full_outer")
 
 

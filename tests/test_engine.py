@@ -59,8 +59,8 @@ def test_findings(docs):
     assert got == {
         ("G017", 3, 1, 3, 17, "info", "high"),
         ("T010", 3, 24, 3, 26, "info", "high"),
-        ("M004", 3, 48, None, 56, "error", "high"),
-        ("M010", 3, 42, None, 46, "warning", "high"),
+        ("M004", 3, 51, None, 59, "error", "high"),
+        ("M010", 3, 45, None, 49, "warning", "high"),
         ("M008", 7, 5, None, 10, "warning", "high"),
         ("M007", 13, 1, None, 4, "error", "high"),
     }
