@@ -2,10 +2,14 @@
 
 1. Training frequencies of the benchmark's terms, over the whole corpus.
 2. Every benchmark window is entered by its rarest term, and checked by its second rarest at the right distance.
-3. The index: postings of the entry terms (position, with the 9 words on either side), stored document by document.
+3. The index: postings of the entry terms (position, with the words around it), stored document by document.
 4. Postings meet the windows by term; lists of the second term are intersected at the offset; the longest run of equal words
    around the entry gives the phrase. A run as long as the window is a hit, and so are all its words: every window holds an
    entry of its own, so no occurrence is missed.
+5. Proximity: a window is also entered by each of its two rarest different terms. Where at least NEAR_LEAST of its NEAR_TERMS
+   rarest, the entry among them, stand within slack words of their places relative to the entry, it is a proximity match. So a
+   window with one word swapped and up to slack inserted or left out is returned; windows of fewer than NEAR_LEAST different
+   words only match as phrases.
 
 Only the corpus' text is read at scale (twice); what is shuffled are counts and hits. Entry terms go into the scan in blocks of
 at most TERMS_A_BLOCK, each over all rows, so what a task is sent has a fixed bound for any benchmark.
@@ -25,6 +29,8 @@ from inkgauge.llm.quality_rules import let
 TERMS_A_BLOCK = 20_000
 #: Rows up to which a side made from the benchmark is broadcast: some tens of MB. Beyond it Spark chooses the join.
 BROADCAST_ROWS = 200_000
+#: Proximity: rarest terms of a window that are looked for, how many must be met, and how many words off their places they may be.
+NEAR_TERMS, NEAR_LEAST, SLACK = 4, 3, 3
 
 
 def words_of(text: Column) -> Column:
@@ -39,8 +45,11 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def entries(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """Where windows are entered: item, term, term2 at distance gap, need (words that must be equal), left and right (the item's words around the term)."""
+def entries(docs: DataFrame, benchmark: DataFrame, window: int, near: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """Where windows are entered: item, term, term2 at distance gap, need (words that must be equal), left and right (the item's words around the term).
+
+    With near, also where their proximity matches are: item, term and rare, the window's other rarest terms with their gaps.
+    """
     items = common.columns(benchmark, item_id="string", text="string").select(F.coalesce("item_id", F.lit("")).alias("item"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
     items = common.table(items.withColumn("key", F.xxhash64("item", "w")), "decontamination-items")
     vocabulary = items.select(F.explode("w").alias("term")).distinct()
@@ -52,7 +61,7 @@ def entries(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     ranked = terms.join(_small(seen, seen.count()), "term").withColumn("rank", F.row_number().over(order)).where("rank <= 2")
     pairs = ranked.groupBy("key", "start").agg(F.min_by("q", "rank").alias("q"), F.max_by("q", "rank").alias("q2")).select("key", "q", "q2").distinct()
     w, q = F.col("w"), F.col("q")
-    return common.table(
+    known = common.table(
         pairs.join(items, "key").select(
             "item",
             F.get(w, q).alias("term"),
@@ -64,13 +73,20 @@ def entries(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
         ),
         "decontamination-entries",
     )
-
-
-def index(docs: DataFrame, terms: list[str], window: int, row: Column) -> DataFrame:
-    """row, doc_id, md5 (of the text), n_words, and the postings of terms: term, pos, left (nearest word first) and right."""
+    if not near:
+        return known, None
+    once = terms.groupBy("key", "start", "term").agg(F.min("q").alias("q")).join(_small(seen, seen.count()), "term")
+    once = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= NEAR_TERMS)
+    rarest = once.groupBy("key", "start").agg(F.sort_array(F.collect_list(F.struct("rank", "term", "q"))).alias("own")).where(F.size("own") >= NEAR_LEAST)
+    entered = rarest.select("key", "own", F.explode(F.slice("own", 1, 2)).alias("by"))
+    others = F.transform(F.filter("own", lambda x: x["rank"] != F.col("by.rank")), lambda x: F.struct(x["term"].alias("term"), (x["q"] - F.col("by.q")).alias("gap")))
+    entered = entered.select("key", F.col("by.term").alias("term"), F.sort_array(others).alias("rare")).distinct()
+    return known, common.table(entered.join(items.select("key", "item"), "key").select("item", "term", "rare").distinct(), "decontamination-near")
+
+
+def index(docs: DataFrame, terms: list[str], near: int, row: Column) -> DataFrame:
+    """row, doc_id, md5 (of the text), n_words, and the postings of terms: term, pos, left (nearest word first) and right, near words each."""
     listed = ", ".join(f"'{t}'" for t in terms) or "''"  # terms have no punctuation, so no quotes
-
-    near = window - 1
     found = F.expr(
         f"""transform(array(w0), w -> named_struct('n', size(w), 'at', transform(
             filter(transform(w, (x, i) -> if(x IN ({listed}), i, null)), i -> i IS NOT NULL),
@@ -85,44 +101,65 @@ def _equal(a: Column, b: Column) -> Column:
     return let(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), lambda same: F.when(F.array_contains(same, False), F.array_position(same, False) - 1).otherwise(F.size(same)))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """row, doc_id, md5, n_words, items (ids of items with an occurring window) and spans (merged word ranges, end exclusive) of every document."""
+def _near(posting: DataFrame, own: DataFrame, slack: int) -> DataFrame:
+    """row, item, a, b: proximity matches, from the first to the last of the rare terms that were met."""
+    met = posting.withColumnsRenamed({"left": "dl", "right": "dr"}).join(own, "term")
+    first = lambda gap: f"greatest({gap} - {slack}, 1)"
+    place = lambda words, gap: f"nullif(array_position(slice({words}, {first(gap)}, greatest({gap} + {slack} + 1 - {first(gap)}, 0)), r.term), 0) + {first(gap)} - 1"
+    offsets = F.expr(f"filter(transform(rare, r -> coalesce({place('dr', 'r.gap')}, -({place('dl', '-r.gap')}))), x -> x IS NOT NULL)")
+    met = met.select("row", "item", "pos", offsets.alias("at")).where(F.size("at") >= NEAR_LEAST - 1)
+    return met.select("row", "item", (F.col("pos") + F.least(F.array_min("at"), F.lit(0))).alias("a"), (F.col("pos") + F.greatest(F.array_max("at"), F.lit(0)) + 1).alias("b"))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, slack: int | None = SLACK) -> DataFrame:
+    """row, doc_id, md5, n_words, items (ids of items with an occurring window) and spans (merged word ranges, end exclusive) of every document.
+
+    near_items and near_spans are the same of proximity matches: spans from the first to the last rare term. With slack None only phrases
+    are looked for, and these two columns are not there.
+    """
     docs = common.columns(docs, doc_id="long", text="string")
-    known = entries(docs, benchmark, window)
-    n_known, n_terms = known.count(), known.select("term").distinct().count()
+    known, close = entries(docs, benchmark, window, slack is not None)
+    listed = known.select("term") if close is None else known.select("term").union(close.select("term"))
+    n_known, n_close, n_terms = known.count(), close.count() if close is not None else 0, listed.distinct().count()
     blocks = max(1, -(-n_terms // TERMS_A_BLOCK))
     # with several passes a row is known by its content (equal rows have equal hits), else by a number given when it is stored
     row = F.monotonically_increasing_id() if blocks == 1 else F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), _md5(F.col("text")))
     parts, base = [], None
     for k in range(blocks):
-        own = known.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k)
-        terms = sorted(r.term for r in own.select("term").distinct().collect())  # at most about TERMS_A_BLOCK
-        stored = common.table(index(docs, terms, window, row), "decontamination-index")
+        here = F.pmod(F.xxhash64("term"), F.lit(blocks)) == k
+        own = known.where(here)
+        terms = sorted(r.term for r in listed.where(here).distinct().collect())  # at most about TERMS_A_BLOCK
+        stored = common.table(index(docs, terms, window - 1 + (slack or 0), row), "decontamination-index")
         base = base if base is not None else stored.select("row", "doc_id", "md5", "n_words")
         posting = stored.select("row", F.explode("at").alias("p")).select("row", "p.*")
         met = posting.withColumnsRenamed({"left": "dl", "right": "dr"}).join(_small(own, n_known), "term")
         second = F.when(F.col("gap") > 0, F.get("dr", F.col("gap") - 1)).when(F.col("gap") < 0, F.get("dl", -F.col("gap") - 1)).otherwise(F.col("term"))
         run = met.where(second == F.col("term2")).select("row", "item", "pos", "need", _equal(F.col("dl"), F.col("left")).alias("before"), _equal(F.col("dr"), F.col("right")).alias("after"))
-        parts.append(run.where("before + 1 + after >= need").select("row", "item", (F.col("pos") - F.col("before")).alias("a"), (F.col("pos") + F.col("after") + 1).alias("b")))
+        parts.append(run.where("before + 1 + after >= need").select("row", "item", (F.col("pos") - F.col("before")).alias("a"), (F.col("pos") + F.col("after") + 1).alias("b"), F.lit(False).alias("near")))
+        if close is not None:
+            parts.append(_near(posting, _small(close.where(here), n_close), slack).withColumn("near", F.lit(True)))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    merged = F.aggregate(
-        F.sort_array("ranges"),
+    merged = lambda ranges: F.aggregate(
+        F.sort_array(ranges),
         F.expr("array(named_struct('a', -1L, 'b', -1L))"),
         lambda acc, x: let(
             F.element_at(acc, -1),
             lambda last: F.when(x["a"] <= last["b"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(x))),
         ),
     )
-    each = found.groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"), F.collect_set(F.struct(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))).alias("ranges"))
-    each = each.select("row", "items", F.filter(merged, lambda x: x["a"] >= 0).alias("spans"))
-    return base.join(each, "row", "left").withColumns({"items": F.coalesce("items", F.expr("array()").cast("array<string>")), "spans": F.coalesce("spans", F.expr("array()").cast("array<struct<a:long,b:long>>"))})
+    names = {"": F.lit(False)} if close is None else {"": F.lit(False), "near_": F.lit(True)}
+    span = F.struct(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    each = found.groupBy("row").agg(*(x for name, near in names.items() for x in (F.sort_array(F.collect_set(F.when(F.col("near") == near, F.col("item")))).alias(f"{name}items"), F.collect_set(F.when(F.col("near") == near, span)).alias(f"{name}ranges"))))
+    each = each.select("row", *(x for name in names for x in (f"{name}items", F.filter(merged(f"{name}ranges"), lambda x: x["a"] >= 0).alias(f"{name}spans"))))
+    empty = {"items": F.expr("array()").cast("array<string>"), "spans": F.expr("array()").cast("array<struct<a:long,b:long>>")}
+    return base.join(each, "row", "left").withColumns({name + c: F.coalesce(name + c, none) for name in names for c, none in empty.items()})
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """docs without the documents that any window of the benchmark occurs in."""
-    found = common.table(hits(docs, benchmark, window).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("md5").alias("_md5")).distinct(), "decontamination-found")
+    found = common.table(hits(docs, benchmark, window, None).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("md5").alias("_md5")).distinct(), "decontamination-found")
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (_md5(docs["text"]) == F.col("_md5"))
     return docs.join(common.small(found, found.count()), same, "left_anti")
 

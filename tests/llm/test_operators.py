@@ -138,6 +138,35 @@ def test_decontamination(spark):
     decontamination.TERMS_A_BLOCK = 20_000
 
 
+def test_decontamination_by_proximity(spark):
+    rng = random.Random(4)
+    item = [f"w{k}" for k in range(25)]
+    swapped = [f"x{k}" if k % 9 == 4 else w for k, w in enumerate(item)]
+    inserted = [x for k, w in enumerate(item) for x in ((w, f"y{k}") if k % 8 == 3 else (w,))]
+    noise = lambda n: rng.choices(["of", "the", "w1", "w9", "w20"], k=n)
+    spread = [x for w in item for x in (w, "of", "the", "of", "the", "of", "the", "of")]
+    docs = documents(spark, [" ".join(w) for w in (noise(30) + swapped, inserted + noise(30), noise(60), spread, noise(5) + item, [])] + [None])
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "of the"), (3, None)], "item_id long, text string")
+    for most in (20_000, 7):
+        decontamination.TERMS_A_BLOCK = most
+        got = {r.doc_id: r for r in decontamination.hits(docs, bench).collect()}
+        assert [[i for i in got[k].near_items] for k in range(7)] == [["1"], ["1"], [], [], ["1"], [], []]
+        assert [("1" in got[k].items) for k in range(7)] == [False, False, False, False, True, False, False]
+        assert all(30 <= x.a < x.b <= 55 for x in got[0].near_spans if x.b > 33) and got[0].near_spans and got[3].near_spans == []
+    decontamination.TERMS_A_BLOCK = 20_000
+    plain = decontamination.hits(docs, bench, slack=None)
+    assert not {"near_items", "near_spans"} & set(plain.columns)
+    # every window with one word swapped and up to SLACK inserted at one place
+    cases = []
+    for swap in range(10):
+        for at in range(1, 10):
+            w = [f"z{k}" for k in range(10)]
+            w[swap] = "other"
+            cases.append(" ".join(w[:at] + ["of"] * decontamination.SLACK + w[at:]))
+    found = decontamination.hits(documents(spark, cases), spark.createDataFrame([(5, " ".join(f"z{k}" for k in range(10)))], "item_id long, text string"))
+    assert found.where("near_items = array('5') and size(items) = 0").count() == len(cases)
+
+
 def test_secrets(spark):
     rng = random.Random(5)
     code = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=44))
