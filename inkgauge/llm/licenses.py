@@ -3,9 +3,10 @@
 The index holds, for every word of a collection of licence templates, its postings (template, position) and its inverse
 document frequency over the collection. A file is looked up by its rarest licence words: those that are among the ANCHORS
 highest-IDF words of some template. A posting at template position q met at file position p proposes that the template starts
-at p - q; postings that agree on the start (within SLACK words, for reflowed or edited notices) are intersected. A proposal is
-accepted if all the template's mandatory key phrases stand consecutively where it says, and if enough of the template's
-IDF-weighted words lie in place. The four base phrases are templates that are key phrases as a whole: each of their
+at p - q; postings that agree on the start (within SLACK words, for reflowed or edited notices) are intersected. A proposal
+is accepted if all the template's mandatory key phrases stand consecutively where it says, and if enough of the template's
+IDF-weighted words lie in place. A notice that is used in two wordings has a template for each, and counts as one label in
+word frequencies and where both are met. The four base phrases are templates that are key phrases as a whole: each of their
 occurrences contains its rarest word, so all places are found.
 
 Defined cases: a null or empty text has no words, no places, empty labels and score 0; a null doc_id and repeated rows are
@@ -44,6 +45,7 @@ NOTICES = (
     ("gpl-3.0", "licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee is hereby granted",)),
     ("lgpl", "licensed under the gnu lesser general public license", ("gnu lesser general public license",)),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("permission is hereby granted free of charge", "in the software without restriction")),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software to deal in the software without restriction", ("permission is hereby granted free of charge", "in the software without restriction")),
     ("mpl", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
@@ -58,8 +60,11 @@ class Index:
 
     def __init__(self, base: tuple = BASE, notices: tuple = NOTICES) -> None:
         self.templates = [(label, text.encode().split(), [k.encode().split() for k in keys], i < len(base)) for i, (label, text, keys) in enumerate([*base, *notices])]
-        df = Counter(w for _, words, _, _ in self.templates for w in set(words))
-        self.idf = {w: math.log((1 + len(self.templates)) / n) for w, n in df.items()}
+        kinds: dict[tuple[str, bool], set[bytes]] = defaultdict(set)  # wordings of one notice together
+        for label, words, _, base_one in self.templates:
+            kinds[label, base_one].update(words)
+        df = Counter(w for words in kinds.values() for w in words)
+        self.idf = {w: math.log((1 + len(kinds)) / n) for w, n in df.items()}
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for t, (_, words, _, _) in enumerate(self.templates):
             rare = sorted(set(words), key=lambda w: (-self.idf[w], words.index(w)))[:ANCHORS]
@@ -73,7 +78,7 @@ class Index:
         if not met:
             return [], 0.0
         proposals = {(t, p - q) for p in met for t, q in self.postings[words[p]]}
-        found, best, last = [], 0.0, {}
+        found, best, placed = [], 0.0, {}
         for t, start in sorted(proposals):
             label, template, keys, base = self.templates[t]
             if base:
@@ -81,7 +86,8 @@ class Index:
                     found.append((label, start, start + len(template), 1.0, True))
                     best = 1.0
                 continue
-            if t in last and start - last[t] <= SLACK:  # the same notice, proposed by another of its words
+            same = next((placed[label, start + d] for d in range(-SLACK, SLACK + 1) if (label, start + d) in placed), None)
+            if same and same[0] == t:  # the same notice, proposed by another of its words
                 continue
             lo = max(0, start - SLACK)
             window = words[lo : start + len(template) + SLACK + 1]
@@ -91,8 +97,13 @@ class Index:
             whole = sum(self.idf[w] for w in template)
             covered = sum(self.idf[w] for q, w in enumerate(template) if any(abs(k - q) <= SLACK for k in there.get(w, ()))) / whole
             if covered >= COVERAGE and all(any(window[k : k + len(key)] == key for k in there_at(window, key[0])) for key in keys):
-                found.append((label, max(0, start), min(len(words), start + len(template)), covered, False))
-                best, last[t] = max(best, covered), start
+                match = (label, max(0, start), min(len(words), start + len(template)), covered, False)
+                if same is None:
+                    found.append(match)
+                    placed[label, start] = t, len(found) - 1
+                elif covered > found[same[1]][3]:  # in another wording, which fits better
+                    found[same[1]] = match
+                best = max(best, covered)
             else:  # without its key phrases a notice is half a hint at most
                 best = max(best, covered / 2)
         return found, min(1.0, best)

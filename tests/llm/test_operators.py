@@ -98,6 +98,21 @@ def test_licences(spark):
     assert {m.label for m in got[len(TEXTS) + 1].matches} == {"gpl", "gpl-3.0"}
 
 
+def test_verbatim_notices(spark):
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n'
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\n"
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\n'
+    short = mit.replace(" and associated documentation files (the \"Software\")", "")
+    between = mit.replace("documentation files ", "")
+    head = "Copyright (c) 2020 Some One\n\n"
+    got = {r.doc_id: r for r in licenses.scan(documents(spark, [head + t for t in (mit, bsd, isc, apache, short, between)] + [mit + "x " * 50 + mit])).collect()}
+    own = [[(m.label, m.start) for m in got[k].matches if not m.base] for k in range(7)]
+    assert own == [[("mit", 5)], [("bsd", 5)], [("isc", 5)], [("apache-2.0", 5)], [("mit", 5)], own[5], own[6]]
+    assert [label for label, _ in own[5]] == ["mit"] and [label for label, _ in own[6]] == ["mit", "mit"]
+    assert all(got[k].score == pytest.approx(1.0) for k in range(5)) and got[0].matches[0].end == 34
+
+
 def test_quality_rules(spark):
     texts = [*TEXTS, "a b c a b c a. " * 20, "Good words end well.\n" + "| home | about | news |\nEnds " + " ".join(f"word{k}" for k in range(60)) + " here."]
     got = {r.doc_id: r for r in quality_rules.assess(documents(spark, texts)).collect()}
