@@ -1,7 +1,7 @@
 """Secret scans in DataFrame expressions: fixed patterns, and a battery of randomness tests on long tokens.
 
 Base kinds: assign, access, hex. The battery takes every token of 20 or more characters of [A-Za-z0-9+/_=-], infers its
-encoding (hex, base32, base62, base64) and tests the hypothesis that its symbols are drawn uniformly from that alphabet:
+encoding (hex, base32, base36, base62, base64) and tests the hypothesis that its symbols are drawn uniformly from that alphabet:
 
 - chi-squared over 4 to 16 equal bins (at least 5 symbols expected in each), by the Wilson-Hilferty transform;
 - runs above and below the alphabet's middle (Wald-Wolfowitz);
@@ -38,6 +38,7 @@ KINDS = ("assign", "access", "hex", "random")
 ENCODINGS = (
     ("hex", "^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 2 * 10 * 6 / 16**2),
     ("base32", "^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 2 * 26 * 6 / 32**2),
+    ("base36", "^([a-z0-9]+|[A-Z0-9]+)$", "0123456789abcdefghijklmnopqrstuvwxyz", 2 * 10 * 26 / 36**2),
     ("base62", "^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 1 - (2 * 26**2 + 10**2) / 62**2),
     ("base64", "^[A-Za-z0-9+/_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 1 - (2 * 26**2 + 10**2 + 4) / 64**2),
 )
@@ -111,7 +112,7 @@ def assess_token(s: Column) -> Column:
         return let(values, lambda v: looks_random(v, float(len(alphabet))))
 
     for name, pattern, alphabet, rate in reversed(ENCODINGS):
-        source = F.lower(body) if name == "hex" else F.translate(body, "-_", "+/")
+        source = F.lower(body) if name in ("hex", "base36") else F.translate(body, "-_", "+/")
         n = F.length(body) - 1
         ratio = changes * math.log(rate / TEXT_CHANGES) + (n - changes) * math.log((1 - rate) / (1 - TEXT_CHANGES))
         own = F.struct(verdict_as(alphabet, source).alias("random"), F.least(F.lit(1.0), F.exp(-ratio)).alias("p"))

@@ -200,6 +200,20 @@ def test_secrets(spark):
     assert [r.text for r in clean.where(f"doc_id = {len(TEXTS)}").collect()] == ['é [REDACTED]" [REDACTED]']
 
 
+def test_random_keys_of_every_encoding(spark):
+    rng = random.Random(6)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = {"hex": digits + "ABCDEF", "base32": upper + "234567", "base36": digits + lower, "BASE36": digits + upper, "base62": digits + lower + upper, "base64": digits + lower + upper + "+/"}
+    rows = [(name, n, "".join(rng.choices(chars, k=n))) for name, chars in alphabets.items() for n in (24, 32, 40, 64) for _ in range(150)]
+    table = spark.createDataFrame([*rows, *[("word", 24, "".join(rng.choices(lower, k=24))) for _ in range(50)]], "name string, n int, s string")
+    table = table.withColumn("v", secret_scan.assess_token(F.col("s"))).select("name", "n", "v.random", "v.p")
+    share = {(r.name, r.n): (r.accepted, r.sure) for r in table.groupBy("name", "n").agg(F.avg(F.col("random").cast("int")).alias("accepted"), F.avg((F.col("random") & (F.col("p") <= 0.001)).cast("int")).alias("sure")).collect()}
+    assert {k: x for k, (x, _) in share.items() if x < 0.95 and k[0] != "word"} == {}
+    assert share["word", 24][1] == 0 and all(share[name, n][1] >= least for name in ("base36", "BASE36") for n, least in ((40, 0.8), (64, 0.95)))
+    key = "".join(rng.choices(digits + lower, k=64))
+    assert secret_scan.digest(secret_scan.find(documents(spark, [f"key {key} ends"]))).first().spans == "random:4:68"
+
+
 def brute_components(texts):
     sets = []
     for t in texts:
