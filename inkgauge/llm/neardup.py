@@ -80,6 +80,13 @@ def shingle_set(text: str, k: int = 4) -> np.ndarray:
     return np.unique(x)
 
 
+def _set_key(shingles: np.ndarray) -> bytes | None:
+    """128 bits that stand for a set; none for the empty one."""
+    import xxhash
+
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
+
+
 def _functions() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20)
     return rng.integers(0, 1 << 32, MINIMA, np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, MINIMA, np.uint32)
@@ -110,8 +117,6 @@ _SIGNED = "row long, doc_id long, n int, sk binary, keys array<long>, sig binary
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
-
     row = TaskContext.get().partitionId() << 33
     for batch in batches:
         all_texts, ids = common.texts(batch), batch.column("doc_id")
@@ -126,7 +131,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(np.arange(row, row + hi - lo)),
                     ids.slice(lo, hi - lo),
                     pa.array([len(s) for s in sets], pa.int32()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([_set_key(s) for s in sets], pa.binary()),
                     pa.array([keys[at[i]] if i in at else None for i in range(hi - lo)], pa.list_(pa.int64())),
                     pa.array([small[at[i]].tobytes() if i in at else None for i in range(hi - lo)], pa.binary()),
                 ],
@@ -220,8 +225,6 @@ def links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Full-set confirmation inside clusters."""
-    import xxhash
-
     for rows, starts in _whole_groups(batches, ["cluster", "i", "j"]):
         ends = np.append(starts[1:], rows.num_rows)
         a, b = [], []
@@ -229,7 +232,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = rows.slice(s, e - s)
             found: dict[int, np.ndarray] = {}
             for node, sk, text in zip(part.column("node").to_pylist(), part.column("sk").to_pylist(), part.column("text").to_pylist()):
-                if node not in found and xxhash.xxh3_128_digest((own := shingle_set(text or "")).tobytes()) == sk:  # else another text of the same doc_id
+                if node not in found and _set_key(own := shingle_set(text or "")) == sk:  # else another text of the same doc_id
                     found[node] = own
             nodes = list(found)
             if len(nodes) > 1:
@@ -267,7 +270,7 @@ def _members_only(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """row, doc_id, n_shingles, component_id and keeper (exactly one row of each component) for every document."""
+    """row, doc_id, n_shingles, sk (the set's key), component_id and keeper (exactly one row of each component) for every document."""
     docs = common.columns(docs, doc_id="long", text="string")
     signed = common.table(docs.mapInArrow(_sign, _SIGNED), "neardup-signed")
     rank = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")
@@ -297,7 +300,7 @@ def groups(docs: DataFrame) -> DataFrame:
     named = labelled.join(best.where("n > 1"), "root", "left").where("copies > 1 or n > 1").select("sk", F.coalesce("chosen", "best").alias("chosen"))
     rows = signed.select("row", "doc_id", F.col("n").cast("long").alias("n_shingles"), "sk").join(named, "sk", "left")
     alone = F.col("chosen").isNull()
-    return rows.select("row", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("chosen.doc_id")).alias("component_id"), (alone | (F.col("chosen.row") == F.col("row"))).alias("keeper"))
+    return rows.select("row", "doc_id", "n_shingles", "sk", F.when(alone, F.col("doc_id")).otherwise(F.col("chosen.doc_id")).alias("component_id"), (alone | (F.col("chosen.row") == F.col("row"))).alias("keeper"))
 
 
 def dedupe(docs: DataFrame) -> DataFrame:
@@ -305,18 +308,30 @@ def dedupe(docs: DataFrame) -> DataFrame:
     decided = common.table(groups(docs), "neardup-decided")
     by_id = decided.groupBy("doc_id").agg(F.bool_and("keeper").alias("all_stay"), F.count_if("keeper").alias("stay"))
     some = common.table(by_id.where("not all_stay"), "neardup-leaving")
-    some = common.small(some, some.count())
+    leaving = some.count()
+    some = common.small(some, leaving)
     staying = docs.join(some, docs["doc_id"].eqNullSafe(some["doc_id"]), "left_anti")
-    again = some.where("stay > 0")
+    again = common.small(some.where("stay > 0").select("doc_id"), leaving)
     if again.isEmpty():
         return staying
     # ids that belong to several rows, some of which stay: told apart by their texts
-    raise_rows = docs.join(again, docs["doc_id"].eqNullSafe(again["doc_id"]), "left_semi")
-    return staying.unionByName(_among_repeated(raise_rows))
+    mixed = docs.join(again, docs["doc_id"].eqNullSafe(again["doc_id"]), "left_semi")
+    verdicts = decided.join(again.withColumnRenamed("doc_id", "_id"), decided["doc_id"].eqNullSafe(F.col("_id")), "left_semi").where("keeper").select("doc_id", "sk").distinct()
+    return staying.unionByName(_of_repeated(mixed, verdicts))
 
 
-def _among_repeated(docs: DataFrame) -> DataFrame:
-    """One row of each near-duplicate group among rows whose ids repeat: their groups are found again under ids of their own."""
+def _of_repeated(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of docs, whose ids repeat, that verdicts (doc_id and sk of the keepers) keep: one of a doc_id and sk, or all where a text has no shingles."""
     numbered = common.table(docs.withColumn("_own", F.monotonically_increasing_id()), "neardup-repeated")
-    own = groups(numbered.select(F.col("_own").alias("doc_id"), "text"))
-    return numbered.join(own.where("keeper").select(F.col("doc_id").alias("_own")), "_own", "left_semi").drop("_own")
+    known = common.table(common.columns(numbered, _own="long", doc_id="long", text="string").mapInArrow(_set_keys, "_own long, doc_id long, sk binary"), "neardup-repeated-keys")
+    names = verdicts.select(F.col("doc_id").alias("_id"), F.col("sk").alias("_sk"))
+    kept = known.join(names, known["doc_id"].eqNullSafe(F.col("_id")) & known["sk"].eqNullSafe(F.col("_sk")), "left_semi")
+    # a whole set of one id has one keeper at most: equal sets are one node
+    first = kept.where("sk is not null").groupBy("doc_id", "sk").agg(F.min("_own").alias("_own")).select("_own")
+    return numbered.join(first.union(kept.where("sk is null").select("_own")), "_own", "left_semi").drop("_own")
+
+
+def _set_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [_set_key(shingle_set(t)) for t in common.texts(batch)]
+        yield pa.RecordBatch.from_arrays([batch.column("_own"), batch.column("doc_id"), pa.array(keys, pa.binary())], names=["_own", "doc_id", "sk"])

@@ -248,6 +248,17 @@ def test_near_duplicates(spark):
     assert sorted((r.text or "") for r in repeated) == ["", "a b c d e", "other text of five words"]
 
 
+def test_dedupe_of_ids_with_different_texts(spark):
+    x, y, z = "one of the texts that come again", "quite another text of its own here", "a third text which nobody has seen"
+    near = " ".join(f"n{k}" for k in range(40))
+    nearer, nearest = near + " m1", near + " m1 m2"
+    rows = [(0, x), (1, x), (1, y), (2, y), (2, z), (2, z), (None, x), (None, ""), (None, None), (3, near), (4, nearer), (4, "the fourth stands by itself alone"), (5, nearest), (5, "  ")]
+    docs = documents(spark, [t for _, t in rows], [i for i, _ in rows])
+    got = neardup.dedupe(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.text or "").strip() for r in got.collect()) == sorted([x, y, z, near, "the fourth stands by itself alone", "", "", ""])
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (9, 9), (3, 8), *((100, k) for k in range(101, 160))]
     got = dict(components.connected(spark.createDataFrame(edges, "a long, b long")).collect())
