@@ -12,6 +12,9 @@ from inkgauge.llm import common, decontamination, neardup, packing, quality, sec
 #: SQL expresses neither the classifier nor the tokenizer.
 ORACLE_SQL = None
 
+#: Words of a shingle in the near-duplicate stage.
+SHINGLE = 5
+
 _made: list[str] = []
 
 
@@ -35,7 +38,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
-    return _stage(spark, lambda: neardup.dedupe(docs))
+    return _stage(spark, lambda: neardup.dedupe(docs, SHINGLE))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

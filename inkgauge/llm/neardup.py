@@ -1,6 +1,7 @@
 """Near-duplicates: universal hash minima with banding, signature verification, full-set confirmation, connected components.
 
-1. Every text becomes the set of its 4-word shingles (64-bit hashes). Documents of equal sets are one node from here on.
+1. Every text becomes the set of its k-word shingles (64-bit hashes; k is 4 unless the caller says otherwise). Documents of
+   equal sets are one node from here on.
 2. A node has BANDS * ROWS minima under hash functions a*x + b. Nodes that agree on all minima of a band share a bucket; two
    texts at the similarity of 0.8 share none with a probability of (1 - 0.8^ROWS)^BANDS = 3e-6.
 3. In each bucket, members are compared by their signatures (one byte a minimum): pairs with 60 % equal minima stay candidates
@@ -13,7 +14,7 @@ A bucket or cluster of any size is cut into blocks of a fixed size, and each pai
 unbounded group, no pair leaves a task but as one of at most n - 1 tree edges, and no pair is skipped. Sets of texts outside
 any cluster are never shuffled: a filter of fixed size (FILTER_BITS) lets the second scan pass on the members alone.
 
-Defined cases: null or empty texts have no shingles and are linked with nothing; a text of fewer than 4 words is one shingle of
+Defined cases: null or empty texts have no shingles and are linked with nothing; a text of fewer than k words is one shingle of
 all its words; repeated rows are linked like other copies; rows of one doc_id are told apart by their text; a null doc_id sorts
 last, a group of null ids alone has a null component_id and one keeper; an empty table gives no rows.
 """
@@ -38,6 +39,8 @@ SIGNATURE_PERCENT = 60
 #: Members of a bucket's block, and shingles of a cluster's block.
 BUCKET_BLOCK, CLUSTER_BLOCK = 4096, 1_500_000
 FILTER_BITS = 27
+#: Words of a shingle where the caller doesn't say.
+WIDTH = 4
 
 _U = np.uint64
 
@@ -66,7 +69,7 @@ class _WordHashes(dict):
 _words = _WordHashes()
 
 
-def shingle_set(text: str, k: int = 4) -> np.ndarray:
+def shingle_set(text: str, k: int = WIDTH) -> np.ndarray:
     """The sorted distinct hashes of a text's k-word shingles; A-Z are lower-cased, words end at ASCII white space."""
     words = text.encode().lower().split()
     if not words:
@@ -116,16 +119,16 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 _SIGNED = "row long, doc_id long, n int, sk binary, keys array<long>, sig binary"
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 33
     for batch in batches:
         all_texts, ids = common.texts(batch), batch.column("doc_id")
         for lo, hi in common.spans_of([len(t) for t in all_texts], 250_000):
-            sets = [shingle_set(t) for t in all_texts[lo:hi]]
+            sets = [shingle_set(t, k) for t in all_texts[lo:hi]]
             full = [i for i, s in enumerate(sets) if len(s)]
             sig = minima([sets[i] for i in full]) if full else np.zeros((0, MINIMA), np.uint32)
             keys, small = band_keys(sig).tolist(), (sig >> np.uint32(7)).astype(np.uint8)
-            at = {i: k for k, i in enumerate(full)}
+            at = {i: n for n, i in enumerate(full)}
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(row, row + hi - lo)),
@@ -223,7 +226,7 @@ def links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return _forest(len(sets), np.arange(len(sets)), linked)
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Full-set confirmation inside clusters."""
     for rows, starts in _whole_groups(batches, ["cluster", "i", "j"]):
         ends = np.append(starts[1:], rows.num_rows)
@@ -232,7 +235,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = rows.slice(s, e - s)
             found: dict[int, np.ndarray] = {}
             for node, sk, text in zip(part.column("node").to_pylist(), part.column("sk").to_pylist(), part.column("text").to_pylist()):
-                if node not in found and _set_key(own := shingle_set(text or "")) == sk:  # else another text of the same doc_id
+                if node not in found and _set_key(own := shingle_set(text or "", k)) == sk:  # else another text of the same doc_id
                     found[node] = own
             nodes = list(found)
             if len(nodes) > 1:
@@ -269,10 +272,10 @@ def _members_only(docs: DataFrame, members: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", word.alias("word"), bit.alias("bit")).mapInArrow(keep, "doc_id long, text string")
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, k: int = WIDTH) -> DataFrame:
     """row, doc_id, n_shingles, sk (the set's key), component_id and keeper (exactly one row of each component) for every document."""
     docs = common.columns(docs, doc_id="long", text="string")
-    signed = common.table(docs.mapInArrow(_sign, _SIGNED), "neardup-signed")
+    signed = common.table(docs.mapInArrow(lambda batches: _sign(batches, k), _SIGNED), "neardup-signed")
     rank = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")
     nodes = signed.where("sk is not null").groupBy("sk").agg(F.min("row").alias("node"), F.min(rank).alias("best"), F.count("*").alias("copies"))
     nodes = common.table(nodes, "neardup-nodes")
@@ -291,7 +294,7 @@ def groups(docs: DataFrame) -> DataFrame:
     inside = inside.join(weight, "root").withColumnRenamed("root", "cluster").withColumn("id", F.coalesce("doc_id", F.lit(0).cast("long"))).withColumn("no", F.col("doc_id").isNull())
     text = _members_only(docs, inside.select("doc_id")).withColumn("id", F.coalesce("doc_id", F.lit(0).cast("long"))).withColumn("no", F.col("doc_id").isNull()).drop("doc_id")
     met = text.join(inside.drop("doc_id").hint("shuffle_hash"), ["id", "no"]).select("cluster", "node", "sk", "text", "weight")
-    confirmed = _blocks(met, "cluster", F.ceil(F.col("weight") / CLUSTER_BLOCK)).select("cluster", "i", "j", "node", "sk", "text").mapInArrow(_confirm, "a long, b long")
+    confirmed = _blocks(met, "cluster", F.ceil(F.col("weight") / CLUSTER_BLOCK)).select("cluster", "i", "j", "node", "sk", "text").mapInArrow(lambda batches: _confirm(batches, k), "a long, b long")
     found = connected(confirmed, "neardup-links")
 
     # nodes of a component, and nodes that stand for several rows; all other rows are alone
@@ -303,9 +306,9 @@ def groups(docs: DataFrame) -> DataFrame:
     return rows.select("row", "doc_id", "n_shingles", "sk", F.when(alone, F.col("doc_id")).otherwise(F.col("chosen.doc_id")).alias("component_id"), (alone | (F.col("chosen.row") == F.col("row"))).alias("keeper"))
 
 
-def dedupe(docs: DataFrame) -> DataFrame:
+def dedupe(docs: DataFrame, k: int = WIDTH) -> DataFrame:
     """docs without the documents that aren't their group's keeper; all columns stay."""
-    decided = common.table(groups(docs), "neardup-decided")
+    decided = common.table(groups(docs, k), "neardup-decided")
     by_id = decided.groupBy("doc_id").agg(F.bool_and("keeper").alias("all_stay"), F.count_if("keeper").alias("stay"))
     some = common.table(by_id.where("not all_stay"), "neardup-leaving")
     leaving = some.count()
@@ -317,13 +320,13 @@ def dedupe(docs: DataFrame) -> DataFrame:
     # ids that belong to several rows, some of which stay: told apart by their texts
     mixed = docs.join(again, docs["doc_id"].eqNullSafe(again["doc_id"]), "left_semi")
     verdicts = decided.join(again.withColumnRenamed("doc_id", "_id"), decided["doc_id"].eqNullSafe(F.col("_id")), "left_semi").where("keeper").select("doc_id", "sk").distinct()
-    return staying.unionByName(_of_repeated(mixed, verdicts))
+    return staying.unionByName(_of_repeated(mixed, verdicts, k))
 
 
-def _of_repeated(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+def _of_repeated(docs: DataFrame, verdicts: DataFrame, k: int) -> DataFrame:
     """The rows of docs, whose ids repeat, that verdicts (doc_id and sk of the keepers) keep: one of a doc_id and sk, or all where a text has no shingles."""
     numbered = common.table(docs.withColumn("_own", F.monotonically_increasing_id()), "neardup-repeated")
-    known = common.table(common.columns(numbered, _own="long", doc_id="long", text="string").mapInArrow(_set_keys, "_own long, doc_id long, sk binary"), "neardup-repeated-keys")
+    known = common.table(common.columns(numbered, _own="long", doc_id="long", text="string").mapInArrow(lambda batches: _set_keys(batches, k), "_own long, doc_id long, sk binary"), "neardup-repeated-keys")
     names = verdicts.select(F.col("doc_id").alias("_id"), F.col("sk").alias("_sk"))
     kept = known.join(names, known["doc_id"].eqNullSafe(F.col("_id")) & known["sk"].eqNullSafe(F.col("_sk")), "left_semi")
     # a whole set of one id has one keeper at most: equal sets are one node
@@ -331,7 +334,7 @@ def _of_repeated(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     return numbered.join(first.union(kept.where("sk is null").select("_own")), "_own", "left_semi").drop("_own")
 
 
-def _set_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _set_keys(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = [_set_key(shingle_set(t)) for t in common.texts(batch)]
+        keys = [_set_key(shingle_set(t, k)) for t in common.texts(batch)]
         yield pa.RecordBatch.from_arrays([batch.column("_own"), batch.column("doc_id"), pa.array(keys, pa.binary())], names=["_own", "doc_id", "sk"])

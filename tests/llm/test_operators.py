@@ -259,6 +259,21 @@ def test_dedupe_of_ids_with_different_texts(spark):
     assert sorted((r.text or "").strip() for r in got.collect()) == sorted([x, y, z, near, "the fourth stands by itself alone", "", "", ""])
 
 
+def test_shingle_width(spark, tmp_path):
+    import corpus_pipeline
+
+    one = [f"v{k}" for k in range(100)]
+    other = [f"u{k}" if k in (30, 60) else w for k, w in enumerate(one)]
+    third = [f"u{k}" if k in (20, 50, 80) else w for k, w in enumerate(one)]
+    sets = lambda w, k: {tuple(w[a : a + k]) for a in range(len(w) - k + 1)}
+    alike = lambda k, w: len(sets(one, k) & sets(w, k)) / len(sets(one, k) | sets(w, k))
+    w = next(w for w in (other, third, [f"u{k}" if k in (45, 70, 99) else x for k, x in enumerate(one)]) if alike(4, w) >= 0.8 > alike(5, w))
+    docs = documents(spark, [" ".join(one), " ".join(w), " ".join(one)])
+    assert [neardup.dedupe(docs, *k).count() for k in ((), (4,), (5,))] == [1, 1, 2]
+    assert {r.n_shingles for r in neardup.groups(docs, 5).collect()} == {96}
+    assert corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).count() == 2
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (9, 9), (3, 8), *((100, k) for k in range(101, 160))]
     got = dict(components.connected(spark.createDataFrame(edges, "a long, b long")).collect())
