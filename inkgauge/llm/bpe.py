@@ -20,7 +20,7 @@ _SPACE_THEN_WORD = re.compile(r"\s*\S+|\s+")
 #: A Latin letter or an ASCII digit before the last character, a comma or full stop: both vocabularies' patterns cut between them.
 _ENDED = re.compile("[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][.,]\\Z")
 _CACHE, _LONGEST = 900_000, 48
-_encoders: dict[tuple[str, bool], "ChunkEncoder"] = {}
+_encoders: dict[tuple[str, bool, bool], "ChunkEncoder"] = {}
 
 
 def vocabulary_path(name: str) -> str:
@@ -33,14 +33,17 @@ def vocabulary_path(name: str) -> str:
 
 
 class ChunkEncoder:
-    """ids of texts under a tokenizers file. keeps_space: white space is part of the chunk that follows (byte-level BPE)."""
+    """ids of texts under a tokenizers file. keeps_space: white space is part of the chunk that follows (byte-level BPE).
 
-    def __init__(self, name: str, keeps_space: bool) -> None:
+    plain: the vocabulary's special tokens, where a text holds them literally, are encoded as ordinary text; else they give their own id, as the library does.
+    """
+
+    def __init__(self, name: str, keeps_space: bool, plain: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(vocabulary_path(name))
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = plain
         self.library.no_truncation()
         self.library.no_padding()
         self.split = _SPACE_THEN_WORD.findall if keeps_space else str.split
@@ -134,11 +137,11 @@ class ChunkEncoder:
         return flat, np.diff(edges[upto])
 
 
-def encoder(name: str, keeps_space: bool) -> ChunkEncoder:
+def encoder(name: str, keeps_space: bool, plain: bool = False) -> ChunkEncoder:
     """The worker's encoder for a vocabulary; it outlives tasks."""
-    if (name, keeps_space) not in _encoders:
-        _encoders[name, keeps_space] = ChunkEncoder(name, keeps_space)
-    return _encoders[name, keeps_space]
+    if (name, keeps_space, plain) not in _encoders:
+        _encoders[name, keeps_space, plain] = ChunkEncoder(name, keeps_space, plain)
+    return _encoders[name, keeps_space, plain]
 
 
 def encode_with_end(coder: ChunkEncoder, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:

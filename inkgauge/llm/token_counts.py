@@ -35,7 +35,7 @@ def write_flat(docs: DataFrame, folder: str | None = None, vocabulary: str = "by
         try:
             for batch in batches:
                 if out is None:
-                    coder = bpe.encoder(vocabulary, True)
+                    coder = bpe.encoder(vocabulary, True, plain=True)
                     if max(coder.vocabulary, separator + 1) > 1 << 16:
                         raise ValueError("flat files hold ids of 16 bits")
                     path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.u16"

@@ -40,6 +40,23 @@ def test_chunk_encoder_equals_the_library():
             assert flat.tolist() == [i for w in want for i in w]
 
 
+def test_literal_special_tokens(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b.", "x<|endoftext|>y  <|startoftext|>\n z.", "<|endoftext|>", "no <|ENDOFTEXT|> here", "end \n<|endoftext|><|endoftext|>. <|startoftext|>,", "tail <|endoftext|>  ", None]
+    fresh = lambda name: [e.ids for e in Tokenizer.from_file(bpe.vocabulary_path(name)).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    packed, order = {}, sorted((r.doc_id, r.start, r.ids) for r in packing.pack(documents(spark, texts)).collect())
+    for i, _, ids in order:
+        packed.setdefault(i, []).extend(np.frombuffer(ids, "<u4").tolist())
+    assert [packed[i][:-1] for i in range(len(texts))] == fresh("byte_bpe_50k.json") and 50256 in packed[0]
+    files = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in token_files.read(token_files.write(documents(spark, texts))).collect()}
+    assert [files[i][:-1] for i in range(len(texts))] == fresh("word_bpe_49k.json") and {49406, 49407} <= set(files[1])
+    plain = Tokenizer.from_file(bpe.vocabulary_path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    counts = {r.doc_id: r.n_tokens for r in token_counts.counts(documents(spark, texts)).collect()}
+    assert counts == {i: 1 + len(e.ids) for i, e in enumerate(plain.encode_batch([t or "" for t in texts], add_special_tokens=False))}
+
+
 def test_packing_is_gapless_and_whole(spark):
     want = library("byte_bpe_50k.json", TEXTS, 0)
     got = packing.pack(documents(spark, TEXTS), window=64).collect()
