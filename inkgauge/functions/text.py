@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 CASELESS, EXACT = "(?iUd)", "(?Ud)"
 SPANS = "array<struct<t:string,a:int,b:int>>"
+#: Set around matches while a text is cut: a code point that stands for no character.
+MARK = "\uffff"
+#: Items of one inner fold.
+SLICE = 64
 
 
 @contextmanager
@@ -59,21 +63,81 @@ def has(text: Column, regex: str) -> Column:
     return F.rlike(text, F.lit(regex))
 
 
+def scan(items: Column, zero: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """What step(state, item) = struct(state, out) gives for each item in order, as an array of kind.
+
+    A fold that appends to one growing array copies it at every step. Here runs of SLICE items are folded into short arrays
+    of their own, which are joined once, so the cost is in proportion to the number of items.
+    """
+    none = F.expr(f"cast(array() as array<{kind}>)")
+
+    def grown(acc: Column, item: Column) -> Column:
+        return let(step(acc["state"], item), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    def whole(value: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(value) - 1) / SLICE).cast("int")), lambda i: F.slice(value, i * SLICE + 1, F.lit(SLICE)))
+
+        def run(acc: Column, part: Column) -> Column:
+            start = F.struct(acc["state"].alias("state"), none.alias("out"))
+            return let(F.aggregate(part, start, grown), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+        return F.flatten(F.aggregate(parts, F.struct(zero.alias("state"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("out")), run)["out"])
+
+    return let(items, lambda value: F.when(F.size(value) > 0, whole(value)).otherwise(none))
+
+
+def cut(text: Column, regex: str) -> Column:
+    """The text as gap, match, gap, ..., gap: always an odd number of pieces. One search and one split; U+FFFF in a text is read as U+FFFE."""
+    plain = F.replace(text, F.lit(MARK), F.lit("\ufffe"))
+    return F.split(F.regexp_replace(plain, regex, f"{MARK}$0{MARK}"), MARK, -1)
+
+
 def matches(text: Column, regex: str) -> Column:
     """All matches as (t, a, b). The regex must not match the empty string. Texts without a match cost one search."""
 
-    def found(value: Column) -> Column:
-        zipped = F.arrays_zip(F.split(value, regex, -1).alias("gap"), F.regexp_extract_all(value, F.lit(regex), F.lit(0)).alias("hit"))
+    def found(parts: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(parts) / 2).cast("int") - 1), lambda i: F.struct(F.length(F.get(parts, 2 * i)).alias("gap"), F.get(parts, 2 * i + 1).alias("t")))
+
+        def step(at: Column, x: Column) -> Column:
+            a = at + x["gap"]
+            return F.struct((a + F.length(x["t"])).alias("state"), F.struct(x["t"].alias("t"), a.alias("a"), (a + F.length(x["t"])).alias("b")).alias("out"))
 
-        def step(state: Column, x: Column) -> Column:
-            a = state["at"] + F.length(x["gap"])
-            b = a + F.coalesce(F.length(x["hit"]), F.lit(0))
-            own = F.struct(x["hit"].alias("t"), a.alias("a"), b.alias("b"))
-            return F.struct(b.alias("at"), F.when(x["hit"].isNull(), state["out"]).otherwise(F.concat(state["out"], F.array(own))).alias("out"))
+        return scan(pairs, F.lit(0), step, "struct<t:string,a:int,b:int>")
 
-        return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPANS})").alias("out")), step)["out"]
+    return F.when(has(text, regex), let(cut(text, regex), found)).otherwise(F.expr(f"cast(array() as {SPANS})"))
 
-    return F.when(has(text, regex), found(text)).otherwise(F.expr(f"cast(array() as {SPANS})"))
+
+def merged(ranges: Column | str) -> Column:
+    """Ranges (a, b) of longs that touch or overlap as one, by start."""
+
+    def step(upto: Column, x: Column) -> Column:
+        reach = F.greatest(upto, x["b"])
+        return F.struct(reach.alias("state"), F.struct(x["a"].alias("a"), reach.alias("b"), (x["a"] > upto).alias("fresh")).alias("out"))
+
+    def joined(each: Column) -> Column:
+        starts = F.filter(F.transform(each, lambda x, i: F.when(x["fresh"], i)), lambda i: i.isNotNull())
+        return let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(each, i)["a"].alias("a"), F.get(each, F.coalesce(F.get(at, k + 1), F.size(each)) - 1)["b"].alias("b"))))
+
+    return let(scan(F.sort_array(ranges), F.lit(-1).cast("long"), step, "struct<a:long,b:long,fresh:boolean>"), joined)
+
+
+def replaced(text: Column, ranges: Column, mark: str) -> Column:
+    """text with mark for each of its ranges (a, b), which are in order and apart. The text is cut into blocks first: a place far inside costs no walk from the start."""
+    block = 4096
+
+    def run(blocks: Column, spans: Column, n: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            low, high = F.floor(a / block).cast("int"), F.floor((b - 1) / block).cast("int")
+            parts = F.transform(F.sequence(low, high), lambda i: F.substring(F.get(blocks, i), F.greatest(a - i * block, F.lit(0)).cast("int") + 1, (F.least(b - i * block, F.lit(block)) - F.greatest(a - i * block, F.lit(0))).cast("int")))
+            return F.when(a < b, F.array_join(parts, "")).otherwise("")
+
+        gaps = F.transform(spans, lambda x, i: F.concat(between(F.coalesce(F.get(spans, i - 1)["b"], F.lit(0).cast("long")), x["a"]), F.lit(mark)))
+        return F.array_join(F.concat(gaps, F.array(between(F.element_at(spans, -1)["b"], n))), "")
+
+    plain = F.replace(text, F.lit(MARK), F.lit("\ufffe"))
+    blocks = F.split(F.regexp_replace(plain, f"(?s).{{{block}}}", f"$0{MARK}"), MARK, -1)
+    whole = let(F.struct(blocks.alias("blocks"), ranges.alias("spans"), F.length(text).cast("long").alias("n")), lambda x: run(x["blocks"], x["spans"], x["n"]))
+    return F.when(F.size(ranges) > 0, whole).otherwise(text)
 
 
 def first(text: Column, regex: str) -> Column:
@@ -92,16 +156,11 @@ def literal(lowered: Column, phrase: str) -> Column:
 def mask(text: Column, regex: str, keep: Callable[[Column], Column] | None = None) -> Column:
     """Matches become blanks of the same width; keep(match) is the beginning of a match that stays."""
 
-    def masked(value: Column) -> Column:
-        zipped = F.arrays_zip(F.split(value, regex, -1).alias("gap"), F.regexp_extract_all(value, F.lit(regex), F.lit(0)).alias("hit"))
-
-        def piece(x: Column) -> Column:
-            kept = keep(x["hit"]) if keep else F.lit("")
-            return F.when(x["hit"].isNull(), x["gap"]).otherwise(F.concat(x["gap"], kept, F.repeat(F.lit(" "), F.length(x["hit"]) - F.length(kept))))
-
-        return F.array_join(F.transform(zipped, piece), "")
+    def piece(hit: Column, i: Column) -> Column:
+        kept = keep(hit) if keep else F.lit("")
+        return F.when(i % 2 == 0, hit).otherwise(F.concat(kept, F.repeat(F.lit(" "), F.length(hit) - F.length(kept))))
 
-    return let(text, lambda value: F.when(has(value, regex), masked(value)).otherwise(value))
+    return let(text, lambda value: F.when(has(value, regex), F.array_join(F.transform(cut(value, regex), piece), "")).otherwise(value))
 
 
 def mask_front(text: Column, n: Column) -> Column:
