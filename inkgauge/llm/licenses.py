@@ -1,13 +1,17 @@
 """Licence scans by a positional index of rare words.
 
-The index holds, for every word of a collection of licence templates, its postings (template, position) and its inverse
-document frequency over the collection. A file is looked up by its rarest licence words: those that are among the ANCHORS
-highest-IDF words of some template. A posting at template position q met at file position p proposes that the template starts
-at p - q; postings that agree on the start (within SLACK words, for reflowed or edited notices) are intersected. A proposal
-is accepted if all the template's mandatory key phrases stand consecutively where it says, and if enough of the template's
-IDF-weighted words lie in place. A notice that is used in two wordings has a template for each, and counts as one label in
-word frequencies and where both are met. The four base phrases are templates that are key phrases as a whole: each of their
-occurrences contains its rarest word, so all places are found.
+1. Document frequencies of the words of all templates, over the whole corpus (a few hundred numbers).
+2. The index holds a word's postings (template, position). Of each template, its ANCHORS words of the highest inverse document
+   frequency are looked up.
+3. A file is read once; its licence words are looked up from the highest inverse document frequency on. A posting at template
+   position q met at file position p says that the template starts at p - q.
+4. The postings of a template's words are intersected by relative position: a start stands if AGREE different words put it there,
+   give or take SLACK words.
+5. At each start that stands the template is laid over the file, word by word, following insertions of up to SLACK words. The
+   proposal is accepted if the mandatory key phrases stand consecutively there, and if COVERAGE of the template's weight is met.
+
+The four base phrases are templates that are key phrases as a whole and are entered by their rarest word: each of their
+occurrences contains it, so all places are found. Wordings of one notice at one place count once, the one that fits best.
 
 Defined cases: a null or empty text has no words, no places, empty labels and score 0; a null doc_id and repeated rows are
 kept; an empty table gives no rows; columns other than doc_id and text are ignored.
@@ -22,95 +26,129 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from inkgauge.llm import common
+from inkgauge.llm.licence_texts import BASE, NOTICES
 
-# Label, the notice's words, mandatory key phrases (none: all of it).
-BASE = (
-    ("gpl", "gnu general public license", ()),
-    ("apache", "apache license", ()),
-    ("cc-by", "cc by", ()),
-    ("mit", "mit license", ()),
-)
-NOTICES = (
-    ("agpl", "licensed under the gnu affero general public license", ("gnu affero general public license",)),
-    ("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
-    ("cc-by-nd", "licensed under cc by nd 4 0", ("cc by nd",)),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
-    ("cc0", "cc0 1 0 universal public domain dedication", ("cc0",)),
-    ("epl", "made available under the terms of the eclipse public license", ("eclipse public license",)),
-    ("gpl-2.0", "licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
-    ("gpl-3.0", "licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee is hereby granted",)),
-    ("lgpl", "licensed under the gnu lesser general public license", ("gnu lesser general public license",)),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("permission is hereby granted free of charge", "in the software without restriction")),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software to deal in the software without restriction", ("permission is hereby granted free of charge", "in the software without restriction")),
-    ("mpl", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
-    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", ("in no event will the authors be held liable",)),
-)
-ANCHORS, SLACK, COVERAGE = 3, 4, 0.5
+ANCHORS, AGREE, SLACK, COVERAGE = 6, 2, 4, 0.5
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+def words_of(text: str) -> list[bytes]:
+    return _WORD.findall(text.encode().lower())
+
+
+class Template:
+    """A notice's words with their weights, key phrases, and the positions by which files are looked up."""
+
+    def __init__(self, label: str, text: str, keys: tuple[str, ...], base: bool, idf: dict[bytes, float]) -> None:
+        self.label, self.base, self.words, self.keys = label, base, words_of(text), [words_of(k) for k in keys]
+        self.weights = [idf[w] for w in self.words]
+        self.whole = sum(self.weights) or 1.0
+        rare = sorted(set(self.words), key=lambda w: (-idf[w], self.words.index(w)))[: 1 if base else ANCHORS]
+        self.anchors = {w: [q for q, x in enumerate(self.words) if x == w] for w in rare}
+        self.agree = min(AGREE, len(rare))
+        #: Words that may move the place where the next ones are expected.
+        self.sure = sorted(self.weights)[len(self.weights) // 2]
+
+    def laid(self, words: list[bytes], start: int) -> tuple[float, int, int]:
+        """Share of the weight that stands in place from start on, and the first and last file position met (none: -1)."""
+        met, drift, first, last = 0.0, start, -1, -1
+        for q, (word, weight) in enumerate(zip(self.words, self.weights)):
+            at = q + drift
+            near = next((p for d in range(SLACK + 1) for p in ((at + d, at - d) if d else (at,)) if last < p < len(words) and p >= 0 and words[p] == word), None)
+            if near is not None:
+                met, first, last = met + weight, near if first < 0 else first, near
+                if weight >= self.sure:
+                    drift = near - q
+        return met / self.whole, first, last
+
+
 class Index:
-    """The positional index of a template collection."""
-
-    def __init__(self, base: tuple = BASE, notices: tuple = NOTICES) -> None:
-        self.templates = [(label, text.encode().split(), [k.encode().split() for k in keys], i < len(base)) for i, (label, text, keys) in enumerate([*base, *notices])]
-        kinds: dict[tuple[str, bool], set[bytes]] = defaultdict(set)  # wordings of one notice together
-        for label, words, _, base_one in self.templates:
-            kinds[label, base_one].update(words)
-        df = Counter(w for words in kinds.values() for w in words)
-        self.idf = {w: math.log((1 + len(kinds)) / n) for w, n in df.items()}
+    """Postings of the templates' rare words; frequencies: how many of n_docs documents hold a word."""
+
+    def __init__(self, frequencies: dict[bytes, int], n_docs: int, base: tuple = BASE, notices: tuple = NOTICES) -> None:
+        self.idf = {w: math.log((2 + n_docs) / (1 + frequencies.get(w, 0))) for w in vocabulary(base, notices)}
+        self.templates = [Template(*x, True, self.idf) for x in base] + [Template(*x, False, self.idf) for x in notices]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, (_, words, _, _) in enumerate(self.templates):
-            rare = sorted(set(words), key=lambda w: (-self.idf[w], words.index(w)))[:ANCHORS]
-            for q, w in enumerate(words):
-                if w in rare:
-                    self.postings[w].append((t, q))
+        for t, template in enumerate(self.templates):
+            for word, places in template.anchors.items():
+                self.postings[word] += [(t, q) for q in places]
+
+    def starts(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
+        """(template, start) that enough of its words agree on, in order."""
+        places: dict[bytes, list[int]] = defaultdict(list)
+        for p, w in enumerate(words):
+            if w in self.postings:
+                places[w].append(p)
+        proposed: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
+        for w in sorted(places, key=lambda w: -self.idf[w]):
+            for t, q in self.postings[w]:
+                proposed[t] += [(p - q, w) for p in places[w]]
+        for t, found in sorted(proposed.items()):
+            template = self.templates[t]
+            if template.base:
+                yield from ((t, s) for s in sorted({s for s, _ in found}))
+                continue
+            found.sort()
+            taken, i = -len(words), 0
+            for k, (start, _) in enumerate(found):
+                while found[i][0] < start - SLACK:
+                    i += 1
+                if start - taken > SLACK and len({w for _, w in found[i : k + 1]}) >= template.agree:
+                    taken = start
+                    yield t, found[i][0]
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[str, int, int, float, bool]], float]:
         """Accepted matches (label, start, end, coverage, base) and the score of a file's words."""
-        met = [p for p, w in enumerate(words) if w in self.postings]
-        if not met:
-            return [], 0.0
-        proposals = {(t, p - q) for p in met for t, q in self.postings[words[p]]}
-        found, best, placed = [], 0.0, {}
-        for t, start in sorted(proposals):
-            label, template, keys, base = self.templates[t]
-            if base:
-                if start >= 0 and words[start : start + len(template)] == template:
-                    found.append((label, start, start + len(template), 1.0, True))
+        found, best, placed = [], 0.0, []
+        for t, start in self.starts(words):
+            template = self.templates[t]
+            if template.base:
+                if start >= 0 and words[start : start + len(template.words)] == template.words:
+                    found.append((template.label, start, start + len(template.words), 1.0, True))
                     best = 1.0
                 continue
-            same = next((placed[label, start + d] for d in range(-SLACK, SLACK + 1) if (label, start + d) in placed), None)
-            if same and same[0] == t:  # the same notice, proposed by another of its words
-                continue
-            lo = max(0, start - SLACK)
-            window = words[lo : start + len(template) + SLACK + 1]
-            there: dict[bytes, list[int]] = defaultdict(list)
-            for k, w in enumerate(window):
-                there[w].append(lo + k - start)
-            whole = sum(self.idf[w] for w in template)
-            covered = sum(self.idf[w] for q, w in enumerate(template) if any(abs(k - q) <= SLACK for k in there.get(w, ()))) / whole
-            if covered >= COVERAGE and all(any(window[k : k + len(key)] == key for k in there_at(window, key[0])) for key in keys):
-                match = (label, max(0, start), min(len(words), start + len(template)), covered, False)
-                if same is None:
-                    found.append(match)
-                    placed[label, start] = t, len(found) - 1
-                elif covered > found[same[1]][3]:  # in another wording, which fits better
-                    found[same[1]] = match
-                best = max(best, covered)
+            covered, first, last = template.laid(words, start)
+            own = words[max(0, first - SLACK) : last + 1 + SLACK]
+            if covered >= COVERAGE and all(_holds(own, key) for key in template.keys):
+                placed.append((template.label, first, last + 1, covered, len(template.words)))
             else:  # without its key phrases a notice is half a hint at most
-                best = max(best, covered / 2)
-        return found, min(1.0, best)
+                best = max(best, min(covered, 1.0) / 2)
+        # wordings of one notice that begin together: the one that fits best, then the longest
+        kept: list[tuple[str, int, int, float, int]] = []
+        for match in sorted(placed, key=lambda m: (-round(m[3], 2), -m[4], m[1])):
+            if not any(match[0].split("-")[0] == k[0].split("-")[0] and match[1] < k[2] and k[1] < match[2] for k in kept):
+                kept.append(match)
+        found += [(label, a, b, min(1.0, covered), False) for label, a, b, covered, _ in sorted(kept, key=lambda m: (m[1], m[0]))]
+        return found, min(1.0, max([best, *(m[3] for m in kept)]))
+
 
+def _holds(words: list[bytes], phrase: list[bytes]) -> bool:
+    return any(w == phrase[0] and words[k : k + len(phrase)] == phrase for k, w in enumerate(words))
 
-def there_at(window: list[bytes], word: bytes) -> list[int]:
-    return [k for k, w in enumerate(window) if w == word]
+
+def vocabulary(base: tuple = BASE, notices: tuple = NOTICES) -> set[bytes]:
+    return {w for row in (*base, *notices) for w in words_of(row[1])}
+
+
+def frequencies(docs: DataFrame) -> tuple[dict[bytes, int], int]:
+    """How many documents hold each word of the templates, and how many documents there are."""
+    wanted = vocabulary()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n = Counter(), 0
+        for batch in batches:
+            n += batch.num_rows
+            for some in common.portions(batch):
+                for text in common.texts(some):
+                    seen.update(wanted.intersection(words_of(text)))
+        yield pa.RecordBatch.from_arrays([pa.array([*seen, b""], pa.binary()), pa.array([*seen.values(), n], pa.int64())], names=["word", "n"])
+
+    counted = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    got = {bytes(r["word"]): r["n"] for r in counted.collect()}  # a row for each word of the templates
+    return got, got.pop(b"", 0)
 
 
 _MATCH = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("coverage", pa.float64()), ("base", pa.bool_())]))
@@ -118,18 +156,20 @@ _MATCH = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("en
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, matches (label, start and end in words, coverage, base) and score of every document."""
+    docs = common.columns(docs, doc_id="long", text="string")
+    known = frequencies(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index()
-        for batch in batches:
-            sizes, matches, scores = [], [], []
-            for text in common.texts(batch):
-                words = _WORD.findall(text.encode().lower())
-                found, score = index.scan(words)
-                sizes.append(len(words))
-                matches.append([dict(zip(("label", "start", "end", "coverage", "base"), m)) for m in found])
-                scores.append(score)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(matches, _MATCH), pa.array(scores, pa.float64())], names=["doc_id", "n_words", "matches", "score"])
+        index = Index(*known)
+        for whole in batches:
+            for batch in common.portions(whole):
+                sizes, matches, scores = [], [], []
+                for text in common.texts(batch):
+                    words = words_of(text)
+                    found, score = index.scan(words)
+                    sizes.append(len(words))
+                    matches.append([dict(zip(("label", "start", "end", "coverage", "base"), m)) for m in found])
+                    scores.append(score)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(matches, _MATCH), pa.array(scores, pa.float64())], names=["doc_id", "n_words", "matches", "score"])
 
-    docs = common.columns(docs, doc_id="long", text="string")
     return docs.mapInArrow(run, "doc_id long, n_words long, matches array<struct<label:string,start:long,end:long,coverage:double,base:boolean>>, score double")
