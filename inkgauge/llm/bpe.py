@@ -2,7 +2,8 @@
 
 The library's encoder costs microseconds a token. Both vocabularies cut a text at white space before they merge, so a text's
 ids are the concatenation of the ids of its white-space separated chunks; each distinct chunk is encoded once by the
-library and remembered. The memory is bounded: a full cache is emptied, and very long chunks are never kept.
+library and remembered. The memory is bounded in bytes: a cache of HELD bytes is emptied, and chunks of more than _LONGEST
+characters (texts without white space, for instance) are encoded for their call alone.
 """
 
 from __future__ import annotations
@@ -14,12 +15,16 @@ from itertools import chain
 
 import numpy as np
 
+from inkgauge.llm import common
+
 #: Characters that Python counts as white space and the tokenizers' patterns don't: such texts go whole through the library.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE_THEN_WORD = re.compile(r"\s*\S+|\s+")
 #: A Latin letter or an ASCII digit before the last character, a comma or full stop: both vocabularies' patterns cut between them.
 _ENDED = re.compile("[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][.,]\\Z")
-_CACHE, _LONGEST = 900_000, 48
+_LONGEST = 48
+#: Bytes of one encoder's memory: ENTRY for a remembered chunk besides its characters, four for an id.
+HELD, ENTRY = 128 << 20, 150
 _encoders: dict[tuple[str, bool, bool], "ChunkEncoder"] = {}
 
 
@@ -48,14 +53,14 @@ class ChunkEncoder:
         self.library.no_padding()
         self.split = _SPACE_THEN_WORD.findall if keeps_space else str.split
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.int32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.sizes = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.used = self.known = self.held = 0
 
     def _learn(self, chunks: list[str]) -> range:
         """Encode new chunks and return their numbers."""
@@ -102,8 +107,6 @@ class ChunkEncoder:
         while chunks > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
 
-    known = 0
-
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the number of ids of each text."""
         gc.disable()  # the many lists here hold no cycles; looking for some costs more than the encoding
@@ -113,9 +116,8 @@ class ChunkEncoder:
             gc.enable()
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > _CACHE:
-            self._clear()
-            self.known = 0
+        if self.held > HELD:
+            self.clear()
         chunks: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
@@ -124,21 +126,37 @@ class ChunkEncoder:
             chunks += got
         get = self.index.get
         numbers = list(map(get, chunks))
+        kept = self.known, self.used
         if None in numbers:
             missing = [i for i, n in enumerate(numbers) if n is None]
-            learnt = self._learn_all({chunks[i] for i in missing})
+            new = {chunks[i] for i in missing}
+            long = [c for c in new if len(c) > _LONGEST]
+            learnt = self._learn_all(new.difference(long))
+            self.index.update(learnt)
+            self.held += ENTRY * len(learnt) + sum(map(len, learnt)) + 4 * (self.used - kept[1])
+            kept = self.known, self.used
+            if long:
+                learnt |= zip(long, self._learn(long))
             for i in missing:
                 numbers[i] = learnt[chunks[i]]
-            self.index.update(learnt if max(map(len, learnt)) <= _LONGEST else {c: n for c, n in learnt.items() if len(c) <= _LONGEST})
         at = np.array(numbers, np.int64)
         flat = self._gather(at)
         edges = np.concatenate([[0], np.cumsum(self.sizes[at])])
         upto = np.concatenate([[0], np.cumsum(counts)])
+        self._forget(*kept)
         return flat, np.diff(edges[upto])
 
+    def _forget(self, known: int, used: int) -> None:
+        """Drop what was encoded for one call; room beyond twice the need goes too."""
+        if self.known > known:
+            self.known, self.used = known, used
+            if len(self.ids) > max(1 << 20, 2 * used):
+                self.ids = self.ids[: max(1 << 16, used)].copy()
+
 
 def encoder(name: str, keeps_space: bool, plain: bool = False) -> ChunkEncoder:
-    """The worker's encoder for a vocabulary; it outlives tasks."""
+    """The worker's encoder for a vocabulary; it outlives tasks, until another operator uses the worker."""
+    common.only_cache("bpe", _encoders.clear)
     if (name, keeps_space, plain) not in _encoders:
         _encoders[name, keeps_space, plain] = ChunkEncoder(name, keeps_space, plain)
     return _encoders[name, keeps_space, plain]

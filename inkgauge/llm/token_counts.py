@@ -42,9 +42,9 @@ def write_flat(docs: DataFrame, folder: str | None = None, vocabulary: str = "by
                     system, local = common.filesystem(path)
                     system.create_dir(local.rsplit("/", 1)[0], recursive=True)
                     out = system.open_output_stream(local)
-                all_texts, ids = common.texts(batch), batch.column("doc_id")
-                for lo, hi in common.spans_of([len(t) for t in all_texts], 1_000_000):
-                    out.write(bpe.encode_with_end(coder, all_texts[lo:hi], separator)[0].astype("<u2").tobytes())
+                ids = batch.column("doc_id")
+                for some in common.portions(batch):
+                    out.write(bpe.encode_with_end(coder, common.texts(some), separator)[0].astype("<u2").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), pa.array([path] * len(ids), pa.string()), pa.array(np.arange(n, n + len(ids))), ids], names=["file", "path", "ordinal", "doc_id"])
                 n += len(ids)
         finally:
@@ -98,4 +98,5 @@ def scan(files: DataFrame, separator: int = 50256, block: int = 1 << 21) -> Data
 def counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", separator: int = 50256, block: int = 1 << 21) -> DataFrame:
     """doc_id, n_tokens of every document, by writing flat files and scanning them."""
     listed = write_flat(docs, None, vocabulary, separator)
-    return listed.select("file", "ordinal", "doc_id").join(scan(listed, separator, block), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    # both sides have a row for each document: neither is ever broadcast
+    return listed.select("file", "ordinal", "doc_id").join(scan(listed, separator, block).hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")

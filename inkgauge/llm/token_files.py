@@ -140,15 +140,15 @@ def write(docs: DataFrame, folder: str | None = None, vocabulary: str = "word_bp
                 system, local = common.filesystem(path)
                 system.create_dir(local.rsplit("/", 1)[0], recursive=True)
                 writer = Writer(path, bits_for(max(coder.vocabulary, end_id + 1)))
-            all_texts, ids = common.texts(batch), batch.column("doc_id").to_pylist()
-            for lo, hi in common.spans_of([len(t) for t in all_texts], 1_000_000):
-                writer.add(ids[lo:hi], *bpe.encode_with_end(coder, all_texts[lo:hi], end_id))
+            for some in common.portions(batch):
+                writer.add(some.column("doc_id").to_pylist(), *bpe.encode_with_end(coder, common.texts(some), end_id))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pylist([{"part": part, "path": path, "n_docs": len(writer.doc_ids), "n_tokens": writer.n_tokens}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    named = common.columns(docs, doc_id="long", text="string").withColumn("tie", F.xxhash64("text"))
-    ranged = named.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    # equal rows of one id may be many: the last key lets ranges cut between them
+    named = common.columns(docs, doc_id="long", text="string").withColumns({"tie": F.xxhash64("text"), "nth": F.monotonically_increasing_id()})
+    ranged = named.repartitionByRange("doc_id", "tie", "nth").sortWithinPartitions("doc_id", "tie", "nth").select("doc_id", "text")
     manifest = common.table(ranged.mapInArrow(encode, _FILES), "token-manifest")
     files, base, rows = sorted(manifest.collect()), 0, []  # a row for each file, bounded by the number of partitions
     for f in files:
