@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from inkgauge.llm import common
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node sends its larger neighbours to the smallest of its neighbourhood. Minima are reduced before the shuffle; the join that spreads them can be split when a node is hot."""
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    """Each node sends its larger neighbours to the smallest of its neighbourhood. Minima are reduced before the shuffle; a hub's one is sent to its edges."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("copies"))
+    met = common.join_hot(both.where("b > a"), least, "a", "copies", 2 * n)
+    return met.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Each node sends its smaller neighbours and itself to the smallest of them. Here a is the larger end of every edge."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    met = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("copies"))
+    met = common.join_hot(edges, least, "a", "copies", n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     return met.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -33,7 +34,9 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     sign = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h"))
     mark = now.agg(sign.alias("s")).first().s
     while mark.n:
-        fresh = common.table(_small_star(_large_star(now)), name)
+        large = common.table(_large_star(now, mark.n), name)
+        fresh = common.table(_small_star(large, large.count()), name)
+        common.drop(large)
         common.drop(now)
         was, now = mark, fresh
         mark = now.agg(sign.alias("s")).first().s

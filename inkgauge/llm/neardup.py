@@ -12,7 +12,8 @@
 
 A bucket or cluster of any size is cut into blocks of a fixed size, and each pair of blocks is a task's unit: no task holds an
 unbounded group, no pair leaves a task but as one of at most n - 1 tree edges, and no pair is skipped. Sets of texts outside
-any cluster are never shuffled: a filter of fixed size (FILTER_BITS) lets the second scan pass on the members alone.
+any cluster are hardly ever shuffled: a filter of eight bits a member, 2^FILTER_BITS at most, lets the second scan pass on the
+members. Keys that hold more than a thousandth of a join's rows are joined by broadcast, so they stay spread.
 
 Defined cases: null or empty texts have no shingles and are linked with nothing; a text of fewer than k words is one shingle of
 all its words; repeated rows are linked like other copies; rows of one doc_id are told apart by their text; a null doc_id sorts
@@ -38,7 +39,7 @@ MINIMA = BANDS * ROWS
 SIGNATURE_PERCENT = 60
 #: Members of a bucket's block, and shingles of a cluster's block.
 BUCKET_BLOCK, CLUSTER_BLOCK = 4096, 1_500_000
-FILTER_BITS = 27
+FILTER_BITS = 30
 #: Words of a shingle where the caller doesn't say.
 WIDTH = 4
 
@@ -116,31 +117,32 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-_SIGNED = "row long, doc_id long, n int, sk binary, keys array<long>, sig binary"
+_SIGNED = "row long, doc_id long, th long, n int, sk binary, keys array<long>, sig binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    common.only_cache("neardup", _words.clear)
     row = TaskContext.get().partitionId() << 33
-    for batch in batches:
-        all_texts, ids = common.texts(batch), batch.column("doc_id")
-        for lo, hi in common.spans_of([len(t) for t in all_texts], 250_000):
-            sets = [shingle_set(t, k) for t in all_texts[lo:hi]]
+    for whole in batches:
+        for batch in common.portions(whole, 250_000):
+            sets = [shingle_set(t, k) for t in common.texts(batch)]
             full = [i for i, s in enumerate(sets) if len(s)]
             sig = minima([sets[i] for i in full]) if full else np.zeros((0, MINIMA), np.uint32)
             keys, small = band_keys(sig).tolist(), (sig >> np.uint32(7)).astype(np.uint8)
             at = {i: n for n, i in enumerate(full)}
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(row, row + hi - lo)),
-                    ids.slice(lo, hi - lo),
+                    pa.array(np.arange(row, row + batch.num_rows)),
+                    batch.column("doc_id"),
+                    batch.column("th"),
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.array([_set_key(s) for s in sets], pa.binary()),
-                    pa.array([keys[at[i]] if i in at else None for i in range(hi - lo)], pa.list_(pa.int64())),
-                    pa.array([small[at[i]].tobytes() if i in at else None for i in range(hi - lo)], pa.binary()),
+                    pa.array([keys[at[i]] if i in at else None for i in range(len(sets))], pa.list_(pa.int64())),
+                    pa.array([small[at[i]].tobytes() if i in at else None for i in range(len(sets))], pa.binary()),
                 ],
-                names=["row", "doc_id", "n", "sk", "keys", "sig"],
+                names=["row", "doc_id", "th", "n", "sk", "keys", "sig"],
             )
-            row += hi - lo
+            row += batch.num_rows
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -228,6 +230,7 @@ def links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 def _confirm(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Full-set confirmation inside clusters."""
+    common.only_cache("neardup", _words.clear)
     for rows, starts in _whole_groups(batches, ["cluster", "i", "j"]):
         ends = np.append(starts[1:], rows.num_rows)
         a, b = [], []
@@ -253,57 +256,71 @@ def _blocks(df: DataFrame, by: str, n_blocks: Column) -> DataFrame:
     return rows.drop("own", "other", "n_blocks").repartition(by, "i", "j").sortWithinPartitions(by, "i", "j")
 
 
-def _members_only(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """doc_id, text of the documents whose doc_id may be among the members: a one-hash Bloom filter of 2^FILTER_BITS bits, whatever the data."""
-    words = 1 << (FILTER_BITS - 6)
+def _members_only(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """id, no, th, text of the documents whose doc_id may be among n members, by a one-hash Bloom filter; equal rows of a partition once."""
+    bits_in_all = min(FILTER_BITS, max(20, (8 * n).bit_length()))
+    words = 1 << (bits_in_all - 6)
     h = F.xxhash64("doc_id")
-    word, bit = F.pmod(h, F.lit(words)), F.pmod(F.shiftright(h, FILTER_BITS - 6), F.lit(64)).cast("int")
+    word, bit = F.pmod(h, F.lit(words)), F.pmod(F.shiftright(h, bits_in_all - 6), F.lit(64)).cast("int")
     set_bits = members.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     bits = np.zeros(words, np.int64)
     bits[set_bits.column("word").to_numpy()] = set_bits.column("bits").to_numpy()
-    sent = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))  # 16 MB, a fixed size
+    sent = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))  # 2^FILTER_BITS bits at most: 128 MB
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int | None, int]] = set()
         for batch in batches:
             w, b = batch.column("word").to_numpy(), batch.column("bit").to_numpy()
-            mask = (sent.value[w] >> b.astype(np.uint64)) & _U(1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], names=["doc_id", "text"]).filter(pa.array(mask.astype(bool)))
+            mask = ((sent.value[w] >> b.astype(np.uint64)) & _U(1)).astype(bool)
+            at = np.flatnonzero(mask)
+            own = zip(batch.column("doc_id").take(pa.array(at)).to_pylist(), batch.column("th").take(pa.array(at)).to_pylist())
+            for i, key in zip(at.tolist(), own):
+                mask[i] = key not in seen
+                seen.add(key)
+            yield batch.select(["doc_id", "th", "text"]).filter(pa.array(mask))
 
-    return docs.select("doc_id", "text", word.alias("word"), bit.alias("bit")).mapInArrow(keep, "doc_id long, text string")
+    found = docs.withColumns({"word": word, "bit": bit}).mapInArrow(keep, "doc_id long, th long, text string")
+    return found.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.col("doc_id").isNull().alias("no"), "th", "text")
 
 
 def groups(docs: DataFrame, k: int = WIDTH) -> DataFrame:
     """row, doc_id, n_shingles, sk (the set's key), component_id and keeper (exactly one row of each component) for every document."""
-    docs = common.columns(docs, doc_id="long", text="string")
+    docs = common.columns(docs, doc_id="long", text="string").withColumn("th", F.xxhash64("text"))
     signed = common.table(docs.mapInArrow(lambda batches: _sign(batches, k), _SIGNED), "neardup-signed")
-    rank = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")
+    rank = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row", "th")
     nodes = signed.where("sk is not null").groupBy("sk").agg(F.min("row").alias("node"), F.min(rank).alias("best"), F.count("*").alias("copies"))
     nodes = common.table(nodes, "neardup-nodes")
     one = signed.select("row", "n", "keys", "sig").join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
     one = common.table(one.withColumnRenamed("row", "node"), "neardup-one")
 
     member = one.select("node", F.explode("keys").alias("key"))
-    shared = member.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = member.join(shared, "key").join(one.select("node", "sig"), "node")
+    shared = member.groupBy("key").agg(F.count("*").alias("members"), F.count("*").alias("copies")).where("members > 1")
+    shared = common.join_hot(member, shared, "key", "copies", BANDS * one.count()).join(one.select("node", "sig"), "node")
     candidates = _blocks(shared, "key", F.ceil(F.col("members") / BUCKET_BLOCK)).select("key", "i", "j", "node", "sig").mapInArrow(_verify, "a long, b long")
     cluster = common.table(connected(candidates, "neardup-clusters"), "neardup-cluster")
 
-    inside = cluster.join(nodes.select("node", "sk", F.col("best.doc_id").alias("doc_id")), "node").join(one.select("node", "n"), "node")
-    inside = common.table(inside, "neardup-inside")
-    weight = inside.groupBy("root").agg(F.sum("n").alias("weight"))
-    inside = inside.join(weight, "root").withColumnRenamed("root", "cluster").withColumn("id", F.coalesce("doc_id", F.lit(0).cast("long"))).withColumn("no", F.col("doc_id").isNull())
-    text = _members_only(docs, inside.select("doc_id")).withColumn("id", F.coalesce("doc_id", F.lit(0).cast("long"))).withColumn("no", F.col("doc_id").isNull()).drop("doc_id")
-    met = text.join(inside.drop("doc_id").hint("shuffle_hash"), ["id", "no"]).select("cluster", "node", "sk", "text", "weight")
+    best = nodes.select("node", "sk", F.col("best.doc_id").alias("doc_id"), F.col("best.th").alias("th"))
+    inside = common.table(cluster.join(best, "node").join(one.select("node", "n"), "node"), "neardup-inside")
+    weight = inside.groupBy("root").agg(F.sum("n").alias("weight"), F.count("*").alias("copies"))
+    n_inside = inside.count()
+    text = _members_only(docs, inside.select("doc_id"), n_inside)
+    inside = common.join_hot(inside, weight, "root", "copies", n_inside).withColumnRenamed("root", "cluster")
+    inside = inside.withColumn("id", F.coalesce("doc_id", F.lit(0).cast("long"))).withColumn("no", F.col("doc_id").isNull()).drop("doc_id")
+    # a node is known by its best row's id and text, so rows of one id meet their own nodes alone
+    met = text.join(inside.hint("merge"), ["id", "no", "th"]).select("cluster", "node", "sk", "text", "weight")
     confirmed = _blocks(met, "cluster", F.ceil(F.col("weight") / CLUSTER_BLOCK)).select("cluster", "i", "j", "node", "sk", "text").mapInArrow(lambda batches: _confirm(batches, k), "a long, b long")
     found = connected(confirmed, "neardup-links")
 
     # nodes of a component, and nodes that stand for several rows; all other rows are alone
-    labelled = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = labelled.groupBy("root").agg(F.min("best").alias("chosen"), F.count("*").alias("n"))
-    named = labelled.join(best.where("n > 1"), "root", "left").where("copies > 1 or n > 1").select("sk", F.coalesce("chosen", "best").alias("chosen"))
-    rows = signed.select("row", "doc_id", F.col("n").cast("long").alias("n_shingles"), "sk").join(named, "sk", "left")
+    labelled = common.table(nodes.join(found, "node", "left").select("sk", "best", "copies", F.coalesce("root", "node").alias("root")), "neardup-labelled")
+    chosen = labelled.groupBy("root").agg(F.min("best").alias("chosen"), F.count("*").alias("n")).where("n > 1")
+    named = common.join_hot(labelled, chosen, "root", "n", labelled.count(), "left").where("copies > 1 or chosen is not null")
+    named = named.select("sk", F.coalesce("chosen", "best").alias("chosen"), "copies")
+    rows = signed.select("row", "doc_id", F.col("n").cast("long").alias("n_shingles"), "sk")
+    joined = common.join_hot(rows.where("sk is not null"), named, "sk", "copies", signed.count(), "left")
+    joined = joined.unionByName(rows.where("sk is null"), allowMissingColumns=True)
     alone = F.col("chosen").isNull()
-    return rows.select("row", "doc_id", "n_shingles", "sk", F.when(alone, F.col("doc_id")).otherwise(F.col("chosen.doc_id")).alias("component_id"), (alone | (F.col("chosen.row") == F.col("row"))).alias("keeper"))
+    return joined.select("row", "doc_id", "n_shingles", "sk", F.when(alone, F.col("doc_id")).otherwise(F.col("chosen.doc_id")).alias("component_id"), (alone | (F.col("chosen.row") == F.col("row"))).alias("keeper"))
 
 
 def dedupe(docs: DataFrame, k: int = WIDTH) -> DataFrame:
@@ -311,30 +328,31 @@ def dedupe(docs: DataFrame, k: int = WIDTH) -> DataFrame:
     decided = common.table(groups(docs, k), "neardup-decided")
     by_id = decided.groupBy("doc_id").agg(F.bool_and("keeper").alias("all_stay"), F.count_if("keeper").alias("stay"))
     some = common.table(by_id.where("not all_stay"), "neardup-leaving")
-    leaving = some.count()
-    some = common.small(some, leaving)
     staying = docs.join(some, docs["doc_id"].eqNullSafe(some["doc_id"]), "left_anti")
-    again = common.small(some.where("stay > 0").select("doc_id"), leaving)
+    again = some.where("stay > 0").select("doc_id")
     if again.isEmpty():
         return staying
     # ids that belong to several rows, some of which stay: told apart by their texts
     mixed = docs.join(again, docs["doc_id"].eqNullSafe(again["doc_id"]), "left_semi")
-    verdicts = decided.join(again.withColumnRenamed("doc_id", "_id"), decided["doc_id"].eqNullSafe(F.col("_id")), "left_semi").where("keeper").select("doc_id", "sk").distinct()
+    verdicts = decided.join(again.withColumnRenamed("doc_id", "own_id"), decided["doc_id"].eqNullSafe(F.col("own_id")), "left_semi").where("keeper").select("doc_id", "sk").distinct()
     return staying.unionByName(_of_repeated(mixed, verdicts, k))
 
 
 def _of_repeated(docs: DataFrame, verdicts: DataFrame, k: int) -> DataFrame:
     """The rows of docs, whose ids repeat, that verdicts (doc_id and sk of the keepers) keep: one of a doc_id and sk, or all where a text has no shingles."""
-    numbered = common.table(docs.withColumn("_own", F.monotonically_increasing_id()), "neardup-repeated")
-    known = common.table(common.columns(numbered, _own="long", doc_id="long", text="string").mapInArrow(lambda batches: _set_keys(batches, k), "_own long, doc_id long, sk binary"), "neardup-repeated-keys")
-    names = verdicts.select(F.col("doc_id").alias("_id"), F.col("sk").alias("_sk"))
-    kept = known.join(names, known["doc_id"].eqNullSafe(F.col("_id")) & known["sk"].eqNullSafe(F.col("_sk")), "left_semi")
+    whole = docs.select(F.monotonically_increasing_id().alias("own"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
+    numbered = common.table(whole, "neardup-repeated")
+    known = numbered.select("own", F.col("whole.doc_id").cast("long").alias("doc_id"), F.col("whole.text").cast("string").alias("text"))
+    known = common.table(known.mapInArrow(lambda batches: _set_keys(batches, k), "own long, doc_id long, sk binary"), "neardup-repeated-keys")
+    names = verdicts.select(F.col("doc_id").alias("own_id"), F.col("sk").alias("own_sk"))
+    kept = known.join(names, known["doc_id"].eqNullSafe(F.col("own_id")) & known["sk"].eqNullSafe(F.col("own_sk")), "left_semi")
     # a whole set of one id has one keeper at most: equal sets are one node
-    first = kept.where("sk is not null").groupBy("doc_id", "sk").agg(F.min("_own").alias("_own")).select("_own")
-    return numbered.join(first.union(kept.where("sk is null").select("_own")), "_own", "left_semi").drop("_own")
+    first = kept.where("sk is not null").groupBy("doc_id", "sk").agg(F.min("own").alias("own")).select("own")
+    return numbered.join(first.union(kept.where("sk is null").select("own")), "own", "left_semi").select("whole.*")
 
 
 def _set_keys(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = [_set_key(shingle_set(t, k)) for t in common.texts(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column("_own"), batch.column("doc_id"), pa.array(keys, pa.binary())], names=["_own", "doc_id", "sk"])
+    for whole in batches:
+        for batch in common.portions(whole):
+            keys = [_set_key(shingle_set(t, k)) for t in common.texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("doc_id"), pa.array(keys, pa.binary())], names=["own", "doc_id", "sk"])
