@@ -108,12 +108,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     docs, labels = common.columns(docs, doc_id="long", text="string"), common.columns(labels, doc_id="long", quality="int")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([statistics(t) for t in common.texts(batch)], pa.list_(pa.float64()))], names=["doc_id", "x"])
-
-    known = labels.where("quality in (0, 1) and doc_id is not null").where(~common.held_out(F.col("doc_id")))
-    vectors = docs.where(F.col("doc_id").isNotNull() & ~common.held_out(F.col("doc_id"))).mapInArrow(measure, "doc_id long, x array<double>")
-    rows = common.table(vectors.join(known, "doc_id").select("doc_id", F.col("quality").alias("y"), "x"), "quality-rows")
+        for whole in batches:
+            for batch in common.portions(whole):
+                x = pa.array([statistics(t) for t in common.texts(batch)], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), x], names=["doc_id", "x"])
+
+    known = labels.where("quality in (0, 1) and doc_id is not null").where(~common.held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("y"))
+    known = common.table(known, "quality-labels")
+    may = docs.where(F.col("doc_id").isNotNull() & ~common.held_out(F.col("doc_id")))
+    # few ids go to the texts, so only labelled ones are measured; else all are, and the short vectors go to the labels
+    wanted = common.checked_broadcast(known)
+    if wanted is not known:
+        may = may.join(wanted.select("doc_id").hint("broadcast"), "doc_id", "left_semi")
+    vectors = may.mapInArrow(measure, "doc_id long, x array<double>")
+    rows = common.table(vectors.join(wanted, "doc_id").select("doc_id", "y", "x"), "quality-rows")
+    common.drop(known)
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 + N_FEATURES, 1 + N_FEATURES))
@@ -161,6 +170,6 @@ def score(text: Column, model: Model | None) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         if not len(texts):
             return pd.Series([], dtype="float64")
-        return pd.Series(model.score(np.array([statistics(t or "") for t in texts])))
+        return pd.Series(model.score(np.array([statistics(t) for t in texts])))
 
     return run(F.coalesce(text, F.lit("")))
