@@ -57,10 +57,9 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.columns(_read(spark, sf_dir, "documents"), doc_id="long", text="string")
-    model = toxicity.fit(docs, _read(spark, sf_dir, "labels"))
-    scored = docs.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+    model, votes = toxicity.fit_votes(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    scored = toxicity.score_votes(votes, model)
+    return scored.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

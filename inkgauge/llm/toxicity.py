@@ -1,25 +1,28 @@
 """Toxicity by weak supervision.
 
-1. Voters: a fixed lexicon of insults, and words and word beginnings that the labelled rows of the learning fold show far more
-   often in toxic texts. A voter votes for toxic where it is at least one word in RATE and abstains elsewhere; one voter speaks against where no
-   other speaks at all.
-2. A generative label model over the votes of labelled and unlabelled rows: EM estimates each voter's rates in both classes
-   and the class balance, known labels being one more voter of high accuracy. Voters that agree beyond what the class explains
-   (residual correlations) share one vote: a voter's log-likelihood is divided by one plus its positive correlations.
+1. Voters: a fixed lexicon of insults; patterns of attack, shouting and dismissal; and words and word beginnings that the labelled
+   rows of the learning fold show far more often in toxic texts. A voter votes for toxic where it is at least one word in RATE and
+   abstains elsewhere; one voter speaks against where no other speaks at all.
+2. A generative label model over the votes of all rows outside the held-out fold, labelled or not: EM estimates each voter's rates
+   in both classes and the class balance; the known labels are one more voter whose accuracy is estimated with the others. Voters that
+   agree beyond what the class explains (residual correlations) share one vote: a voter's log-likelihood is divided by one plus
+   its positive correlations. Rows of equal votes are counted together, and every sum is Spark's; the driver sees a number for each
+   voter and pair of voters. Unlabelled rows weigh together as much as the labelled ones at most.
 3. A linear (logistic) classifier on the voters' counts and densities, trained on the model's posterior labels. It alone scores.
 
-Fitted on samples of a documented bound: MAX_LABELLED labelled and MAX_UNLABELLED other rows, by their ids' hashes.
+Words and the classifier are learnt from at most MAX_LABELLED labelled rows, chosen by their ids' hashes. A learnt voter must bear
+VOTER_SHARE of all evidence (its count times its lift, over the words of toxic rows), so there are at most some hundreds.
 
 Defined cases: a null or empty text gets the score of a text without any vote; labels other than 0 and 1, held-out rows and null
-ids teach nothing; without any toxic label the fixed lexicon alone votes and the score is its density's; an empty table gives
-no rows.
+ids teach nothing; of rows that share an id the least text teaches, and an id with both labels is toxic; without any toxic or any
+other label the fixed voters alone vote and the score is their density's; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,9 +33,11 @@ from pyspark.sql import functions as F
 
 from inkgauge.llm import common
 
-MAX_LABELLED, MAX_UNLABELLED, MAX_VOTERS = 20_000, 5_000, 300
+MAX_LABELLED, VOTER_SHARE = 20_000, 0.001
 SHORTEST, LONGEST = 4, 8  # of word beginnings
-LABEL_ACCURACY = 0.97
+#: The labels' accuracy: at first, at least and at most.
+ACCURACY = (0.9995, 0.9, 0.9998)
+ROUNDS, CORRELATED_AT = 12, (3, 7)
 CORRELATED = 0.4  # least residual correlation of voters that share a vote
 #: Inputs of the classifier besides the voters; words of a text that one vote needs.
 EXTRA, RATE = 6, 250
@@ -41,7 +46,15 @@ LEXICON = (
     "clown", "disgusting", "dumb", "filth", "fool", "garbage", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "shut", "stupid", "trash", "ugly", "vermin", "worthless",
     "dummkopf", "abschaum", "crétin", "imbécile", "estúpido", "basura",
 )
+#: name, pattern over the lower-cased text or (True) the text as it is.
+PATTERNS = (
+    ("attack", r"\b(?:you|u|your|du|tu|vous|eres)\b[^.!?\n]{0,24}\b(?:" + "|".join(LEXICON) + r")", False),
+    ("dismissal", r"\b(?:shut up|get lost|go away|go to hell|nobody (?:likes|wants) you|hate you|halt die klappe|ferme-la|cállate)\b", False),
+    ("shouting", r"[!?]{2,}", False),
+    ("capitals", r"\b[A-Z]{4,}\W+[A-Z]{4,}\b", True),
+)
 _WORD = re.compile(r"[^\W\d_]+")
+_PATTERNS = tuple((f"~{name}", re.compile(p), as_is) for name, p, as_is in PATTERNS)
 
 
 def words_of(text: str) -> list[str]:
@@ -75,7 +88,8 @@ class Voters:
         """How often each voter occurs; how many words have a vote, and their lifts' sum; the number of words. Words are remembered, up to a bound."""
         if not self.number:
             self.number.update((s, i) for i, s in enumerate(self.signs))
-        words, found = words_of(text), Counter()
+        lower, found = text.lower(), Counter()
+        words = _WORD.findall(lower)
         votes = list(map(self.seen.get, words))
         if None in votes:
             if len(self.seen) > 400_000:
@@ -88,11 +102,17 @@ class Voters:
             found.update(v[0])
             voting += 1
             lift += v[1]
+        for name, pattern, as_is in _PATTERNS:
+            n = len(pattern.findall(text if as_is else lower))
+            if n:
+                found[self.number[name]] = n
         return found, voting, lift, len(words)
 
     def vector(self, text: str) -> np.ndarray:
         """The classifier's inputs: for each voter log(1 + its count in 200 words), then shares of voting words, their weight, distinct voters and length."""
-        found, voting, lift, n = self.counts(text)
+        return self.dense(*self.counts(text))
+
+    def dense(self, found: dict[int, int], voting: int, lift: float, n: int) -> np.ndarray:
         x = np.zeros(len(self.signs) + EXTRA)
         for j, c in found.items():
             x[j] = np.log1p(200 * c / max(n, 50))
@@ -106,10 +126,9 @@ def induce(rows: DataFrame) -> Voters:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_texts, y = common.texts(batch), batch.column("y").to_pylist()
-            for lo, hi in common.spans_of([len(t) for t in all_texts], 1_000_000):
+            for some in common.portions(batch):
                 docs, pos, neg = Counter(), Counter(), Counter()
-                for text, label in zip(all_texts[lo:hi], y[lo:hi]):
+                for text, label in zip(common.texts(some), some.column("y").to_pylist()):
                     own = Counter()
                     for word, n in Counter(words_of(text)).items():
                         own[""] += n  # all words
@@ -123,37 +142,99 @@ def induce(rows: DataFrame) -> Voters:
 
     summed = common.table(rows.mapInArrow(count, "sign string, docs long, pos long, neg long").groupBy("sign").agg(*(F.sum(c).alias(c) for c in ("docs", "pos", "neg"))), "toxicity-signs")
     total = summed.where("sign = ''").first()
-    fixed = {f"={w}": 3.0 for w in LEXICON}
+    fixed = {**{f"={w}": 3.0 for w in LEXICON}, **{name: 1.0 for name, _, _ in _PATTERNS}}
     if total is not None and total["pos"] and total["neg"]:
         lift = F.log((F.col("pos") + 0.5) / total["pos"]) - F.log((F.col("neg") + 0.5) / total["neg"])
         strong = summed.where("sign <> ''").where((F.col("docs") >= max(4, 0.002 * total["docs"])) & (lift >= np.log(6.0)))
-        strong = strong.select("sign", lift.alias("lift")).orderBy((F.col("pos") * F.col("lift")).desc(), "sign").limit(MAX_VOTERS).collect()
+        # a word has six signs at most, so fewer than 6 * lift / VOTER_SHARE can bear this share
+        strong = strong.select("sign", lift.alias("lift"), "pos").where(F.col("pos") * F.col("lift") >= VOTER_SHARE * total["pos"]).orderBy("sign").collect()
         fixed |= {r["sign"]: r["lift"] for r in strong}
     common.drop(summed)
     return Voters(list(fixed), list(fixed.values()))
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Posterior of toxic for each row of votes (0/1 by voter), by EM. gold: 0, 1 or -1 for unknown."""
-    known = gold >= 0
-    q = np.where(known, np.where(gold == 1, LABEL_ACCURACY, 1 - LABEL_ACCURACY), np.where(votes.sum(1) > 0, 0.3, 0.02))
-    v = np.concatenate([votes, (votes.sum(1, keepdims=True) == 0)], 1).astype(float)
-    share, trust = np.ones(v.shape[1]), np.where(known, 1.0, 0.25)
-    for k in range(rounds):
-        one, zero = trust * q, trust * (1 - q)
-        pos, neg = one.sum() + 1, zero.sum() + 1
-        rate1, rate0 = (one @ v + 0.3) / (pos + 0.6), (zero @ v + 0.3) / (neg + 0.6)
-        if k in (3, 10):  # correlations that the classes leave unexplained
-            rest = v - q[:, None] * rate1 - (1 - q)[:, None] * rate0
-            cov = rest.T @ rest / len(v)
+@dataclass
+class LabelModel:
+    """Rates of the voters (the last one: silence) in both classes, their shares of a vote, the class balance and the labels' accuracy."""
+
+    rate1: np.ndarray
+    rate0: np.ndarray
+    share: np.ndarray
+    balance: float
+    accuracy: float
+
+    def posterior(self, votes: list[np.ndarray], gold: np.ndarray) -> np.ndarray:
+        """Probability of toxic for each row of voter numbers; gold is 1, 0 or -1 for unknown. An absent voter abstains."""
+        weight = self.share * (np.log(self.rate1) - np.log(self.rate0))
+        logit = np.log(self.balance / (1 - self.balance)) + np.array([weight[v].sum() for v in votes])
+        logit += np.where(gold < 0, 0.0, np.where(gold == 1, 1, -1) * np.log(self.accuracy / (1 - self.accuracy)))
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
+_SUMS = "at long, value double"
+
+
+def _sums(rows: DataFrame, width: int, value: Callable[[list[np.ndarray], np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over rows (votes, y, weight) of an array that value makes of each batch; added up by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for batch in batches:
+            votes = [np.array(v, np.int64) for v in batch.column("votes").to_pylist()]
+            total += value(votes, batch.column("y").to_numpy(), batch.column("weight").to_numpy())
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "value"])
+
+    out = np.zeros(width)
+    for r in rows.select("votes", "y", "weight").mapInArrow(run, _SUMS).groupBy("at").agg(F.sum("value").alias("value")).collect():  # width rows at most
+        out[r["at"]] = r["value"]
+    return out
+
+
+def label_model(rows: DataFrame, n_voters: int) -> LabelModel:
+    """The label model of rows: votes (voter numbers; n_voters alone where none speaks), y (0, 1 or -1) and weight."""
+    n = n_voters + 1
+
+    def flat(votes: list[np.ndarray], w: np.ndarray) -> np.ndarray:
+        return np.bincount(np.concatenate([np.zeros(0, np.int64), *votes]), np.repeat(w, [len(v) for v in votes]), n)
+
+    def pairs(votes: list[np.ndarray], y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        v = np.zeros((len(votes), n))
+        for i, own in enumerate(votes):
+            v[i, own] = 1
+        return ((v * w[:, None]).T @ v).ravel()
+
+    both = _sums(rows, n * n, pairs).reshape(n, n)
+    first, low, high = ACCURACY
+    model = LabelModel(np.full(n, 0.3), np.full(n, 0.02), np.zeros(n), 0.5, first)
+    start = np.zeros(n)
+    start[n_voters] = 1  # before the first round a row is judged by its label, else by whether any voter speaks
+
+    def guess(votes: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+        return np.where(y >= 0, np.where(y == 1, first, 1 - first), [0.02 if start[v].any() else 0.3 for v in votes])
+
+    for k in range(ROUNDS):
+        now = (lambda v, y: guess(v, y)) if k == 0 else model.posterior
+
+        def of(votes: list[np.ndarray], y: np.ndarray, w: np.ndarray, now=now) -> np.ndarray:
+            q = now(votes, y)
+            known, right = w * (y >= 0), np.where(y == 1, q, 1 - q)
+            return np.concatenate([flat(votes, w * q), flat(votes, w * (1 - q)), [(w * q).sum(), (w * (1 - q)).sum(), (w * q * q).sum(), (w * q * (1 - q)).sum(), (w * (1 - q) ** 2).sum(), known.sum(), (known * right).sum()]])
+
+        got = _sums(rows, 2 * n + 7, of)
+        with1, with0 = got[:n], got[n : 2 * n]
+        pos, neg, qq, qp, pp, known, right = got[2 * n :]
+        rate1, rate0 = (with1 + 0.3) / (pos + 1.6), (with0 + 0.3) / (neg + 1.6)
+        share = model.share if k else np.ones(n)
+        if k in CORRELATED_AT:  # covariance that the classes leave unexplained
+            mixed = np.outer(with1, rate1) + np.outer(with0, rate0)
+            cov = both - mixed - mixed.T + qq * np.outer(rate1, rate1) + qp * (np.outer(rate1, rate0) + np.outer(rate0, rate1)) + pp * np.outer(rate0, rate0)
             dev = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            rho = cov / np.outer(dev, dev) - np.eye(len(dev))
+            rho = cov / np.outer(dev, dev) - np.eye(n)
             share = 1 / (1 + np.where(rho >= CORRELATED, rho, 0).sum(1))
-        # an absent voter abstains; silence has a voter of its own
-        logit = np.log(pos / neg) + v @ (share * (np.log(rate1) - np.log(rate0)))
-        logit += np.where(known, np.where(gold == 1, 1, -1) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY)) * 2, 0)
-        q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return q
+        accuracy = min(high, max(low, right / known)) if known else first
+        model = LabelModel(rate1, rate0, share, (pos + 1) / (pos + neg + 2), accuracy)
+    return model
 
 
 def logistic(x: np.ndarray, q: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -174,38 +255,91 @@ class Model:
     weights: np.ndarray
 
     def score(self, texts: list[str]) -> np.ndarray:
-        x = np.array([self.voters.vector(t) for t in texts]).reshape(len(texts), -1)
+        return self.of(np.array([self.voters.vector(t) for t in texts]).reshape(len(texts), -1))
+
+    def of(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -60, 60)))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """The classifier of labels.toxic, from the rows that may be learnt from and a sample of unlabelled ones."""
+_COUNTS = "doc_id long, found array<struct<j:int,c:int>>, votes array<int>, voting long, lift double, n long"
+
+
+def votes_of(docs: DataFrame, voters: Voters) -> DataFrame:
+    """A row for each document: its voters with their counts, the numbers of those that vote (the number of all where none does), and the sums that the classifier needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in common.portions(whole):
+                rows = []
+                for text in common.texts(batch):
+                    found, voting, lift, n = voters.counts(text)
+                    least = max(n, 50) / RATE
+                    own = sorted(found.items())
+                    rows.append(([{"j": j, "c": c} for j, c in own], [j for j, c in own if c >= least] or [len(voters.signs)], voting, lift, n))
+                made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.list_(pa.struct([("j", pa.int32()), ("c", pa.int32())])), pa.list_(pa.int32()), pa.int64(), pa.float64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names=["doc_id", "found", "votes", "voting", "lift", "n"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, _COUNTS)
+
+
+def _vectors(batch: pa.RecordBatch, voters: Voters) -> np.ndarray:
+    """The classifier's inputs of rows of votes_of()."""
+    rows = zip(*(batch.column(c).to_pylist() for c in ("found", "voting", "lift", "n")))
+    return np.array([voters.dense({x["j"]: x["c"] for x in found}, voting, lift, n) for found, voting, lift, n in rows]).reshape(batch.num_rows, -1)
+
+
+def fit_votes(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
+    """The classifier of labels.toxic and the votes of all documents, as a table in the shared folder."""
     docs, labels = common.columns(docs, doc_id="long", text="string"), common.columns(labels, doc_id="long", toxic="int")
-    known = labels.where("doc_id is not null")
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    taught = known.where("toxic in (0, 1)").where(~common.held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("y")).orderBy(*order).limit(MAX_LABELLED)
-    other = docs.select("doc_id").where("doc_id is not null").where(~common.held_out(F.col("doc_id"))).distinct().join(known, "doc_id", "left_anti").orderBy(*order).limit(MAX_UNLABELLED)
-    chosen = common.table(taught.unionByName(other.select("doc_id", F.lit(-1).alias("y"))), "toxicity-ids")
-    # at most MAX_LABELLED + MAX_UNLABELLED ids
-    sample = common.table(docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).repartition(8), "toxicity-sample")
-    voters = induce(sample.where("y >= 0"))
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = labels.where("doc_id is not null and toxic in (0, 1)").where(~common.held_out(F.col("doc_id")))
+    taught = known.groupBy("doc_id").agg(F.max("toxic").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    taught = F.broadcast(common.table(taught, "toxicity-ids"))  # at most MAX_LABELLED ids
+    sample = common.table(docs.join(taught, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")), "toxicity-sample")
+    voters = induce(sample)
+    votes = common.table(votes_of(docs, voters), "toxicity-votes")
+    width = len(voters.signs) + EXTRA
+    here = {r["y"] for r in sample.select("y").distinct().collect()}
+    if here != {0, 1}:
+        return Model(voters, np.concatenate([np.zeros(width - EXTRA), [4.0, 0, 0, 0, 0, 0, -2.0]])), votes
+    counted = votes.where(F.col("doc_id").isNotNull() & ~common.held_out(F.col("doc_id"))).join(taught, "doc_id", "left").groupBy("votes", F.coalesce("y", F.lit(-1)).alias("y")).agg(F.count("*").alias("n"))
+    counted = common.table(counted, "toxicity-patterns")
+    sizes = {r["known"]: r["n"] for r in counted.groupBy((F.col("y") >= 0).alias("known")).agg(F.sum("n").alias("n")).collect()}
+    trust = min(0.25, sizes.get(True, 0) / max(1, sizes.get(False, 0)))
+    weighed = counted.select("votes", "y", (F.col("n") * F.when(F.col("y") >= 0, 1.0).otherwise(trust)).alias("weight"))
+    believed = label_model(weighed, len(voters.signs))
+
+    def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([voters.vector(t) for t in common.texts(batch)], np.float32).reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "x"])
+            x = _vectors(batch, voters).astype(np.float32)
+            q = believed.posterior([np.array(v, np.int64) for v in batch.column("votes").to_pylist()], batch.column("y").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), pa.array(q)], names=["x", "q"])
 
-    got = sample.select("text", "y").mapInArrow(vectors, "y int, x binary").toArrow()  # of bounded size, as the sample is
-    common.drop(sample)
-    common.drop(chosen)
-    width = len(voters.signs) + EXTRA
+    own = votes_of(sample, voters).join(taught, "doc_id")
+    got = own.mapInArrow(inputs, "x binary, q double").toArrow()  # MAX_LABELLED rows at most
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, width).astype(float)
-    y = got.column("y").to_numpy()
-    if not (y == 1).any() or not (y == 0).any():
-        return Model(voters, np.concatenate([np.zeros(width - EXTRA), [4.0, 0, 0, 0, 0, 0, -2.0]]))
-    q = label_model(x[:, : width - EXTRA] >= np.log1p(200 / RATE), y)
-    # an unlabelled row counts as far as the label model is sure of it
-    return Model(voters, logistic(x, q, np.where(y >= 0, 1.0, 0.25 * (2 * q - 1) ** 2)))
+    q = got.column("q").to_numpy()
+    common.drop(sample)
+    common.drop(counted)
+    return Model(voters, logistic(x, q, np.ones(len(q)))), votes
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """The classifier of labels.toxic, from the rows that may be learnt from."""
+    model, votes = fit_votes(docs, labels)
+    common.drop(votes)
+    return model
+
+
+def score_votes(votes: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score of rows of votes_of(): the texts aren't read again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2_000):
+                batch = whole.slice(lo, 2_000)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.of(_vectors(batch, model.voters)))], names=["doc_id", "score"])
+
+    return votes.mapInArrow(run, "doc_id long, score double")
 
 
 def score(text: Column, model: Model) -> Column:
