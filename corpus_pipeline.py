@@ -1,4 +1,10 @@
-"""A training corpus in five stages: quality, near-duplicates, benchmark passages, secrets, packing."""
+"""A training corpus in five stages: quality, near-duplicates, benchmark passages, secrets, packing.
+
+Defined cases: null and empty texts have the classifier's score of the empty text, and stay or go by it like others; they are no
+copies of each other, hold no passage and no secret, and are packed as the end id alone. Null ids and repeated rows: copies go in the
+second stage, whatever their id; of equal rows one stays. Ties between copies go to the smallest doc_id. An empty table passes
+through every stage as an empty table; columns besides doc_id and text are kept by all stages but the last, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -66,10 +72,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written and read again before the next one."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents. Each stage's rows are written and read again before the next one, which deletes them when its own are written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = common.scratch_path(spark, "pipeline-" + name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        common.release(spark, [before] if before else [])
+        before = path
+    packed = STAGES[-1][1](spark, docs, sf_dir)  # its ids are stored by now, so the texts may go
+    common.release(spark, [before])
+    return packed
