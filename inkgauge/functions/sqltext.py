@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-SPANS = "array<struct<t:string,a:int,b:int>>"
+from inkgauge.functions.text import SLICE, SPANS
 
 
 def lit(value: str | None) -> str:
@@ -12,13 +12,15 @@ def lit(value: str | None) -> str:
 
 
 def matches(text: str, regex: str) -> str:
-    """All matches of regex in the column text, as (t, a, b)."""
-    r, none = lit(regex), f"cast(array() as {SPANS})"
-    fold = (
-        f"aggregate(zip_with(split({text}, {r}, -1), regexp_extract_all({text}, {r}, 0), (g, h) -> named_struct('g', g, 'h', h)), named_struct('at', 0, 'out', {none}), "
-        "(s, z) -> named_struct('at', s.at + length(z.g) + coalesce(length(z.h), 0), 'out', if(z.h is null, s.out, concat(s.out, array(named_struct('t', z.h, 'a', s.at + length(z.g), 'b', s.at + length(z.g) + length(z.h)))))), s -> s.out)"
-    )
-    return f"if({text} rlike {r}, {fold}, {none})"
+    """All matches of regex in a text, as (t, a, b): one search, one split, and folds over short arrays that are joined once."""
+    r, none, mark = lit(regex), f"cast(array() as {SPANS})", "'\uffff'"
+    parts = f"split(regexp_replace(replace({text}, {mark}, '\ufffe'), {r}, concat({mark}, '$0', {mark})), {mark}, -1)"
+    pairs = "transform(sequence(0, size(mp) div 2 - 1), mi -> named_struct('g', length(get(mp, 2 * mi)), 't', get(mp, 2 * mi + 1)))"
+    own = "named_struct('t', mz.t, 'a', ms.at + mz.g, 'b', ms.at + mz.g + length(mz.t))"
+    inner = f"aggregate(mc, named_struct('at', ma.at, 'out', {none}), (ms, mz) -> named_struct('at', ms.at + mz.g + length(mz.t), 'out', concat(ms.out, array({own}))))"
+    runs = f"transform(sequence(0, cast((size(mq) - 1) div {SLICE} as int)), mk -> slice(mq, mk * {SLICE} + 1, {SLICE}))"
+    fold = f"aggregate({runs}, named_struct('at', 0, 'out', cast(array() as array<{SPANS}>)), (ma, mc) -> transform(array({inner}), mr -> named_struct('at', mr.at, 'out', concat(ma.out, array(mr.out))))[0], mf -> flatten(mf.out))"
+    return f"if({text} rlike {r}, transform(array({parts}), mp -> transform(array({pairs}), mq -> {fold})[0])[0], {none})"
 
 
 def first(text: str, regex: str) -> str:
@@ -41,9 +43,9 @@ def issue(rule: str, message: str, line: str, column: str, end_column: str = "nu
     )
 
 
-def line_issues(spans: str, rule: str, message: str, order: int, confidence: str = "'medium'", suggestion: str = "cast(null as string)", place: str | None = None) -> str:
+def line_issues(spans: str, rule: str, message: str, order: int, confidence: str = "'medium'", suggestion: str = "cast(null as string)", place: str | None = None, n: str = "n") -> str:
     """Issues over spans x of a prose line; message may read x.t."""
-    return f"transform({spans}, (x, i) -> {issue(rule, message, 'n', 'x.a + 1', 'x.b + 1', 'null', confidence, suggestion, place or f'array(n, {order}, i)')})"
+    return f"transform({spans}, (x, i) -> {issue(rule, message, n, 'x.a + 1', 'x.b + 1', 'null', confidence, suggestion, place or f'array({n}, {order}, i)')})"
 
 
 def quoted(label: str, after: str = "", text: str = "x.t") -> str:

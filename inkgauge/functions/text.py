@@ -86,6 +86,31 @@ def scan(items: Column, zero: Column, step: Callable[[Column, Column], Column],
     return let(items, lambda value: F.when(F.size(value) > 0, whole(value)).otherwise(none))
 
 
+def kept(items: Column) -> Column:
+    """items without nulls."""
+    return F.filter(items, lambda x: x.isNotNull())
+
+
+def groups(items: Column, joined: Callable[[Column, Column], Column]) -> Column:
+    """items as an array of runs: a run goes on while joined(previous, item)."""
+
+    def run(value: Column) -> Column:
+        starts = kept(F.transform(value, lambda x, i: F.when((i == 0) | ~joined(F.get(value, i - 1), x), i)))
+        return let(starts, lambda at: F.transform(at, lambda a, k: F.slice(value, a + 1, F.coalesce(F.get(at, k + 1), F.size(value)) - a)))
+
+    return let(items, run)
+
+
+def flags(intervals: Column, n: Column) -> Column:
+    """n booleans: which of the places 1..n lie in an interval (a, b), ends included. Intervals are in order and apart."""
+
+    def run(v: Column) -> Column:
+        parts = F.transform(v, lambda x, i: F.concat(F.array_repeat(F.lit(False), x["a"] - 1 - F.coalesce(F.get(v, i - 1)["b"], F.lit(0))), F.array_repeat(F.lit(True), x["b"] - x["a"] + 1)))
+        return F.concat(F.flatten(parts), F.array_repeat(F.lit(False), n - F.element_at(v, -1)["b"]))
+
+    return let(intervals, lambda v: F.when(F.size(v) > 0, run(v)).otherwise(F.array_repeat(F.lit(False), n)))
+
+
 def cut(text: Column, regex: str) -> Column:
     """The text as gap, match, gap, ..., gap: always an odd number of pieces. One search and one split; U+FFFF in a text is read as U+FFFE."""
     plain = F.replace(text, F.lit(MARK), F.lit("\ufffe"))
@@ -121,22 +146,30 @@ def merged(ranges: Column | str) -> Column:
     return let(scan(F.sort_array(ranges), F.lit(-1).cast("long"), step, "struct<a:long,b:long,fresh:boolean>"), joined)
 
 
-def replaced(text: Column, ranges: Column, mark: str) -> Column:
-    """text with mark for each of its ranges (a, b), which are in order and apart. The text is cut into blocks first: a place far inside costs no walk from the start."""
-    block = 4096
+#: Characters of a block.
+BLOCK = 4096
 
-    def run(blocks: Column, spans: Column, n: Column) -> Column:
-        def between(a: Column, b: Column) -> Column:
-            low, high = F.floor(a / block).cast("int"), F.floor((b - 1) / block).cast("int")
-            parts = F.transform(F.sequence(low, high), lambda i: F.substring(F.get(blocks, i), F.greatest(a - i * block, F.lit(0)).cast("int") + 1, (F.least(b - i * block, F.lit(block)) - F.greatest(a - i * block, F.lit(0))).cast("int")))
-            return F.when(a < b, F.array_join(parts, "")).otherwise("")
 
-        gaps = F.transform(spans, lambda x, i: F.concat(between(F.coalesce(F.get(spans, i - 1)["b"], F.lit(0).cast("long")), x["a"]), F.lit(mark)))
-        return F.array_join(F.concat(gaps, F.array(between(F.element_at(spans, -1)["b"], n))), "")
+def blocks(text: Column) -> Column:
+    """The text in blocks of BLOCK characters, for piece(). U+FFFF in a text is read as U+FFFE."""
+    return F.when(F.length(text) <= BLOCK, F.array(text)).otherwise(F.split(F.regexp_replace(F.replace(text, F.lit(MARK), F.lit("\ufffe")), f"(?s).{{{BLOCK}}}", f"$0{MARK}"), MARK, -1))
 
-    plain = F.replace(text, F.lit(MARK), F.lit("\ufffe"))
-    blocks = F.split(F.regexp_replace(plain, f"(?s).{{{block}}}", f"$0{MARK}"), MARK, -1)
-    whole = let(F.struct(blocks.alias("blocks"), ranges.alias("spans"), F.length(text).cast("long").alias("n")), lambda x: run(x["blocks"], x["spans"], x["n"]))
+
+def piece(parts: Column, a: Column, b: Column) -> Column:
+    """Characters a to b, exclusive, of a text in blocks: a place far inside costs no walk from the text's start."""
+    low, high = F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int")
+    part = lambda i: F.substring(F.get(parts, i), (F.greatest(a - i * BLOCK, F.lit(0)) + 1).cast("int"), (F.least(b - i * BLOCK, F.lit(BLOCK)) - F.greatest(a - i * BLOCK, F.lit(0))).cast("int"))
+    return F.when(a >= b, "").when(low == high, part(low)).otherwise(F.array_join(F.transform(F.sequence(low, high), part), ""))
+
+
+def replaced(text: Column, ranges: Column, mark: str) -> Column:
+    """text with mark for each of its ranges (a, b), which are in order and apart."""
+
+    def run(parts: Column, spans: Column, n: Column) -> Column:
+        gaps = F.transform(spans, lambda x, i: F.concat(piece(parts, F.coalesce(F.get(spans, i - 1)["b"], F.lit(0).cast("long")), x["a"]), F.lit(mark)))
+        return F.array_join(F.concat(gaps, F.array(piece(parts, F.element_at(spans, -1)["b"], n))), "")
+
+    whole = let(F.struct(blocks(text).alias("parts"), ranges.alias("spans"), F.length(text).cast("long").alias("n")), lambda x: run(x["parts"], x["spans"], x["n"]))
     return F.when(F.size(ranges) > 0, whole).otherwise(text)
 
 

@@ -1,16 +1,18 @@
 """The common row of all rules: path, rule_id, message, line, column, end_line, end_column, confidence, suggestion, place.
 
-place orders a rule's findings inside a document. A rule that needs one line or one sentence alone is a column: an array of
-issue() structs over the table of lines or sentences, so that any number of such rules costs one scan and one explode.
+place orders a rule's findings inside a document. Every rule is a column: an array of issue() structs made from one line, one
+sentence or one document, so that any number of rules costs one scan and no shuffle.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkgauge.functions.text import kept
+
 ISSUE = "struct<rule_id:string,message:string,line:int,column:int,end_line:int,end_column:int,confidence:string,suggestion:string,place:array<int>>"
 NONE = f"cast(array() as array<{ISSUE}>)"
 COLUMNS = ["path", "rule_id", "message", "line", "column", "end_line", "end_column", "confidence", "suggestion", "place"]
@@ -46,17 +48,11 @@ def only_if(condition: Column, issues: Column) -> Column:
     return F.when(condition, issues).otherwise(none())
 
 
-def explode(df: DataFrame, rules: list[Column]) -> DataFrame:
-    """The findings of row-local rules over a table with a path."""
-    if not rules:
-        return df.sparkSession.createDataFrame([], f"path string, x {ISSUE}").select("path", "x.*")
-    return df.select("path", F.explode(F.concat(*rules) if len(rules) > 1 else rules[0]).alias("x")).select("path", "x.*")
-
-
-def rows(df: DataFrame, one: Column) -> DataFrame:
-    """The findings of a table with an issue in each row."""
-    return df.select("path", one.alias("x")).select("path", "x.*")
+def rows(items: Column, one: Callable[[Column], Column]) -> Column:
+    """An issue for each item; one() may give null for none."""
+    return kept(F.transform(items, one))
 
 
-def union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+def of_each(items: Column, many: Callable[[Column], Column]) -> Column:
+    """The issues of each item, together."""
+    return F.flatten(F.transform(items, many))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkgauge.functions import sqltext as S
-from inkgauge.functions.text import CASELESS, EXACT, first, has, indent, matches, strip, words
+from inkgauge.functions.text import CASELESS, EXACT, first, groups, has, indent, kept, let, matches, strip, words
 from inkgauge.operators.findings import NONE, issue, only_if, quoted, rows
 from inkgauge.plans import lexicon as L
 
@@ -164,43 +164,61 @@ def row_rules(chosen: set[str], vocabulary: dict) -> list[Column]:
     found += [make() for rule, make in single.items() if rule in chosen]
     if "M006" in chosen:
         found.append(only_if(F.col("markdown"), template_residue()))
+    if "M004" in chosen:
+        found += [only_if(F.col("markdown"), spans_to_issues(matches(F.col("text"), "(?U)" + p), "M004", "Broken reference", k)) for k, p in enumerate(L.BROKEN_MARKERS)]
     if "V001" in chosen:
         found.append(vocabulary_rule(**vocabulary))
     return found
 
 
-def counted(prose: DataFrame, chosen: set[str], thresholds: dict[str, int]) -> list[DataFrame]:
-    """Patterns that are reported where a scope has enough of them, and rules over all prose lines of a document."""
-    out = []
-    lines = prose.select("path", "scope", "n", "text")
+def counted(chosen: set[str], thresholds: dict[str, int]) -> list[Column]:
+    """Patterns that are reported where a scope has enough of them, and rules over all prose lines of a document; over the column prose."""
+    out, prose = [], F.col("prose")
     for rule, label, patterns, name, strictly in L.COUNTED:
         if rule in chosen:
-            hits = lines.where(has(F.col("text"), any_of(patterns))).select("path", "scope", F.explode(all_rule(rule, label, patterns, "", True)).alias("x"))
-            n = F.count("*").over(Window.partitionBy("path", "scope"))
-            out.append(hits.withColumn("total", n).where(F.col("total") > thresholds[name] if strictly else F.col("total") >= thresholds[name]).select("path", "x.*"))
+            parts = [S.line_issues(S.matches("r.text", CASELESS + p), rule, S.quoted(label), k, n="r.n") for k, p in enumerate(patterns)]
+            made = S.guarded(f"r.text rlike {S.lit(any_of(patterns))}", parts, NONE)
+            hits = F.expr(f"flatten(transform(prose, r -> transform({made}, y -> named_struct('scope', r.scope, 'x', y))))")
+            least = thresholds[name] + strictly
+            out.append(F.transform(F.flatten(F.filter(groups(hits, lambda a, b: a["scope"] == b["scope"]), _unary(lambda g, least=least: F.size(g) >= least))), lambda h: h["x"]))
     if "V007" in chosen:
         regex = CASELESS + r"\b(\w+)\s+(" + "|".join(L.LABEL_SUFFIXES) + r")\b"
-        hits = lines.where(has(F.col("text"), regex)).select("path", "n", "text", F.posexplode(matches(F.col("text"), regex)).alias("i", "m"))
-        head, tail = F.lower(F.regexp_extract("m.t", regex, 1)), F.lower(F.regexp_extract("m.t", regex, 2))
-        possessive = (head == "s") & F.substring(F.col("text"), F.col("m.a"), F.lit(1)).isin("'", "’") & (F.col("m.a") > 0)
-        hits = hits.where(~possessive & ~(head.isin(*L.LABEL_HEADS) & tail.isin("gap", "dilemma")))
-        hits = hits.withColumn("total", F.count("*").over(Window.partitionBy("path"))).where(F.col("total") >= thresholds["invented_concept_labels"])
-        out.append(rows(hits, issue("V007", quoted("Invented concept label", F.col("m.t")), F.col("n"), F.col("m.a") + 1, F.col("m.b") + 1, place=(F.col("n"), F.col("i")))))
+
+        def labels(r: Column) -> Column:
+            def label(m: Column) -> Column:
+                head, tail = F.lower(F.regexp_extract(m["t"], regex, 1)), F.lower(F.regexp_extract(m["t"], regex, 2))
+                possessive = (head == "s") & F.substring(r["text"], m["a"], F.lit(1)).isin("'", "’") & (m["a"] > 0)
+                one = issue("V007", quoted("Invented concept label", m["t"]), r["n"], m["a"] + 1, m["b"] + 1, place=(r["n"], m["a"]))
+                return F.when(~possessive & ~(head.isin(*L.LABEL_HEADS) & tail.isin("gap", "dilemma")), one)
+
+            return kept(F.transform(matches(r["text"], regex), label))
+
+        out.append(let(F.flatten(F.transform(prose, labels)), lambda hits: only_if(F.size(hits) >= thresholds["invented_concept_labels"], hits)))
     if "T003" in chosen:
-        hits = lines.where(has(F.col("text"), "—|--")).select("path", "n", matches(F.col("text"), "—|--").alias("m"))
-        whole = hits.groupBy("path").agg(F.sum(F.size("m")).alias("total"), F.min(F.struct("n", F.col("m")[0]["a"].alias("a"))).alias("at")).where(F.col("total") > thresholds["em_dash_overuse"])
-        out.append(rows(whole, issue("T003", F.concat(F.lit("Em dash overuse: "), F.col("total").cast("string"), F.lit(" occurrences")), F.col("at.n"), F.col("at.a") + 1)))
+        dashes = F.filter(F.transform(prose, lambda r: F.struct(r["n"].alias("n"), matches(r["text"], "—|--").alias("m"))), lambda r: F.size(r["m"]) > 0)
+
+        def overuse(hits: Column) -> Column:
+            total = F.aggregate(hits, F.lit(0), lambda n, r: n + F.size(r["m"]))
+            one = lambda n: only_if(n > thresholds["em_dash_overuse"], F.array(issue("T003", F.concat(F.lit("Em dash overuse: "), n.cast("string"), F.lit(" occurrences")), hits[0]["n"], hits[0]["m"][0]["a"] + 1)))
+            return let(total, one)
+
+        out.append(let(dashes, overuse))
     if "T004" in chosen:
         curly = r"[“”‘’]"
-        whole = lines.groupBy("path").agg(F.bool_or(has(F.col("text"), "[\"']")).alias("straight"), F.min(F.when(has(F.col("text"), curly), F.struct("n", F.length(F.split(F.col("text"), curly, 2)[0]).alias("a")))).alias("at")).where("straight and at is not null")
-        out.append(rows(whole, issue("T004", "Mixed quote styles (curly and straight)", F.col("at.n"), F.col("at.a") + 1, F.col("at.a") + 2)))
+
+        def mixed(hits: Column) -> Column:
+            a = F.length(F.split(hits[0]["text"], curly, 2)[0])
+            return only_if((F.size(hits) > 0) & F.exists(prose, lambda r: has(r["text"], "[\"']")), F.array(issue("T004", "Mixed quote styles (curly and straight)", hits[0]["n"], a + 1, a + 2)))
+
+        out.append(let(F.filter(prose, lambda r: has(r["text"], curly)), mixed))
     if "S013" in chosen:
         known = F.array(*map(F.lit, L.COMPANIES))
-        named = F.array_distinct(F.array_intersect(F.transform(words(F.col("text")), lambda w: F.regexp_replace(F.lower(w), r"[.,;:!?'\"]+$", "")), known))
-        w = Window.partitionBy("path").orderBy("n")
-        order = prose.select("path", "n", "markdown", named.alias("named")).withColumn("place", F.when(F.col("markdown"), F.row_number().over(w)).otherwise(F.col("n")))
-        hits = order.where(F.size("named") > 0).withColumn("island", F.col("place") - F.row_number().over(w))
-        whole = hits.groupBy("path", "island").agg(F.min("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("named")))).alias("all")).where(F.size("all") >= thresholds["historical_analogy_stacking"])
-        message = F.concat(F.lit("Historical analogy stacking: "), F.size("all").cast("string"), F.lit(" companies ("), F.array_join("all", ", "), F.lit(")"))
-        out.append(rows(whole, issue("S013", message, F.col("n"), 1)))
+        named = lambda r: F.array_distinct(F.array_intersect(F.transform(words(r["text"]), lambda w: F.regexp_replace(F.lower(w), r"[.,;:!?'\"]+$", "")), known))
+        lines = F.transform(prose, lambda r, i: F.struct(r["n"].alias("n"), F.when(r["markdown"], i).otherwise(r["n"]).alias("place"), named(r).alias("named")))
+
+        def stacked(g: Column) -> Column:
+            message = lambda all: F.concat(F.lit("Historical analogy stacking: "), F.size(all).cast("string"), F.lit(" companies ("), F.array_join(all, ", "), F.lit(")"))
+            return let(F.array_sort(F.array_distinct(F.flatten(F.transform(g, lambda r: r["named"])))), lambda all: F.when(F.size(all) >= thresholds["historical_analogy_stacking"], issue("S013", message(all), g[0]["n"], 1)))
+
+        out.append(rows(groups(F.filter(lines, lambda r: F.size(r["named"]) > 0), lambda a, b: b["place"] == a["place"] + 1), stacked))
     return out

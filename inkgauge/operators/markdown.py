@@ -1,16 +1,15 @@
-"""Markdown structure as tables: lines with their roles, headings, paragraphs, references and links.
+"""Markdown structure inside a document's own row: lines with their roles, headings, prose, paragraphs, references and links.
 
-What depends on earlier lines (fences, HTML blocks, MDX blocks) is folded over the few candidate lines of a document into
-intervals; everything else is a window over a document's lines. Documents are dealt by path once, and every window, join and
-aggregate below keys on path, so no later shuffle is needed.
+Everything here is an array of one row, so nothing is shuffled or gathered and documents of one path stay apart. What depends on
+earlier lines is a linear fold over the lines that matter; neighbours are read by index.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkgauge.functions.text import has, indent, is_blank, let, mask, mask_front, strip
+from inkgauge.functions.text import flags, groups, has, indent, is_blank, kept, let, mask, mask_front, matches, scan, strip, words
 
 # Patterns of Markdown's marks and the block-level HTML tags.
 QUOTE = r"(?U)^(?:\s{0,3}>\s?)+"
@@ -32,123 +31,124 @@ INLINE_CODE = r"(?<!`)(`+)(?!`).*?(?<!`)\1(?!`)"
 LINK_DESTINATION = r"(?s)\[[^\]]+\]\((?:\\.|[^()\\]|\((?:\\.|[^()\\]|\((?:\\.|[^()\\])*\))*\))*\)"
 AUTOLINK = r"(?U)(?<=<)https?://[^>\s]+(?=>)"
 
-_INTERVALS = "array<struct<a:int,b:int>>"
 
+def _with_end(rows: Column, wanted) -> Column:
+    """The rows that matter and, last, one without text at the document's last line, which ends what is open."""
+    end = F.struct(F.size(rows).alias("n"), F.lit(None).cast("string").alias("raw"), F.lit(0).alias("q"), F.lit(None).cast("string").alias("s"), F.lit(False).alias("code"))
+    return F.concat(F.filter(rows, wanted), F.array(end))
 
-def _inside(intervals: str | Column, n: Column) -> Column:
-    return F.exists(intervals, lambda x: (x["a"] <= n) & (n <= x["b"]))
 
-
-def _fences(rows: Column, n_lines: Column) -> Column:
-    kind = "array<struct<a:int,b:int,closed:boolean,fence:string,col:int>>"
-    start = F.expr(f"named_struct('open', false, 'a', 0, 'quoted', false, 'fence', '', 'col', 0, 'out', cast(array() as {kind}))")
+def _fences(rows: Column) -> Column:
+    """Fenced blocks in order: a, b (lines), closed, fence, col."""
+    mark = "^ {0,3}(`{3,}|~{3,})"
 
     def step(state: Column, x: Column) -> Column:
         fence = F.regexp_extract(x["s"], FENCE_OPEN, 2)
         run = F.regexp_extract(F.when(state["quoted"], x["s"]).otherwise(x["raw"]), FENCE_CLOSE, 1)
         closes = (run != "") & (F.substring(run, 1, 1) == F.substring(state["fence"], 1, 1)) & (F.length(run) >= F.length(state["fence"]))
-        done = F.struct(state["a"].alias("a"), x["n"].alias("b"), F.lit(True).alias("closed"), state["fence"].alias("fence"), state["col"].alias("col"))
-        opened = F.struct(F.lit(True).alias("open"), x["n"].alias("a"), (x["q"] > 0).alias("quoted"), fence.alias("fence"), (x["q"] + F.length(F.regexp_extract(x["s"], FENCE_OPEN, 1)) + 1).alias("col"), state["out"].alias("out"))
-        shut = F.struct(F.lit(False).alias("open"), F.lit(0).alias("a"), F.lit(False).alias("quoted"), F.lit("").alias("fence"), F.lit(0).alias("col"), F.concat(state["out"], F.array(done)).alias("out"))
-        return F.when(state["open"], F.when(closes, shut).otherwise(state)).otherwise(F.when(fence != "", opened).otherwise(state))
-
-    candidates = F.filter(rows, lambda x: has(x["s"], "^ {0,3}(`{3,}|~{3,})") | has(x["raw"], "^ {0,3}(`{3,}|~{3,})"))
+        ends = state["open"] & (x["raw"].isNull() | closes)
+        starts = ~state["open"] & (F.coalesce(fence, F.lit("")) != "")
+        done = F.struct(state["a"].alias("a"), x["n"].alias("b"), x["raw"].isNotNull().alias("closed"), state["fence"].alias("fence"), state["col"].alias("col"))
+        col = x["q"] + F.length(F.regexp_extract(x["s"], FENCE_OPEN, 1)) + 1
+        opened = F.struct(F.lit(True).alias("open"), x["n"].alias("a"), (x["q"] > 0).alias("quoted"), fence.alias("fence"), col.alias("col"))
+        shut = F.struct(F.lit(False).alias("open"), F.lit(0).alias("a"), F.lit(False).alias("quoted"), F.lit("").alias("fence"), F.lit(0).alias("col"))
+        return F.struct(F.when(ends, shut).when(starts, opened).otherwise(state).alias("state"), F.when(ends, done).alias("out"))
 
-    def end(state: Column) -> Column:
-        last = F.struct(state["a"].alias("a"), n_lines.alias("b"), F.lit(False).alias("closed"), state["fence"].alias("fence"), state["col"].alias("col"))
-        return F.when(state["open"], F.concat(state["out"], F.array(last))).otherwise(state["out"])
+    zero = F.expr("named_struct('open', false, 'a', 0, 'quoted', false, 'fence', '', 'col', 0)")
+    marked = lambda x: (F.contains(x["raw"], F.lit("```")) | F.contains(x["raw"], F.lit("~~~"))) & (has(x["s"], mark) | has(x["raw"], mark))
+    return kept(scan(_with_end(rows, marked), zero, step, "struct<a:int,b:int,closed:boolean,fence:string,col:int>"))
 
-    return let(F.aggregate(candidates, start, step), end)
 
-
-def _tagged(rows: Column, n_lines: Column, comments: bool) -> Column:
+def _tagged(rows: Column, comments: bool) -> Column:
     """Intervals of HTML blocks (with comments) or of MDX blocks."""
-    start = F.expr(f"named_struct('tag', '', 'a', 0, 'out', cast(array() as {_INTERVALS}))")
 
-    def state_of(tag: Column, a: Column, out: Column) -> Column:
-        return F.struct(tag.alias("tag"), a.alias("a"), out.alias("out"))
+    def state_of(tag: Column, a: Column) -> Column:
+        return F.struct(tag.alias("tag"), a.alias("a"))
 
     def step(state: Column, x: Column) -> Column:
-        close = F.regexp_extract(x["raw"], TAG_CLOSE, 1)
-        name = F.regexp_extract(x["raw"], TAG_OPEN if comments else MDX_OPEN, 1)
-        ends = F.when(state["tag"] == "!", has(x["raw"], COMMENT_CLOSE)).otherwise(close == state["tag"]) if comments else close == state["tag"]
-        grown = lambda a: F.concat(state["out"], F.array(F.struct(a.alias("a"), x["n"].alias("b"))))
-        idle = F.lit("")
-        inside = F.when(ends, state_of(idle, F.lit(0), grown(state["a"]))).otherwise(state)
+        raw, idle = x["raw"], state_of(F.lit(""), F.lit(0))
+        close = F.regexp_extract(raw, TAG_CLOSE, 1)
+        name = F.coalesce(F.regexp_extract(raw, TAG_OPEN if comments else MDX_OPEN, 1), F.lit(""))
+        ends = F.when(state["tag"] == "!", has(raw, COMMENT_CLOSE)).otherwise(close == state["tag"]) if comments else close == state["tag"]
+        inside = state["tag"] != ""
         if comments:
-            known = F.lower(name).isin(*HTML_TAGS)
-            outside = (
-                F.when(has(x["raw"], COMMENT_OPEN), F.when(has(x["raw"], COMMENT_CLOSE), state_of(idle, F.lit(0), grown(x["n"]))).otherwise(state_of(F.lit("!"), x["n"], state["out"])))
-                .when(known & has(x["raw"], r"(?U)/>\s*$"), state_of(idle, F.lit(0), grown(x["n"])))
-                .when(known, state_of(F.lower(name), x["n"], state["out"]))
-                .otherwise(state)
-            )
+            known, comment = F.lower(name).isin(*HTML_TAGS), has(raw, COMMENT_OPEN)
+            alone = (comment & has(raw, COMMENT_CLOSE)) | (~comment & known & has(raw, r"(?U)/>\s*$"))
+            opened = F.when(comment, "!").when(known, F.lower(name))
         else:
-            outside = F.when(has(x["raw"], MDX_SINGLE), state_of(idle, F.lit(0), grown(x["n"]))).when(name != "", state_of(name, x["n"], state["out"])).otherwise(state)
-        return F.when(state["tag"] != "", inside).otherwise(outside)
+            alone, opened = has(raw, MDX_SINGLE), F.when(name != "", name)
+        alone, ends, opened = F.coalesce(alone, F.lit(False)), F.coalesce(ends, F.lit(False)) | raw.isNull(), F.coalesce(opened, F.lit(""))
+        after = F.when(inside, F.when(ends, idle).otherwise(state)).when(alone | (opened == ""), state).otherwise(state_of(opened, x["n"]))
+        out = F.when(inside & ends, F.struct(state["a"].alias("a"), x["n"].alias("b"))).when(~inside & alone, F.struct(x["n"].alias("a"), x["n"].alias("b")))
+        return F.struct(after.alias("state"), out.alias("out"))
 
     if comments:
-        candidates = F.filter(rows, lambda x: ~x["code"] & (has(x["raw"], COMMENT_OPEN) | has(x["raw"], COMMENT_CLOSE) | has(x["raw"], TAG_OPEN) | has(x["raw"], TAG_CLOSE)))
+        wanted = lambda x: ~x["code"] & (F.contains(x["raw"], F.lit("<")) | F.contains(x["raw"], F.lit("-->"))) & (has(x["raw"], COMMENT_OPEN) | has(x["raw"], COMMENT_CLOSE) | has(x["raw"], TAG_OPEN) | has(x["raw"], TAG_CLOSE))
     else:
-        candidates = F.filter(rows, lambda x: has(x["raw"], MDX_SINGLE) | has(x["raw"], MDX_OPEN) | has(x["raw"], TAG_CLOSE))
-    return let(F.aggregate(candidates, start, step), lambda s: F.when(s["tag"] != "", F.concat(s["out"], F.array(F.struct(s["a"].alias("a"), n_lines.alias("b"))))).otherwise(s["out"]))
-
-
-def lines(docs: DataFrame) -> DataFrame:
-    """A row for each line of Markdown documents (path, content): n, raw, q (width of the quote prefix), s (without it), code, html, front, mdx, next_s, next_off, n_lines, and its document's fences."""
-    rows = F.transform(
-        F.split("content", "\n", -1),
-        lambda x, i: let(F.length(F.regexp_extract(x, QUOTE, 0)), lambda q: F.struct((i + 1).alias("n"), x.alias("raw"), q.alias("q"), F.substring(x, q + 1, F.length(x)).alias("s"))),
-    )
-    d = docs.select("path", rows.alias("rows")).withColumn("n_lines", F.size("rows"))
-    d = d.select("path", "n_lines", let(F.col("rows"), lambda r: F.struct(r.alias("rows"), _fences(r, F.size(r)).alias("fences"))).alias("x"))
-    coded = let(F.struct(F.col("x.rows").alias("rows"), F.col("x.fences").alias("fences")), lambda x: F.transform(x["rows"], lambda r: r.withField("code", _inside(x["fences"], r["n"]))))
-    d = d.select("path", "n_lines", F.col("x.fences").alias("fences"), coded.alias("rows"))
-    delimiter = strip(F.col("rows")[0]["raw"])
-    front = F.when(delimiter.isin("---", "+++"), F.array_position(F.transform(F.slice("rows", 2, F.size("rows")), lambda r: strip(r["raw"])), delimiter)).otherwise(0)
-    both = let(F.col("rows"), lambda r: F.struct(_tagged(r, F.size(r), True).alias("html"), _tagged(r, F.size(r), False).alias("mdx")))
-    d = d.select("path", "n_lines", "fences", "rows", both.alias("blocks"), F.when(front > 0, front + 1).otherwise(0).alias("front_end"))
-    each = d.select("path", "n_lines", "fences", "blocks", "front_end", F.explode("rows").alias("r"))
-    n = F.col("r.n")
-    flat = each.select(
-        "path", "n_lines", "fences", "r.n", "r.raw", "r.q", "r.s", "r.code", _inside("blocks.html", n).alias("html"), (n <= F.col("front_end")).alias("front"), _inside("blocks.mdx", n).alias("mdx")
-    )
-    w = Window.partitionBy("path").orderBy("n")
-    off = F.col("code") | F.col("html") | F.col("front")
-    return flat.withColumns({"next_s": F.lead("s").over(w), "next_code": F.lead("code").over(w), "next_off": F.lead(off).over(w)})
-
-
-def headings(rows: DataFrame) -> DataFrame:
-    """path, start, level, title, col, end_col, end_line, atx, idx of every heading, in order; end_line is before the next heading of any level."""
-    visible = rows.where(~F.col("code") & ~F.col("html") & ~F.col("front"))
-    atx = has(F.col("s"), ATX)
-    setext = ~F.col("next_off") & has(F.col("next_s"), SETEXT) & ~is_blank(F.col("s"))
-    candidates = visible.where(atx | setext).withColumn("atx", atx)
-    # after an underlined heading its underline is passed over: of setext candidates in a row, every second one counts
-    w = Window.partitionBy("path").orderBy("n")
-    candidates = candidates.withColumn("fresh", (F.col("atx") | (F.col("n") - F.lag("n", 1, -1).over(w) > 1) | F.lag("atx", 1, True).over(w)).cast("int")).withColumn("run", F.sum("fresh").over(w))
-    place = F.row_number().over(Window.partitionBy("path", "run").orderBy("n"))
-    kept = candidates.withColumn("place", place).where(F.col("atx") | (F.col("place") % 2 == 1))
-    body = F.regexp_extract("s", ATX, 2)
-    title = F.when(F.col("atx"), strip(F.regexp_replace(strip(body), r"(?U)\s+#+\s*$", ""))).otherwise(strip(F.col("s")))
-    level = F.when(F.col("atx"), F.length(F.regexp_extract("s", ATX, 1))).when(F.startswith(F.ltrim(F.col("next_s")), F.lit("=")), 1).otherwise(2)
-    left = F.when(F.col("atx"), F.length(F.regexp_extract("s", r"(?U)^ {0,3}#{1,6}\s+", 0))).otherwise(indent(F.col("s")))
-    found = kept.select("path", "n_lines", F.col("n").alias("start"), level.alias("level"), title.alias("title"), (F.col("q") + left + 1).alias("col"), "atx")
-    v = Window.partitionBy("path").orderBy("start")
-    return found.withColumns({"end_col": F.col("col") + F.length("title"), "end_line": F.coalesce(F.lead("start").over(v) - 1, F.col("n_lines")), "idx": F.row_number().over(v)}).drop("n_lines")
-
-
-def with_example(rows: DataFrame, heads: DataFrame, line: str) -> DataFrame:
-    """rows with example: whether the nearest heading at or before a line has an example-style title."""
-    marks = heads.groupBy("path").agg(F.collect_list(F.when(has(F.col("title"), EXAMPLE), F.struct(F.col("start").alias("a"), F.col("end_line").alias("b")))).alias("examples"))
-    return rows.join(marks, "path", "left").withColumn("example", F.coalesce(_inside("examples", F.col(line)), F.lit(False))).drop("examples")
-
-
-def _mask_marks(raw: Column, q: Column, head: Column, tail_of_heading: Column, marker: Column) -> Column:
-    """Blanks over the quote prefix, a heading's marks or a list marker."""
-    front = F.when(q > 0, q).when(head > 0, head).otherwise(marker)
-    text = mask_front(raw, front)
-    return let(text, lambda t: F.when(tail_of_heading > 0, F.concat(F.substring(t, F.lit(1), F.length(t) - tail_of_heading), F.repeat(F.lit(" "), tail_of_heading))).otherwise(t))
+        wanted = lambda x: (F.contains(x["raw"], F.lit("<")) | F.contains(x["raw"], F.lit("port"))) & (has(x["raw"], MDX_SINGLE) | has(x["raw"], MDX_OPEN) | has(x["raw"], TAG_CLOSE))
+    return kept(scan(_with_end(rows, wanted), state_of(F.lit(""), F.lit(0)), step, "struct<a:int,b:int>"))
+
+
+def structure(content: Column) -> Column:
+    """struct(lines, fences) of a text. A line has n, raw, q (width of the quote prefix), s (without it), code, html, front, mdx."""
+
+    def line(x: Column, i: Column) -> Column:
+        q = F.when(F.contains(x, F.lit(">")), F.length(F.regexp_extract(x, QUOTE, 0))).otherwise(0)
+        return let(q, lambda q: F.struct((i + 1).alias("n"), x.alias("raw"), q.alias("q"), F.when(q == 0, x).otherwise(F.substring(x, q + 1, F.length(x))).alias("s"), F.lit(False).alias("code")))
+
+    def blocks(rows: Column) -> Column:
+        n = F.size(rows)
+        delimiter = strip(rows[0]["raw"])
+        front = F.when(delimiter.isin("---", "+++"), F.array_position(F.transform(F.slice(rows, F.lit(2), n), lambda r: strip(r["raw"])), delimiter)).otherwise(0)
+        parts = F.struct(flags(_tagged(rows, True), n).alias("html"), flags(_tagged(rows, False), n).alias("mdx"), F.when(front > 0, front + 1).otherwise(0).alias("front"))
+        return let(parts, lambda b: F.transform(rows, lambda r, i: F.struct(*(r[c].alias(c) for c in ("n", "raw", "q", "s", "code")), F.get(b["html"], i).alias("html"), (r["n"] <= b["front"]).alias("front"), F.get(b["mdx"], i).alias("mdx"))))
+
+    def coded(rows: Column) -> Column:
+        def with_code(fences: Column) -> Column:
+            marked = let(flags(fences, F.size(rows)), lambda code: F.transform(rows, lambda r, i: r.withField("code", F.get(code, i))))
+            return F.struct(let(marked, blocks).alias("lines"), fences.alias("fences"))
+
+        return let(_fences(rows), with_code)
+
+    return let(F.transform(F.split(content, "\n", -1), line), coded)
+
+
+def _underlined(r: Column, after: Column) -> Column:
+    """Whether a line's text is underlined by the next line."""
+    return F.coalesce((F.contains(after["s"], F.lit("=")) | F.contains(after["s"], F.lit("-"))) & has(after["s"], SETEXT) & ~is_blank(r["s"]), F.lit(False))
+
+
+def headings(lines: Column) -> Column:
+    """start, level, title, col, end_col, end_line, atx of every heading, in order; end_line is before the next heading of any level."""
+
+    def candidate(r: Column, after: Column) -> Column:
+        atx = F.contains(r["s"], F.lit("#")) & has(r["s"], ATX)
+        off = F.coalesce(after["code"] | after["html"] | after["front"], F.lit(True))
+        one = lambda a: F.when(a | (~off & _underlined(r, after)), F.struct(r["n"].alias("n"), r["q"].alias("q"), r["s"].alias("s"), after["s"].alias("next_s"), a.alias("atx")))
+        return F.when(~r["code"] & ~r["html"] & ~r["front"], let(atx, one))
+
+    def step(last: Column, x: Column) -> Column:  # the underline of a kept heading is passed over
+        keep = x["atx"] | (x["n"] - 1 != last)
+        return F.struct(F.when(keep & ~x["atx"], x["n"]).otherwise(last).alias("state"), F.when(keep, x).alias("out"))
+
+    def heading(x: Column) -> Column:
+        s, atx = x["s"], x["atx"]
+        title = F.when(atx, strip(F.regexp_replace(strip(F.regexp_extract(s, ATX, 2)), r"(?U)\s+#+\s*$", ""))).otherwise(strip(s))
+        level = F.when(atx, F.length(F.regexp_extract(s, ATX, 1))).when(F.startswith(F.ltrim(x["next_s"]), F.lit("=")), 1).otherwise(2)
+        left = F.when(atx, F.length(F.regexp_extract(s, r"(?U)^ {0,3}#{1,6}\s+", 0))).otherwise(indent(s))
+        return let(F.struct(title.alias("t"), (x["q"] + left + 1).alias("col")), lambda y: F.struct(x["n"].alias("start"), level.alias("level"), y["t"].alias("title"), y["col"].alias("col"), (y["col"] + F.length(y["t"])).alias("end_col"), atx.alias("atx")))
+
+    def run(rows: Column) -> Column:
+        found = kept(F.transform(rows, lambda r, i: candidate(r, F.get(rows, i + 1))))
+        only = kept(scan(found, F.lit(-1), step, "struct<n:int,q:int,s:string,next_s:string,atx:boolean>"))
+        return let(F.transform(only, heading), lambda hs: F.transform(hs, lambda h, i: h.withField("end_line", F.coalesce(F.get(hs, i + 1)["start"] - 1, F.size(rows)))))
+
+    return let(lines, run)
+
+
+def examples(heads: Column, n: Column) -> Column:
+    """Whether the nearest heading at or before each line has an example-style title."""
+    return flags(F.transform(F.filter(heads, lambda h: has(h["title"], EXAMPLE)), lambda h: F.struct(h["start"].alias("a"), h["end_line"].alias("b"))), n)
 
 
 def mask_inline(text: Column) -> Column:
@@ -159,106 +159,165 @@ def mask_inline(text: Column) -> Column:
     return mask(text, AUTOLINK)
 
 
-def prose_rows(rows: DataFrame) -> DataFrame:
-    """Prose lines: path, n, raw, text (masked, same width), context, block, block_start (first of its block), break_before (of its block)."""
-    w = Window.partitionBy("path").orderBy("n")
-    setext = ~F.col("code") & ~F.coalesce("next_code", F.lit(True)) & ~is_blank(F.col("s")) & has(F.coalesce("next_s", F.lit("")), SETEXT)
-    s = F.col("s")
-    table_row = has(strip(s), r"(?s)\A\|.*\|\z") & (F.length(s) - F.length(F.replace(s, F.lit("|"), F.lit(""))) >= 2)
-    skipped = F.col("code") | F.col("html") | F.col("front") | F.col("mdx") | table_row
-    d = rows.withColumn("setext", setext).withColumn("under", F.lag("setext", 1, False).over(w)).withColumn("skip", skipped)
-    d = d.withColumn("flush", F.col("skip") | F.col("under") | is_blank(s))
-    d = d.withColumns({"seg": F.sum(F.col("flush").cast("int")).over(w), "skips": F.sum(F.col("skip").cast("int")).over(w)}).where(~F.col("flush"))
-    head = F.length(F.regexp_extract(s, r"^ {0,3}#{1,6}[ \t]+", 0))
-    marker = F.length(F.regexp_extract(s, LIST, 0))
-    d = d.withColumns({"head": head, "marker": marker})
-    kind = F.when(F.col("q") > 0, "blockquote").when(F.col("setext") | (F.col("head") > 0), "heading").when(F.col("marker") > 0, "list_item").otherwise("body")
-    is_head = (F.col("q") == 0) & ~F.col("setext") & (F.col("head") > 0)
-    trail = F.when(is_head, F.length(F.regexp_extract(s, r"[ \t]+#+[ \t]*$", 0))).otherwise(0)
-    shown = _mask_marks(F.col("raw"), F.col("q"), F.when(is_head, F.col("head")).otherwise(0), trail, F.when(kind == "list_item", F.col("marker")).otherwise(0))
-    d = d.withColumns({"kind": kind, "text": mask_inline(shown)}).where(~is_blank(F.col("text")))
-    # a plain line goes on with a list item while it and all lines since the item's first are indented enough
-    d = d.withColumn("anchor", F.sum((F.col("kind") != "body").cast("int")).over(w))
-    g = Window.partitionBy("path", "seg", "anchor").orderBy("n")
-    d = d.withColumns({"of": F.first("kind").over(g), "least": F.first("marker").over(g)})
-    d = d.withColumn("short", F.max(((F.col("kind") == "body") & (indent(F.col("raw")) < F.col("least"))).cast("int")).over(g))
-    d = d.withColumn("context", F.when((F.col("kind") == "body") & (F.col("of") == "list_item") & (F.col("least") > 0) & (F.col("short") == 0), "list_item").otherwise(F.col("kind")))
-    forced = F.col("kind").isin("heading", "list_item")
-    fresh = forced | (F.lag("seg", 1, -1).over(w) != F.col("seg")) | (F.lag("context", 1, "").over(w) != F.col("context"))
-    d = d.withColumns({"block_start": fresh, "gap": F.col("skips") > F.lag("skips", 1, 0).over(w)}).withColumn("block", F.sum(F.col("block_start").cast("int")).over(w))
-    b = Window.partitionBy("path", "block").orderBy("n")
-    return d.withColumn("break_before", F.first("gap").over(b)).select("path", "n", "raw", "text", "context", "block", "block_start", "break_before")
-
-
-def paragraphs(rows: DataFrame) -> DataFrame:
-    """path, start, text of paragraphs: runs of lines that are no code, HTML, heading, list item or blank; quote prefixes are taken off."""
-    w = Window.partitionBy("path").orderBy("n")
-    s = F.col("s")
-    setext = ~F.col("code") & ~F.coalesce("next_code", F.lit(True)) & ~is_blank(s) & has(F.coalesce("next_s", F.lit("")), SETEXT)
-    d = rows.withColumn("setext", setext).withColumn("under", F.lag("setext", 1, False).over(w))
-    cut = F.col("code") | F.col("html") | F.col("setext") | F.col("under") | has(s, r"(?U)^ {0,3}#{1,6}\s+") | has(s, r"(?U)^\s*(?:[-*+]|\d+\.)\s+") | is_blank(s)
-    d = d.withColumn("cut", cut).withColumn("seg", F.sum(F.col("cut").cast("int")).over(w)).where(~F.col("cut"))
-    return d.groupBy("path", "seg").agg(F.min("n").alias("start"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "s"))), lambda x: x["s"]), "\n").alias("text")).drop("seg")
+def _shown(raw: Column, q: Column, head: Column, tail: Column, marker: Column) -> Column:
+    """raw with blanks over the quote prefix, a heading's marks or a list marker, and over inline marks."""
+    front = F.when(q > 0, q).when(head > 0, head).otherwise(marker)
+    ended = lambda t: F.when(tail > 0, F.concat(F.substring(t, F.lit(1), F.length(t) - tail), F.repeat(F.lit(" "), tail))).otherwise(t)
+    inner = lambda t: F.when(has(t, r"[`\[<]"), mask_inline(t)).otherwise(t)
+    return let(front, lambda k: F.when(k > 0, let(mask_front(raw, k), lambda t: let(ended(t), inner))).otherwise(inner(raw)))
+
+
+PROSE = "struct<n:int,raw:string,text:string,context:string,block:int,chunk:int,scope:int,break_before:boolean,example:boolean,markdown:boolean>"
+
+
+def prose(lines: Column, example: Column) -> Column:
+    """Prose lines, in order: n, raw, text (masked, same width), context, block, chunk (the same here), scope (0), break_before (of the block), example, markdown."""
+
+    def line(r: Column, under: Column, own: Column) -> Column:
+        s = r["s"]
+        table_row = F.contains(s, F.lit("|")) & has(strip(s), r"(?s)\A\|.*\|\z") & (F.length(s) - F.length(F.replace(s, F.lit("|"), F.lit(""))) >= 2)
+        skip = r["code"] | r["html"] | r["front"] | r["mdx"] | table_row
+        head = F.when(F.contains(s, F.lit("#")), F.length(F.regexp_extract(s, r"^ {0,3}#{1,6}[ \t]+", 0))).otherwise(0)
+        marker = F.length(F.regexp_extract(s, LIST, 0))
+
+        def shaped(x: Column) -> Column:
+            is_head = (r["q"] == 0) & ~own & (x["head"] > 0)
+            trail = F.when(is_head, F.length(F.regexp_extract(s, r"[ \t]+#+[ \t]*$", 0))).otherwise(0)
+            kind = F.when(r["q"] > 0, "blockquote").when(own | (x["head"] > 0), "heading").when(x["marker"] > 0, "list_item").otherwise("body")
+            whole = let(kind, lambda k: F.struct(k.alias("kind"), _shown(r["raw"], r["q"], F.when(is_head, x["head"]).otherwise(0), trail, F.when(k == "list_item", x["marker"]).otherwise(0)).alias("text")))
+            return let(whole, lambda y: F.struct(r["n"].alias("n"), r["raw"].alias("raw"), F.lit(False).alias("flush"), F.lit(False).alias("skip"), y["kind"].alias("kind"), F.when(~is_blank(y["text"]), y["text"]).alias("text"), x["marker"].alias("marker"), F.when(y["kind"] == "body", indent(r["raw"])).otherwise(0).alias("indent")))
+
+        none = F.lit(None).cast("string")
+        flushed = lambda k: F.struct(r["n"].alias("n"), r["raw"].alias("raw"), F.lit(True).alias("flush"), k.alias("skip"), none.alias("kind"), none.alias("text"), F.lit(0).alias("marker"), F.lit(0).alias("indent"))
+        return let(skip, lambda k: F.when(k | under | is_blank(s), flushed(k)).otherwise(let(F.struct(head.alias("head"), marker.alias("marker")), shaped)))
+
+    def step(state: Column, x: Column) -> Column:
+        # a plain line goes on with a list item while it and all lines since the item's first are indented enough
+        fresh_item = state["seg"] | (x["kind"] != "body")
+        of, least = F.when(fresh_item, x["kind"]).otherwise(state["of"]), F.when(fresh_item, x["marker"]).otherwise(state["least"])
+        short = F.when(fresh_item, False).otherwise(state["short"]) | ((x["kind"] == "body") & (x["indent"] < least))
+        context = F.when((x["kind"] == "body") & (of == "list_item") & (least > 0) & ~short, "list_item").otherwise(x["kind"])
+
+        def line_of(c: Column) -> Column:
+            fresh = x["kind"].isin("heading", "list_item") | state["seg"] | (c != state["ctx"])
+            block = state["block"] + fresh.cast("int")
+            brk = F.when(fresh, state["skips"]).otherwise(state["brk"])
+            after = F.struct(F.lit(False).alias("seg"), F.lit(False).alias("skips"), c.alias("ctx"), of.alias("of"), least.alias("least"), short.alias("short"), block.alias("block"), brk.alias("brk"))
+            out = F.struct(x["n"].alias("n"), x["raw"].alias("raw"), x["text"].alias("text"), c.alias("context"), block.alias("block"), block.alias("chunk"), F.lit(0).alias("scope"), brk.alias("break_before"), F.get(example, x["n"] - 1).alias("example"), F.lit(True).alias("markdown"))
+            return F.struct(after.alias("state"), out.alias("out"))
+
+        none = F.lit(None).cast(PROSE)
+        flushed = F.struct(state.withField("seg", F.lit(True)).withField("skips", state["skips"] | x["skip"]).alias("state"), none.alias("out"))
+        return F.when(x["flush"], flushed).when(x["text"].isNull(), F.struct(state.alias("state"), none.alias("out"))).otherwise(let(context, line_of))
+
+    def run(rows: Column) -> Column:
+        setext = F.transform(rows, lambda r, i: ~r["code"] & ~F.coalesce(F.get(rows, i + 1)["code"], F.lit(True)) & _underlined(r, F.get(rows, i + 1)))
+        shaped = let(setext, lambda sx: F.transform(rows, lambda r, i: line(r, F.coalesce(F.get(sx, i - 1), F.lit(False)), F.get(sx, i))))
+        zero = F.expr("named_struct('seg', true, 'skips', false, 'ctx', '', 'of', '', 'least', 0, 'short', false, 'block', 0, 'brk', false)")
+        return kept(scan(shaped, zero, step, PROSE))
+
+    return let(lines, run)
+
+
+def paragraphs(lines: Column) -> Column:
+    """start, text of paragraphs: runs of lines that are no code, HTML, heading, list item or blank; quote prefixes are taken off."""
+
+    def run(rows: Column) -> Column:
+        setext = F.transform(rows, lambda r, i: ~r["code"] & ~F.coalesce(F.get(rows, i + 1)["code"], F.lit(True)) & _underlined(r, F.get(rows, i + 1)))
+        cut = lambda r, i, sx: r["code"] | r["html"] | F.get(sx, i) | F.coalesce(F.get(sx, i - 1), F.lit(False)) | has(r["s"], r"(?U)^ {0,3}#{1,6}\s+") | has(r["s"], r"(?U)^\s*(?:[-*+]|\d+\.)\s+") | is_blank(r["s"])
+        open_ = let(setext, lambda sx: kept(F.transform(rows, lambda r, i: F.when(~cut(r, i, sx), r))))
+        return F.transform(groups(open_, lambda a, b: b["n"] == a["n"] + 1), lambda g: F.struct(g[0]["n"].alias("start"), F.array_join(F.transform(g, lambda r: r["s"]), "\n").alias("text")))
+
+    return let(lines, run)
 
 
 # --- references and links
 
 LABEL = r"\[((?:\\.|[^\[\]\\])+)\]"
-DEFINITION = rf"(?U)^(\s*)\[((?:\\.|[^\[\]\\])+)\]:(\s*)(\S*)"
+DEFINITION = r"(?U)^(\s*)\[((?:\\.|[^\[\]\\])+)\]:(\s*)(\S*)"
+#: An inline link (passed over), or a reference use with an optional second label, or an image of either.
+USE = r"(?<!\\)!?\[((?:\\.|[^\[\]\\])+)\](?:\([^)]*\)?|\[((?:\\.|[^\[\]\\])*)\])?"
 
 
 def normal_label(label: Column) -> Column:
     """Unescaped brackets, single blanks, lower case."""
-    return F.lower(F.array_join(F.filter(F.split(F.regexp_replace(label, r"\\([\[\]])", "$1"), r"(?U)\s+"), lambda w: w != ""), " "))
+    return F.lower(F.array_join(words(F.regexp_replace(label, r"\\([\[\]])", "$1")), " "))
 
 
-def _open_lines(rows: DataFrame) -> DataFrame:
-    return rows.where(~F.col("code") & ~F.col("html"))
+def _open_lines(lines: Column) -> Column:
+    return F.filter(lines, lambda r: ~r["code"] & ~r["html"])
 
 
-def definitions(rows: DataFrame) -> DataFrame:
-    """path, n, label, text, destination, col, end_col, dest_start, dest_end of single-line reference definitions (footnotes aside)."""
-    part = lambda k: F.regexp_extract("s", DEFINITION, k)
-    d = _open_lines(rows).where(has(F.col("s"), DEFINITION)).select("path", "n", "q", part(1).alias("pre"), part(2).alias("text"), part(3).alias("mid"), part(4).alias("destination"))
-    d = d.withColumn("label", normal_label(F.col("text"))).where((F.col("label") != "") & ~F.startswith("label", F.lit("^")))
-    close = F.col("q") + F.length("pre") + F.length("text") + 2
-    at = close + 1 + F.length("mid") + 1
-    return d.select("path", "n", "label", "text", "destination", (F.col("q") + F.length("pre") + 1).alias("col"), (close + 1).alias("end_col"), at.alias("dest_start"), (at + F.length("destination")).alias("dest_end"))
+def _named(label: Column) -> Column:
+    return (label != "") & ~F.startswith(label, F.lit("^"))
 
 
-#: An inline link (passed over), or a reference use with an optional second label, or an image of either.
-USE = r"(?<!\\)!?\[((?:\\.|[^\[\]\\])+)\](?:\([^)]*\)?|\[((?:\\.|[^\[\]\\])*)\])?"
+def definitions(lines: Column) -> Column:
+    """n, label, text, destination, col, end_col, dest_start, dest_end of single-line reference definitions (footnotes aside)."""
+
+    def one(r: Column) -> Column:
+        part = lambda k: F.regexp_extract(r["s"], DEFINITION, k)
+        close = r["q"] + F.length(part(1)) + F.length(part(2)) + 2
+        at = close + 1 + F.length(part(3)) + 1
+        return F.struct(r["n"].alias("n"), normal_label(part(2)).alias("label"), part(2).alias("text"), part(4).alias("destination"), (r["q"] + F.length(part(1)) + 1).alias("col"), (close + 1).alias("end_col"), at.alias("dest_start"), (at + F.length(part(4))).alias("dest_end"))
+
+    return F.filter(F.transform(F.filter(_open_lines(lines), lambda r: F.contains(r["s"], F.lit("]:")) & has(r["s"], DEFINITION)), one), lambda d: _named(d["label"]))
+
+
+def _masked(r: Column) -> Column:
+    return mask(r["s"], INLINE_CODE)
+
+
+def uses(lines: Column, defs: Column) -> Column:
+    """n, label, text, col, end_col of reference uses; a lone [label] is one only where the document defines it."""
+    labels, at = F.transform(defs, lambda d: d["label"]), F.transform(defs, lambda d: d["n"])
+
+    def of_line(r: Column, known: Column) -> Column:
+        def use(m: Column) -> Column:
+            text, second = F.regexp_extract(m["t"], USE, 1), F.regexp_extract(m["t"], USE, 2)
+            full = has(m["t"], r"\]\[[^\]]*\]\z")
+            label = normal_label(F.when(full & (second != ""), second).otherwise(text))
+            whole = lambda l: F.when(_named(l) & (full | F.array_contains(known, l)), F.struct(r["n"].alias("n"), l.alias("label"), text.alias("text"), (m["a"] + 1 + r["q"]).alias("col"), (m["b"] + 1 + r["q"]).alias("end_col")))
+            return F.when(~has(m["t"], r"\A!?\[(?:\\.|[^\[\]\\])+\]\("), let(label, whole))
+
+        return kept(F.transform(let(_masked(r), lambda s: matches(s, USE)), use))
+
+    def run(x: Column) -> Column:
+        wanted = F.filter(_open_lines(lines), lambda r: F.contains(r["s"], F.lit("[")) & ~F.array_contains(x["at"], r["n"]))
+        return F.flatten(F.transform(wanted, lambda r: of_line(r, x["labels"])))
+
+    return let(F.struct(labels.alias("labels"), at.alias("at")), run)
+
+
+LINKS = "array<struct<n:int,text:string,url:string,col:int,url_start:int,url_end:int>>"
+
+
+def links(lines: Column, defs: Column, used: Column) -> Column:
+    """n, text, url, col, url_start, url_end (null for a reference use) of inline links, reference uses, autolinks and unused definitions."""
+    inline, none = r"(?s)\[([^\]]+)\]\(([^)]*)\)", F.lit(None).cast("int")
+
+    def made(n: Column, text: Column, url: Column, col: Column, start: Column, end: Column) -> Column:
+        return F.struct(n.alias("n"), text.alias("text"), url.alias("url"), col.alias("col"), start.alias("url_start"), end.alias("url_end"))
+
+    def of_line(r: Column) -> Column:
+        def both(s: Column) -> Column:
+            def link(m: Column) -> Column:
+                label, url, at = F.regexp_extract(m["t"], inline, 1), F.regexp_extract(m["t"], inline, 2), r["q"] + m["a"] + 1
+                return made(r["n"], label, url, at, at + F.length(label) + 3, at + F.length(label) + 3 + F.length(url))
+
+            auto = lambda m: made(r["n"], m["t"], m["t"], r["q"] + m["a"], r["q"] + m["a"] + 1, r["q"] + m["b"] + 1)
+            return F.concat(F.transform(matches(s, r"\[[^\]]+\]\([^)]*\)"), link), F.transform(matches(s, AUTOLINK), auto))
+
+        return let(_masked(r), both)
+
+    plain = F.flatten(F.transform(F.filter(_open_lines(lines), lambda r: F.contains(r["s"], F.lit("](")) | F.contains(r["s"], F.lit("<http"))), of_line))
 
+    def referenced(x: Column) -> Column:
+        first = F.filter(x["defs"], lambda d, i: F.array_position(x["labels"], d["label"]) == i + 1)
+        names = F.transform(x["used"], lambda u: u["label"])
+        of_use = lambda u: made(u["n"], u["text"], F.get(x["defs"], (F.array_position(x["labels"], u["label"]) - 1).cast("int"))["destination"], u["col"], none, none)
+        met = F.transform(F.filter(x["used"], lambda u: F.array_contains(x["labels"], u["label"])), of_use)
+        unused = F.transform(F.filter(first, lambda d: ~F.array_contains(names, d["label"])), lambda d: made(d["n"], d["text"], d["destination"], d["dest_start"], d["dest_start"], d["dest_end"]))
+        return F.concat(met, unused)
 
-def uses(rows: DataFrame, defs: DataFrame) -> DataFrame:
-    """path, n, label, text, col, end_col of reference uses; a lone [label] is one only where the document defines it."""
-    from inkgauge.functions.text import matches
-
-    known = defs.groupBy("path").agg(F.collect_set("label").alias("known"))
-    plain = _open_lines(rows).join(defs.select("path", "n").distinct(), ["path", "n"], "left_anti")
-    hit = plain.where(F.contains("s", F.lit("["))).select("path", "n", "q", F.explode(let(mask(F.col("s"), INLINE_CODE), lambda s: matches(s, USE))).alias("m"))
-    text, second = F.regexp_extract("m.t", USE, 1), F.regexp_extract("m.t", USE, 2)
-    hit = hit.where(~has(F.col("m.t"), r"\A!?\[(?:\\.|[^\[\]\\])+\]\(")).select("path", "n", "q", "m", text.alias("text"), has(F.col("m.t"), r"\]\[[^\]]*\]\z").alias("full"), second.alias("second"))
-    hit = hit.withColumn("label", normal_label(F.when(F.col("full") & (F.col("second") != ""), F.col("second")).otherwise(F.col("text"))))
-    hit = hit.join(known, "path", "left").where(F.col("full") | F.coalesce(F.array_contains("known", F.col("label")), F.lit(False)))
-    return hit.where((F.col("label") != "") & ~F.startswith("label", F.lit("^"))).select("path", "n", "label", "text", (F.col("m.a") + 1 + F.col("q")).alias("col"), (F.col("m.b") + 1 + F.col("q")).alias("end_col"))
-
-
-def links(rows: DataFrame, defs: DataFrame, used: DataFrame) -> DataFrame:
-    """path, n, text, url, col, url_start, url_end (null for a reference use) of inline links, reference uses, autolinks and unused definitions."""
-    from inkgauge.functions.text import matches
-
-    plain = _open_lines(rows).select("path", "n", "q", mask(F.col("s"), INLINE_CODE).alias("s"))
-    inline = plain.where(F.contains("s", F.lit("]("))).select("path", "n", "q", F.explode(matches(F.col("s"), r"\[[^\]]+\]\([^)]*\)")).alias("m"))
-    label, url = F.regexp_extract("m.t", r"(?s)\[([^\]]+)\]\(([^)]*)\)", 1), F.regexp_extract("m.t", r"(?s)\[([^\]]+)\]\(([^)]*)\)", 2)
-    at = F.col("q") + F.col("m.a") + 1
-    inline = inline.select("path", "n", label.alias("text"), url.alias("url"), at.alias("col"), (at + F.length(label) + 3).alias("url_start"), (at + F.length(label) + 3 + F.length(url)).alias("url_end"))
-    auto = plain.select("path", "n", "q", F.explode(matches(F.col("s"), AUTOLINK)).alias("m")).select(
-        "path", "n", F.col("m.t").alias("text"), F.col("m.t").alias("url"), (F.col("q") + F.col("m.a")).alias("col"), (F.col("q") + F.col("m.a") + 1).alias("url_start"), (F.col("q") + F.col("m.b") + 1).alias("url_end")
-    )
-    ranked = defs.withColumn("rank", F.row_number().over(Window.partitionBy("path", "label").orderBy("n"))).where("rank = 1")
-    none = F.lit(None).cast("int")
-    met = used.join(ranked.select("path", "label", F.col("destination").alias("url")), ["path", "label"]).select("path", "n", "text", "url", "col", none.alias("url_start"), none.alias("url_end"))
-    unused = ranked.join(used.select("path", "label").distinct(), ["path", "label"], "left_anti")
-    unused = unused.select("path", "n", "text", F.col("destination").alias("url"), F.col("dest_start").alias("col"), F.col("dest_start").alias("url_start"), F.col("dest_end").alias("url_end"))
-    return inline.unionByName(met).unionByName(auto).unionByName(unused)
+    return F.concat(plain, let(F.struct(defs.alias("defs"), used.alias("used"), F.transform(defs, lambda d: d["label"]).alias("labels")), referenced))

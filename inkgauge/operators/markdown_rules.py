@@ -1,166 +1,204 @@
-"""Rules over Markdown's structure: headings, paragraphs, fences, lists, references and links."""
+"""Rules over Markdown's structure: headings, paragraphs, fences, lists, references and links.
+
+They read the columns content, lines, heads, fences and example (of each line) of a document's row.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkgauge.functions.text import count, has, indent, is_blank, matches, strip, words
+from inkgauge.functions.text import count, groups, has, indent, is_blank, kept, let, matches, scan, strip, words
 from inkgauge.operators import markdown as M
-from inkgauge.operators.findings import issue, quoted, rows
+from inkgauge.operators.findings import issue, none, of_each, quoted, rows
 from inkgauge.plans import lexicon as L
 
 
+def title_case(h: Column) -> Column:
+    own = words(h["title"])
+    large = F.size(F.filter(own, lambda x: has(x, r"(?U)^\p{Lu}") & ~F.lower(x).isin(*L.SMALL_WORDS)))
+    return F.when((F.size(own) >= 3) & (large / F.size(own) > 0.6), issue("T001", "Title case heading (consider sentence case)", h["start"], h["col"], h["end_col"]))
+
 
-def heading_rules(heads: DataFrame, chosen: set[str]) -> list[DataFrame]:
-    out = []
-    w = Window.partitionBy("path").orderBy("start")
+def heading_rules(chosen: set[str]) -> list[Column]:
+    out, heads = [], F.col("heads")
     if "T001" in chosen:
-        own = words(F.col("title"))
-        large = F.size(F.filter(own, lambda x: has(x, r"(?U)^\p{Lu}") & ~F.lower(x).isin(*L.SMALL_WORDS)))
-        out.append(rows(heads.where((F.size(own) >= 3) & (large / F.size(own) > 0.6)), issue("T001", "Title case heading (consider sentence case)", F.col("start"), F.col("col"), F.col("end_col"))))
+        out.append(rows(heads, title_case))
     if "S028" in chosen:
-        message = F.concat(F.lit("Excessive heading depth: level "), F.col("level").cast("string"), F.lit(" heading '"), F.col("title"), F.lit("'"))
-        out.append(rows(heads.where("level >= 5"), issue("S028", message, F.col("start"), F.col("col"), F.col("end_col"), suggestion="Use a level-4 or shallower heading")))
+        message = lambda h: F.concat(F.lit("Excessive heading depth: level "), h["level"].cast("string"), F.lit(" heading '"), h["title"], F.lit("'"))
+        out.append(rows(heads, lambda h: F.when(h["level"] >= 5, issue("S028", message(h), h["start"], h["col"], h["end_col"], suggestion="Use a level-4 or shallower heading"))))
     if "M008" in chosen:
-        before = F.col("before")
-        jump = heads.withColumn("before", F.lag("level").over(w)).where("level > before + 1")
-        message = F.concat(F.lit("Heading level jumps from "), before.cast("string"), F.lit(" to "), F.col("level").cast("string"))
-        hint = F.concat(F.lit("Add a level-"), (before + 1).cast("string"), F.lit(" heading before this level-"), F.col("level").cast("string"), F.lit(" heading"))
-        out.append(rows(jump, issue("M008", message, F.col("start"), F.col("col"), F.col("end_col"), confidence="high", suggestion=hint)))
+
+        def jump(h: Column, i: Column) -> Column:
+            before, level = F.get(heads, i - 1)["level"], h["level"]
+            message = F.concat(F.lit("Heading level jumps from "), before.cast("string"), F.lit(" to "), level.cast("string"))
+            hint = F.concat(F.lit("Add a level-"), (before + 1).cast("string"), F.lit(" heading before this level-"), level.cast("string"), F.lit(" heading"))
+            return F.when(level > before + 1, issue("M008", message, h["start"], h["col"], h["end_col"], confidence="high", suggestion=hint))
+
+        out.append(kept(F.transform(heads, jump)))
     return out
 
 
-def empty_headings(heads: DataFrame, lines: DataFrame) -> DataFrame:
+def empty_headings() -> Column:
     """S025: a heading before a peer or ancestor with only blank lines between."""
-    w = Window.partitionBy("path").orderBy("start")
-    d = heads.withColumns({"next_level": F.lead("level").over(w), "next_start": F.lead("start").over(w)}).where("next_level <= level")
-    filled = lines.where(~is_blank(F.col("s"))).select("path", "n")
-    below = F.col("start") + F.when(F.col("atx"), 0).otherwise(1)
-    d = d.withColumn("below", below)
-    body = d.join(filled, "path").where("n > below and n < next_start").select("path", "start").distinct()
-    empty = d.join(body, ["path", "start"], "left_anti")
-    return rows(empty, issue("S025", quoted("Heading without body", F.col("title")), F.col("start"), F.col("col"), F.col("end_col"), confidence="high", suggestion="Add content under this heading or remove it"))
+    heads = F.col("heads")
 
+    def one(h: Column, i: Column) -> Column:
+        after, below = F.get(heads, i + 1), h["start"] + F.when(h["atx"], 0).otherwise(1)
+        between = F.slice("lines", below + 1, F.greatest(after["start"] - below - 1, F.lit(0)))
+        empty = (after["level"] <= h["level"]) & ~F.exists(between, lambda r: ~is_blank(r["s"]))
+        return F.when(empty, issue("S025", quoted("Heading without body", h["title"]), h["start"], h["col"], h["end_col"], confidence="high", suggestion="Add content under this heading or remove it"))
 
-def tiny_sections(heads: DataFrame, lines: DataFrame) -> DataFrame:
+    return kept(F.transform(heads, one))
+
+
+def tiny_sections() -> Column:
     """S029: at least three sibling sections in a row with bodies of one to five plain words."""
-    plain = F.lower(F.col("title"))
-    own = F.regexp_extract_all(plain, F.lit("[a-z]+"), F.lit(0))
     lists = lambda *w: F.array(*map(F.lit, w))
-    excluded = has(F.col("title"), r"(?U)\?\s*\z") | F.arrays_overlap(own, lists("api", "changelog", "example", "examples", "faq", "faqs", "reference"))
-    for group in (("release", "notes"), ("frequently", "asked", "questions")):
-        excluded = excluded | (F.size(F.array_intersect(own, lists(*group))) == len(group))
-    w = Window.partitionBy("path").orderBy("start")
-    earlier = F.collect_list(F.struct("level", "excluded")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    # an ancestor is the last earlier heading of a lower level that no heading between has closed
-    closed = F.aggregate(F.reverse("earlier"), F.struct(F.col("level").alias("least"), F.lit(False).alias("out")), lambda s, x: F.when(x["level"] < s["least"], F.struct(x["level"].alias("least"), (s["out"] | x["excluded"]).alias("out"))).otherwise(s))
-    d = heads.withColumn("excluded", excluded).withColumn("earlier", earlier).withColumn("barred", F.col("excluded") | closed["out"])
-    body = lines.select("path", "n", "raw", "code")
-    met = d.select("path", "start", "end_line").join(body, "path").where("n > start and n <= end_line")
-    text = met.groupBy("path", "start").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "raw"))), lambda x: x["raw"]), "\n").alias("raw"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("code"), F.struct("n", "raw")))), lambda x: x["raw"]), "\n").alias("body"),
-    )
-    d = d.join(text, ["path", "start"], "left").withColumns({"raw": F.coalesce("raw", F.lit("")), "body": strip(F.coalesce("body", F.lit("")))})
+
+    def excluded(h: Column) -> Column:
+        own = F.regexp_extract_all(F.lower(h["title"]), F.lit("[a-z]+"), F.lit(0))
+        named = F.arrays_overlap(own, lists("api", "changelog", "example", "examples", "faq", "faqs", "reference"))
+        for group in (("release", "notes"), ("frequently", "asked", "questions")):
+            named = named | (F.size(F.array_intersect(own, lists(*group))) == len(group))
+        return has(h["title"], r"(?U)\?\s*\z") | named
+
+    def step(state: Column, x: Column) -> Column:  # ancestors are the earlier headings of lower levels that none between has closed
+        above = F.filter(state, lambda a: a["level"] < x["level"])
+        own = F.struct(x["level"].alias("level"), x["excluded"].alias("excluded"))
+        return let(above, lambda up: F.struct(F.concat(up, F.array(own)).alias("state"), (x["excluded"] | F.exists(up, lambda a: a["excluded"])).alias("out")))
+
     structured = r"(?mU)^(?: {4}\S|\t\S|\s*(?:[-*+>]\s+|\d+[.)]\s+|.*\|.*|```|~~~|<[!/A-Za-z]))"
     linked = r"(?mU)https?://|!?\[[^\]]+\](?:\([^)]+\)|\[[^\]]*\])|^\s*\[[^\]]+\]:\s*\S+"
-    tiny = (
-        (F.col("level") > 1) & ~F.col("barred") & (F.col("body") != "") & (count(F.col("body"), r"(?U)[\w'-]+") <= 5) & ~has(F.col("raw"), r"(?U)\n\s*\n") & ~has(F.col("raw"), structured) & ~F.contains("raw", F.lit("`")) & ~has(F.col("raw"), linked)
-    )
-    d = d.withColumn("tiny", tiny)
-    step = (~F.col("tiny") | ~F.coalesce(F.lag("tiny").over(w), F.lit(False)) | (F.lag("level").over(w) != F.col("level"))).cast("int")
-    d = d.withColumn("step", step).withColumn("run", F.sum("step").over(w)).where("tiny")
-    whole = d.groupBy("path", "run").agg(F.count("*").alias("n"), F.min(F.struct("start", "col", "end_col", "level")).alias("f")).where("n >= 3").select("path", "n", "f.*")
-    message = F.concat(F.lit("Tiny-section run: "), F.col("n").cast("string"), F.lit(" consecutive level-"), F.col("level").cast("string"), F.lit(" sections"))
-    return rows(whole, issue("S029", message, F.col("start"), F.col("col"), F.col("end_col"), confidence="low", suggestion="Merge related sections or expand their content"))
 
+    def told(h: Column, barred: Column) -> Column:
+        own = F.slice("lines", h["start"] + 1, h["end_line"] - h["start"])
+        joined = lambda ls: F.array_join(F.transform(ls, lambda r: r["raw"]), "\n")
+
+        def tiny(x: Column) -> Column:
+            plain = ~has(x["raw"], r"(?U)\n\s*\n") & ~has(x["raw"], structured) & ~F.contains(x["raw"], F.lit("`")) & ~has(x["raw"], linked)
+            return (h["level"] > 1) & ~barred & (x["body"] != "") & (count(x["body"], r"(?U)[\w'-]+") <= 5) & plain
+
+        text = F.struct(joined(own).alias("raw"), strip(joined(F.filter(own, lambda r: ~r["code"]))).alias("body"))
+        return F.struct(*(h[c].alias(c) for c in ("start", "level", "col", "end_col")), let(text, tiny).alias("tiny"))
+
+    def run(heads: Column) -> Column:
+        stack = scan(F.transform(heads, lambda h: F.struct(h["level"].alias("level"), excluded(h).alias("excluded"))), F.expr("cast(array() as array<struct<level:int,excluded:boolean>>)"), step, "boolean")
+        return let(stack, lambda barred: F.transform(heads, lambda h, i: told(h, F.get(barred, i))))
+
+    def one(g: Column) -> Column:
+        f = g[0]
+        message = F.concat(F.lit("Tiny-section run: "), F.size(g).cast("string"), F.lit(" consecutive level-"), f["level"].cast("string"), F.lit(" sections"))
+        return F.when(f["tiny"] & (F.size(g) >= 3), issue("S029", message, f["start"], f["col"], f["end_col"], confidence="low", suggestion="Merge related sections or expand their content"))
 
-def bold_overuse(parts: DataFrame, threshold: int) -> DataFrame:
-    n = count(F.col("text"), r"\*\*[^*]+\*\*")
-    return rows(parts.where(n > threshold), issue("T002", F.concat(F.lit("Bold overuse: "), n.cast("string"), F.lit(" bold phrases in paragraph")), F.col("start"), 1))
+    return F.when(F.size("heads") >= 3, rows(groups(run(F.col("heads")), lambda a, b: a["tiny"] & b["tiny"] & (a["level"] == b["level"])), one)).otherwise(none())
 
 
-def label_lists(lines: DataFrame, threshold: int) -> DataFrame:
+def bold_overuse(threshold: int) -> Column:
+    def one(p: Column) -> Column:
+        message = lambda n: F.concat(F.lit("Bold overuse: "), n.cast("string"), F.lit(" bold phrases in paragraph"))
+        return let(count(p["text"], r"\*\*[^*]+\*\*"), lambda n: F.when(n > threshold, issue("T002", message(n), p["start"], 1)))
+
+    return F.when(F.contains("content", F.lit("**")), rows(M.paragraphs(F.col("lines")), one)).otherwise(none())
+
+
+def label_lists(threshold: int) -> Column:
     """S004: bold labels at the head of consecutive list items; lines of code and HTML don't count."""
-    w = Window.partitionBy("path").orderBy("n")
-    d = lines.where(~F.col("code") & ~F.col("html")).withColumn("k", F.row_number().over(w)).where(has(strip(F.col("raw")), r"(?U)^[-*]\s+\*\*[^*]+\*\*:\s+"))
-    d = d.withColumn("island", F.col("k") - F.row_number().over(w))
-    whole = d.groupBy("path", "island").agg(F.count("*").alias("total"), F.min("n").alias("n")).where(F.col("total") >= threshold)
-    return rows(whole, issue("S004", F.concat(F.lit("Inline header list pattern ("), F.col("total").cast("string"), F.lit(" items)")), F.col("n"), 1))
+    open_ = F.filter("lines", lambda r: ~r["code"] & ~r["html"])
+    labels = kept(F.transform(open_, lambda r, k: F.when(F.contains(r["raw"], F.lit("**")) & has(strip(r["raw"]), r"(?U)^[-*]\s+\*\*[^*]+\*\*:\s+"), F.struct(r["n"].alias("n"), k.alias("k")))))
+    message = lambda g: F.concat(F.lit("Inline header list pattern ("), F.size(g).cast("string"), F.lit(" items)"))
+    return rows(groups(labels, lambda a, b: b["k"] == a["k"] + 1), lambda g: F.when(F.size(g) >= threshold, issue("S004", message(g), g[0]["n"], 1)))
+
 
+def unclosed_fences() -> Column:
+    def one(f: Column) -> Column:
+        hint = F.concat(F.lit("Add a matching '"), f["fence"], F.lit("' closing fence"))
+        return F.when(~f["closed"], issue("M007", quoted("Unclosed code fence", f["fence"]), f["a"], f["col"], f["col"] + F.length(f["fence"]), confidence="high", suggestion=hint))
 
-def unclosed_fences(lines: DataFrame) -> DataFrame:
-    f = lines.where("n = 1").select("path", F.explode(F.filter("fences", lambda x: ~x["closed"])).alias("f"))
-    fence, col = F.col("f.fence"), F.col("f.col")
-    hint = F.concat(F.lit("Add a matching '"), fence, F.lit("' closing fence"))
-    return rows(f, issue("M007", quoted("Unclosed code fence", fence), F.col("f.a"), col, col + F.length(fence), confidence="high", suggestion=hint))
+    return rows(F.col("fences"), one)
 
 
-def repeated_paragraphs(docs: DataFrame) -> DataFrame:
+def repeated_paragraphs() -> Column:
     """S016: a raw paragraph of eight or more words that stood before, or that restates one after a conclusion's phrase."""
-    lines = docs.select("path", F.posexplode(F.split("content", "\n", -1)).alias("n", "raw")).withColumn("n", F.col("n") + 1)
-    w = Window.partitionBy("path").orderBy("n")
-    lines = lines.withColumn("blank", is_blank(F.col("raw"))).withColumn("seg", F.sum(F.col("blank").cast("int")).over(w)).where("not blank")
-    ls = F.sort_array(F.collect_list(F.struct("n", "raw")))
-    p = lines.groupBy("path", "seg").agg(ls.alias("ls"))
-    own = words(F.lower(F.array_join(F.transform("ls", lambda x: x["raw"]), " ")))
-    last = F.element_at("ls", -1)
-    p = p.select("path", F.col("ls")[0]["n"].alias("start"), (indent(F.col("ls")[0]["raw"]) + 1).alias("col"), last["n"].alias("last"), (F.length(F.regexp_replace(last["raw"], r"(?U)\s+\z", "")) + 1).alias("end_col"), own.alias("own"))
-    p = p.where(F.size("own") >= 8).withColumn("key", F.array_join("own", " ")).drop("own")
-    by = Window.partitionBy("path", "key").orderBy("start")
-    p = p.withColumn("first", F.min("start").over(by))
     conclusion = r"(?iU)^(?:in conclusion|to sum up|as we've seen|as we have seen|in closing)\b\s*[,;:—-]?\s*"
-    p = p.withColumn("rest", F.when((F.col("first") == F.col("start")) & has(F.col("key"), conclusion), F.regexp_replace("key", conclusion, "")))
-    seen = p.where("first = start").select("path", F.col("key").alias("rest"), F.col("start").alias("said"))
-    p = p.join(seen, ["path", "rest"], "left").withColumn("restated", F.col("said") < F.col("start"))
-    # a restated conclusion isn't remembered itself, so an exact repeat of it restates the first text again
-    lead = F.when(F.col("restated"), F.lit("Repeated conclusion (first seen at line ")).otherwise(F.lit("Duplicate paragraph (first seen at line "))
-    line = F.when(F.col("restated"), F.col("said")).otherwise(F.col("first"))
-    hit = p.where("first < start or restated")
-    return rows(hit, issue("S016", F.concat(lead, line.cast("string"), F.lit(")")), F.col("start"), F.col("col"), F.col("end_col"), F.col("last")))
+    filled = F.filter(F.transform("lines", lambda r: F.struct(r["n"].alias("n"), r["raw"].alias("raw"))), lambda r: ~is_blank(r["raw"]))
 
+    def paragraph(g: Column) -> Column:
+        own, last = words(F.lower(F.array_join(F.transform(g, lambda r: r["raw"]), " "))), F.element_at(g, -1)
+        end = F.length(F.regexp_replace(last["raw"], r"(?U)\s+\z", "")) + 1
+        whole = lambda w: F.when(F.size(w) >= 8, F.struct(g[0]["n"].alias("start"), (indent(g[0]["raw"]) + 1).alias("col"), last["n"].alias("last"), end.alias("end_col"), F.array_join(w, " ").alias("key")))
+        return let(own, whole)
 
-def reference_rules(lines: DataFrame, heads: DataFrame, chosen: set[str]) -> list[DataFrame]:
-    """M003, M004 (destinations), M005, M010."""
-    out = []
-    defs = M.definitions(lines)
-    used = M.uses(lines, defs)
-    n = F.col("n")
-    if "M005" in chosen:
-        lost = used.join(defs.select("path", "label").distinct(), ["path", "label"], "left_anti")
-        hint = F.concat(F.lit("Define '["), F.col("label"), F.lit("]: destination' or use an inline link"))
-        out.append(rows(lost, issue("M005", quoted("Undefined reference label", F.col("label")), n, F.col("col"), F.col("end_col"), confidence="high", suggestion=hint)))
-        several = defs.withColumn("kinds", F.size(F.collect_set("destination").over(Window.partitionBy("path", "label")))).where("kinds >= 2")
-        out.append(rows(several, issue("M005", quoted("Conflicting reference definition", F.col("label")), n, F.col("col"), F.col("end_col"), confidence="low", suggestion=F.concat(F.lit("Use one destination for reference label '"), F.col("label"), F.lit("'")))))
-    if not chosen & {"M003", "M004", "M010"}:
-        return out
-    found = M.links(lines, defs, used)
-    if "M003" in chosen:
-        hit = found.where(has(F.col("url"), L.UTM)).select("path", "n", F.coalesce("url_start", "col").alias("at"), F.explode(matches(F.col("url"), L.UTM)).alias("m"))
-        out.append(rows(hit, issue("M003", quoted("Tracking parameter", F.col("m.t")), n, F.col("at") + F.col("m.a"), F.col("at") + F.col("m.b"))))
-    if "M004" in chosen:
-        spans = found.where("url_start is not null").select("path", "n", "url_start", "url_end", F.col("url").alias("to"))
-        spans = spans.unionByName(defs.select("path", "n", F.col("dest_start").alias("url_start"), F.col("dest_end").alias("url_end"), F.col("destination").alias("to"))).dropDuplicates(["path", "n", "url_start", "url_end"])
-        to = strip(F.col("to"))
-        sure = F.when(F.lower(to).isin(*L.PLACEHOLDER_DESTINATIONS), "high").when(to.isin("", "#"), "low")
-        hit = M.with_example(spans.withColumn("sure", sure).where("sure is not null"), heads, "n").where("not example")
-        shown = F.when(to == "", "(empty)").otherwise(to)
-        out.append(rows(hit, issue("M004", quoted("Placeholder link destination", shown), n, F.col("url_start"), F.col("url_end"), confidence=F.col("sure"), suggestion="Replace the placeholder with a real destination")))
-    if "M010" in chosen:
-        weak = found.where(F.lower(F.array_join(words(F.col("text")), " ")).isin(*L.WEAK_LABELS))
-        weak = weak.join(defs.select("path", "n", F.col("dest_start").alias("url_start"), F.col("dest_end").alias("url_end")), ["path", "n", "url_start", "url_end"], "left_anti")
-        weak = weak.join(lines.select("path", "n", "raw"), ["path", "n"])
-        at = lambda a, k: F.substring(F.col("raw"), a, F.lit(k))
-        weak = weak.where((at(F.col("col"), 1) == "[") & ~((F.col("col") > 1) & (at(F.col("col") - 1, 2) == "![")))
-        weak = M.with_example(weak, heads, "n").where("not example")
-        out.append(rows(weak, issue("M010", quoted("Non-descriptive link text", F.col("text")), n, F.col("col") + 1, F.col("col") + 1 + F.length("text"), confidence="high", suggestion="Replace with text that describes the destination")))
-    return out
+    def hashed(ps: Column) -> Column:
+        """Paragraphs with the hashes of their texts and of what stands after a conclusion's phrase."""
+        rest = lambda p: F.when(has(p["key"], conclusion), F.regexp_replace(p["key"], conclusion, ""))
+        return F.transform(ps, lambda p: let(rest(p), lambda r: p.withField("hash", F.xxhash64(p["key"])).withField("rest", r).withField("rest_hash", F.when(r.isNotNull(), F.xxhash64(r)))))
+
+    def of_all(ps: Column) -> Column:
+        def first(hashes: Column, hash_: Column, key: Column) -> Column:
+            return let(F.get(ps, (F.array_position(hashes, hash_) - 1).cast("int")), lambda p: F.when(p["key"] == key, p["start"]))
 
+        def one(p: Column, hashes: Column) -> Column:
+            def told(x: Column) -> Column:
+                restated = F.coalesce((x["same"] == p["start"]) & (x["said"] < p["start"]), F.lit(False))
+                lead = F.when(restated, F.lit("Repeated conclusion (first seen at line ")).otherwise(F.lit("Duplicate paragraph (first seen at line "))
+                line = F.when(restated, x["said"]).otherwise(x["same"])
+                return F.when((x["same"] < p["start"]) | restated, issue("S016", F.concat(lead, line.cast("string"), F.lit(")")), p["start"], p["col"], p["end_col"], p["last"]))
+
+            return let(F.struct(first(hashes, p["hash"], p["key"]).alias("same"), first(hashes, p["rest_hash"], p["rest"]).alias("said")), told)
+
+        return let(F.transform(ps, lambda p: p["hash"]), lambda hashes: rows(ps, lambda p: one(p, hashes)))
+
+    return let(let(kept(F.transform(groups(filled, lambda a, b: b["n"] == a["n"] + 1), paragraph)), hashed), of_all)
+
+
+def reference_rules(chosen: set[str]) -> Column:
+    """M003, M004 (destinations), M005, M010."""
 
-def broken_markers(prose: DataFrame) -> DataFrame:
-    n, parts = F.col("n"), []
-    for k, p in enumerate(L.BROKEN_MARKERS):
-        hit = prose.where(F.col("markdown") & has(F.col("text"), p)).select("path", "n", F.explode(matches(F.col("text"), "(?U)" + p)).alias("m"))
-        parts.append(rows(hit, issue("M004", quoted("Broken reference", F.col("m.t")), n, F.col("m.a") + 1, F.col("m.b") + 1)))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    def of_links(x: Column) -> Column:
+        out, found, defs = [], x["links"], x["defs"]
+        if "M003" in chosen:
+            tracked = lambda l: F.transform(matches(l["url"], L.UTM), lambda m: issue("M003", quoted("Tracking parameter", m["t"]), l["n"], F.coalesce(l["url_start"], l["col"]) + m["a"], F.coalesce(l["url_start"], l["col"]) + m["b"]))
+            out.append(of_each(F.filter(found, lambda l: has(l["url"], L.UTM)), tracked))
+        if "M004" in chosen:
+            span = lambda n, a, b, to: F.struct(n.alias("n"), a.alias("a"), b.alias("b"), to.alias("to"))
+            spans = F.concat(F.transform(F.filter(found, lambda l: l["url_start"].isNotNull()), lambda l: span(l["n"], l["url_start"], l["url_end"], l["url"])), F.transform(defs, lambda d: span(d["n"], d["dest_start"], d["dest_end"], d["destination"])))
+
+            def placeholder(p: Column) -> Column:
+                def judged(to: Column) -> Column:
+                    sure = F.when(F.lower(to).isin(*L.PLACEHOLDER_DESTINATIONS), "high").when(to.isin("", "#"), "low")
+                    one = issue("M004", quoted("Placeholder link destination", F.when(to == "", "(empty)").otherwise(to)), p["n"], p["a"], p["b"], confidence=sure, suggestion="Replace the placeholder with a real destination")
+                    return F.when(sure.isNotNull() & ~F.get("example", p["n"] - 1), one)
+
+                return let(strip(p["to"]), judged)
+
+            out.append(rows(F.array_distinct(spans), placeholder))
+        if "M010" in chosen:
+
+            def weak(l: Column) -> Column:
+                raw = F.get("lines", l["n"] - 1)["raw"]
+                at = lambda a, k: F.substring(raw, a, F.lit(k))
+                shown = (at(l["col"], 1) == "[") & ~((l["col"] > 1) & (at(l["col"] - 1, 2) == "!["))
+                defined = F.exists(defs, lambda d: (d["n"] == l["n"]) & (d["dest_start"] == l["url_start"]) & (d["dest_end"] == l["url_end"]))
+                one = issue("M010", quoted("Non-descriptive link text", l["text"]), l["n"], l["col"] + 1, l["col"] + 1 + F.length(l["text"]), confidence="high", suggestion="Replace with text that describes the destination")
+                return F.when(F.lower(F.array_join(words(l["text"]), " ")).isin(*L.WEAK_LABELS) & shown & ~F.coalesce(defined, F.lit(False)) & ~F.get("example", l["n"] - 1), one)
+
+            out.append(rows(found, weak))
+        return F.concat(*out)
+
+    def of_uses(x: Column) -> Column:
+        out, defs, used = [], x["defs"], x["used"]
+        if "M005" in chosen:
+            labels = F.transform(defs, lambda d: d["label"])
+            hint = lambda u: F.concat(F.lit("Define '["), u["label"], F.lit("]: destination' or use an inline link"))
+            lost = lambda u, known: F.when(~F.array_contains(known, u["label"]), issue("M005", quoted("Undefined reference label", u["label"]), u["n"], u["col"], u["end_col"], confidence="high", suggestion=hint(u)))
+            out.append(let(labels, lambda known: rows(used, lambda u: lost(u, known))))
+            one_of = lambda d: F.concat(F.lit("Use one destination for reference label '"), d["label"], F.lit("'"))
+            several = lambda d: F.exists(defs, lambda o: (o["label"] == d["label"]) & (o["destination"] != d["destination"]))
+            out.append(rows(defs, lambda d: F.when(several(d), issue("M005", quoted("Conflicting reference definition", d["label"]), d["n"], d["col"], d["end_col"], confidence="low", suggestion=one_of(d)))))
+        if chosen & {"M003", "M004", "M010"}:
+            out.append(let(F.struct(M.links(F.col("lines"), defs, used).alias("links"), defs.alias("defs")), of_links))
+        return F.concat(*out)
+
+    with_uses = lambda defs: let(F.struct(defs.alias("defs"), M.uses(F.col("lines"), defs).alias("used")), of_uses)
+    return F.when(F.contains("content", F.lit("[")) | F.contains("content", F.lit("<http")), let(M.definitions(F.col("lines")), with_uses)).otherwise(none())

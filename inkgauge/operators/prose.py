@@ -1,11 +1,11 @@
-"""Sentences with exact source positions, and the windows around them."""
+"""Chunks and sentences with exact source positions, inside a document's own row."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkgauge.functions.text import let, strip
+from inkgauge.functions.text import MARK, blocks, groups, kept, let, piece, scan
 
 #: End of a sentence: closing punctuation and quotes before white space, unless an abbreviation or initialism ends there. The
 #: abbreviations are fixed values.
@@ -13,7 +13,6 @@ BOUNDARY = (
     r"(?iU)(?<![.!?])(?:[!?]|(?<!(?<![A-Za-z.])(?:dr|e\.g|eq|etc|fig|i\.e|jr|mr|mrs|ms|no|prof|sr|st|vs))(?<![A-Za-z]\.[A-Za-z])\.)"
     r"""[.!?]*["')\]”’]*(?=\s|\z)"""
 )
-_SENTENCES = "array<struct<text:string,a:int,l0:int,c0:int,l1:int,c1:int>>"
 
 
 def _newlines(text: Column) -> Column:
@@ -21,52 +20,75 @@ def _newlines(text: Column) -> Column:
 
 
 def split_sentences(text: Column) -> Column:
-    """Sentences of a text of lines: text, a (offset), l0 and c0 (line index and 0-based column of the start), l1 and c1 (of the end)."""
+    """Sentences of a text of lines: text, a (offset), l0 and c0 (line index and 0-based column of the start), l1 and c1 (of the end).
 
-    def run(value: Column) -> Column:
-        pieces = F.transform(F.arrays_zip(F.split(value, BOUNDARY, -1).alias("gap"), F.regexp_extract_all(value, F.lit(BOUNDARY), F.lit(0)).alias("hit")), lambda x: F.concat(x["gap"], F.coalesce(x["hit"], F.lit(""))))
-        start = F.expr(f"named_struct('at', 0, 'l', 0, 'c', 0, 'out', cast(array() as {_SENTENCES}))")
+    One search marks the boundaries, one split cuts there, one linear fold counts lines and columns. A text's U+FFFF is read as U+FFFE.
+    """
 
-        def step(state: Column, piece: Column) -> Column:
-            lead = F.regexp_extract(piece, r"(?U)^\s*", 0)
-            body = strip(piece)
-            l0 = state["l"] + _newlines(lead)
-            c0 = F.when(_newlines(lead) > 0, F.length(F.substring_index(lead, "\n", -1))).otherwise(state["c"] + F.length(lead))
-            l1 = l0 + _newlines(body)
-            c1 = F.when(_newlines(body) > 0, F.length(F.substring_index(body, "\n", -1))).otherwise(c0 + F.length(body))
-            own = F.struct(body.alias("text"), (state["at"] + F.length(lead)).alias("a"), l0.alias("l0"), c0.alias("c0"), l1.alias("l1"), c1.alias("c1"))
-            return F.struct((state["at"] + F.length(piece)).alias("at"), l1.alias("l"), c1.alias("c"), F.when(body == "", state["out"]).otherwise(F.concat(state["out"], F.array(own))).alias("out"))
+    def step(state: Column, x: Column) -> Column:
+        lead = F.length(F.regexp_extract(x["t"], r"(?U)^\s*", 0))
+        rest = F.substring(x["t"], lead + 1, F.length(x["t"]))
+        body = F.when(x["last"], F.regexp_replace(rest, r"(?U)\s+\z", "")).otherwise(rest)  # the others end with a mark
 
-        return F.aggregate(pieces, start, step)["out"]
+        def placed(y: Column) -> Column:
+            def after(line: Column, column: Column, part: Column) -> Column:
+                """Line and column where a part that starts there ends."""
+                jumps = F.struct((line + _newlines(part)).alias("l"), F.length(F.substring_index(part, "\n", -1)).alias("c"))
+                return F.when(F.contains(part, F.lit("\n")), jumps).otherwise(F.struct(line.alias("l"), (column + F.length(part)).alias("c")))
 
-    return let(text, run)
+            def whole(s: Column) -> Column:
+                def out(e: Column) -> Column:
+                    own = F.struct(y["body"].alias("text"), (state["at"] + y["lead"]).alias("a"), s["l"].alias("l0"), s["c"].alias("c0"), e["l"].alias("l1"), e["c"].alias("c1"))
+                    return F.struct(F.struct((state["at"] + F.length(x["t"])).alias("at"), e["l"].alias("l"), e["c"].alias("c")).alias("state"), F.when(y["body"] != "", own).alias("out"))
 
+                return let(after(s["l"], s["c"], y["body"]), out)
 
-def chunks(rows: DataFrame) -> DataFrame:
-    """Runs of prose lines: path, chunk, context, first_line, last_line, break_before, lines (n, text, raw), text (joined)."""
-    ls = F.sort_array(F.collect_list(F.struct("n", "text", "raw")))
-    d = rows.groupBy("path", "chunk").agg(F.first("context").alias("context"), F.first("break_before").alias("break_before"), ls.alias("lines"))
-    return d.select("path", "chunk", "context", "break_before", "lines", F.col("lines")[0]["n"].alias("first_line"), F.element_at("lines", -1)["n"].alias("last_line"), F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("text"))
+            return let(after(state["l"], state["c"], F.substring(x["t"], F.lit(1), y["lead"])), whole)
 
+        return let(F.struct(lead.alias("lead"), body.alias("body")), placed)
 
-def sentences(parts: DataFrame) -> DataFrame:
-    """Sentences of chunks: path, scope, k, sent (order in the document), context, text, source (unmasked), start_line, start_col, end_line, end_col, source_lines."""
-    raw = F.array_join(F.transform("lines", lambda x: x["raw"]), "\n")
-    numbers = F.transform("lines", lambda x: x["n"])
-    d = parts.select("path", F.col("chunk").alias("scope"), "context", raw.alias("raw"), numbers.alias("ns"), split_sentences(F.col("text")).alias("found"))
-    whole = let(F.struct("raw", "ns", "found"), lambda z: F.transform(z["found"], lambda x: F.struct(x["text"].alias("text"), F.substring(z["raw"], x["a"] + 1, F.length(x["text"])).alias("source"), F.get(z["ns"], x["l0"]).alias("start_line"), (x["c0"] + 1).alias("start_col"), F.get(z["ns"], x["l1"]).alias("end_line"), (x["c1"] + 1).alias("end_col"), F.slice(z["ns"], x["l0"] + 1, x["l1"] - x["l0"] + 1).alias("source_lines"))))
-    each = d.select("path", "scope", "context", F.posexplode(whole).alias("k", "x")).select("path", "scope", "k", "context", "x.*")
-    return each.withColumn("sent", F.row_number().over(Window.partitionBy("path").orderBy("scope", "k")))
+    pieces = F.split(F.regexp_replace(F.replace(text, F.lit(MARK), F.lit("\ufffe")), BOUNDARY, f"$0{MARK}"), MARK, -1)
+    items = let(pieces, lambda p: F.transform(p, lambda t, i: F.struct(t.alias("t"), (i == F.size(p) - 1).alias("last"))))
+    return kept(scan(items, F.expr("named_struct('at', 0, 'l', 0, 'c', 0)"), step, "struct<text:string,a:int,l0:int,c0:int,l1:int,c1:int>"))
 
 
-def with_neighbours(found: DataFrame) -> DataFrame:
-    """sentences with window (the source of the previous, this and the next one of the scope) and next_text."""
-    w = Window.partitionBy("path", "scope").orderBy("k")
-    return found.withColumns({"window": F.concat_ws(" ", F.lag("source").over(w), F.col("source"), F.lead("source").over(w)), "next_text": F.lead("text").over(w)})
+def _sentences(c: Column) -> Column:
+    """The sentences of a chunk."""
+    lines = c["lines"]
+    raw = F.array_join(F.transform(lines, lambda x: x["raw"]), "\n")
 
+    def run(z: Column) -> Column:
+        source = lambda x: F.when(z["parts"].isNull(), x["text"]).otherwise(piece(z["parts"], x["a"], x["a"] + F.length(x["text"])))
 
-def runs(found: DataFrame, key: Column, by: list[str], order: str) -> DataFrame:
-    """found with run: consecutive rows (inside by, in order) of equal key have the same number; a null key breaks and is in no run."""
-    w = Window.partitionBy(*by).orderBy(order)
-    d = found.withColumn("key", key).withColumn("step", (~F.col("key").eqNullSafe(F.lag("key").over(w)) | (F.row_number().over(w) == 1)).cast("int"))
-    return d.withColumn("run", F.sum("step").over(w)).where(F.col("key").isNotNull()).drop("step")
+        def own(x: Column, k: Column) -> Column:
+            at = F.get(lines, x["l0"])
+            return F.struct(
+                c["chunk"].alias("scope"), k.alias("k"), c["context"].alias("context"), x["text"].alias("text"), source(x).alias("source"), at["n"].alias("start_line"), (x["c0"] + 1).alias("start_col"),
+                F.get(lines, x["l1"])["n"].alias("end_line"), (x["c1"] + 1).alias("end_col"), F.transform(F.slice(lines, x["l0"] + 1, x["l1"] - x["l0"] + 1), lambda l: l["n"]).alias("source_lines"), at["example"].alias("example"), at["markdown"].alias("markdown"),
+            )
+
+        def joined(found: Column) -> Column:
+            near = lambda k: F.get(found, k)["source"]
+            return F.transform(found, lambda x, k: x.withField("window", F.concat_ws(" ", near(k - 1), x["source"], near(k + 1))).withField("next_text", F.get(found, k + 1)["text"]))
+
+        return let(F.transform(z["found"], own), joined)
+
+    # where nothing is masked the sentences are their own source
+    return let(F.struct(split_sentences(c["text"]).alias("found"), F.when(raw != c["text"], blocks(raw)).alias("parts")), run)
+
+
+def chunks(prose: Column) -> Column:
+    """Runs of prose lines: chunk, context, break_before, lines, text (joined), first_line, last_line, and sents, their sentences."""
+
+    def own(ls: Column) -> Column:
+        first, last = ls[0], F.element_at(ls, -1)
+        text = F.array_join(F.transform(ls, lambda x: x["text"]), "\n")
+        whole = F.struct(first["chunk"].alias("chunk"), first["context"].alias("context"), first["break_before"].alias("break_before"), ls.alias("lines"), text.alias("text"), first["n"].alias("first_line"), last["n"].alias("last_line"))
+        return let(whole, lambda c: c.withField("sents", _sentences(c)))
+
+    return F.transform(groups(prose, lambda a, b: a["chunk"] == b["chunk"]), own)
+
+
+def sentences(parts: Column) -> Column:
+    """All sentences of chunks, with sent, their order in the document."""
+    return F.transform(F.flatten(F.transform(parts, lambda c: c["sents"])), lambda s, i: s.withField("sent", i + 1))

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkgauge.functions import sqltext as S
-from inkgauge.functions.text import CASELESS, EXACT, column_of, count, first, has, let, line_of, matches, squeeze, strip, words
-from inkgauge.operators.findings import NONE, issue, only_if, quoted, rows
-from inkgauge.operators.line_rules import _unary, any_of, escaped, spans_to_issues
-from inkgauge.operators.prose import runs
+from inkgauge.functions.text import CASELESS, EXACT, column_of, count, first, groups, has, kept, let, line_of, matches, scan, squeeze, strip, words
+from inkgauge.operators.findings import NONE, issue, none, of_each, only_if, quoted, rows
+from inkgauge.operators.line_rules import _unary, any_of, escaped
 from inkgauge.plans import lexicon as L
 
+
+#: What gives a sentence's field by name: a column of a table of sentences (F.col), or a field of a sentence in an array.
+Field = Callable[[str], Column]
+
+
 def main() -> Column:
     return F.col("context").isin("body", "list_item", "blockquote")
 
@@ -20,18 +26,17 @@ def shown() -> Column:
     return ~F.col("example")
 
 
-def line_at(offset: Column) -> Column:
-    return line_of(F.col("source_lines"), F.col("text"), offset)
+def line_at(offset: Column, s: Field = F.col) -> Column:
+    return line_of(s("source_lines"), s("text"), offset)
 
 
-def column_at(offset: Column) -> Column:
-    return column_of(F.col("text"), offset, F.col("start_col"))
+def column_at(offset: Column, s: Field = F.col) -> Column:
+    return column_of(s("text"), offset, s("start_col"))
 
 
-def span_issue(rule: str, message: Column | str, x: Column, order: Column | int = 0, confidence: Column | str = "medium", suggestion: Column | str | None = None, full: bool = True, a: Column | None = None) -> Column:
+def span_issue(rule: str, message: Column | str, x: Column, order: Column | int = 0, confidence: Column | str = "medium", suggestion: Column | str | None = None, full: bool = True, s: Field = F.col) -> Column:
     """An issue over a span of the sentence; full: with its end line."""
-    a = x["a"] if a is None else a
-    return issue(rule, message, line_at(a), column_at(a), column_at(x["b"]), line_at(x["b"]) if full else None, confidence, suggestion, (F.col("sent"), order))
+    return issue(rule, message, line_at(x["a"], s), column_at(x["a"], s), column_at(x["b"], s), line_at(x["b"], s) if full else None, confidence, suggestion, (s("sent"), order))
 
 
 def evidence() -> Column:
@@ -57,9 +62,9 @@ def _imprecise_quantity() -> Column:
     return only_if((F.col("context") != "heading") & shown() & has(F.col("text"), regex), made)
 
 
-def _claims(regex: str) -> Column:
+def _claims(regex: str, s: Field = F.col) -> Column:
     """Matches of a verb and a claim (group 1, at the end), from the claim on, unless a hypothesis comes before in the sentence."""
-    spans = F.filter(matches(F.col("text"), regex), lambda x: ~has(F.substring(F.col("text"), F.lit(1), x["a"]), r"(?iU)\b(?:if|whether)\b"))
+    spans = F.filter(matches(s("text"), regex), lambda x: ~has(F.substring(s("text"), F.lit(1), x["a"]), r"(?iU)\b(?:if|whether)\b"))
     return F.transform(spans, lambda x: F.struct(F.regexp_extract(x["t"], regex, 1).alias("t"), (x["b"] - F.length(F.regexp_extract(x["t"], regex, 1))).alias("a"), x["b"].alias("b")))
 
 
@@ -121,17 +126,14 @@ WORD = r"(?U)\b\w+(?:[-'’]\w+)*\b"
 
 def pairs_of(text: Column) -> Column:
     """Balanced parentheses of a text as (a, b, parent): offsets of both, and of the open one around it or -1."""
-    kind = "array<struct<a:int,b:int,parent:int>>"
-    start = F.expr(f"named_struct('open', cast(array() as array<int>), 'out', cast(array() as {kind}))")
 
-    def step(state: Column, x: Column) -> Column:
-        depth = F.size(state["open"])
-        pushed = F.struct(F.concat(state["open"], F.array(x["a"])).alias("open"), state["out"].alias("out"))
-        own = F.struct(F.element_at(state["open"], -1).alias("a"), x["a"].alias("b"), F.coalesce(F.get(state["open"], depth - 2), F.lit(-1)).alias("parent"))
-        popped = F.struct(F.slice(state["open"], 1, depth - 1).alias("open"), F.concat(state["out"], F.array(own)).alias("out"))
-        return F.when(x["t"] == "(", pushed).when(depth > 0, popped).otherwise(state)
+    def step(open_: Column, x: Column) -> Column:
+        depth = F.size(open_)
+        own = F.struct(F.element_at(open_, -1).alias("a"), x["a"].alias("b"), F.coalesce(F.get(open_, depth - 2), F.lit(-1)).alias("parent"))
+        after = F.when(x["t"] == "(", F.concat(open_, F.array(x["a"]))).when(depth > 0, F.slice(open_, F.lit(1), depth - 1)).otherwise(open_)
+        return F.struct(after.alias("state"), F.when((x["t"] == ")") & (depth > 0), own).alias("out"))
 
-    return F.aggregate(matches(text, r"[()]"), start, step)["out"]
+    return kept(scan(matches(text, r"[()]"), F.expr("cast(array() as array<int>)"), step, "struct<a:int,b:int,parent:int>"))
 
 
 def _parentheticals() -> Column:
@@ -146,15 +148,21 @@ def _parentheticals() -> Column:
     return only_if(main() & shown() & (count(F.col("text"), r"\(") >= 3), let(wide, made))
 
 
-def nested_parentheses(parts: DataFrame) -> DataFrame:
+def nested_parentheses() -> Column:
     """T015, over chunks: a balanced pair inside another balanced pair, which may span lines."""
-    nested = let(pairs_of(F.col("text")), lambda ps: F.filter(ps, lambda p: (p["parent"] >= 0) & F.exists(ps, lambda o: o["a"] == p["parent"])))
-    numbers = F.transform("lines", lambda x: x["n"])
-    hits = parts.where(count(F.col("text"), r"\(") >= 2).select("path", F.col("text"), numbers.alias("ns"), F.explode(nested).alias("p"))
-    line = lambda o: line_of(F.col("ns"), F.col("text"), o)
-    a, b = F.col("p.a"), F.col("p.b") + 1
-    one = issue("T015", "Nested parenthetical", line(a), column_of(F.col("text"), a, F.lit(1)), column_of(F.col("text"), b, F.lit(1)), F.when(line(a) != line(b), line(b)), "high", "Remove one level of parentheses or rewrite the sentence")
-    return rows(hits, one)
+
+    def of_chunk(c: Column) -> Column:
+        text, ns = c["text"], F.transform(c["lines"], lambda x: x["n"])
+        line = lambda o: line_of(ns, text, o)
+
+        def one(p: Column) -> Column:
+            a, b = p["a"], p["b"] + 1
+            return issue("T015", "Nested parenthetical", line(a), column_of(text, a, F.lit(1)), column_of(text, b, F.lit(1)), F.when(line(a) != line(b), line(b)), "high", "Remove one level of parentheses or rewrite the sentence")
+
+        nested = lambda ps: let(F.transform(ps, lambda p: p["a"]), lambda known: F.filter(ps, lambda p: F.array_contains(known, p["parent"])))
+        return F.transform(let(pairs_of(text), nested), one)
+
+    return of_each(F.filter("chunks", lambda c: count(c["text"], r"\(") >= 2), of_chunk)
 
 
 def _overloaded() -> Column:
@@ -223,108 +231,147 @@ def row_rules(chosen: set[str], thresholds: dict[str, int]) -> list[Column]:
     return [make() for rule, make in sorted(made.items()) if rule in chosen]
 
 
-def _run_rule(found: DataFrame, key: Column, rule: str, threshold: int, message: Column) -> DataFrame:
-    """Runs of equal key among the sentences of a scope, reported at the first one. message reads n and text (of the first)."""
-    d = runs(found, key, ["path", "scope"], "k")
-    whole = d.groupBy("path", "scope", "run").agg(F.count("*").alias("n"), F.min(F.struct("k", "start_line", "start_col", "text")).alias("f")).where(F.col("n") >= threshold)
-    return rows(whole.select("path", "n", F.col("f.*")), issue(rule, message, F.col("start_line"), F.col("start_col")))
+def _runs(found: Column, key: Callable[[Column], Column]) -> Column:
+    """Runs of sentences of a scope with equal keys; those of a null key are in none."""
+    keyed = F.transform(found, lambda s: F.struct(s.alias("s"), key(s).alias("key")))
+    whole = groups(keyed, lambda a, b: (a["s"]["scope"] == b["s"]["scope"]) & a["key"].eqNullSafe(b["key"]))
+    return F.filter(whole, lambda g: g[0]["key"].isNotNull())
+
+
+def _run_rule(runs: Column, rule: str, threshold: int, message: Callable[[Column, Column], Column]) -> Column:
+    """Runs of at least threshold sentences, reported at the first one; message gets the number and the first sentence."""
 
+    def one(g: Column) -> Column:
+        first = g[0]["s"]
+        return F.when(F.size(g) >= threshold, issue(rule, message(F.size(g).cast("string"), first), first["start_line"], first["start_col"]))
 
-def grouped(found: DataFrame, chosen: set[str], thresholds: dict[str, int]) -> list[DataFrame]:
-    """Rules over runs and paragraphs of sentences."""
-    out, n = [], F.col("n").cast("string")
-    prose = found.where(F.col("context").isin("body", "blockquote"))
+    return rows(runs, one)
+
+
+def grouped(chosen: set[str], thresholds: dict[str, int]) -> list[Column]:
+    """Rules over runs and paragraphs of a document's sentences."""
+    out, found = [], F.col("sentences")
+    prose = F.filter(found, lambda s: s["context"].isin("body", "blockquote"))
+    told = lambda label, end: (lambda n, s: F.concat(F.lit(label), n, F.lit(end)))
     if "S010" in chosen:
-        message = F.concat(F.lit("Anaphora: "), n, F.lit(" consecutive sentences starting with '"), words(F.col("text"))[0], F.lit("'"))
-        out.append(_run_rule(prose, F.lower(words(F.col("text"))[0]), "S010", thresholds["anaphora_abuse"], message))
+        word = lambda s: F.regexp_extract(s["text"], r"(?U)^\S+", 0)
+        message = lambda n, s: F.concat(F.lit("Anaphora: "), n, F.lit(" consecutive sentences starting with '"), word(s), F.lit("'"))
+        out.append(_run_rule(_runs(prose, lambda s: F.lower(word(s))), "S010", thresholds["anaphora_abuse"], message))
     if "S011" in chosen:
-        fragment = F.when(has(F.col("text"), EXACT + r"\A[A-Z][a-z]*ing\b[^.!?]{0,60}[.!?]\z"), True)
-        out.append(_run_rule(prose, fragment, "S011", thresholds["gerund_fragment_litany"], F.concat(F.lit("Gerund fragment litany: "), n, F.lit(" consecutive gerund fragments"))))
+        fragment = lambda s: F.when(has(s["text"], EXACT + r"\A[A-Z][a-z]*ing\b[^.!?]{0,60}[.!?]\z"), True)
+        out.append(_run_rule(_runs(prose, fragment), "S011", thresholds["gerund_fragment_litany"], told("Gerund fragment litany: ", " consecutive gerund fragments")))
     if "S018" in chosen:
-        cited = F.when(has(F.col("text"), EXACT + L.CITATION), True)
-        out.append(_run_rule(found, cited, "S018", thresholds["citation_name_drop"], F.concat(F.lit("Citation name-dropping: "), n, F.lit(" consecutive 'Author (Year) verb' sentences"))))
+        cited = lambda s: F.when(has(s["text"], EXACT + L.CITATION), True)
+        out.append(_run_rule(_runs(found, cited), "S018", thresholds["citation_name_drop"], told("Citation name-dropping: ", " consecutive 'Author (Year) verb' sentences")))
     if "S022" in chosen:
-        least = thresholds["wall_of_text_sentences"]
-        at = F.struct("k", "context", "example", "start_line", "start_col", "end_line", "end_col")
-        whole = found.groupBy("path", "scope").agg(F.count("*").alias("n"), F.min(at).alias("f"), F.max(at).alias("l")).where((F.col("n") >= least) & F.col("f.context").isin("body", "blockquote") & ~F.col("f.example"))
-        message = F.concat(F.lit("Wall-of-text paragraph: "), n, F.lit(f" sentences (threshold {least})"))
-        out.append(rows(whole, issue("S022", message, F.col("f.start_line"), F.col("f.start_col"), F.col("l.end_col"), F.col("l.end_line"), suggestion="Split the paragraph into shorter paragraphs")))
+        out.append(rows(F.col("chunks"), lambda c: _wall(c["sents"], thresholds["wall_of_text_sentences"])))
     if "T006" in chosen:
-        pairs = F.array(*(F.struct(F.lit(a).alias("plain"), F.lit(b).alias("formal"), F.lit(k).alias("k")) for k, (a, b) in enumerate(L.SYNONYMS)))
-        said = F.filter(pairs, lambda p: has(F.lower(F.col("text")), r"(?U)\b(?:said|use|show|get)\b") & F.rlike(F.lower(F.col("text")), F.concat(F.lit(r"(?U)\b"), p["plain"], F.lit(r"\b"))))
-        plain = found.where(has(F.col("text"), CASELESS + r"\b(?:said|use|show|get)\b")).select("path", "scope", F.explode(said).alias("p")).select("path", "scope", "p.*").distinct()
-        formal = "|".join(sorted({b for _, b in L.SYNONYMS}))
-        hits = found.where(has(F.col("text"), rf"{CASELESS}\b(?:{formal})\b"))
-        each = F.flatten(F.array(*(F.transform(first(F.col("text"), rf"{CASELESS}\b{b}\b"), _unary(lambda x, b=b: F.struct(x["t"].alias("t"), x["a"].alias("a"), x["b"].alias("b"), F.lit(b).alias("formal")))) for b in sorted({b for _, b in L.SYNONYMS}))))
-        hits = hits.select("path", "scope", "sent", "text", "source_lines", "start_col", F.explode(each).alias("x"))
-        hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("path", "scope", "x.formal").orderBy("sent"))).where("rank = 1")
-        met = hits.withColumn("formal", F.col("x.formal")).join(plain, ["path", "scope", "formal"])
-        message = F.concat(F.lit("Elegant variation: '"), F.col("x.t"), F.lit("' (also uses '"), F.col("plain"), F.lit("')"))
-        x = F.col("x")
-        out.append(rows(met, issue("T006", message, line_at(x["a"]), column_at(x["a"]), column_at(x["b"]), line_at(x["b"]), place=(F.col("scope"), F.col("k")))))
+        said = F.filter("chunks", lambda c: has(c["text"], CASELESS + r"\b(?:said|use|show|get)\b"))
+        out.append(of_each(said, lambda c: _varied(c["sents"])))
     if "G015" in chosen:
-        body = found.where(F.col("markdown") & (F.col("context") == "body") & shown())
-        one = body.withColumn("rank", F.row_number().over(Window.partitionBy("path").orderBy("sent"))).where("rank = 1")
-        parts = F.concat(*(F.transform(first(F.col("text"), CASELESS + p), lambda x: span_issue("G015", quoted("Generic scene-setting opener", squeeze(x["t"])), x, suggestion="Replace the generic opener with the concrete subject or change")) for p in L.SCENE_OPENERS))
-        out.append(one.where(has(F.col("text"), any_of(L.SCENE_OPENERS))).select("path", F.explode(F.slice(parts, 1, 1)).alias("x")).select("path", "x.*"))
+        one = F.slice(F.filter(found, lambda s: s["markdown"] & (s["context"] == "body") & ~s["example"]), 1, 1)
+
+        def opened(v: Column) -> Column:
+            s = v.__getitem__
+            parts = F.concat(*(F.transform(first(s("text"), CASELESS + p), lambda x: span_issue("G015", quoted("Generic scene-setting opener", squeeze(x["t"])), x, suggestion="Replace the generic opener with the concrete subject or change", s=s)) for p in L.SCENE_OPENERS))
+            return only_if(has(s("text"), any_of(L.SCENE_OPENERS)), F.slice(parts, 1, 1))
+
+        out.append(of_each(one, opened))
     return out
 
 
-def punchy_fragments(parts: DataFrame, threshold: int) -> DataFrame:
+def _wall(sents: Column, least: int) -> Column:
+    first, last = sents[0], F.element_at(sents, -1)
+    message = F.concat(F.lit("Wall-of-text paragraph: "), F.size(sents).cast("string"), F.lit(f" sentences (threshold {least})"))
+    one = issue("S022", message, first["start_line"], first["start_col"], last["end_col"], last["end_line"], suggestion="Split the paragraph into shorter paragraphs")
+    return F.when((F.size(sents) >= least) & first["context"].isin("body", "blockquote") & ~first["example"], one)
+
+
+def _varied(g: Column) -> Column:
+    """T006 in one paragraph's sentences: the first place of a formal synonym of a plain word that the paragraph uses too."""
+    parts = []
+    for k, (plain, formal) in enumerate(L.SYNONYMS):
+
+        def found(hits: Column, k=k, plain=plain, formal=formal) -> Column:
+            s = lambda name: F.lit(0) if name == "sent" else hits[0][name]
+            one = lambda x: span_issue("T006", F.concat(F.lit("Elegant variation: '"), x["t"], F.lit(f"' (also uses '{plain}')")), x, s=s).withField("place", F.array(s("scope"), F.lit(k)))
+            said = F.exists(g, lambda y: has(F.lower(y["text"]), rf"(?U)\b{plain}\b"))
+            return only_if((F.size(hits) > 0) & said, F.transform(first(s("text"), rf"{CASELESS}\b{formal}\b"), one))
+
+        parts.append(let(F.filter(g, _unary(lambda y, formal=formal: has(y["text"], rf"{CASELESS}\b{formal}\b"))), _unary(found)))
+    return F.concat(*parts)
+
+
+def punchy_fragments(threshold: int) -> Column:
     """T007, over chunks: consecutive body paragraphs of at most five words; other contexts and breaks end a run."""
-    short = (F.size(words(F.col("text"))) <= 5) & (F.col("context") == "body")
-    w = Window.partitionBy("path").orderBy("chunk")
-    d = parts.select("path", "chunk", "first_line", short.alias("short"), F.col("break_before").alias("cut"))
-    d = d.withColumn("step", (~F.col("short") | F.col("cut") | ~F.coalesce(F.lag("short").over(w), F.lit(False))).cast("int")).withColumn("run", F.sum("step").over(w)).where("short")
-    whole = d.groupBy("path", "run").agg(F.count("*").alias("n"), F.min("first_line").alias("line")).where(F.col("n") >= threshold)
-    return rows(whole, issue("T007", F.concat(F.lit("Short punchy fragments: "), F.col("n").cast("string"), F.lit(" consecutive short paragraphs")), F.col("line"), 1))
+    short = lambda c: (F.size(words(c["text"])) <= 5) & (c["context"] == "body")
+    told = F.transform("chunks", lambda c: F.struct(c["first_line"].alias("line"), c["break_before"].alias("cut"), short(c).alias("short")))
+    message = lambda n: F.concat(F.lit("Short punchy fragments: "), n.cast("string"), F.lit(" consecutive short paragraphs"))
+    return rows(groups(told, lambda a, b: a["short"] & b["short"] & ~b["cut"]), lambda g: F.when(g[0]["short"] & (F.size(g) >= threshold), issue("T007", message(F.size(g)), g[0]["line"], 1)))
 
 
-def listicles(found: DataFrame, parts: DataFrame) -> DataFrame:
+def listicles() -> Column:
     """S012: three sentences First, Second, Third; else ordinals in a paragraph; else patterns in its lines."""
-    w = Window.partitionBy("path", "scope").orderBy("k")
     opener = r"(?iU)^(first|second|third)(?:ly)?,"
-    said = F.lower(F.regexp_extract(F.col("text"), opener, 1))
-    d = found.where(F.col("context").isin("body", "blockquote")).withColumn("said", said)
-    d = d.withColumns({"one": F.lead("said", 1).over(w), "two": F.lead("said", 2).over(w)}).where("said = 'first' and one = 'second' and two = 'third'")
-    d = d.withColumn("rank", F.row_number().over(w)).where("rank = 1")
-    b = F.length(F.regexp_extract(F.col("text"), opener, 0))
-    opening = d.select("path", "scope", issue("S012", "Listicle in prose: 'First... Second... Third...'", F.col("start_line"), F.col("start_col"), column_at(b), line_at(b), suggestion="Use an explicit numbered list", place=(0, F.col("sent"))).alias("x"))
-    rest = parts.where(F.col("context").isin("body", "blockquote")).join(opening.select("path", F.col("scope").alias("chunk")).distinct(), ["path", "chunk"], "left_anti")
-    lowered = F.lower(F.array_join(F.transform("lines", lambda x: x["text"]), " "))
-    three = F.lit(True)
-    for word in L.ORDINALS[:3]:
-        three = three & has(lowered, rf"(?U)\bthe {word}\b")
-    rest = rest.withColumn("three", three)
-    lead = F.filter("lines", lambda x: has(x["text"], r"(?iU)\bthe first\b"))
-    ordinal = rest.where(F.col("three") & (F.size(lead) > 0)).select("path", issue("S012", "Listicle in prose: 'the first... the second... the third...'", lead[0]["n"], 1, place=(1, lead[0]["n"])).alias("x"))
-    line = rest.where(~F.col("three")).select("path", F.explode("lines").alias("l")).select("path", F.col("l.n").alias("n"), F.col("l.text").alias("text")).where(has(F.col("text"), any_of(L.LISTICLES)))
-    hit = F.slice(F.concat(*(first(F.col("text"), CASELESS + p) for p in L.LISTICLES)), 1, 1)
-    lined = line.select("path", F.explode(F.transform(hit, lambda x: issue("S012", "Listicle in prose pattern", F.col("n"), x["a"] + 1, x["b"] + 1, place=(1, F.col("n"))))).alias("x"))
-    return opening.drop("scope").unionByName(ordinal).unionByName(lined).select("path", "x.*")
-
-
-def hedging(prose: DataFrame, found: DataFrame) -> DataFrame:
+
+    def of_chunk(c: Column) -> Column:
+        said = F.transform(c["sents"], lambda s: F.lower(F.regexp_extract(s["text"], opener, 1)))
+        three = lambda o: F.filter(c["sents"], lambda s, i: (F.get(o, i) == "first") & (F.get(o, i + 1) == "second") & (F.get(o, i + 2) == "third"))
+
+        def opening(hits: Column) -> Column:
+            s = hits[0].__getitem__
+            b = F.length(F.regexp_extract(s("text"), opener, 0))
+            return F.array(issue("S012", "Listicle in prose: 'First... Second... Third...'", s("start_line"), s("start_col"), column_at(b, s), line_at(b, s), suggestion="Use an explicit numbered list", place=(0, s("start_line"))))
+
+        lowered = F.lower(F.array_join(F.transform(c["lines"], lambda x: x["text"]), " "))
+        all_three = lambda t: has(t, rf"(?U)\bthe {L.ORDINALS[0]}\b") & has(t, rf"(?U)\bthe {L.ORDINALS[1]}\b") & has(t, rf"(?U)\bthe {L.ORDINALS[2]}\b")
+        lead = F.filter(c["lines"], lambda x: has(x["text"], r"(?iU)\bthe first\b"))
+        ordinal = let(lead, lambda ls: only_if(F.size(ls) > 0, F.array(issue("S012", "Listicle in prose: 'the first... the second... the third...'", ls[0]["n"], 1, place=(1, ls[0]["n"])))))
+
+        def lined(x: Column) -> Column:
+            hit = F.slice(F.concat(*(first(x["text"], CASELESS + p) for p in L.LISTICLES)), 1, 1)
+            return only_if(has(x["text"], any_of(L.LISTICLES)), F.transform(hit, lambda m: issue("S012", "Listicle in prose pattern", x["n"], m["a"] + 1, m["b"] + 1, place=(1, x["n"]))))
+
+        rest = let(lowered, lambda t: F.when(all_three(t), ordinal).otherwise(of_each(c["lines"], lined)))
+        return let(let(said, three), lambda hits: F.when(F.size(hits) > 0, opening(hits)).otherwise(rest))
+
+    return of_each(F.filter("chunks", lambda c: c["context"].isin("body", "blockquote") & has(c["text"], r"(?iU)first|1st")), of_chunk)
+
+
+def hedging() -> Column:
     """G002: hedging phrases, redundant modals and stacked hedges. What lies in a redundant modal is dropped; of findings at one place the last kind stays."""
-    phrase = prose.where(has(F.col("text"), any_of(L.HEDGING))).select("path", "n", F.explode(F.concat(*(spans_to_issues(matches(F.col("text"), CASELESS + p), "G002", "Hedging phrase", k) for k, p in enumerate(L.HEDGING)))).alias("x"))
-    phrase = phrase.select("path", F.lit(0).alias("kind"), "x")
     modal, hedge = r"(?iU)\b(may|might|could)\s+(?:possibly|potentially|perhaps)\b", r"(?iU)\b(?:may|might|potentially|arguably|possibly|perhaps)\b|(?:appears? to|suggests? that|could be(?: interpreted as)?)"
-    s = found.where(has(F.col("text"), hedge) | has(F.col("text"), modal))
-    red = s.select("path", F.lit(2).alias("kind"), F.explode(F.transform(matches(F.col("text"), modal), lambda x, i: span_issue("G002", quoted("Redundant modal hedge", squeeze(x["t"])), x, i, "high", F.lower(F.regexp_extract(x["t"], modal, 1))))).alias("x"))
-    n = count(F.col("text"), hedge)
-    stacked = s.where((n >= 2) & ~((n == 2) & has(F.col("text"), modal))).select(
-        "path", F.lit(1).alias("kind"), issue("G002", F.concat(F.lit("Hedge stacking: "), n.cast("string"), F.lit(" hedges in one sentence")), F.col("start_line"), F.col("start_col"), confidence="high", place=(F.col("sent"),)).alias("x")
-    )
-    ranges = red.groupBy("path").agg(F.collect_list(F.struct(F.struct("x.line", "x.column").alias("a"), F.struct("x.end_line", "x.end_column").alias("b"))).alias("ranges"))
-    start = F.struct(F.col("x.line").alias("line"), F.col("x.column").alias("column"))
-    end = F.struct(F.coalesce("x.end_line", "x.line").alias("end_line"), F.coalesce("x.end_column", "x.column").alias("end_column"))
-    free = phrase.unionByName(stacked).join(ranges, "path", "left").where(~F.coalesce(F.exists("ranges", lambda r: (r["a"] <= start) & (end <= r["b"])), F.lit(False))).drop("ranges")
-    whole = free.unionByName(red)
-    rank = F.row_number().over(Window.partitionBy("path", "x.line", "x.column").orderBy(F.col("kind").desc(), F.col("x.place").desc()))
-    return whole.withColumn("rank", rank).where("rank = 1").select("path", F.col("x").withField("place", F.array("x.line", "x.column")).alias("x")).select("path", "x.*")
 
+    def phrases(r: Column) -> Column:
+        parts = [F.transform(matches(r["text"], CASELESS + p), _unary(lambda x, k=k: issue("G002", quoted("Hedging phrase", x["t"]), r["n"], x["a"] + 1, x["b"] + 1, place=(r["n"], k, x["a"])))) for k, p in enumerate(L.HEDGING)]
+        return only_if(has(r["text"], any_of(L.HEDGING)), F.concat(*parts))
 
-def comparatives(found: DataFrame, content: DataFrame) -> DataFrame:
+    def redundant(v: Column) -> Column:
+        s = v.__getitem__
+        return F.transform(matches(s("text"), modal), lambda x, i: span_issue("G002", quoted("Redundant modal hedge", squeeze(x["t"])), x, i, "high", F.lower(F.regexp_extract(x["t"], modal, 1)), s=s))
+
+    def stacked(v: Column) -> Column:
+        message = lambda n: F.concat(F.lit("Hedge stacking: "), n.cast("string"), F.lit(" hedges in one sentence"))
+        one = lambda n: F.when((n >= 2) & ~((n == 2) & has(v["text"], modal)), issue("G002", message(n), v["start_line"], v["start_col"], confidence="high", place=(v["sent"],)))
+        return let(count(v["text"], hedge), one)
+
+    def start(x: Column) -> Column:
+        return F.struct(x["line"].alias("line"), x["column"].alias("column"))
+
+    def end(x: Column) -> Column:
+        return F.struct(F.coalesce(x["end_line"], x["line"]).alias("line"), F.coalesce(x["end_column"], x["column"]).alias("column"))
+
+    def decided(parts: Column) -> Column:
+        covered = lambda x: F.exists(parts["red"], lambda r: (start(r) <= start(x)) & (end(x) <= F.struct(r["end_line"].alias("line"), r["end_column"].alias("column"))))
+        kinds = [F.transform(xs, _unary(lambda x, k=k: F.struct(x["line"].alias("line"), x["column"].alias("column"), F.lit(k).alias("kind"), x["place"].alias("place"), x.alias("x")))) for k, xs in enumerate((F.filter(parts["phrases"], lambda x: ~covered(x)), F.filter(parts["stacked"], lambda x: ~covered(x)), parts["red"]))]
+        whole = groups(F.sort_array(F.concat(*kinds)), lambda a, b: (a["line"] == b["line"]) & (a["column"] == b["column"]))
+        return F.transform(whole, lambda g: F.element_at(g, -1)["x"].withField("place", F.array(g[0]["line"], g[0]["column"])))
+
+    some = F.filter("sentences", lambda s: has(s["text"], hedge) | has(s["text"], modal))
+    return let(let(some, lambda s: F.struct(of_each(F.col("prose"), phrases).alias("phrases"), of_each(s, redundant).alias("red"), rows(s, stacked).alias("stacked"))), decided)
+
+
+def comparatives() -> Column:
     """G038: predicate comparatives without a target, measure or table in the sentence's lines and the four before."""
     regex = (
         CASELESS + r"\b(?:is|are|was|were|remain(?:s|ed)?)\s+((?:(?:much|far|significantly|considerably|noticeably|substantially)\s+)?(?:better|worse|faster|slower|easier|harder|cheaper|safer|simpler|clearer|stronger|weaker|higher|lower|"
@@ -335,11 +382,18 @@ def comparatives(found: DataFrame, content: DataFrame) -> DataFrame:
         r"|\bof\s+(?:both|our|the\s+two|these|those)\b|\b(?:benchmark(?:ed|ing|s)?|chart|figure|table)\s+(?:\d+|[A-Z])\b|\b(?:both|first|former|latter|other|second|third)\b"
     )
     measure = r"(?iU)\b\d+(?:,\d{3})*(?:\.\d+)?\s*(?:%|bytes?|gib|gigabytes?|hours?|kb|kib|mb|mib|milliseconds?|ms|operations?|points?|requests?|runs?|seconds?|times?|x)\b"
-    hits = found.where(F.col("context").isin("body", "list_item") & shown() & has(F.col("text"), regex) & ~has(F.col("text"), r"(?U)\?\s*\z") & ~has(F.col("text"), f"(?iU){L.LITERAL_CLAIM}|\\bthe (?:label|phrase|wording)\\b"))
-    split = F.split(F.col("content"), r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]", -1)
-    hits = hits.join(content.select("path", "content"), "path")
-    low = F.greatest(F.col("start_line") - 4, F.lit(1))
-    near = F.array_join(F.slice(split, low, F.greatest(F.col("end_line") - low + 1, F.lit(0))), "\n")
-    hits = hits.withColumn("near", near).where(~has(F.col("near"), target) & ~has(F.col("near"), measure) & ~has(F.col("near"), r"(?mUd)^\s*\|?.+\|.+\|?\s*$"))
-    made = F.transform(_claims(regex), lambda x, i: span_issue("G038", quoted("Undefined comparative", squeeze(x["t"])), x, i, "low", "Name the comparison target"))
-    return hits.select("path", F.explode(made).alias("x")).select("path", "x.*")
+    wanted = lambda s: s["context"].isin("body", "list_item") & ~s["example"] & has(s["text"], regex) & ~has(s["text"], r"(?U)\?\s*\z") & ~has(s["text"], f"(?iU){L.LITERAL_CLAIM}|\\bthe (?:label|phrase|wording)\\b")
+    table = r"(?mUd)^\s*\|?.+\|.+\|?\s*$"
+
+    def of_sentences(hits: Column) -> Column:
+        def claims(v: Column, lines: Column) -> Column:
+            s = v.__getitem__
+            low = F.greatest(s("start_line") - 4, F.lit(1))
+            near = F.array_join(F.slice(lines, low, F.greatest(s("end_line") - low + 1, F.lit(0))), "\n")
+            made = F.transform(_claims(regex, s), lambda x, i: span_issue("G038", quoted("Undefined comparative", squeeze(x["t"])), x, i, "low", "Name the comparison target", s=s))
+            return let(near, lambda t: only_if(~has(t, target) & ~has(t, measure) & ~has(t, table), made))
+
+        split = F.split(F.col("content"), L.LINE_ENDS, -1)
+        return F.when(F.size(hits) > 0, let(split, lambda lines: of_each(hits, lambda v: claims(v, lines)))).otherwise(none())
+
+    return let(F.filter("sentences", wanted), of_sentences)

@@ -1,130 +1,165 @@
-"""Documents in, findings out: one plan over shared tables of lines, chunks and sentences."""
+"""Documents in, findings out: each document is parsed, judged and filtered inside its own row.
 
-from __future__ import annotations
+A document's lines, headings, prose, chunks and sentences are arrays of its row. Rules over a whole document are columns of that row;
+its prose lines and sentences are then exploded once, together, and rules of one line or sentence are columns of those. So any number of
+rules costs one scan and no shuffle; only the numbering of findings by path, where it is asked for, moves the findings.
+
+Defined cases: a null content is an empty document; a null path is a document of no known kind, read as plain text; documents that share a
+path are judged apart and their findings numbered together. Names that end in .md, .mdx or .markdown are Markdown, .py is Python, all else plain text.
+"""
 
-from dataclasses import dataclass
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkgauge.functions.text import without_call_sites
+from inkgauge.functions.text import groups, is_blank, kept, without_call_sites
 from inkgauge.operators import line_rules, markdown, markdown_rules, prose, python_source, sentence_rules
-from inkgauge.operators.findings import COLUMNS, explode, union
+from inkgauge.operators.findings import NONE
 from inkgauge.plans import policy as policies
 from inkgauge.plans.policy import Policy
 
-MARKDOWN, PYTHON = r"(?i)\.(md|mdx|markdown)$", r"\.py$"
-_MARKDOWN_LINES = {"S004", "S025", "S029", "M003", "M004", "M005", "M007", "M010", "T002"}
-_HEADINGS = {"T001", "S025", "S028", "S029", "M008"}
+MARKDOWN, PYTHON = r"(?i)\.(md|mdx|markdown)$", r"(?i)\.py$"
+FINDING = "path string, seq long, rule_id string, message string, line int, column int, end_line int, end_column int, severity string, confidence string, suggestion string"
+COLUMNS = ["path", "rule_id", "message", "line", "column", "end_line", "end_column", "severity", "confidence", "suggestion"]
+_NO_LINES = "cast(array() as array<struct<n:int,raw:string,q:int,s:string,code:boolean,html:boolean,front:boolean,mdx:boolean>>)"
+_NO_FENCES = "cast(array() as array<struct<a:int,b:int,closed:boolean,fence:string,col:int>>)"
 
 
-@dataclass
-class Views:
-    """The shared tables. persist() keeps the large ones, as dozens of rules read each."""
+def _made(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed here and nowhere else: a generator keeps the optimizer from copying them to where they are read."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
 
-    docs: DataFrame
-    lines: DataFrame
-    heads: DataFrame
-    files: DataFrame | None
-    prose: DataFrame
-    chunks: DataFrame
-    sentences: DataFrame
 
-    def kept(self) -> list[DataFrame]:
-        return [self.lines, self.heads, self.prose, self.chunks, self.sentences, *([self.files] if self.files is not None else [])]
+def _kinded(documents: DataFrame) -> DataFrame:
+    path = F.coalesce("path", F.lit(""))
+    return documents.select("path", F.coalesce("content", F.lit("")).alias("content")).withColumns({"is_markdown": F.rlike(path, F.lit(MARKDOWN)), "is_python": F.rlike(path, F.lit(PYTHON))})
 
-    def persist(self) -> Views:
-        for df in self.kept():
-            df.persist()
-        return self
 
-    def unpersist(self) -> None:
-        for df in self.kept():
-            df.unpersist()
+def _plain(content: Column) -> Column:
+    """Prose of a text of no known kind: runs of lines that aren't blank."""
+    lines = F.transform(F.split(content, "\n", -1), lambda x, i: F.struct((i + 1).alias("n"), x.alias("raw")))
+    runs = groups(F.filter(lines, lambda r: ~is_blank(r["raw"])), lambda a, b: b["n"] == a["n"] + 1)
+    row = lambda r, k: F.struct(r["n"], r["raw"], r["raw"], F.lit("body"), k + 1, k + 1, F.lit(0), F.lit(False), F.lit(False), F.lit(False)).cast(markdown.PROSE)
+    return F.flatten(F.transform(runs, lambda g, k: F.transform(g, lambda r: row(r, k))))
 
 
 @without_call_sites()
-def views(documents: DataFrame, python: bool = True) -> Views:
-    """The shared tables of documents (path, content). Documents are dealt by path once; everything after keeps to that."""
-    docs = documents.select("path", F.coalesce("content", F.lit("")).alias("content")).where(F.col("path").isNotNull()).repartition("path")
-    lines = markdown.lines(docs.where(F.rlike("path", F.lit(MARKDOWN))))
-    heads = markdown.headings(lines)
-    own = markdown.prose_rows(lines).withColumn("chunk", F.col("block"))
-    rows = markdown.with_example(own, heads, "n").withColumns({"markdown": F.lit(True), "scope": F.lit(0)})
-    files = None
+def parsed(documents: DataFrame, python: bool = True, sentences: bool = True) -> DataFrame:
+    """The documents (path, content) with lines, fences, heads, example, prose, chunks and sentences; Python's with their facts as well."""
+    docs = _kinded(documents)
+    text = docs.where(~F.col("is_python")).drop("is_python")
+    none = F.struct(F.expr(_NO_LINES).alias("lines"), F.expr(_NO_FENCES).alias("fences"))
+    text = _made(text, structure=F.when(F.col("is_markdown"), markdown.structure(F.col("content"))).otherwise(none)).select("*", "structure.*").drop("structure")
+    text = _made(text, heads=markdown.headings(F.col("lines")))
+    text = _made(text, example=markdown.examples(F.col("heads"), F.size("lines")))
+    text = _made(text, prose=F.when(F.col("is_markdown"), markdown.prose(F.col("lines"), F.col("example"))).otherwise(_plain(F.col("content"))))
+    whole = text.drop("is_markdown").withColumn("python", F.lit(False))
     if python:
-        files = python_source.parsed(docs.where(F.rlike("path", F.lit(PYTHON))))
-        more = python_source.prose_rows(files).withColumns({"example": F.lit(False), "markdown": F.lit(False)}).withColumn("scope", F.col("block"))
-        rows = rows.unionByName(more)
-    parts = prose.chunks(rows)
-    found = prose.with_neighbours(prose.sentences(parts))
-    at = rows.select("path", F.col("chunk").alias("scope"), F.col("n").alias("start_line"), "example", "markdown")
-    return Views(docs, lines, heads, files, rows, parts, found.join(at, ["path", "scope", "start_line"]))
+        facts = _made(python_source.parsed(docs.where("is_python")), raws=F.split("content", "\n", -1))
+        facts = _made(facts, prose=python_source.prose())
+        whole = whole.unionByName(facts.withColumn("python", F.lit(True)), allowMissingColumns=True)
+    if sentences:
+        whole = _made(whole, chunks=prose.chunks(F.col("prose")))
+        whole = _made(whole, sentences=prose.sentences(F.col("chunks")))
+    return whole
+
+
+def _document_rules(policy: Policy, python: bool) -> list[Column]:
+    """Rules over a whole document, each an array of issues. Those of Markdown have nothing to read in others and the other way round."""
+    chosen, limits = policy.rules(), policy.limits()
+    out = line_rules.counted(chosen, limits) + sentence_rules.grouped(chosen, limits) + markdown_rules.heading_rules(chosen)
+    single = {
+        "T007": lambda: sentence_rules.punchy_fragments(limits["short_punchy_fragments"]),
+        "T015": sentence_rules.nested_parentheses,
+        "S012": sentence_rules.listicles,
+        "G002": sentence_rules.hedging,
+        "G038": sentence_rules.comparatives,
+        "S025": markdown_rules.empty_headings,
+        "S029": markdown_rules.tiny_sections,
+        "T002": lambda: markdown_rules.bold_overuse(limits["bold_overuse"]),
+        "S004": lambda: markdown_rules.label_lists(limits["inline_header_lists"]),
+        "M007": markdown_rules.unclosed_fences,
+        "S016": markdown_rules.repeated_paragraphs,
+    }
+    out += [make() for rule, make in single.items() if rule in chosen]
+    if chosen & {"M003", "M004", "M005", "M010"}:
+        out.append(markdown_rules.reference_rules(chosen))
+    if python:
+        out += python_source.rules(chosen)
+    return [F.coalesce(x, F.expr(NONE)) for x in out]
+
+
+#: Fields of a unit: what rules of a line and rules of a sentence read, and the findings of the whole document.
+_LINE = ("n", "raw", "text", "context", "scope", "example", "markdown")
+_SENTENCE = ("sent", "k", "source", "start_line", "start_col", "end_line", "end_col", "source_lines", "window", "next_text")
+_KINDS = {
+    "n": "int", "raw": "string", "text": "string", "context": "string", "scope": "int", "example": "boolean", "markdown": "boolean", "sent": "int", "k": "int", "source": "string", "start_line": "int", "start_col": "int",
+    "end_line": "int", "end_col": "int", "source_lines": "array<int>", "window": "string", "next_text": "string",
+}
+
+
+def _unit(kind: str, fields: dict[str, Column], issues: Column | None = None) -> Column:
+    given = [fields.get(c, F.lit(None)).cast(t).alias(c) for c, t in _KINDS.items()]
+    return F.struct(F.lit(kind).alias("unit"), *given, (F.expr(NONE) if issues is None else issues).alias("issues"))
 
 
 @without_call_sites()
-def branches(v: Views, policy: Policy) -> list[DataFrame]:
-    """The findings of the policy's rules, in as few scans of the shared tables as their needs allow."""
+def judged(docs: DataFrame, policy: Policy, python: bool = True, suppress: bool = True, extra: list[Column] | None = None) -> DataFrame:
+    """The findings of parsed documents, without numbers: path, x (an issue) in one pass."""
     chosen, limits = policy.rules(), policy.limits()
     words = {"allowed": policy.allowed, "additional": policy.additional, "allowed_phrases": policy.allowed_phrases}
-    out: list[DataFrame] = []
-    per_line, per_sentence = line_rules.row_rules(chosen, words), sentence_rules.row_rules(chosen, limits)
-    if per_line:
-        out.append(explode(v.prose, per_line))
-    if per_sentence:
-        out.append(explode(v.sentences, per_sentence))
-    out += line_rules.counted(v.prose, chosen, limits)
-    out += sentence_rules.grouped(v.sentences, chosen, limits)
-    if "T007" in chosen:
-        out.append(sentence_rules.punchy_fragments(v.chunks, limits["short_punchy_fragments"]))
-    if "T015" in chosen:
-        out.append(sentence_rules.nested_parentheses(v.chunks))
-    if "S012" in chosen:
-        out.append(sentence_rules.listicles(v.sentences, v.chunks))
-    if "G002" in chosen:
-        out.append(sentence_rules.hedging(v.prose, v.sentences))
-    if "G038" in chosen:
-        out.append(sentence_rules.comparatives(v.sentences, v.docs))
-    out += markdown_rules.heading_rules(v.heads, chosen)
-    if "S025" in chosen:
-        out.append(markdown_rules.empty_headings(v.heads, v.lines))
-    if "S029" in chosen:
-        out.append(markdown_rules.tiny_sections(v.heads, v.lines))
-    if "T002" in chosen:
-        out.append(markdown_rules.bold_overuse(markdown.paragraphs(v.lines), limits["bold_overuse"]))
-    if "S004" in chosen:
-        out.append(markdown_rules.label_lists(v.lines, limits["inline_header_lists"]))
-    if "M007" in chosen:
-        out.append(markdown_rules.unclosed_fences(v.lines))
-    if "S016" in chosen:
-        out.append(markdown_rules.repeated_paragraphs(v.docs.where(F.rlike("path", F.lit(MARKDOWN)))))
-    if chosen & {"M003", "M004", "M005", "M010"}:
-        out += markdown_rules.reference_rules(v.lines, v.heads, chosen)
-    if "M004" in chosen:
-        out.append(markdown_rules.broken_markers(v.prose))
-    if v.files is not None:
-        out += python_source.rules(v.files, v.sentences, chosen)
-    return out
+    whole = _document_rules(policy, python) + (extra or [])
+    of_line, of_sentence = line_rules.row_rules(chosen, words), sentence_rules.row_rules(chosen, limits)
+    units = []
+    if whole:
+        units.append(F.array(_unit("document", {}, F.concat(*whole))))
+    if of_line:
+        units.append(F.transform("prose", lambda r: _unit("line", {c: r[c] for c in _LINE})))
+    if of_sentence:
+        units.append(F.transform("sentences", lambda s: _unit("sentence", {c: s[c] for c in ("text", "context", "scope", "example", "markdown", *_SENTENCE)})))
+    if not units:
+        return docs.select("path", F.explode(F.expr(NONE)).alias("x"))
+    none, sup = F.expr(NONE), F.expr(f"cast(array() as {policies.DIRECTIVES})")
+    if suppress:
+        sup = policies.suppressions(True)
+        if python:
+            sup = F.when(F.col("python"), policies.suppressions(False)).otherwise(sup)
+    each = _made(docs, sup=sup) if suppress else docs
+    each = each.select("path", *(["sup"] if suppress else []), F.explode(F.concat(*units) if len(units) > 1 else units[0]).alias("u")).select("path", *(["sup"] if suppress else []), "u.*")
+    parts = [F.col("issues")] if whole else []
+    if of_line:
+        parts.append(F.when(F.col("unit") == "line", F.concat(*of_line)).otherwise(none))
+    if of_sentence:
+        parts.append(F.when(F.col("unit") == "sentence", F.concat(*of_sentence)).otherwise(none))
+    found = each.select("path", *(["sup"] if suppress else []), F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("x"))
+    return found.where(~policies.suppressed(F.col("sup"), F.col("x"))).select("path", "x") if suppress else found
 
 
 @without_call_sites()
-def check(documents: DataFrame, policy: Policy | None = None, python: bool = True, suppress: bool = True, persist: bool = True, extra: list | None = None) -> DataFrame:
-    """Findings of documents (path, content): path, seq, rule_id, message, line, column, end_line, end_column, severity, confidence, suggestion.
+def findings(documents: DataFrame, policy: Policy | None = None, python: bool = True, suppress: bool = True, extra: list[Column] | None = None) -> DataFrame:
+    """Findings of documents (path, content) in no order and without numbers: no shuffle at all. place orders those of a rule in a document.
 
-    persist: keep the shared tables (in memory, then on disk) until spark.catalog.clearCache(); each would be made again for every
-    rule group otherwise. extra: functions of the views that give more findings, for rules of one's own. seq orders a document's findings by rule and
-    then in the rule's own order.
+    extra: columns over a parsed document that give arrays of issues, for rules of one's own.
     """
     policy = policy or Policy()
-    v = views(documents, python)
-    if persist:
-        v.persist()
-    parts = [p.select(*COLUMNS) for p in branches(v, policy)] + [make(v).select(*COLUMNS) for make in extra or []]
-    if not parts:
-        return documents.sparkSession.createDataFrame([], "path string, seq long, rule_id string, message string, line int, column int, end_line int, end_column int, severity string, confidence string, suggestion string")
-    found = policies.finish(union(parts), policy)
-    if suppress:
-        comments = v.files.select("path", F.explode("comments").alias("c")).select("path", "c.*") if v.files is not None else None
-        found = policies.suppress(found, policies.suppressions(v.lines, comments))
+    sentences = bool(policy.rules() - _LINE_ONLY) or bool(extra)
+    found = judged(parsed(documents, python, sentences), policy, python, suppress, extra)
+    return policies.finish(found.select("path", "x.*"), policy).select(*COLUMNS, "place")
+
+
+#: Rules that read neither chunks nor sentences.
+_LINE_ONLY = {x[0] for table in (line_rules.L.LITERALS, line_rules.L.FIRSTS, line_rules.L.ALLS, line_rules.L.MARKDOWN_ALLS, line_rules.L.REPLACEMENTS, line_rules.L.COUNTED) for x in table} | {
+    "V001", "V007", "S004", "S007", "S008", "S009", "S013", "S016", "S021", "S025", "S028", "S029", "T001", "T002", "T003", "T004", "G003", "M003", "M004", "M005", "M006", "M007", "M008", "M010",
+}
+
+
+def numbered(found: DataFrame) -> DataFrame:
+    """Findings with seq, their order inside a path: by rule and then in the rule's own order."""
     seq = F.row_number().over(Window.partitionBy("path").orderBy("rule_id", "place", "line", "column", "message")).cast("long")
-    return found.withColumn("seq", seq).select("path", "seq", "rule_id", "message", "line", "column", "end_line", "end_column", "severity", "confidence", "suggestion")
+    return found.withColumn("seq", seq).select("path", "seq", *COLUMNS[1:])
+
+
+def check(documents: DataFrame, policy: Policy | None = None, python: bool = True, suppress: bool = True, extra: list[Column] | None = None) -> DataFrame:
+    """Findings of documents (path, content): path, seq, rule_id, message, line, column, end_line, end_column, severity, confidence, suggestion."""
+    return numbered(findings(documents, policy, python, suppress, extra))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from inkgauge.functions.text import has, squeeze
 from inkgauge.plans import catalog
+from inkgauge.plans import lexicon as L
 
 #: The keyword of inline directives.
 DIRECTIVE = "inkgauge"
@@ -79,43 +80,44 @@ def finish(found: DataFrame, policy: Policy) -> DataFrame:
     return out if len(keep) == 3 else out.where(F.col("confidence").isin(*keep))
 
 
-def suppressions(lines: DataFrame | None, comments: DataFrame | None) -> DataFrame:
-    """path, line, token of inline directives. lines: Markdown lines, whose directive speaks of the next line; comments: Python comments, of their own line.
+DIRECTIVES = "array<struct<line:int,token:string>>"
+
+
+def suppressions(markdown: bool) -> Column:
+    """line, token of a document's inline directives, over its columns lines (Markdown, where a directive speaks of the next line) or comments (Python, of their own line).
 
     A malformed directive fails the query.
     """
-    parts = []
     token = r"\s*[A-Za-z][A-Za-z0-9]*\s*"
     good = rf"\A{token}(?:,{token})*\z"
-    if lines is not None:
+
+    def named(at: Column, line: Column, tokens: Column) -> Column:
+        problem = F.raise_error(F.concat(F.lit("line "), at.cast("string"), F.lit(": malformed inline suppression")))
+        checked = F.when(has(tokens, good), tokens).otherwise(problem.cast("string"))
+        return F.transform(F.split(checked, ","), lambda t: F.struct(line.alias("line"), F.upper(F.trim(t)).alias("token")))
+
+    if markdown:
         regex = rf"(?iU)^\s*<!--\s*{DIRECTIVE}-ignore-next-line(?:\s+(.*?))?\s*-->\s*$"
-        mark = F.lower(F.trim("raw"))
-        d = lines.where(~F.col("code") & F.startswith(mark, F.lit("<!--")) & F.contains(mark, F.lit(f"{DIRECTIVE}-ignore-next-line")))
-        parts.append(d.select("path", (F.col("n") + 1).alias("line"), F.col("n").alias("at"), F.regexp_extract("raw", regex, 1).alias("tokens")))
-    if comments is not None:
-        regex = rf"(?iU)\s*{DIRECTIVE}:\s*ignore\s*=\s*(.*?)\s*$"
-        d = comments.where(F.contains(F.lower("text"), F.lit(f"{DIRECTIVE}:")))
-        parts.append(d.select("path", "line", F.col("line").alias("at"), F.regexp_extract("text", regex, 1).alias("tokens")))
-    d = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    problem = F.raise_error(F.concat(F.lit("line "), F.col("at").cast("string"), F.lit(": malformed inline suppression")))
-    checked = F.when(has(F.col("tokens"), good), F.col("tokens")).otherwise(problem.cast("string"))
-    return d.select("path", "line", F.explode(F.transform(F.split(checked, ","), lambda t: F.upper(F.trim(t)))).alias("token")).distinct()
-
-
-def suppress(found: DataFrame, directives: DataFrame) -> DataFrame:
-    """found without what a directive names, by rule or category letter, on its line."""
-    ranked = directives.withColumnsRenamed({"line": "_line", "path": "_path"})
-    hit = (found["path"] == F.col("_path")) & (found["line"] == F.col("_line")) & ((F.col("token") == found["rule_id"]) | (F.col("token") == F.substring(found["rule_id"], 1, 1)))
-    return found.join(ranked, hit, "left_anti")
+        mark = lambda r: F.lower(F.trim(r["raw"]))
+        wanted = F.filter("lines", lambda r: F.contains(r["raw"], F.lit("<!--")) & ~r["code"] & F.startswith(mark(r), F.lit("<!--")) & F.contains(mark(r), F.lit(f"{DIRECTIVE}-ignore-next-line")))
+        return F.flatten(F.transform(wanted, lambda r: named(r["n"], r["n"] + 1, F.regexp_extract(r["raw"], regex, 1))))
+    regex = rf"(?iU)\s*{DIRECTIVE}:\s*ignore\s*=\s*(.*?)\s*$"
+    wanted = F.filter("comments", lambda c: F.contains(F.lower(c["text"]), F.lit(f"{DIRECTIVE}:")))
+    return F.flatten(F.transform(wanted, lambda c: named(c["line"], c["line"], F.regexp_extract(c["text"], regex, 1))))
+
+
+def suppressed(directives: Column, x: Column) -> Column:
+    """Whether a directive names a finding, by rule or category letter, on its line."""
+    return F.exists(directives, lambda d: (d["line"] == x["line"]) & ((d["token"] == x["rule_id"]) | (d["token"] == F.substring(x["rule_id"], 1, 1))))
 
 
 # --- baselines
 
 
 def identities(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """found with match and context_hash: what a finding is known by in a baseline, besides path and rule_id."""
-    split = F.split(F.regexp_replace("content", r"\r\n", "\n"), r"[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]", -1)
-    d = found.join(docs.select("path", "content"), "path").withColumn("own", F.coalesce(F.get(split, F.col("line") - 1), F.lit(""))).drop("content")
+    """found with match and context_hash: what a finding is known by in a baseline, besides path and rule_id. Paths should be of one document each."""
+    split = F.split("content", L.LINE_ENDS, -1)
+    d = found.join(docs.select("path", "content").dropDuplicates(["path"]), "path").withColumn("own", F.coalesce(F.get(split, F.col("line") - 1), F.lit(""))).drop("content")
     n = F.length("own")
     start = F.least(F.greatest(F.col("column") - 1, F.lit(0)), n)
     spanned = F.col("end_column").isNotNull() & (F.col("end_column") - 1 > start) & (F.col("end_line").isNull() | (F.col("end_line") == F.col("line")))

@@ -41,7 +41,7 @@ def _doc_id() -> Column:
 
 def found(spark: SparkSession, sf_dir: str, rules: set[str], augmented: bool = True, **more: object) -> DataFrame:
     policy = Policy(select=rules, minimum_severity="info", **more)
-    return engine.check(corpus(spark, sf_dir, augmented), policy, python=False, suppress=False, persist=False)
+    return engine.findings(corpus(spark, sf_dir, augmented), policy, python=False, suppress=False)
 
 
 def _places(df: DataFrame) -> DataFrame:
@@ -53,13 +53,13 @@ def _counts(df: DataFrame) -> DataFrame:
 
 
 def line_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = markdown.lines(corpus(spark, sf_dir))
+    d = corpus(spark, sf_dir).select("path", F.inline(markdown.structure(F.col("content"))["lines"]))
     return d.select(_doc_id(), F.col("n").cast("long").alias("line"), F.length("raw").cast("long").alias("width"), F.sha2("raw", 256).alias("sha"))
 
 
 def sentence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = engine.views(corpus(spark, sf_dir, False), python=False)
-    return v.sentences.select(_doc_id(), F.col("sent").cast("long").alias("sent"), "text")
+    d = engine.parsed(corpus(spark, sf_dir, False), python=False).select("path", F.inline("sentences"))
+    return d.select(_doc_id(), F.col("sent").cast("long").alias("sent"), "text")
 
 
 def t008_sentence_length(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,7 +78,6 @@ def watch(spark: SparkSession, paths: list[str], on_findings: Callable[[DataFram
 
     def run(batch: DataFrame, number: int) -> None:
         on_findings(engine.check(batch.select("path", "content"), policy), number)
-        spark.catalog.clearCache()
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
