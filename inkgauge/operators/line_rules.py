@@ -25,9 +25,9 @@ def spans_to_issues(spans: Column, rule: str, label: str, order: int, after: str
 
 
 def literal_rule(rule: str, label: str, phrases: tuple[str, ...], base: int = 0) -> Column:
-    """The first place of each literal phrase in the lower-cased line."""
-    parts = [S.line_issues(S.literal("lower(text)", p.lower()), rule, S.lit(f"{label}: '{p}'"), k) for k, p in enumerate(phrases, base)]
-    return F.expr(S.guarded(f"lower(text) rlike {S.lit(any_of(escaped([p.lower() for p in phrases]), ''))}", parts, NONE))
+    """The first place of each literal phrase in the lower-cased line. Searching bytes for each phrase is much faster than one regular expression of all."""
+    parts = [S.line_issues(S.literal("low", p.lower()), rule, S.lit(f"{label}: '{p}'"), k) for k, p in enumerate(phrases, base)]
+    return F.expr(S.guarded(" or ".join(f"contains(low, {S.lit(p.lower())})" for p in phrases), parts, NONE))
 
 
 def _unary(body):
@@ -77,15 +77,15 @@ def vocabulary_rule(allowed: tuple[str, ...] = (), additional: tuple[str, ...] =
         sure = f"if(example, 'low', element_at({_map([(w, S.lit(tier[w])) for w in exact])}, x.t))"
         number = f"element_at({_map([(w, str(listed.index(w))) for w in exact])}, x.t)"
         message = f"concat({S.quoted('Overused word')}, coalesce(concat(' → consider \\'', {hint}, '\\''), ''))"
-        parts.append(S.line_issues(S.matches("lower(text)", regex), "V001", message, 0, sure, hint, f"array(n, {number}, i)"))
+        parts.append(S.line_issues(S.matches("low", regex), "V001", message, 0, sure, hint, f"array(n, {number}, i)"))
     for k, word in enumerate(listed):
         if word not in exact:
             instead = L.SUGGESTIONS.get(word)
             after = f" → consider '{instead}'" if instead else ""
-            parts.append(S.line_issues(S.matches("lower(text)", rf"(?U)\b(?:{regex_of[word]})\b"), "V001", S.quoted("Overused word", after), k, f"if(example, 'low', {S.lit(tier[word])})", S.lit(instead)))
-    wanted = f"lower(text) rlike {S.lit(chr(40) + '?U' + chr(41) + chr(92) + 'b(?:' + '|'.join(f'(?:{p})' for p in regex_of.values()) + ')' + chr(92) + 'b')}"
+            parts.append(S.line_issues(S.matches("low", rf"(?U)\b(?:{regex_of[word]})\b"), "V001", S.quoted("Overused word", after), k, f"if(example, 'low', {S.lit(tier[word])})", S.lit(instead)))
+    wanted = f"low rlike {S.lit(chr(40) + '?U' + chr(41) + chr(92) + 'b(?:' + '|'.join(f'(?:{p})' for p in regex_of.values()) + ')' + chr(92) + 'b')}"
     for phrase in allowed_phrases:
-        wanted += f" and not contains(lower(text), {S.lit(phrase.lower())})"
+        wanted += f" and not contains(low, {S.lit(phrase.lower())})"
     return F.expr(S.guarded(wanted, parts, NONE))
 
 

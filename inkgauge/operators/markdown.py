@@ -151,10 +151,28 @@ def examples(heads: Column, n: Column) -> Column:
     return flags(F.transform(F.filter(heads, lambda h: has(h["title"], EXAMPLE)), lambda h: F.struct(h["start"].alias("a"), h["end_line"].alias("b"))), n)
 
 
+def _mask_deep(text: Column) -> Column:
+    """Blanks over link destinations whose parentheses nest deeper than LINK_DESTINATION reads."""
+
+    def step(state: Column, x: Column) -> Column:
+        opens, closes = x["t"] == "(", x["t"] == ")"
+        link = F.startswith(x["t"], F.lit("["))
+        depth = F.when(state["depth"] == 0, F.when(link, 1).otherwise(0)).when(opens | link, state["depth"] + 1).when(closes, state["depth"] - 1).otherwise(state["depth"])
+        after = F.struct(depth.alias("depth"), F.when((state["depth"] == 0) & link, x["b"] - 1).otherwise(state["a"]).alias("a"))
+        return F.struct(after.alias("state"), F.when((state["depth"] == 1) & closes, F.struct(state["a"].alias("a"), x["b"].alias("b"))).alias("out"))
+
+    def blanked(value: Column) -> Column:
+        spans = kept(scan(matches(value, r"(?s)\\[()\\]|\[[^\]]+\]\(|[()]"), F.expr("named_struct('depth', 0, 'a', 0)"), step, "struct<a:int,b:int>"))
+        return F.aggregate(spans, value, lambda t, x: F.concat(F.substring(t, F.lit(1), x["a"]), F.repeat(F.lit(" "), x["b"] - x["a"]), F.substring(t, x["b"] + 1, F.length(t))))
+
+    return let(text, lambda value: F.when(has(value, r"\]\([^()]*(?:\([^()]*){3}"), blanked(value)).otherwise(value))
+
+
 def mask_inline(text: Column) -> Column:
     """Blanks over inline code, link destinations, definition URLs and autolinks."""
     text = mask(text, INLINE_CODE)
     text = mask(text, LINK_DESTINATION, lambda hit: F.substring(hit, F.lit(1), F.locate("]", hit)))
+    text = _mask_deep(text)
     text = mask(text, r"(?U)^\s*\[[^\]]+\]:\s*\S+", lambda hit: F.regexp_extract(hit, r"(?U)^\s*\[[^\]]+\]:\s*", 0))
     return mask(text, AUTOLINK)
 

@@ -91,10 +91,10 @@ def _document_rules(policy: Policy, python: bool) -> list[Column]:
 
 
 #: Fields of a unit: what rules of a line and rules of a sentence read, and the findings of the whole document.
-_LINE = ("n", "raw", "text", "context", "scope", "example", "markdown")
+_LINE = ("n", "raw", "text", "low", "context", "scope", "example", "markdown")
 _SENTENCE = ("sent", "k", "source", "start_line", "start_col", "end_line", "end_col", "source_lines", "window", "next_text")
 _KINDS = {
-    "n": "int", "raw": "string", "text": "string", "context": "string", "scope": "int", "example": "boolean", "markdown": "boolean", "sent": "int", "k": "int", "source": "string", "start_line": "int", "start_col": "int",
+    "n": "int", "raw": "string", "text": "string", "low": "string", "context": "string", "scope": "int", "example": "boolean", "markdown": "boolean", "sent": "int", "k": "int", "source": "string", "start_line": "int", "start_col": "int",
     "end_line": "int", "end_col": "int", "source_lines": "array<int>", "window": "string", "next_text": "string",
 }
 
@@ -115,7 +115,7 @@ def judged(docs: DataFrame, policy: Policy, python: bool = True, suppress: bool
     if whole:
         units.append(F.array(_unit("document", {}, F.concat(*whole))))
     if of_line:
-        units.append(F.transform("prose", lambda r: _unit("line", {c: r[c] for c in _LINE})))
+        units.append(F.transform("prose", lambda r: _unit("line", {c: F.lower(r["text"]) if c == "low" else r[c] for c in _LINE})))
     if of_sentence:
         units.append(F.transform("sentences", lambda s: _unit("sentence", {c: s[c] for c in ("text", "context", "scope", "example", "markdown", *_SENTENCE)})))
     if not units:

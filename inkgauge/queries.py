@@ -15,6 +15,7 @@ from inkgauge.operators import markdown
 from inkgauge.plans import catalog, engine, lexicon
 from inkgauge.plans import policy as policies
 from inkgauge.plans.policy import Policy
+from inkgauge.sources import tables
 
 SNIPPETS = (
     "# The First Big Plan\n\nLet me know if the world-class tool boasts more. In conclusion, here's the kicker for us.\nWe revert back in order to merge together.",
@@ -29,7 +30,7 @@ SNIPPETS = (
 
 
 def corpus(spark: SparkSession, sf_dir: str, augmented: bool = True) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = tables.read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     extra = F.get(F.array(*map(F.lit, SNIPPETS)), F.pmod("doc_id", F.lit(len(SNIPPETS))).cast("int"))
     content = F.concat("text", F.lit("\n\n"), extra) if augmented else F.col("text")
     return docs.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), content.alias("content"))

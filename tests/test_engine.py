@@ -1,6 +1,7 @@
 """Views, rules and policy on small documents with expectations derived by hand."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkgauge.plans import catalog, engine, policy
 from inkgauge.plans.policy import Policy
@@ -34,27 +35,62 @@ def rows(df):
     return [tuple(r) for r in df.collect()]
 
 
+def lines_of(docs, column):
+    return engine.parsed(docs, python=False).select("path", F.inline(column))
+
+
 def test_blocks_and_contexts(docs):
-    v = engine.views(docs, python=False)
-    got = {(r.n, r.context) for r in v.prose.collect()}
+    got = {(r.n, r.context) for r in lines_of(docs, "prose").collect()}
     assert got == {(1, "heading"), (3, "body"), (4, "body"), (5, "body"), (7, "heading"), (8, "list_item"), (9, "list_item"), (10, "body"), (11, "blockquote")}
 
 
 def test_sentences_keep_positions(docs):
-    v = engine.views(docs, python=False)
-    got = {(r.start_line, r.start_col, r.end_line, r.end_col, r.text) for r in v.sentences.where("start_line between 3 and 5").collect()}
+    got = {(r.start_line, r.start_col, r.end_line, r.end_col, r.text) for r in lines_of(docs, "sentences").where("start_line between 3 and 5").collect()}
     assert (4, 1, 5, 23, "A wrapped sentence that\nends on the next line.") in got
     assert (5, 24, 5, 39, "Dr. Smith came.") in got  # an abbreviation ends no sentence
 
 
 def test_masked_code_is_no_prose(docs):
-    v = engine.views(docs, python=False)
-    line = v.prose.where("n = 3").first()
+    line = lines_of(docs, "prose").where("n = 3").first()
     assert len(line.text) == len(line.raw) and "code" not in line.text and "url_here" not in line.text
 
 
+def test_one_scan_and_no_shuffle(docs):
+    rules = set(catalog.RULES)
+    found = engine.findings(docs, Policy(select=rules, minimum_severity="info"), python=False)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Union" not in plan
+
+
+def test_null_and_repeated_paths(spark):
+    text = "It ran. It sat."
+    rows_ = [("a.md", text), ("a.md", text), (None, text + " Feel free to go."), ("b.txt", "It ran. It sat. It won.\n\n# no heading")]
+    found = engine.check(spark.createDataFrame(rows_, "path string, content string"), Policy(select={"S010", "V002", "T001"}, minimum_severity="info"))
+    assert sorted(((r.path or ""), r.rule_id, r.seq) for r in found.collect()) == [("", "V002", 1), ("b.txt", "S010", 1)]
+
+
+def test_long_documents_cost_in_proportion(spark):
+    import time
+
+    policy = Policy(select={"T010", "S010", "T015", "V009"}, minimum_severity="info")
+    took = {}
+    for n in (4_000, 16_000, 32_000):
+        text = "".join(f"Word{k} goes (in order) to see what comes!! " for k in range(n))
+        df = spark.createDataFrame([("a.md", text)], "path string, content string")
+        began = time.time()
+        assert engine.findings(df, policy, python=False, suppress=False).where("rule_id = 'T010'").count() == n
+        took[n] = time.time() - began
+    assert took[32_000] < 3 * took[16_000] + 1
+
+
+def test_deep_parentheses_and_lists(spark):
+    text = "See [a](b(c(d(e(f!!))))) now.\n\n- one\n\n  still!!\n\n- two\nand!! so"
+    found = engine.findings(spark.createDataFrame([("a.md", text)], "path string, content string"), Policy(select={"T010"}, minimum_severity="info"), python=False)
+    assert sorted((r.line, r.column) for r in found.collect()) == [(5, 8), (8, 4)]
+
+
 def test_findings(docs):
-    found = engine.check(docs, Policy(select={"T010", "G017", "M004", "M007", "M008", "M010"}, minimum_severity="info"), python=False, suppress=False, persist=False)
+    found = engine.check(docs, Policy(select={"T010", "G017", "M004", "M007", "M008", "M010"}, minimum_severity="info"), python=False, suppress=False)
     got = {(r.rule_id, r.line, r.column, r.end_line, r.end_column, r.severity, r.confidence) for r in found.collect()}
     assert got == {
         ("G017", 3, 1, 3, 17, "info", "high"),
@@ -69,14 +105,14 @@ def test_findings(docs):
 def test_suppression_is_of_the_next_line(spark):
     text = "<!-- inkgauge-ignore-next-line V002 -->\nFeel free to ask. Here is a list.\n\nFeel free to go."
     docs = spark.createDataFrame([("a.md", text)], "path string, content string")
-    found = engine.check(docs, Policy(select={"V002"}), python=False, persist=False)
+    found = engine.check(docs, Policy(select={"V002"}), python=False)
     assert [(r.line, r.message) for r in found.collect()] == [(4, "Collaborative phrase: 'Feel free to'")]
 
 
 def test_python_comments_and_docstrings(spark):
     text = '"""A holistic module."""\n\n\ndef load_file(path):\n    """Load file path."""\n    # return path\n    return path  # Feel free to edit\n\n\n# x = 1\n'
     docs = spark.createDataFrame([("a.py", text), ("bad.py", "def (:\n# TODO\n")], "path string, content string")
-    found = engine.check(docs, Policy(select={"C"}, minimum_severity="info"), persist=False)
+    found = engine.check(docs, Policy(select={"C"}, minimum_severity="info"))
     got = sorted((r.path, r.rule_id, r.line) for r in found.collect())
     assert ("a.py", "C001", 1) in got and ("a.py", "C003", 7) in got and ("a.py", "C006", 6) in got and ("a.py", "C007", 5) in got and ("a.py", "C008", 10) in got
     assert ("bad.py", "C004", 2) in got
@@ -99,7 +135,7 @@ def test_policy_rejects_what_it_does_not_know():
 
 
 def test_baseline_states(spark, docs):
-    found = engine.check(docs, Policy(select={"M004", "M007"}), python=False, suppress=False, persist=False)
+    found = engine.check(docs, Policy(select={"M004", "M007"}), python=False, suppress=False)
     known = policy.identities(found, docs)
     old = known.where("rule_id = 'M004'").select(*policy.KEY).unionByName(spark.createDataFrame([("a.md", "V001", "x", "0" * 16)], "path string, rule_id string, match string, context_hash string"))
     got = {(r.rule_id, r.state) for r in policy.partition(known, old).collect()}
