@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkgauge.llm import common, decontamination, licenses, neardup, packing, quality, quality_rules, secret_scan, token_counts, token_files, toxicity
+from inkgauge.sources import tables
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return tables.read(spark, sf_dir, table)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
