@@ -14,6 +14,9 @@
 Only the corpus' text is read at scale (twice); what is shuffled are counts and hits. Entry terms go into the scan in blocks of
 at most TERMS_A_BLOCK, each over all rows, so what a task is sent has a fixed bound for any benchmark.
 
+A document is known by its id and its text's hash, so equal rows share their hits. Sides made from the benchmark are broadcast
+only if they are small in bytes (common.checked_broadcast).
+
 Defined cases: a null or empty text has no words, hits or items; an item without words has no window; items of the same id
 count once; a null item_id is the empty id; a null doc_id and repeated rows are kept; empty tables give no hits or no rows.
 """
@@ -23,28 +26,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkgauge.functions.text import let, merged
 from inkgauge.llm import common
-from inkgauge.llm.quality_rules import let
 
 TERMS_A_BLOCK = 20_000
-#: Rows up to which a side made from the benchmark is broadcast: some tens of MB. Beyond it Spark chooses the join.
-BROADCAST_ROWS = 200_000
 #: Proximity: rarest terms of a window that are looked for, how many must be met, and how many words off their places they may be.
 NEAR_TERMS, NEAR_LEAST, SLACK = 4, 3, 3
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(common.ascii_lower(F.coalesce(text, F.lit(""))), F.lit(common.WORD_CLASS), F.lit(0))
+    return common.words(common.ascii_lower(F.coalesce(text, F.lit(""))))
 
 
 def _md5(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def entries(docs: DataFrame, benchmark: DataFrame, window: int, near: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """Where windows are entered: item, term, term2 at distance gap, need (words that must be equal), left and right (the item's words around the term).
 
@@ -52,13 +49,13 @@ def entries(docs: DataFrame, benchmark: DataFrame, window: int, near: bool = Tru
     """
     items = common.columns(benchmark, item_id="string", text="string").select(F.coalesce("item_id", F.lit("")).alias("item"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
     items = common.table(items.withColumn("key", F.xxhash64("item", "w")), "decontamination-items")
-    vocabulary = items.select(F.explode("w").alias("term")).distinct()
-    seen = docs.select(F.explode(words_of(F.col("text"))).alias("term")).join(_small(vocabulary, vocabulary.count()), "term").groupBy("term").count()
+    vocabulary = common.table(items.select(F.explode("w").alias("term")).distinct(), "decontamination-vocabulary")
+    seen = docs.select(F.explode(words_of(F.col("text"))).alias("term")).join(common.checked_broadcast(vocabulary), "term").groupBy("term").count()
     seen = common.table(vocabulary.join(seen, "term", "left").select("term", F.coalesce("count", F.lit(0)).alias("seen")), "decontamination-terms")
     starts = items.select("key", F.size("w").alias("n"), "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)))).alias("start"))
     terms = starts.select("key", "start", F.posexplode(F.slice("w", F.col("start") + 1, window)).alias("k", "term")).withColumn("q", F.col("start") + F.col("k"))
     order = Window.partitionBy("key", "start").orderBy("seen", "q")
-    ranked = terms.join(_small(seen, seen.count()), "term").withColumn("rank", F.row_number().over(order)).where("rank <= 2")
+    ranked = terms.join(common.checked_broadcast(seen), "term").withColumn("rank", F.row_number().over(order)).where("rank <= 2")
     pairs = ranked.groupBy("key", "start").agg(F.min_by("q", "rank").alias("q"), F.max_by("q", "rank").alias("q2")).select("key", "q", "q2").distinct()
     w, q = F.col("w"), F.col("q")
     known = common.table(
@@ -75,7 +72,7 @@ def entries(docs: DataFrame, benchmark: DataFrame, window: int, near: bool = Tru
     )
     if not near:
         return known, None
-    once = terms.groupBy("key", "start", "term").agg(F.min("q").alias("q")).join(_small(seen, seen.count()), "term")
+    once = terms.groupBy("key", "start", "term").agg(F.min("q").alias("q")).join(common.checked_broadcast(seen), "term")
     once = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= NEAR_TERMS)
     rarest = once.groupBy("key", "start").agg(F.sort_array(F.collect_list(F.struct("rank", "term", "q"))).alias("own")).where(F.size("own") >= NEAR_LEAST)
     entered = rarest.select("key", "own", F.explode(F.slice("own", 1, 2)).alias("by"))
@@ -120,39 +117,30 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, slack: int | N
     docs = common.columns(docs, doc_id="long", text="string")
     known, close = entries(docs, benchmark, window, slack is not None)
     listed = known.select("term") if close is None else known.select("term").union(close.select("term"))
-    n_known, n_close, n_terms = known.count(), close.count() if close is not None else 0, listed.distinct().count()
-    blocks = max(1, -(-n_terms // TERMS_A_BLOCK))
-    # with several passes a row is known by its content (equal rows have equal hits), else by a number given when it is stored
-    row = F.monotonically_increasing_id() if blocks == 1 else F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), _md5(F.col("text")))
+    listed = common.table(listed.distinct(), "decontamination-listed")
+    blocks = max(1, -(-listed.count() // TERMS_A_BLOCK))
+    row = F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), _md5(F.col("text")))
     parts, base = [], None
     for k in range(blocks):
         here = F.pmod(F.xxhash64("term"), F.lit(blocks)) == k
         own = known.where(here)
-        terms = sorted(r.term for r in listed.where(here).distinct().collect())  # at most about TERMS_A_BLOCK
+        terms = sorted(r.term for r in listed.where(here).collect())  # at most about TERMS_A_BLOCK
         stored = common.table(index(docs, terms, window - 1 + (slack or 0), row), "decontamination-index")
         base = base if base is not None else stored.select("row", "doc_id", "md5", "n_words")
         posting = stored.select("row", F.explode("at").alias("p")).select("row", "p.*")
-        met = posting.withColumnsRenamed({"left": "dl", "right": "dr"}).join(_small(own, n_known), "term")
+        met = posting.withColumnsRenamed({"left": "dl", "right": "dr"}).join(common.checked_broadcast(own), "term")
         second = F.when(F.col("gap") > 0, F.get("dr", F.col("gap") - 1)).when(F.col("gap") < 0, F.get("dl", -F.col("gap") - 1)).otherwise(F.col("term"))
         run = met.where(second == F.col("term2")).select("row", "item", "pos", "need", _equal(F.col("dl"), F.col("left")).alias("before"), _equal(F.col("dr"), F.col("right")).alias("after"))
         parts.append(run.where("before + 1 + after >= need").select("row", "item", (F.col("pos") - F.col("before")).alias("a"), (F.col("pos") + F.col("after") + 1).alias("b"), F.lit(False).alias("near")))
         if close is not None:
-            parts.append(_near(posting, _small(close.where(here), n_close), slack).withColumn("near", F.lit(True)))
+            parts.append(_near(posting, common.checked_broadcast(close.where(here)), slack).withColumn("near", F.lit(True)))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    merged = lambda ranges: F.aggregate(
-        F.sort_array(ranges),
-        F.expr("array(named_struct('a', -1L, 'b', -1L))"),
-        lambda acc, x: let(
-            F.element_at(acc, -1),
-            lambda last: F.when(x["a"] <= last["b"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(x))),
-        ),
-    )
     names = {"": F.lit(False)} if close is None else {"": F.lit(False), "near_": F.lit(True)}
     span = F.struct(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     each = found.groupBy("row").agg(*(x for name, near in names.items() for x in (F.sort_array(F.collect_set(F.when(F.col("near") == near, F.col("item")))).alias(f"{name}items"), F.collect_set(F.when(F.col("near") == near, span)).alias(f"{name}ranges"))))
-    each = each.select("row", *(x for name in names for x in (f"{name}items", F.filter(merged(f"{name}ranges"), lambda x: x["a"] >= 0).alias(f"{name}spans"))))
+    each = each.select("row", *(x for name in names for x in (f"{name}items", merged(f"{name}ranges").alias(f"{name}spans"))))
     empty = {"items": F.expr("array()").cast("array<string>"), "spans": F.expr("array()").cast("array<struct<a:long,b:long>>")}
     return base.join(each, "row", "left").withColumns({name + c: F.coalesce(name + c, none) for name in names for c, none in empty.items()})
 
@@ -160,8 +148,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, slack: int | N
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """docs without the documents that any window of the benchmark occurs in."""
     found = common.table(hits(docs, benchmark, window, None).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("md5").alias("_md5")).distinct(), "decontamination-found")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (_md5(docs["text"]) == F.col("_md5"))
-    return docs.join(common.small(found, found.count()), same, "left_anti")
+    same = docs["doc_id"].cast("long").eqNullSafe(found["_id"]) & (_md5(docs["text"]) == found["_md5"])
+    return docs.join(found, same, "left_anti")
 
 
 def digest(found: DataFrame) -> DataFrame:
