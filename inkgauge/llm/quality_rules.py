@@ -10,11 +10,10 @@ and never judged; a null doc_id and repeated rows are kept; an empty table gives
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkgauge.functions.text import let
 from inkgauge.llm import common
 
 # Fixed values.
@@ -30,11 +29,6 @@ SEPARATOR = r"[|›»•·]"
 MIN_WORDS = 50
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once: a lambda's variable is never inlined."""
-    return F.transform(F.array(value), body)[0]
-
-
 def words_of(text: Column) -> Column:
     inner = F.regexp_replace(text, rf"^{SPACE}|{SPACE}$", "")
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE))
@@ -44,50 +38,54 @@ def n_words_of(text: Column) -> Column:
     return F.regexp_count(text, F.lit(common.TOKEN_CLASS))
 
 
-def repeated_words(words: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more: sort the windows, mark equal neighbours, measure what they cover."""
-    grams = let(words, lambda w: F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))))
+def windows_of(words: Column) -> Column:
+    """Hashes of the 3-word windows."""
+    return let(words, lambda w: F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<bigint>")))
+
+
+def repeated_words(windows: Column) -> Column:
+    """Words inside windows that occur twice or more. A text whose windows are all different is done after one hash set; else the
+    windows are sorted, equal neighbours marked, and what they cover is measured."""
+    pairs = F.transform(windows, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
     twice = let(
-        F.sort_array(grams),
+        F.sort_array(pairs),
         lambda s: F.sort_array(F.filter(F.transform(s, lambda x, j: F.when((x["h"] == F.get(s, j - 1)["h"]) | (x["h"] == F.get(s, j + 1)["h"]), x["i"])), lambda p: p.isNotNull())),
     )
     covered = let(twice, lambda p: F.aggregate(F.transform(p, lambda x, j: F.coalesce(F.least(F.lit(3), F.get(p, j + 1) - x), F.lit(3))), F.lit(0).cast("long"), lambda a, b: a + b))
-    return F.coalesce(covered, F.lit(0).cast("long"))
+    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), covered).otherwise(F.lit(0).cast("long"))
 
 
-def line_fails(line: Column, n_words: Column) -> Column:
+def line_fails(line: Column, lower: Column, n_words: Column, n_separators: Column) -> Column:
     """Whether a line with a word fails: no end of a sentence, shouting, symbols, navigation or boilerplate."""
-    lower = common.ascii_lower(line)
-    boilerplate = F.lit(False)
-    for phrase in BOILERPLATE:
-        boilerplate = boilerplate | F.contains(lower, F.lit(phrase))
-    separators = F.regexp_count(line, F.lit(SEPARATOR))
     return (
         ~F.rlike(line, F.lit(LINE_END))
         | (10 * F.regexp_count(line, F.lit(SHOUT)) > 3 * n_words)
         | (10 * F.regexp_count(line, F.lit(SYMBOL)) > F.length(line))
-        | ((separators >= 2) & (4 * separators >= n_words))
-        | boilerplate
+        | ((n_separators >= 2) & (4 * n_separators >= n_words))
+        | F.exists(F.array(*map(F.lit, BOILERPLATE)), lambda p: F.contains(lower, p))
     )
 
 
 def assess(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, n_lost_words, n_failed_lines and clean_text (without the failing lines)."""
-    text = F.coalesce("text", F.lit(""))
-    judged = F.transform(F.split("text", "\n", -1), lambda x: let(n_words_of(x), lambda n: F.struct(x.alias("line"), n.alias("n"), ((n > 0) & line_fails(x, n)).alias("fails"))))
-    rows = common.columns(docs, doc_id="long", text="string").withColumn("text", text).withColumn("lines", judged)
-    spoken = F.transform(F.filter("lines", lambda x: x["n"] > 0), lambda x: x["line"])
-    failed = F.filter("lines", lambda x: x["fails"])
+    rows = common.columns(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
+    # the expressions stay shallow, and arrays meet by arrays_zip: a column that is read in a lambda might be computed anew for each item
+    rows = rows.withColumns({"line": F.split("text", "\n", -1), "word": words_of(F.col("text"))})
+    rows = rows.withColumns({"n": F.transform("line", n_words_of), "seps": F.transform("line", lambda x: F.regexp_count(x, F.lit(SEPARATOR))), "low": F.transform("line", common.ascii_lower), "windows": windows_of(F.col("word"))})
+    each = F.arrays_zip("line", "n", "seps", "low")
+    rows = rows.withColumn("judged", F.transform(each, lambda z: F.struct(z["line"].alias("line"), z["n"].alias("n"), ((z["n"] > 0) & line_fails(z["line"], z["low"], z["n"], z["seps"])).alias("fails"))))
+    rows = rows.withColumns({"spoken": F.transform(F.filter("judged", lambda z: z["n"] > 0), lambda z: z["line"]), "lost": F.filter("judged", lambda z: z["fails"])})
+    total = lambda some: F.aggregate(some, F.lit(0).cast("long"), lambda a, z: a + z["n"])
     counted = rows.select(
         "doc_id",
-        F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_words"),
+        total("judged").alias("n_words"),
         F.length(F.regexp_replace("text", SPACE, "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
-        let(spoken, lambda s: F.size(s) - F.size(F.array_distinct(s))).cast("long").alias("n_dup_lines"),
-        repeated_words(words_of(F.col("text"))).alias("n_repeat_words"),
-        F.aggregate(failed, F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_lost_words"),
-        F.size(failed).cast("long").alias("n_failed_lines"),
-        F.array_join(F.transform(F.filter("lines", lambda x: ~x["fails"]), lambda x: x["line"]), "\n").alias("clean_text"),
+        (F.size("spoken") - F.size(F.array_distinct("spoken"))).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col("windows")).alias("n_repeat_words"),
+        total("lost").alias("n_lost_words"),
+        F.size("lost").cast("long").alias("n_failed_lines"),
+        F.array_join(F.transform(F.filter("judged", lambda z: ~z["fails"]), lambda z: z["line"]), "\n").alias("clean_text"),
     )
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return counted.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & (2 * F.col("n_lost_words") <= F.col("n_words")))
