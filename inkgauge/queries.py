@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkgauge import examples
 from inkgauge.operators import markdown
 from inkgauge.plans import catalog, engine, lexicon
 from inkgauge.plans import policy as policies
@@ -131,10 +132,35 @@ def baseline_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policies.partition(now, known).groupBy("rule_id", "state").agg(F.count("*").alias("n"))
 
 
+def _example(table: tuple, k: int) -> Column:
+    return F.get(F.array(*(F.lit(x[k]) for x in table)), F.pmod("doc_id", F.lit(len(table))).cast("int"))
+
+
+def _examples(spark: SparkSession, sf_dir: str, table: tuple, suffix: str) -> DataFrame:
+    """The findings of the example that each document holds, of its own rule, at the example's lines."""
+    docs = tables.read(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    whole = F.concat("text", F.lit("\n\n"), _example(table, 1)) if suffix == ".md" else _example(table, 1)
+    before = F.size(F.split("text", "\n", -1)) + 1 if suffix == ".md" else F.lit(0)
+    own = docs.select(F.concat_ws("/", F.lit("d"), F.col("doc_id").cast("string"), before.cast("string"), F.concat(_example(table, 0), F.lit(suffix))).alias("path"), whole.alias("content"))
+    d = engine.findings(own, Policy(select={x[0] for x in table}, minimum_severity="info"), python=suffix == ".py")
+    part = F.split("path", "/")
+    d = d.select(F.get(part, F.lit(1)).cast("long").alias("doc_id"), F.get(part, F.lit(2)).cast("long").alias("before"), F.get(part, F.lit(3)).alias("own"), "rule_id", F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("col"))
+    return d.where((F.col("own") == F.concat("rule_id", F.lit(suffix))) & (F.col("line") > F.col("before"))).select("doc_id", "rule_id", (F.col("line") - F.col("before")).alias("line"), "col")
+
+
+def rule_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every Markdown rule that no other query covers, each on documents that hold its example."""
+    return _examples(spark, sf_dir, examples.MARKDOWN, ".md")
+
+
+def python_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _examples(spark, sf_dir, examples.PYTHON, ".py")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         line_table, sentence_table, t008_sentence_length, t010_punctuation, g031_clause_overload, s022_wall_of_text, s010_anaphora, t002_bold_overuse, literal_phrases, first_patterns, all_patterns, replacements,
-        heading_levels, rule_catalog, findings_summary, policy_filtered, baseline_partition,
+        heading_levels, rule_catalog, findings_summary, policy_filtered, baseline_partition, rule_examples, python_examples,
     )
     return {f.__name__: f for f in made}
 
@@ -191,6 +217,14 @@ m AS (SELECT doc_id, line, level, title, 'M008' AS rule_id, 'Heading level jumps
   UNION ALL SELECT doc_id, line, level, title, 'S028', 'Excessive heading depth: level ' || level || ' heading ''' || title || '''' FROM j WHERE level >= 5
   UNION ALL SELECT doc_id, line, level, title, 'T001', 'Title case heading (consider sentence case)' FROM j WHERE len(w) >= 3 AND len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z]') AND lower(x) NOT IN ({small}))) / len(w) > 0.6)
 SELECT doc_id, rule_id, CAST(line AS BIGINT) AS line, CAST(level + 2 AS BIGINT) AS col, CAST(level + 2 + length(title) AS BIGINT) AS end_col, message FROM m"""
+    places = lambda table: ", ".join(f"({k}, '{rule}', {line}, {col})" for k, (rule, _, found) in enumerate(table) for line, col in found)
+    shown = lambda table: f"WITH e(k, rule_id, line, col) AS (VALUES {places(table)}) SELECT doc_id, rule_id, CAST(line AS BIGINT) AS line, CAST(col AS BIGINT) AS col FROM documents JOIN e ON doc_id % {len(table)} = k"
+    known = ", ".join(f"({_sql(rule)}, {_sql(p.lower())})" for rule, _, phrases in lexicon.LITERALS if rule in ("V002", "G004", "S014") for p in phrases)
+    clauses = "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+'), lambda x: x IN ('and', 'but', 'nor', 'or', 'so', 'yet', 'although', 'because', 'if', 'unless', 'whereas', 'while'))"
+    overload = (
+        f"len({clauses}) + len(regexp_extract_all(lower(text), '\\beven\\s+though\\b')) - len(regexp_extract_all(lower(text), '\\bbecause\\s+of\\b')) + length(text) - length(replace(text, ';', '')) "
+        "- len(regexp_extract_all(lower(text), ';\\s*(?:and|but|nor|or|so|yet)\\b'))"
+    )
     rules = ", ".join(f"({_sql(r.category)}, {_sql(r.severity)})" for r in catalog.RULES.values())
     return {
         "line_table": f"WITH {_corpus_sql()} SELECT doc_id, CAST(line AS BIGINT) AS line, CAST(length(raw) AS BIGINT) AS width, sha256(raw) AS sha FROM raw_lines",
@@ -205,5 +239,13 @@ SELECT doc_id, rule_id, CAST(line AS BIGINT) AS line, CAST(level + 2 AS BIGINT)
         "all_patterns": f"WITH {_corpus_sql()}, m AS ({every}), e AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m), f AS (SELECT doc_id, rule_id, line, label, after, hits[i] AS hit, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS a FROM e) SELECT doc_id, rule_id, CAST(line AS BIGINT) AS line, CAST(a + 1 AS BIGINT) AS col, CAST(a + 1 + length(hit) AS BIGINT) AS end_col, label || ': ''' || hit || '''' || after AS message FROM f",
         "replacements": f"WITH {_corpus_sql()}, m AS ({fixed}) SELECT doc_id, rule_id, CAST(line AS BIGINT) AS line, CAST(col AS BIGINT) AS col, suggestion FROM m WHERE NOT (rule_id = 'V011' AND starts_with(suggestion, 'decid') AND regexp_matches(rest, '^\\s+(?:boundary|matrix|model|rule|table|tree)\\b', 'i'))",
         "heading_levels": heads,
+        "rule_examples": shown(examples.MARKDOWN),
+        "python_examples": shown(examples.PYTHON),
+        "g031_clause_overload": counted(f"CASE WHEN {overload} >= 4 THEN 1 ELSE 0 END"),
+        # of the four rules only a skipped level is of high confidence
+        "policy_filtered": f"SELECT doc_id, rule_id, 'warning' AS severity, 'high' AS confidence, line FROM ({heads}) WHERE rule_id = 'M008'",
+        "baseline_partition": f"""WITH {_corpus_sql()}, p(rule_id, phrase) AS (VALUES {known}), m AS (SELECT doc_id, rule_id, phrase, raw, strpos(lower(text), phrase) AS a FROM lines JOIN p ON contains(lower(text), phrase)),
+i AS (SELECT DISTINCT doc_id, rule_id, phrase, lower(trim(regexp_replace(raw[greatest(a - 32, 1):least(length(raw), a - 1 + length(phrase) + 32)], '\\s+', ' ', 'g'))) AS context FROM m)
+SELECT rule_id, CASE rule_id WHEN 'V002' THEN 'active' WHEN 'G004' THEN 'stale' ELSE 'new' END AS state, CAST(count(*) AS BIGINT) AS n FROM i GROUP BY ALL""",
         "rule_catalog": f"SELECT category, severity, CAST(count(*) AS BIGINT) AS n FROM (VALUES {rules}) AS t(category, severity) GROUP BY ALL",
     }
