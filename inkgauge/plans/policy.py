@@ -30,7 +30,7 @@ class Policy:
     thresholds: dict[str, int] = field(default_factory=dict)
     allowed: tuple[str, ...] = ()
     additional: tuple[str, ...] = ()
-    allowed_phrases: tuple[str, ...] = ()
+    allowed_phrases: tuple[str, ...] = ("All notable changes", "Critical issue")
 
     @classmethod
     def of_profile(cls, name: str) -> Policy:
@@ -159,6 +159,29 @@ def legacy_fingerprint(rule: Column, message: Column, path: Column, context: Col
     return F.substring(F.sha2(body, 256), 1, 32)
 
 
+def legacy_identities(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """found with fingerprint: what a finding is known by in a baseline of version 1."""
+    split = F.split("content", "\n", -1)
+    low = F.greatest(F.col("line") - 1, F.lit(1))
+    context = F.array_join(F.slice(split, low, F.col("line") + 2 - low), "\n")
+    d = found.join(docs.select("path", "content").dropDuplicates(["path"]), "path").withColumn("own", F.coalesce(context, F.lit(""))).drop("content")
+    return d.withColumn("fingerprint", legacy_fingerprint(F.col("rule_id"), F.col("message"), F.col("path"), F.col("own"))).drop("own")
+
+
+def partition_legacy(identified: DataFrame, fingerprints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries of findings (with match, context_hash and fingerprint) as active or new against a baseline of version 1, and its stale fingerprints."""
+    known = fingerprints.select("fingerprint").distinct().withColumn("known", F.lit(True))
+    met = identified.join(known, "fingerprint", "left")
+    state = met.groupBy("path", F.upper("rule_id").alias("rule_id"), "match", "context_hash").agg(F.when(F.max("known"), "active").otherwise("new").alias("state"))
+    return state, known.join(identified.select("fingerprint").distinct(), "fingerprint", "left_anti").select("fingerprint")
+
+
+def relative(found: DataFrame, workspace: str) -> DataFrame:
+    """found with paths relative to a workspace, where they lie in it: what a baseline that travels should hold."""
+    root = workspace.rstrip("/") + "/"
+    return found.withColumn("path", F.when(F.startswith("path", F.lit(root)), F.substring("path", len(root) + 1, 1 << 30)).otherwise(F.col("path")))
+
+
 def maintained(state: DataFrame, action: str) -> DataFrame:
     """The entries of a baseline after create (findings alone), update (all) or prune (without the stale ones)."""
     keep = {"create": ("active", "new"), "update": ("active", "new", "stale"), "prune": ("active",)}[action]

@@ -122,10 +122,13 @@ def save_baseline(entries: DataFrame, path: str) -> None:
 
 
 def load_baseline(spark, path: str) -> DataFrame:
-    """The entries of a baseline file of version 2."""
+    """The entries of a baseline file of version 2, or the fingerprints of one of version 1 ("1.0")."""
     with open(path, encoding="utf-8") as f:
         data = json.load(f)
-    if not isinstance(data, dict) or data.get("version") != 2 or set(data) != {"version", "entries"}:
+    version = data.get("version") if isinstance(data, dict) else None
+    if version == "1.0" and set(data) == {"version", "fingerprints"} and all(isinstance(x, str) for x in data["fingerprints"]):
+        return spark.createDataFrame([(x,) for x in sorted(set(data["fingerprints"]))], "fingerprint string")
+    if version != 2 or set(data) != {"version", "entries"}:
         raise ValueError("invalid baseline")
     fields = ("path", "rule_id", "match", "context_hash")
     rows = [tuple(e[f] for f in fields) for e in data["entries"]]

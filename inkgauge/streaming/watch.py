@@ -1,7 +1,7 @@
 """Watching files: a streaming source that gives a file again whenever it was modified, and a query that checks each batch.
 
-Spark's own file source reads a path once and never again, so it can't watch. State is the source's offset alone: the latest
-modification time seen, with the paths of that very time. Deleted files are ignored.
+Spark's own file source reads a path once and never again, so it can't watch. State is the source's offset alone: each path's
+modification time. A file that appears or changes is given whatever its time, be it older than others'. Deleted files are forgotten.
 """
 
 from __future__ import annotations
@@ -37,17 +37,15 @@ class _Reader(SimpleDataSourceStreamReader):
         self.paths = paths
 
     def initialOffset(self) -> dict:
-        return {"mtime": 0.0, "seen": []}
+        return {}
 
-    def _changed(self, start: dict, until: float | None = None) -> list[tuple[str, float]]:
-        found = []
+    def _times(self) -> dict[str, float]:
+        found = {}
         for path in discover(self.paths):
             try:
-                at = os.stat(path).st_mtime
+                found[path] = os.stat(path).st_mtime
             except OSError:  # gone meanwhile
                 continue
-            if (at > start["mtime"] or at == start["mtime"] and path not in start["seen"]) and (until is None or at <= until):
-                found.append((path, at))
         return found
 
     def _rows(self, changed: list[tuple[str, float]]) -> Iterator[tuple[str, float, str]]:
@@ -59,15 +57,11 @@ class _Reader(SimpleDataSourceStreamReader):
                 continue
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        changed = self._changed(start)
-        if not changed:
-            return iter([]), start
-        last = max(at for _, at in changed)
-        seen = [p for p, at in changed if at == last] + (start["seen"] if last == start["mtime"] else [])
-        return self._rows(changed), {"mtime": last, "seen": sorted(seen)}
+        now = self._times()
+        return self.readBetweenOffsets(start, now), now
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._rows(self._changed(start, end["mtime"]))
+        return self._rows([(path, at) for path, at in sorted(end.items()) if start.get(path) != at])
 
 
 def watch(spark: SparkSession, paths: list[str], on_findings: Callable[[DataFrame, int], None], checkpoint: str, policy: Policy | None = None, interval: str = "2 seconds", once: bool = False):

@@ -3,7 +3,10 @@
 import json
 import os
 
-from inkgauge.sources import files, reports
+import pytest
+
+from inkgauge.plans import policy
+from inkgauge.sources import config, files, reports
 from inkgauge.streaming.watch import _Reader
 
 FOUND = "path string, seq long, rule_id string, message string, line int, column int, end_line int, end_column int, severity string, confidence string, suggestion string"
@@ -60,4 +63,40 @@ def test_watch_gives_modified_files_again(tmp_path):
     os.utime(f, (200, 200))
     g.unlink()
     rows, at = reader.read(at)
-    assert [r[2] for r in rows] == ["three"] and at["mtime"] == 200
+    assert [r[2] for r in rows] == ["three"] and at == {str(f): 200.0}
+    old = tmp_path / "old.md"
+    old.write_text("older than all")
+    os.utime(old, (50, 50))
+    rows, at = reader.read(at)
+    assert [r[2] for r in rows] == ["older than all"] and list(reader.read(at)[0]) == []
+
+
+def test_configuration(tmp_path):
+    inner = tmp_path / "a" / "b"
+    inner.mkdir(parents=True)
+    assert config.find(inner, tmp_path) is None
+    (tmp_path / "a" / ".inkgauge.toml").write_text('profile = "academic"\nselect = ["v001", "S"]\n[severity]\nv001 = "error"\n[thresholds]\nanaphora_abuse = 5\n[vocabulary]\nallowed = ["delve"]\n[[per-file-ignores]]\npattern = "x/*.md"\nignore = ["S010"]\n')
+    assert config.find(inner, tmp_path) == tmp_path / "a" / ".inkgauge.toml"
+    got = config.load(start=inner)
+    assert got.policy.select == {"V001", "S"} and got.policy.severity == {"V001": "error"} and got.policy.limits()["anaphora_abuse"] == 5
+    assert got.policy.allowed == ("delve",) and got.policy.per_file_ignores == {"x/*.md": {"S010"}} and got.policy.minimum_severity == "info"
+    (inner / "pyproject.toml").write_text('[tool.inkgauge]\nminimum_severity = "error"\n')
+    assert config.load(start=inner).policy.minimum_severity == "error"
+    for bad in ({"colour": 1}, {"profile": "none"}, {"select": "V001"}, {"thresholds": {"anaphora_abuse": 0}}, {"vocabulary": {"x": []}}):
+        with pytest.raises(ValueError):
+            config.parse(bad)
+
+
+def test_baseline_of_version_one(spark, tmp_path):
+    import hashlib
+
+    text = "one\ntwo here\nthree"
+    docs = spark.createDataFrame([("a.md", text)], "path string, content string")
+    found = spark.createDataFrame([("a.md", 1, "V002", "m", 2, 5, None, 9, "warning", "medium", None), ("a.md", 2, "V004", "n", 1, 1, None, 4, "warning", "medium", None)], FOUND)
+    short = lambda s: hashlib.sha256(s.encode()).hexdigest()[:16]
+    print_ = json.dumps({"rule_id": "V002", "message_hash": short("m"), "relative_path": "a.md", "context_hash": short(text)})
+    path = tmp_path / "old.json"
+    path.write_text(json.dumps({"version": "1.0", "fingerprints": [hashlib.sha256(print_.encode()).hexdigest()[:32], "f" * 32]}))
+    state, stale = policy.partition_legacy(policy.legacy_identities(policy.identities(found, docs), docs), reports.load_baseline(spark, str(path)))
+    assert {(r.rule_id, r.match, r.state) for r in state.collect()} == {("V002", "here", "active"), ("V004", "one", "new")}
+    assert [r.fingerprint for r in stale.collect()] == ["f" * 32]
