@@ -1,31 +1,36 @@
 """Exact and fast use of a public BPE vocabulary inside Python workers.
 
-The library's encoder costs microseconds a token. Both vocabularies cut a text at white space before they merge, so a text's
-ids are the concatenation of the ids of its white-space separated chunks; each distinct chunk is encoded once by the
-library and remembered. The memory is bounded in bytes: a cache of HELD bytes is emptied, and chunks of more than _LONGEST
-characters (texts without white space, for instance) are encoded for their call alone.
+The library's encoder costs microseconds a token. Both vocabularies cut a text before white space, and between ASCII letters or digits
+and punctuation, before they merge, so a text's ids are the concatenation of the ids of the chunks between such cuts. The cuts are found
+over a batch's bytes by numpy; each distinct chunk is looked up once a batch, and encoded once by the library and remembered. There
+is no cut beside an apostrophe (it may begin a suffix) or a bar (special tokens hold some).
+
+The memory is bounded in bytes: a cache of HELD bytes is emptied, and chunks of more than _LONGEST bytes (texts without white
+space, for instance) are encoded for their call alone.
 """
 
 from __future__ import annotations
 
-import gc
 import os
-import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from inkgauge.llm import common
 
-#: Characters that Python counts as white space and the tokenizers' patterns don't: such texts go whole through the library.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-_SPACE_THEN_WORD = re.compile(r"\s*\S+|\s+")
-#: A Latin letter or an ASCII digit before the last character, a comma or full stop: both vocabularies' patterns cut between them.
-_ENDED = re.compile("[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][.,]\\Z")
 _LONGEST = 48
-#: Bytes of one encoder's memory: ENTRY for a remembered chunk besides its characters, four for an id.
+#: Bytes of one encoder's memory: ENTRY for a remembered chunk besides its bytes, four for an id.
 HELD, ENTRY = 128 << 20, 150
-_encoders: dict[tuple[str, bool, bool], "ChunkEncoder"] = {}
+#: Bytes of text that the library encodes in one call, and that a worker turns into ids at once.
+_A_CALL, PORTION = 200_000, 4_000_000
+_KINDS = np.zeros(256, np.uint8)
+_SPACE, _ALNUM, _PUNCTUATION = 1, 2, 3
+_KINDS[[9, 10, 11, 12, 13, 32]] = _SPACE
+_KINDS[[*b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = _ALNUM
+_KINDS[[*b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{}~"]] = _PUNCTUATION
+_encoders: dict[tuple[str, bool], "ChunkEncoder"] = {}
 
 
 def vocabulary_path(name: str) -> str:
@@ -37,13 +42,40 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _after_wide_space(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character before each place is white space beyond ASCII; a run of white space is merged as one."""
+    one, two, three = raw[at - 1], raw[np.maximum(at - 2, 0)], raw[np.maximum(at - 3, 0)]
+    general = (three == 0xE2) & ((two == 0x80) & ((one <= 0x8A) | np.isin(one, (0xA8, 0xA9, 0xAF))) | (two == 0x81) & (one == 0x9F))
+    others = (three == 0xE1) & (two == 0x9A) & (one == 0x80) | (three == 0xE3) & (two == 0x80) & (one == 0x80)
+    return (one >= 0x80) & (general | others | (two == 0xC2) & ((one == 0x85) | (one == 0xA0)))
+
+
+def chunks(texts: pa.Array) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The chunks of all texts one after the other, over the texts' own bytes, and the number of chunks of each text."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    edges = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    low, edges = edges[0], edges - edges[0]
+    raw = np.frombuffer(texts.buffers()[2], np.uint8, edges[-1], low) if edges[-1] else np.zeros(0, np.uint8)
+    cut = np.zeros(len(raw) + 1, bool)
+    if len(raw):
+        kind = _KINDS[raw]
+        space = kind == _SPACE
+        spaces = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+        cut[spaces[~_after_wide_space(raw, spaces)]] = True
+        cut[1:-1] |= kind[1:] * kind[:-1] == _ALNUM * _PUNCTUATION
+    cut[edges] = True
+    places = np.flatnonzero(cut).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(raw)])
+    return found, np.diff(np.searchsorted(places, edges))
+
+
 class ChunkEncoder:
-    """ids of texts under a tokenizers file. keeps_space: white space is part of the chunk that follows (byte-level BPE).
+    """ids of texts under a tokenizers file.
 
     plain: the vocabulary's special tokens, where a text holds them literally, are encoded as ordinary text; else they give their own id, as the library does.
     """
 
-    def __init__(self, name: str, keeps_space: bool, plain: bool = False) -> None:
+    def __init__(self, name: str, plain: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -51,49 +83,29 @@ class ChunkEncoder:
         self.library.encode_special_tokens = plain
         self.library.no_truncation()
         self.library.no_padding()
-        self.split = _SPACE_THEN_WORD.findall if keeps_space else str.split
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.int32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.sizes = np.zeros(1 << 14, np.int64)
         self.used = self.known = self.held = 0
 
-    def _learn(self, chunks: list[str]) -> range:
+    def _learn(self, new: list[bytes]) -> range:
         """Encode new chunks and return their numbers."""
-        found = [e.ids for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        first, last, need = self.known, self.known + len(found), self.used + int(sizes.sum())
-        self._room(last, need)
-        self.ids[self.used : need] = np.fromiter(chain.from_iterable(found), np.int32, need - self.used)
-        self.sizes[first:last] = sizes
-        self.starts[first:last] = self.used + np.cumsum(sizes) - sizes
-        self.used, self.known = need, last
-        return range(first, last)
-
-    def _learn_all(self, new: set[str]) -> dict[str, int]:
-        """Numbers of new chunks. A word with a comma or full stop after it is put together from the two, which merge apart."""
-        split = {c: c[:-1] for c in new if _ENDED.search(c)}
-        bases = list({*(b for b in split.values() if b not in self.index), *(new - split.keys()), *{c[-1] for c in split}})
-        learnt = dict(zip(bases, self._learn(bases)))
-        if split:
-            get, two = self.index.get, np.empty((len(split), 2), np.int64)
-            two[:, 0] = [learnt[b] if b in learnt else get(b) for b in split.values()]
-            two[:, 1] = [learnt[c[-1]] for c in split]
-            sizes = self.sizes[two]
-            whole = sizes.sum(1)
-            flat = self._gather(two.ravel())
-            first, last, need = self.known, self.known + len(split), self.used + len(flat)
+        before = self.known
+        for lo, hi in common.spans_of([len(c) for c in new], _A_CALL):
+            found = [e.ids for e in self.library.encode_batch_fast([c.decode("utf-8", "replace") for c in new[lo:hi]], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            first, last, need = self.known, self.known + len(found), self.used + int(sizes.sum())
             self._room(last, need)
-            self.ids[self.used : need] = flat
-            self.sizes[first:last] = whole
-            self.starts[first:last] = self.used + np.cumsum(whole) - whole
+            self.ids[self.used : need] = np.fromiter(chain.from_iterable(found), np.int32, need - self.used)
+            self.sizes[first:last] = sizes
+            self.starts[first:last] = self.used + np.cumsum(sizes) - sizes
             self.used, self.known = need, last
-            learnt.update(zip(split, range(first, last)))
-        return learnt
+        return range(before, self.known)
 
     def _gather(self, at: np.ndarray) -> np.ndarray:
         """The ids of chunks, by their numbers, one after the other."""
@@ -107,39 +119,27 @@ class ChunkEncoder:
         while chunks > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the number of ids of each text."""
-        gc.disable()  # the many lists here hold no cycles; looking for some costs more than the encoding
-        try:
-            return self._encode(texts)
-        finally:
-            gc.enable()
-
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.held > HELD:
             self.clear()
-        chunks: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            got = [text] if _ODD_SPACE.search(text) else self.split(text)
-            counts[i] = len(got)
-            chunks += got
-        get = self.index.get
-        numbers = list(map(get, chunks))
+        found, counts = chunks(texts)
+        coded = found.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        numbers = np.fromiter((self.index.get(c, -1) for c in distinct), np.int64, len(distinct))
+        missing = np.flatnonzero(numbers < 0)
         kept = self.known, self.used
-        if None in numbers:
-            missing = [i for i, n in enumerate(numbers) if n is None]
-            new = {chunks[i] for i in missing}
-            long = [c for c in new if len(c) > _LONGEST]
-            learnt = self._learn_all(new.difference(long))
-            self.index.update(learnt)
-            self.held += ENTRY * len(learnt) + sum(map(len, learnt)) + 4 * (self.used - kept[1])
+        if len(missing):
+            long = np.fromiter((len(distinct[i]) > _LONGEST for i in missing), bool, len(missing))
+            short = missing[~long]
+            new = [distinct[i] for i in short]
+            learnt = self._learn(new)
+            numbers[short] = learnt
+            self.index.update(zip(new, learnt))
+            self.held += ENTRY * len(new) + sum(map(len, new)) + 4 * (self.used - kept[1])
             kept = self.known, self.used
-            if long:
-                learnt |= zip(long, self._learn(long))
-            for i in missing:
-                numbers[i] = learnt[chunks[i]]
-        at = np.array(numbers, np.int64)
+            numbers[missing[long]] = self._learn([distinct[i] for i in missing[long]])
+        at = numbers[coded.indices.to_numpy()]
         flat = self._gather(at)
         edges = np.concatenate([[0], np.cumsum(self.sizes[at])])
         upto = np.concatenate([[0], np.cumsum(counts)])
@@ -154,15 +154,15 @@ class ChunkEncoder:
                 self.ids = self.ids[: max(1 << 16, used)].copy()
 
 
-def encoder(name: str, keeps_space: bool, plain: bool = False) -> ChunkEncoder:
+def encoder(name: str, plain: bool = False) -> ChunkEncoder:
     """The worker's encoder for a vocabulary; it outlives tasks, until another operator uses the worker."""
     common.only_cache("bpe", _encoders.clear)
-    if (name, keeps_space, plain) not in _encoders:
-        _encoders[name, keeps_space, plain] = ChunkEncoder(name, keeps_space, plain)
-    return _encoders[name, keeps_space, plain]
+    if (name, plain) not in _encoders:
+        _encoders[name, plain] = ChunkEncoder(name, plain)
+    return _encoders[name, plain]
 
 
-def encode_with_end(coder: ChunkEncoder, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+def encode_with_end(coder: ChunkEncoder, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
     """As encode(), with the id end after each text."""
     flat, sizes = coder.encode(texts)
     return np.insert(flat, np.cumsum(sizes), end), sizes + 1

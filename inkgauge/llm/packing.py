@@ -29,11 +29,11 @@ def tokens(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """A row for each document: its ids as little-endian numbers of width bytes (2, or 4 for a vocabulary beyond 65,536), and their place in the partition."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, total = bpe.encoder(vocabulary, True), TaskContext.get().partitionId(), 0
+        coder, part, total = bpe.encoder(vocabulary), TaskContext.get().partitionId(), 0
         width = 2 if max(coder.vocabulary, end_id + 1) <= 1 << 16 else 4
         for batch in batches:
-            for some in common.portions(batch):
-                flat, sizes = bpe.encode_with_end(coder, common.texts(some), end_id)
+            for some in common.portions(batch, bpe.PORTION):
+                flat, sizes = bpe.encode_with_end(coder, some.column("text"), end_id)
                 raw, edges = flat.astype(f"<u{width}").tobytes(), np.concatenate([[0], np.cumsum(sizes)])
                 yield pa.RecordBatch.from_arrays(
                     [

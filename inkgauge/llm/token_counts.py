@@ -35,7 +35,7 @@ def write_flat(docs: DataFrame, folder: str | None = None, vocabulary: str = "by
         try:
             for batch in batches:
                 if out is None:
-                    coder = bpe.encoder(vocabulary, True, plain=True)
+                    coder = bpe.encoder(vocabulary, plain=True)
                     if max(coder.vocabulary, separator + 1) > 1 << 16:
                         raise ValueError("flat files hold ids of 16 bits")
                     path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.u16"
@@ -44,7 +44,7 @@ def write_flat(docs: DataFrame, folder: str | None = None, vocabulary: str = "by
                     out = system.open_output_stream(local)
                 ids = batch.column("doc_id")
                 for some in common.portions(batch):
-                    out.write(bpe.encode_with_end(coder, common.texts(some), separator)[0].astype("<u2").tobytes())
+                    out.write(bpe.encode_with_end(coder, some.column("text"), separator)[0].astype("<u2").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), pa.array([path] * len(ids), pa.string()), pa.array(np.arange(n, n + len(ids))), ids], names=["file", "path", "ordinal", "doc_id"])
                 n += len(ids)
         finally:

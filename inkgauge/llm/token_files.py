@@ -136,12 +136,12 @@ def write(docs: DataFrame, folder: str | None = None, vocabulary: str = "word_bp
         writer, path, part = None, "", TaskContext.get().partitionId()
         for batch in batches:
             if writer is None:
-                coder, path = bpe.encoder(vocabulary, False), f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.fwtk"
+                coder, path = bpe.encoder(vocabulary), f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.fwtk"
                 system, local = common.filesystem(path)
                 system.create_dir(local.rsplit("/", 1)[0], recursive=True)
                 writer = Writer(path, bits_for(max(coder.vocabulary, end_id + 1)))
-            for some in common.portions(batch):
-                writer.add(some.column("doc_id").to_pylist(), *bpe.encode_with_end(coder, common.texts(some), end_id))
+            for some in common.portions(batch, bpe.PORTION):
+                writer.add(some.column("doc_id").to_pylist(), *bpe.encode_with_end(coder, some.column("text"), end_id))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pylist([{"part": part, "path": path, "n_docs": len(writer.doc_ids), "n_tokens": writer.n_tokens}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,21 +24,25 @@ def documents(spark, texts, ids=None):
 
 
 def library(name, texts, end):
-    coder = bpe.ChunkEncoder(name, True).library
+    coder = bpe.ChunkEncoder(name).library
     return [e.ids + [end] for e in coder.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 def test_chunk_encoder_equals_the_library():
     rng = random.Random(1)
-    alphabet = "ab Z.,!'\n\t é9  \x1c字ßΣ́"
-    texts = [t or "" for t in TEXTS] + ["".join(rng.choices(alphabet, k=rng.randrange(60))) for _ in range(400)]
-    for name, keeps in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
-        coder = bpe.ChunkEncoder(name, keeps)
+    alphabet = "ab Z.,!'\n\t é9 \u00a0\u0085\u1680\u2003\u2028\u202f\u205f\u3000\u2014<|>$=\u0338s7\x1c\x1f字ßΣ\u0301"
+    texts = [t or "" for t in TEXTS] + ["".join(rng.choices(alphabet, k=rng.randrange(60))) for _ in range(2_000)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        coder = bpe.ChunkEncoder(name)
         for _ in range(2):  # the second time from memory
-            flat, sizes = coder.encode(texts)
+            flat, sizes = coder.encode(pa.array(texts))
             want = [e.ids for e in coder.library.encode_batch(texts, add_special_tokens=False)]
             assert sizes.tolist() == [len(w) for w in want]
             assert flat.tolist() == [i for w in want for i in w]
+        part = pa.array([None, "", *texts]).slice(2, 50)
+        assert coder.encode(part)[0].tolist() == [i for w in want[:50] for i in w]
+        assert [x.tolist() for x in coder.encode(pa.array([None, "", None], pa.string()))] == [[], [0, 0, 0]]
+        assert [x.tolist() for x in coder.encode(pa.array([], pa.string()))] == [[], []]
 
 
 def test_literal_special_tokens(spark):

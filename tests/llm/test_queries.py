@@ -6,6 +6,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,7 +120,7 @@ def test_pipeline_from_end_to_end(spark, small):
     assert set(seen[3]) == set(seen[2]) <= set(seen[1]) <= set(seen[0]) and (False, 62) not in seen[2]
     assert "abcdefgh12" not in "".join((r.text or "") for r in docs.collect())
     packed = corpus_pipeline.run(spark, path).collect()
-    want = [e.ids + [0] for e in bpe.ChunkEncoder("byte_bpe_50k.json", True).library.encode_batch([(r.text or "") for r in docs.collect()], add_special_tokens=False)]
+    want = [e.ids + [0] for e in bpe.ChunkEncoder("byte_bpe_50k.json").library.encode_batch([(r.text or "") for r in docs.collect()], add_special_tokens=False)]
     assert sum(r.length for r in packed) == sum(map(len, want))
     assert sorted(zlib.crc32(np.array(w, "<u4").tobytes()) for w in want if len(w) <= 1024)[:1] <= sorted(r.ids_crc32 for r in packed)
 
@@ -130,13 +131,13 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
 
 
 def test_encoder_memory_is_bounded():
-    coder = bpe.ChunkEncoder("byte_bpe_50k.json", True)
+    coder = bpe.ChunkEncoder("byte_bpe_50k.json")
     rng = random.Random(2)
     kana = [chr(c) for c in range(0x3041, 0x30F0)]
     used = set()
     for _ in range(4):
         some = ["".join(rng.choices(kana, k=300)) for _ in range(200)]
-        flat, sizes = coder.encode(some)
+        flat, sizes = coder.encode(pa.array(some))
         want = [e.ids for e in coder.library.encode_batch(some, add_special_tokens=False)]
         assert flat.tolist() == [i for w in want for i in w] and sizes.tolist() == list(map(len, want))
         used.add(coder.used)
