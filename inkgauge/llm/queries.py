@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgauge.llm import common, decontamination, licenses, neardup, packing, quality, quality_rules, secret_scan, token_counts, token_files, toxicity
+from inkgauge.llm import clustering, common, decontamination, language, licenses, neardup, packing, quality, quality_rules, secret_scan, token_counts, token_files, toxicity, vector_codes
 from inkgauge.sources import tables
 
 
@@ -68,9 +68,22 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs)).withColumn("held_out", language.held_out(F.col("doc_id")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(*vector_codes.encode(_read(spark, sf_dir, "embeddings")))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.digest(*clustering.cluster(_read(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_token_counts, op4_quality, op5_decontamination, op6_quality_rules, op7_packing, op8_secret_scan, op9_toxicity, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_token_counts, op4_quality, op5_decontamination, op6_quality_rules, op7_packing, op8_secret_scan, op9_toxicity, op10_near_dedup, op11_language_id, op12_vector_codes, op13_centroid_clusters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontamination.sql(), "op6_quality_rules": quality_rules.sql()}
+    return {"op5_decontamination": decontamination.sql(), "op6_quality_rules": quality_rules.sql(), "op12_vector_codes": vector_codes.sql(), "op13_centroid_clusters": clustering.sql()}
