@@ -5,7 +5,8 @@ its vector is log(1 + count) times the inverse document frequency, of length one
 Each language's rows are clustered by cosine into up to CENTROIDS centroids, in ROUNDS rounds, on a sample of about SAMPLE rows a language
 chosen by hash; each round's sums are made in the tasks and added up by Spark. A text is of the language of the nearest centroid. It
 is rejected where its cosine is below the language's limit: the mean cosine of the sample's rows to their own language's nearest centroid
-less REJECT deviations. The driver holds the centroids: WIDTH numbers for each language and cluster.
+less REJECT deviations. A cluster of less than STRAY of its language's sample is taken for
+mislabelled rows and dropped. The driver holds the centroids: WIDTH numbers for each language and cluster.
 
 Defined cases: a null text, and one without a letter, is UNKNOWN with score 0; an empty table gives no rows; held-out rows and rows of a
 null id or a null language teach nothing, and where nothing teaches all is UNKNOWN. Repeated rows count as often as they occur. Equal
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from inkgauge.llm import common
 
-GRAMS, WIDTH, CENTROIDS, ROUNDS, SAMPLE, REJECT = 3, 8192, 4, 5, 1_000, 3.0
+GRAMS, WIDTH, CENTROIDS, ROUNDS, SAMPLE, REJECT, STRAY = 3, 8192, 4, 5, 1_000, 3.0, 0.06
 UNKNOWN = "und"
 #: How sharply the score falls between languages; characters of a block; texts whose vectors are held at once.
 SHARPNESS, BLOCK, TEXTS = 20.0, 1 << 20, 256
@@ -178,7 +179,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, round
 
     sums = summed(some, n * (WIDTH + 1), started).reshape(n, -1)
     middle = unit(sums[:, :-1])
-    moments = np.zeros((len(languages), 3))
+    moments, held = np.zeros((len(languages), 3)), np.zeros(n)
     for _ in range(rounds):
 
         def of(batch: pa.RecordBatch, middle: np.ndarray = middle) -> np.ndarray:
@@ -187,17 +188,18 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, round
             near = np.where(owner[None, :] == own[:, None], x @ middle.T, -1.0)
             best, top = near.argmax(1), near.max(1)
             out, spread = np.zeros((n, WIDTH)), np.zeros((len(languages), 3))
+            inside = np.bincount(best[lettered], minlength=n)
             for k in np.unique(best[lettered]):
                 out[k] = x[lettered & (best == k)].sum(0)
             np.add.at(spread, own[lettered], np.stack([np.ones(lettered.sum()), top[lettered], top[lettered] ** 2], 1))
-            return np.concatenate([out.ravel(), spread.ravel()])
+            return np.concatenate([out.ravel(), spread.ravel(), inside])
 
-        got = summed(some, n * WIDTH + 3 * len(languages), of)
-        moved, moments = got[: n * WIDTH].reshape(n, WIDTH), got[n * WIDTH :].reshape(-1, 3)
+        got = summed(some, n * WIDTH + 3 * len(languages) + n, of)
+        moved, moments, held = got[: n * WIDTH].reshape(n, WIDTH), got[n * WIDTH : -n].reshape(-1, 3), got[-n:]
         middle = np.where(moved.any(1)[:, None], unit(moved), middle)
     common.drop(some)
     common.drop(known)
-    filled = middle.any(1)
+    filled = middle.any(1) & (held >= STRAY * moments[owner, 0])
     mean = moments[:, 1] / np.maximum(moments[:, 0], 1)
     deviation = np.sqrt(np.maximum(moments[:, 2] / np.maximum(moments[:, 0], 1) - mean**2, 0))
     there = [k for k in range(len(languages)) if filled[owner == k].any()]
