@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from inkgauge.functions import anchors
 from inkgauge.functions.text import SLICE, SPANS
 
 
@@ -19,8 +20,8 @@ def matches(text: str, regex: str) -> str:
     own = "named_struct('t', mz.t, 'a', ms.at + mz.g, 'b', ms.at + mz.g + length(mz.t))"
     inner = f"aggregate(mc, named_struct('at', ma.at, 'out', {none}), (ms, mz) -> named_struct('at', ms.at + mz.g + length(mz.t), 'out', concat(ms.out, array({own}))))"
     runs = f"transform(sequence(0, cast((size(mq) - 1) div {SLICE} as int)), mk -> slice(mq, mk * {SLICE} + 1, {SLICE}))"
-    fold = f"aggregate({runs}, named_struct('at', 0, 'out', cast(array() as array<{SPANS}>)), (ma, mc) -> transform(array({inner}), mr -> named_struct('at', mr.at, 'out', concat(ma.out, array(mr.out))))[0], mf -> flatten(mf.out))"
-    return f"if({text} rlike {r}, transform(array({parts}), mp -> transform(array({pairs}), mq -> {fold})[0])[0], {none})"
+    fold = f"aggregate({runs}, named_struct('at', 0, 'out', cast(array() as array<{SPANS}>)), (ma, mc) -> element_at(transform(array({inner}), mr -> named_struct('at', mr.at, 'out', concat(ma.out, array(mr.out)))), 1), mf -> flatten(mf.out))"
+    return f"if({text} rlike {r}, element_at(transform(array({parts}), mp -> element_at(transform(array({pairs}), mq -> {fold}), 1)), 1), {none})"
 
 
 def first(text: str, regex: str) -> str:
@@ -58,7 +59,7 @@ def _head(offset: str) -> str:
 
 
 def line_at(offset: str) -> str:
-    return f"get(source_lines, length({_head(offset)}) - length(replace({_head(offset)}, '\\n', '')))"
+    return f"start_line + length({_head(offset)}) - length(replace({_head(offset)}, '\\n', ''))"
 
 
 def column_at(offset: str) -> str:
@@ -71,5 +72,19 @@ def sentence_issues(spans: str, rule: str, message: str, order: int, confidence:
     return f"transform({spans}, (x, i) -> {issue(rule, message, line_at('x.a'), column_at('x.a'), column_at('x.b'), 'null', confidence, place=f'array(sent, {order})')})"
 
 
+def any_in(lowered: str, literals: frozenset[str] | set[str] | tuple[str, ...]) -> str:
+    """Whether a lower-cased text holds any of some literals: byte searches, for which one constant array is one expression."""
+    found = f"exists(array({', '.join(map(lit, sorted(literals)))}), an -> contains(al, an))"
+    return found.replace("contains(al,", f"contains({lowered},") if lowered.isidentifier() else f"element_at(transform(array({lowered}), al -> {found}), 1)"
+
+
+def may_match(text: str, lowered: str, patterns: tuple[str, ...], flags: str) -> str:
+    """False only where none of the patterns matches a text: by the literals that they demand, else by the patterns themselves."""
+    demanded = anchors.of_all(patterns)
+    if demanded is None:
+        return f"{text} rlike {lit(flags + '|'.join(f'(?:{p})' for p in patterns))}"
+    return any_in(lowered, demanded | set(anchors.ODD))
+
+
 def guarded(condition: str, parts: list[str], none: str) -> str:
     return f"if({condition}, {'concat(' + ', '.join(parts) + ')' if len(parts) > 1 else parts[0]}, {none})"

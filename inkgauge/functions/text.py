@@ -6,9 +6,11 @@ Offsets count code points from 0; ends are exclusive.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,9 +35,35 @@ def without_call_sites() -> Iterator[None]:
         utils._enable_debugging_cache = was
 
 
+_built: dict[tuple, object] = {}
+
+
+def built_once(make: Callable) -> Callable:
+    """Columns over named columns are built once for each application and arguments: building some thousands takes the driver seconds."""
+
+    @wraps(make)
+    def run(*args: Hashable) -> object:
+        key = (SparkContext._active_spark_context.applicationId, make.__module__, make.__qualname__, args)
+        if key not in _built:
+            for old in [k for k in _built if k[0] != key[0]]:
+                del _built[old]
+            _built[key] = make(*args)
+        return _built[key]
+
+    return run
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once: a lambda's variable is never inlined."""
-    return F.transform(F.array(value), body)[0]
+    """body(value) with value computed once: a lambda's variable is never inlined.
+
+    element_at() knows its type; [0] works it out anew for each row, by a walk through the whole body.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def flat(items: Column) -> Column:
+    """An array's arrays as one. flatten() works its type out for each row too, which a variable makes cheap."""
+    return let(items, F.flatten)
 
 
 def strip(text: Column) -> Column:
@@ -81,7 +109,7 @@ def scan(items: Column, zero: Column, step: Callable[[Column, Column], Column],
             start = F.struct(acc["state"].alias("state"), none.alias("out"))
             return let(F.aggregate(part, start, grown), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
 
-        return F.flatten(F.aggregate(parts, F.struct(zero.alias("state"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("out")), run)["out"])
+        return flat(F.aggregate(parts, F.struct(zero.alias("state"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("out")), run)["out"])
 
     return let(items, lambda value: F.when(F.size(value) > 0, whole(value)).otherwise(none))
 
@@ -106,7 +134,7 @@ def flags(intervals: Column, n: Column) -> Column:
 
     def run(v: Column) -> Column:
         parts = F.transform(v, lambda x, i: F.concat(F.array_repeat(F.lit(False), x["a"] - 1 - F.coalesce(F.get(v, i - 1)["b"], F.lit(0))), F.array_repeat(F.lit(True), x["b"] - x["a"] + 1)))
-        return F.concat(F.flatten(parts), F.array_repeat(F.lit(False), n - F.element_at(v, -1)["b"]))
+        return F.concat(flat(parts), F.array_repeat(F.lit(False), n - F.element_at(v, -1)["b"]))
 
     return let(intervals, lambda v: F.when(F.size(v) > 0, run(v)).otherwise(F.array_repeat(F.lit(False), n)))
 
@@ -200,17 +228,48 @@ def mask_front(text: Column, n: Column) -> Column:
     return F.concat(F.repeat(F.lit(" "), n), F.substring(text, n + 1, F.length(text)))
 
 
-def line_of(lines: Column, text: Column, offset: Column) -> Column:
-    """The source line of an offset in a text of joined lines, lines being their numbers."""
-    head = F.substring(text, F.lit(1), offset)
-    return F.get(lines, F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))))
+#: A match with its offsets, and the line and column where it starts and ends.
+PLACE = "struct<t:string,a:int,b:int,l0:int,c0:int,l1:int,c1:int>"
+
+
+def after(line: Column, column: Column, part: Column) -> Column:
+    """Line l and column c where a part that starts at a line and column ends."""
+    jumps = F.struct((line + F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit("")))).alias("l"), (F.length(F.substring_index(part, "\n", -1)) + 1).alias("c"))
+    return F.when(F.contains(part, F.lit("\n")), jumps).otherwise(F.struct(line.alias("l"), (column + F.length(part)).alias("c")))
+
+
+def _place(t: Column, a: Column, start: Column) -> Column:
+    end = lambda e: F.struct(t.alias("t"), a.alias("a"), (a + F.length(t)).alias("b"), start["l"].alias("l0"), start["c"].alias("c0"), e["l"].alias("l1"), e["c"].alias("c1"))
+    return let(after(start["l"], start["c"], t), end)
+
+
+def located(text: Column, regex: str, line: Column, column: Column) -> Column:
+    """All matches as PLACEs of a text that starts at a line and column.
+
+    Matches are in order, so one fold over the gaps between them counts lines and columns on; no place is looked up from the text's start.
+    """
+
+    def found(parts: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(parts) / 2).cast("int") - 1), lambda i: F.struct(F.get(parts, 2 * i).alias("gap"), F.get(parts, 2 * i + 1).alias("t")))
+
+        def step(state: Column, x: Column) -> Column:
+            def own(start: Column) -> Column:
+                return let(_place(x["t"], state["at"] + F.length(x["gap"]), start), lambda p: F.struct(F.struct(p["b"].alias("at"), p["l1"].alias("l"), p["c1"].alias("c")).alias("state"), p.alias("out")))
+
+            return let(after(state["l"], state["c"], x["gap"]), own)
+
+        return scan(pairs, F.struct(F.lit(0).alias("at"), line.cast("int").alias("l"), column.cast("int").alias("c")), step, PLACE)
+
+    return F.when(has(text, regex), let(cut(text, regex), found)).otherwise(F.expr(f"cast(array() as array<{PLACE}>)"))
+
+
+def first_located(text: Column, regex: str, line: Column, column: Column) -> Column:
+    """The first match as an array of one PLACE, or of none."""
 
+    def found(gap: Column) -> Column:
+        return F.array(let(after(line.cast("int"), column.cast("int"), gap), lambda start: _place(F.regexp_extract(text, regex, 0), F.length(gap), start)))
 
-def column_of(text: Column, offset: Column, start_column: Column) -> Column:
-    """The 1-based source column of an offset; start_column is where the text's first line starts."""
-    head = F.substring(text, F.lit(1), offset)
-    tail = F.substring_index(head, "\n", -1)
-    return F.length(tail) + F.when(F.length(tail) == F.length(head), start_column).otherwise(1)
+    return F.when(has(text, regex), let(F.get(F.split(text, regex, 2), F.lit(0)), found)).otherwise(F.expr(f"cast(array() as array<{PLACE}>)"))
 
 
 def squeeze(text: Column) -> Column:

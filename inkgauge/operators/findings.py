@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkgauge.functions.text import kept
+from inkgauge.functions.text import flat, kept
 
 ISSUE = "struct<rule_id:string,message:string,line:int,column:int,end_line:int,end_column:int,confidence:string,suggestion:string,place:array<int>>"
 NONE = f"cast(array() as array<{ISSUE}>)"
@@ -55,4 +55,4 @@ def rows(items: Column, one: Callable[[Column], Column]) -> Column:
 
 def of_each(items: Column, many: Callable[[Column], Column]) -> Column:
     """The issues of each item, together."""
-    return F.flatten(F.transform(items, many))
+    return flat(F.transform(items, many))

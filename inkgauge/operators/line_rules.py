@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkgauge.functions import sqltext as S
-from inkgauge.functions.text import CASELESS, EXACT, first, groups, has, indent, kept, let, matches, strip, words
+from inkgauge.functions.anchors import ODD
+from inkgauge.functions.text import CASELESS, EXACT, first, flat, groups, has, indent, kept, let, matches, strip, words
 from inkgauge.operators.findings import NONE, issue, only_if, quoted, rows
 from inkgauge.plans import lexicon as L
 
@@ -27,7 +28,7 @@ def spans_to_issues(spans: Column, rule: str, label: str, order: int, after: str
 def literal_rule(rule: str, label: str, phrases: tuple[str, ...], base: int = 0) -> Column:
     """The first place of each literal phrase in the lower-cased line. Searching bytes for each phrase is much faster than one regular expression of all."""
     parts = [S.line_issues(S.literal("low", p.lower()), rule, S.lit(f"{label}: '{p}'"), k) for k, p in enumerate(phrases, base)]
-    return F.expr(S.guarded(" or ".join(f"contains(low, {S.lit(p.lower())})" for p in phrases), parts, NONE))
+    return F.expr(S.guarded(S.any_in("low", {p.lower() for p in phrases}), parts, NONE))
 
 
 def _unary(body):
@@ -37,15 +38,15 @@ def _unary(body):
 
 def first_rule(rule: str, label: str, patterns: tuple[str, ...], after: str) -> Column:
     """The first match of each pattern."""
-    parts = [S.line_issues(S.first("text", CASELESS + p), rule, S.quoted(label, after), k) for k, p in enumerate(patterns)]
-    return F.expr(S.guarded(f"text rlike {S.lit(any_of(patterns))}", parts, NONE))
+    parts = [S.guarded(S.may_match("text", "low", (p,), CASELESS), [S.line_issues(S.first("text", CASELESS + p), rule, S.quoted(label, after), k)], NONE) for k, p in enumerate(patterns)]
+    return F.expr(S.guarded(S.may_match("text", "low", patterns, CASELESS), parts, NONE))
 
 
 def all_rule(rule: str, label: str, patterns: tuple[str, ...], after: str, any_case: bool, base: int = 0) -> Column:
     """All matches of each pattern."""
     flags = CASELESS if any_case else EXACT
-    parts = [S.line_issues(S.matches("text", flags + p), rule, S.quoted(label, after), k) for k, p in enumerate(patterns, base)]
-    return F.expr(S.guarded(f"text rlike {S.lit(any_of(patterns, flags))}", parts, NONE))
+    parts = [S.guarded(S.may_match("text", "low", (p,), flags), [S.line_issues(S.matches("text", flags + p), rule, S.quoted(label, after), k)], NONE) for k, p in enumerate(patterns, base)]
+    return F.expr(S.guarded(S.may_match("text", "low", patterns, flags), parts, NONE))
 
 
 def _map(pairs: list[tuple[str, str]]) -> str:
@@ -60,7 +61,7 @@ def replacement_rule(rule: str, label: str, confidence: str, table: dict[str, st
     if rule == "V011":  # a decision table, model or tree is no decision
         spans = f"filter({spans}, x -> not ({instead} in ({', '.join(map(S.lit, L.DECISIONS))}) and substring(raw, x.b + 1) rlike {S.lit(L.DECISION_COMPOUND)}))"
     made = S.line_issues(spans, rule, S.quoted(label), 0, S.lit(confidence), instead, "array(n, x.a)")
-    return F.expr(S.guarded(f"context <> 'heading' and text rlike {S.lit(regex)}", [made], NONE))
+    return F.expr(S.guarded(f"context <> 'heading' and {S.any_in('low', {*table, *ODD})}", [made], NONE))
 
 
 def vocabulary_rule(allowed: tuple[str, ...] = (), additional: tuple[str, ...] = (), allowed_phrases: tuple[str, ...] = ()) -> Column:
@@ -83,7 +84,7 @@ def vocabulary_rule(allowed: tuple[str, ...] = (), additional: tuple[str, ...] =
             instead = L.SUGGESTIONS.get(word)
             after = f" → consider '{instead}'" if instead else ""
             parts.append(S.line_issues(S.matches("low", rf"(?U)\b(?:{regex_of[word]})\b"), "V001", S.quoted("Overused word", after), k, f"if(example, 'low', {S.lit(tier[word])})", S.lit(instead)))
-    wanted = f"low rlike {S.lit(chr(40) + '?U' + chr(41) + chr(92) + 'b(?:' + '|'.join(f'(?:{p})' for p in regex_of.values()) + ')' + chr(92) + 'b')}"
+    wanted = S.may_match("low", "low", tuple(regex_of.values()), "(?U)")
     for phrase in allowed_phrases:
         wanted += f" and not contains(low, {S.lit(phrase.lower())})"
     return F.expr(S.guarded(wanted, parts, NONE))
@@ -177,10 +178,10 @@ def counted(chosen: set[str], thresholds: dict[str, int]) -> list[Column]:
     for rule, label, patterns, name, strictly in L.COUNTED:
         if rule in chosen:
             parts = [S.line_issues(S.matches("r.text", CASELESS + p), rule, S.quoted(label), k, n="r.n") for k, p in enumerate(patterns)]
-            made = S.guarded(f"r.text rlike {S.lit(any_of(patterns))}", parts, NONE)
+            made = S.guarded(S.may_match("r.text", "lower(r.text)", patterns, CASELESS), parts, NONE)
             hits = F.expr(f"flatten(transform(prose, r -> transform({made}, y -> named_struct('scope', r.scope, 'x', y))))")
             least = thresholds[name] + strictly
-            out.append(F.transform(F.flatten(F.filter(groups(hits, lambda a, b: a["scope"] == b["scope"]), _unary(lambda g, least=least: F.size(g) >= least))), lambda h: h["x"]))
+            out.append(F.transform(flat(F.filter(groups(hits, lambda a, b: a["scope"] == b["scope"]), _unary(lambda g, least=least: F.size(g) >= least))), lambda h: h["x"]))
     if "V007" in chosen:
         regex = CASELESS + r"\b(\w+)\s+(" + "|".join(L.LABEL_SUFFIXES) + r")\b"
 
@@ -193,7 +194,7 @@ def counted(chosen: set[str], thresholds: dict[str, int]) -> list[Column]:
 
             return kept(F.transform(matches(r["text"], regex), label))
 
-        out.append(let(F.flatten(F.transform(prose, labels)), lambda hits: only_if(F.size(hits) >= thresholds["invented_concept_labels"], hits)))
+        out.append(let(flat(F.transform(prose, labels)), lambda hits: only_if(F.size(hits) >= thresholds["invented_concept_labels"], hits)))
     if "T003" in chosen:
         dashes = F.filter(F.transform(prose, lambda r: F.struct(r["n"].alias("n"), matches(r["text"], "—|--").alias("m"))), lambda r: F.size(r["m"]) > 0)
 
@@ -218,7 +219,7 @@ def counted(chosen: set[str], thresholds: dict[str, int]) -> list[Column]:
 
         def stacked(g: Column) -> Column:
             message = lambda all: F.concat(F.lit("Historical analogy stacking: "), F.size(all).cast("string"), F.lit(" companies ("), F.array_join(all, ", "), F.lit(")"))
-            return let(F.array_sort(F.array_distinct(F.flatten(F.transform(g, lambda r: r["named"])))), lambda all: F.when(F.size(all) >= thresholds["historical_analogy_stacking"], issue("S013", message(all), g[0]["n"], 1)))
+            return let(F.array_sort(F.array_distinct(flat(F.transform(g, lambda r: r["named"])))), lambda all: F.when(F.size(all) >= thresholds["historical_analogy_stacking"], issue("S013", message(all), g[0]["n"], 1)))
 
         out.append(rows(groups(F.filter(lines, lambda r: F.size(r["named"]) > 0), lambda a, b: b["place"] == a["place"] + 1), stacked))
     return out

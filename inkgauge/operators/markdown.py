@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkgauge.functions.text import flags, groups, has, indent, is_blank, kept, let, mask, mask_front, matches, scan, strip, words
+from inkgauge.functions.text import flags, flat, groups, has, indent, is_blank, kept, let, mask, mask_front, matches, scan, strip, words
 
 # Patterns of Markdown's marks and the block-level HTML tags.
 QUOTE = r"(?U)^(?:\s{0,3}>\s?)+"
@@ -302,7 +302,7 @@ def uses(lines: Column, defs: Column) -> Column:
 
     def run(x: Column) -> Column:
         wanted = F.filter(_open_lines(lines), lambda r: F.contains(r["s"], F.lit("[")) & ~F.array_contains(x["at"], r["n"]))
-        return F.flatten(F.transform(wanted, lambda r: of_line(r, x["labels"])))
+        return flat(F.transform(wanted, lambda r: of_line(r, x["labels"])))
 
     return let(F.struct(labels.alias("labels"), at.alias("at")), run)
 
@@ -328,7 +328,7 @@ def links(lines: Column, defs: Column, used: Column) -> Column:
 
         return let(_masked(r), both)
 
-    plain = F.flatten(F.transform(F.filter(_open_lines(lines), lambda r: F.contains(r["s"], F.lit("](")) | F.contains(r["s"], F.lit("<http"))), of_line))
+    plain = flat(F.transform(F.filter(_open_lines(lines), lambda r: F.contains(r["s"], F.lit("](")) | F.contains(r["s"], F.lit("<http"))), of_line))
 
     def referenced(x: Column) -> Column:
         first = F.filter(x["defs"], lambda d, i: F.array_position(x["labels"], d["label"]) == i + 1)

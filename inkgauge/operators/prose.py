@@ -5,90 +5,86 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkgauge.functions.text import MARK, blocks, groups, kept, let, piece, scan
+from inkgauge.functions.text import MARK, after, blocks, flat, groups, kept, let, piece, scan
 
 #: End of a sentence: closing punctuation and quotes before white space, unless an abbreviation or initialism ends there. The
 #: abbreviations are fixed values.
 BOUNDARY = (
-    r"(?iU)(?<![.!?])(?:[!?]|(?<!(?<![A-Za-z.])(?:dr|e\.g|eq|etc|fig|i\.e|jr|mr|mrs|ms|no|prof|sr|st|vs))(?<![A-Za-z]\.[A-Za-z])\.)"
+    r"(?iU)(?=[.!?])(?<![.!?])(?:[!?]|(?<!(?<![A-Za-z.])(?:dr|e\.g|eq|etc|fig|i\.e|jr|mr|mrs|ms|no|prof|sr|st|vs))(?<![A-Za-z]\.[A-Za-z])\.)"
     r"""[.!?]*["')\]”’]*(?=\s|\z)"""
 )
 
 
-def _newlines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-
-
-def split_sentences(text: Column) -> Column:
-    """Sentences of a text of lines: text, a (offset), l0 and c0 (line index and 0-based column of the start), l1 and c1 (of the end).
+def split_sentences(text: Column, line: Column) -> Column:
+    """Sentences of a text of lines, the first of which has that number: text, a (offset), l0 and c0 (line and 1-based column of the start), l1 and c1 (of the end).
 
     One search marks the boundaries, one split cuts there, one linear fold counts lines and columns. A text's U+FFFF is read as U+FFFE.
     """
 
     def step(state: Column, x: Column) -> Column:
-        lead = F.length(F.regexp_extract(x["t"], r"(?U)^\s*", 0))
-        rest = F.substring(x["t"], lead + 1, F.length(x["t"]))
-        body = F.when(x["last"], F.regexp_replace(rest, r"(?U)\s+\z", "")).otherwise(rest)  # the others end with a mark
+        lead = F.when(F.rlike(x["t"], F.lit(r"(?U)^\s")), F.length(F.regexp_extract(x["t"], r"(?U)^\s*", 0))).otherwise(0)
 
-        def placed(y: Column) -> Column:
-            def after(line: Column, column: Column, part: Column) -> Column:
-                """Line and column where a part that starts there ends."""
-                jumps = F.struct((line + _newlines(part)).alias("l"), F.length(F.substring_index(part, "\n", -1)).alias("c"))
-                return F.when(F.contains(part, F.lit("\n")), jumps).otherwise(F.struct(line.alias("l"), (column + F.length(part)).alias("c")))
+        def cut(lead: Column) -> Column:
+            rest = F.when(lead == 0, x["t"]).otherwise(F.substring(x["t"], lead + 1, F.length(x["t"])))
+            body = F.when(x["last"], F.regexp_replace(rest, r"(?U)\s+\z", "")).otherwise(rest)  # the others end with a mark
+            start = F.when(lead == 0, F.struct(state["l"].alias("l"), state["c"].alias("c"))).otherwise(after(state["l"], state["c"], F.substring(x["t"], F.lit(1), lead)))
+            return F.struct(body.alias("body"), start.alias("s"), (state["at"] + lead).alias("a"))
 
-            def whole(s: Column) -> Column:
-                def out(e: Column) -> Column:
-                    own = F.struct(y["body"].alias("text"), (state["at"] + y["lead"]).alias("a"), s["l"].alias("l0"), s["c"].alias("c0"), e["l"].alias("l1"), e["c"].alias("c1"))
-                    return F.struct(F.struct((state["at"] + F.length(x["t"])).alias("at"), e["l"].alias("l"), e["c"].alias("c")).alias("state"), F.when(y["body"] != "", own).alias("out"))
-
-                return let(after(s["l"], s["c"], y["body"]), out)
+        def placed(y: Column) -> Column:
+            def out(e: Column) -> Column:
+                own = F.struct(y["body"].alias("text"), y["a"].alias("a"), y["s"]["l"].alias("l0"), y["s"]["c"].alias("c0"), e["l"].alias("l1"), e["c"].alias("c1"))
+                return F.struct(F.struct((y["a"] + F.length(y["body"])).alias("at"), e["l"].alias("l"), e["c"].alias("c")).alias("state"), F.when(y["body"] != "", own).alias("out"))
 
-            return let(after(state["l"], state["c"], F.substring(x["t"], F.lit(1), y["lead"])), whole)
+            return let(after(y["s"]["l"], y["s"]["c"], y["body"]), out)
 
-        return let(F.struct(lead.alias("lead"), body.alias("body")), placed)
+        return let(let(lead, cut), placed)
 
     pieces = F.split(F.regexp_replace(F.replace(text, F.lit(MARK), F.lit("\ufffe")), BOUNDARY, f"$0{MARK}"), MARK, -1)
     items = let(pieces, lambda p: F.transform(p, lambda t, i: F.struct(t.alias("t"), (i == F.size(p) - 1).alias("last"))))
-    return kept(scan(items, F.expr("named_struct('at', 0, 'l', 0, 'c', 0)"), step, "struct<text:string,a:int,l0:int,c0:int,l1:int,c1:int>"))
+    zero = F.struct(F.lit(0).alias("at"), line.cast("int").alias("l"), F.lit(1).alias("c"))
+    return kept(scan(items, zero, step, "struct<text:string,a:int,l0:int,c0:int,l1:int,c1:int>"))
 
 
-def _sentences(c: Column) -> Column:
-    """The sentences of a chunk."""
-    lines = c["lines"]
-    raw = F.array_join(F.transform(lines, lambda x: x["raw"]), "\n")
+def _sentences(c: Column, window: bool) -> Column:
+    """The sentences of a chunk; window: with the source of each and its neighbours, and the next one's text. Lines of a chunk follow each other."""
+    first = F.get(c["lines"], F.lit(0))
 
-    def run(z: Column) -> Column:
-        source = lambda x: F.when(z["parts"].isNull(), x["text"]).otherwise(piece(z["parts"], x["a"], x["a"] + F.length(x["text"])))
+    def own(x: Column, k: Column) -> Column:
+        return F.struct(
+            c["chunk"].alias("scope"), k.alias("k"), c["context"].alias("context"), x["text"].alias("text"), x["l0"].alias("start_line"), x["c0"].alias("start_col"), x["l1"].alias("end_line"), x["c1"].alias("end_col"),
+            F.when(x["l0"] == c["first_line"], first["example"]).otherwise(F.get(c["lines"], x["l0"] - c["first_line"])["example"]).alias("example"), first["markdown"].alias("markdown"),
+        )
 
-        def own(x: Column, k: Column) -> Column:
-            at = F.get(lines, x["l0"])
-            return F.struct(
-                c["chunk"].alias("scope"), k.alias("k"), c["context"].alias("context"), x["text"].alias("text"), source(x).alias("source"), at["n"].alias("start_line"), (x["c0"] + 1).alias("start_col"),
-                F.get(lines, x["l1"])["n"].alias("end_line"), (x["c1"] + 1).alias("end_col"), F.transform(F.slice(lines, x["l0"] + 1, x["l1"] - x["l0"] + 1), lambda l: l["n"]).alias("source_lines"), at["example"].alias("example"), at["markdown"].alias("markdown"),
-            )
+    found = split_sentences(c["text"], c["first_line"])
+    if not window:
+        return let(found, lambda v: F.transform(v, own))
+    raw = F.array_join(F.transform(c["lines"], lambda x: x["raw"]), "\n")
 
-        def joined(found: Column) -> Column:
-            near = lambda k: F.get(found, k)["source"]
-            return F.transform(found, lambda x, k: x.withField("window", F.concat_ws(" ", near(k - 1), x["source"], near(k + 1))).withField("next_text", F.get(found, k + 1)["text"]))
+    def joined(v: Column) -> Column:
+        def with_sources(z: Column) -> Column:
+            near = lambda k: F.get(z["sources"], k)
+            return F.transform(z["found"], lambda x, k: F.struct(own(x, k).alias("s"), F.concat_ws(" ", near(k - 1), near(k), near(k + 1)).alias("window"), F.get(z["found"], k + 1)["text"].alias("next_text")))
 
-        return let(F.transform(z["found"], own), joined)
+        # where nothing is masked the sentences are their own source
+        source = let(raw, lambda r: F.when(r == c["text"], F.transform(v, lambda x: x["text"])).otherwise(let(blocks(r), lambda parts: F.transform(v, lambda x: piece(parts, x["a"], x["a"] + F.length(x["text"]))))))
+        whole = let(F.struct(v.alias("found"), source.alias("sources")), with_sources)
+        return F.transform(whole, lambda y: y["s"].withField("window", y["window"]).withField("next_text", y["next_text"]))
 
-    # where nothing is masked the sentences are their own source
-    return let(F.struct(split_sentences(c["text"]).alias("found"), F.when(raw != c["text"], blocks(raw)).alias("parts")), run)
+    return let(found, joined)
 
 
-def chunks(prose: Column) -> Column:
+def chunks(prose: Column, window: bool = True) -> Column:
     """Runs of prose lines: chunk, context, break_before, lines, text (joined), first_line, last_line, and sents, their sentences."""
 
     def own(ls: Column) -> Column:
-        first, last = ls[0], F.element_at(ls, -1)
+        first, last = F.get(ls, F.lit(0)), F.element_at(ls, -1)
         text = F.array_join(F.transform(ls, lambda x: x["text"]), "\n")
         whole = F.struct(first["chunk"].alias("chunk"), first["context"].alias("context"), first["break_before"].alias("break_before"), ls.alias("lines"), text.alias("text"), first["n"].alias("first_line"), last["n"].alias("last_line"))
-        return let(whole, lambda c: c.withField("sents", _sentences(c)))
+        return let(whole, lambda c: F.struct(*(c[f].alias(f) for f in ("chunk", "context", "break_before", "lines", "text", "first_line", "last_line")), _sentences(c, window).alias("sents")))
 
     return F.transform(groups(prose, lambda a, b: a["chunk"] == b["chunk"]), own)
 
 
 def sentences(parts: Column) -> Column:
     """All sentences of chunks, with sent, their order in the document."""
-    return F.transform(F.flatten(F.transform(parts, lambda c: c["sents"])), lambda s, i: s.withField("sent", i + 1))
+    return F.transform(flat(F.transform(parts, lambda c: c["sents"])), lambda s, i: s.withField("sent", i + 1))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgauge.functions.ship import ship
-from inkgauge.functions.text import first, groups, has, indent, is_blank, let, matches, strip
+from inkgauge.functions.text import first, flat, groups, has, indent, is_blank, let, matches, strip
 from inkgauge.operators.findings import issue, none, of_each, quoted, rows
 from inkgauge.operators.markdown import PROSE
 from inkgauge.plans import lexicon as L
@@ -176,7 +176,7 @@ def prose() -> Column:
 
     def made(x: Column) -> Column:
         lines = lambda b, i: F.transform(b, lambda s: line(F.coalesce(F.get(x["raws"], s["n"] - 1), F.lit("")), s, i))
-        return F.flatten(F.transform(x["blocks"], lines))
+        return flat(F.transform(x["blocks"], lines))
 
     def row(r: Column, chunk: Column) -> Column:
         whole = F.struct(r["n"], r["raw"], r["text"], F.lit("body"), r["block"], chunk + 1, r["block"], r["block"] > 1, F.lit(False), F.lit(False))
@@ -184,7 +184,7 @@ def prose() -> Column:
 
     all_lines = let(F.struct(F.sort_array(blocks).alias("blocks"), F.split("content", "\n", -1).alias("raws")), made)
     parts = F.filter(groups(all_lines, lambda a, b: (a["block"] == b["block"]) & ~a["blank"] & ~b["blank"]), lambda g: ~g[0]["blank"])
-    return F.flatten(F.transform(parts, lambda g, i: F.transform(g, lambda r: row(r, i))))
+    return flat(F.transform(parts, lambda g, i: F.transform(g, lambda r: row(r, i))))
 
 
 def _first_of(table: tuple, text: Column) -> Column:
@@ -237,7 +237,7 @@ def rules(chosen: set[str]) -> list[Column]:
 
         out.append(rows(F.col("comments"), inline))
         errors = F.transform("raws", lambda r, i: F.when(F.contains(r, F.lit("NotImplementedError")), F.transform(F.slice(matches(r, L.TEMPLATE_ERROR), 1, 1), lambda m: issue("C004", "Formulaic placeholder: template error", i + 1, m["a"] + 1, m["b"] + 1, place=(1_000_000, i)))).otherwise(none()))
-        out.append(F.flatten(errors))
+        out.append(flat(errors))
 
     def of_text(rule: str, message: Column, c: Column, suggestion: str) -> Column:
         at = lambda k: issue(rule, message, c["line"], k, k + F.length(c["text"]), confidence="low", suggestion=suggestion)

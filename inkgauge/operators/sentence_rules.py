@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkgauge.functions import sqltext as S
-from inkgauge.functions.text import CASELESS, EXACT, column_of, count, first, groups, has, kept, let, line_of, matches, scan, squeeze, strip, words
+from inkgauge.functions.anchors import ODD
+from inkgauge.functions.text import CASELESS, EXACT, after, blocks, count, first, first_located, groups, has, kept, let, located, matches, piece, scan, squeeze, strip, words
 from inkgauge.operators.findings import NONE, issue, none, of_each, only_if, quoted, rows
 from inkgauge.operators.line_rules import _unary, any_of, escaped
 from inkgauge.plans import lexicon as L
@@ -26,17 +27,18 @@ def shown() -> Column:
     return ~F.col("example")
 
 
-def line_at(offset: Column, s: Field = F.col) -> Column:
-    return line_of(s("source_lines"), s("text"), offset)
+def spans(regex: str, s: Field = F.col) -> Column:
+    """All matches in a sentence with their places in the source."""
+    return located(s("text"), regex, s("start_line"), s("start_col"))
 
 
-def column_at(offset: Column, s: Field = F.col) -> Column:
-    return column_of(s("text"), offset, s("start_col"))
+def first_span(regex: str, s: Field = F.col) -> Column:
+    return first_located(s("text"), regex, s("start_line"), s("start_col"))
 
 
 def span_issue(rule: str, message: Column | str, x: Column, order: Column | int = 0, confidence: Column | str = "medium", suggestion: Column | str | None = None, full: bool = True, s: Field = F.col) -> Column:
     """An issue over a span of the sentence; full: with its end line."""
-    return issue(rule, message, line_at(x["a"], s), column_at(x["a"], s), column_at(x["b"], s), line_at(x["b"], s) if full else None, confidence, suggestion, (s("sent"), order))
+    return issue(rule, message, x["l0"], x["c0"], x["c1"], x["l1"] if full else None, confidence, suggestion, (s("sent"), order))
 
 
 def evidence() -> Column:
@@ -50,22 +52,32 @@ def quantity_evidence() -> Column:
 
 
 def _evidenced(rule: str, label: str, patterns: tuple[str, ...]) -> Column:
-    parts = [S.sentence_issues(S.first("text", CASELESS + p), rule, S.quoted(label), k) for k, p in enumerate(patterns)]
-    found = F.expr(S.guarded(f"text rlike {S.lit(any_of(patterns))}", parts, NONE))
+    parts = [S.guarded(S.may_match("text", "low", (p,), CASELESS), [S.sentence_issues(S.first("text", CASELESS + p), rule, S.quoted(label), k)], NONE) for k, p in enumerate(patterns)]
+    found = F.expr(S.guarded(S.may_match("text", "low", patterns, CASELESS), parts, NONE))
     return F.when(evidence(), F.transform(found, lambda x: x.withField("confidence", F.lit("low")))).otherwise(found)
 
 
 def _imprecise_quantity() -> Column:
     regex = CASELESS + r"\b(?:a\s+(?:considerable|large|small)\s+number\s+of|a\s+handful\s+of)\b"
     sure = F.when(quantity_evidence(), "low").otherwise("medium")
-    made = F.transform(matches(F.col("text"), regex), lambda x, i: span_issue("V014", quoted("Imprecise quantity", squeeze(x["t"])), x, i, sure, "Use a measured quantity or cite the source"))
+    made = F.transform(spans(regex), lambda x, i: span_issue("V014", quoted("Imprecise quantity", squeeze(x["t"])), x, i, sure, "Use a measured quantity or cite the source"))
     return only_if((F.col("context") != "heading") & shown() & has(F.col("text"), regex), made)
 
 
 def _claims(regex: str, s: Field = F.col) -> Column:
     """Matches of a verb and a claim (group 1, at the end), from the claim on, unless a hypothesis comes before in the sentence."""
-    spans = F.filter(matches(s("text"), regex), lambda x: ~has(F.substring(s("text"), F.lit(1), x["a"]), r"(?iU)\b(?:if|whether)\b"))
-    return F.transform(spans, lambda x: F.struct(F.regexp_extract(x["t"], regex, 1).alias("t"), (x["b"] - F.length(F.regexp_extract(x["t"], regex, 1))).alias("a"), x["b"].alias("b")))
+
+    def claim(x: Column) -> Column:
+        def cut_off(t: Column) -> Column:
+            head = F.substring(x["t"], F.lit(1), F.length(x["t"]) - F.length(t))
+            place = lambda p: F.struct(t.alias("t"), (x["b"] - F.length(t)).alias("a"), x["b"].alias("b"), p["l"].alias("l0"), p["c"].alias("c0"), x["l1"].alias("l1"), x["c1"].alias("c1"))
+            return let(after(x["l0"], x["c0"], head), place)
+
+        return let(F.regexp_extract(x["t"], regex, 1), cut_off)
+
+    # what comes after the first hypothesis comes after one
+    supposed = let(first(s("text"), r"(?iU)\b(?:if|whether)\b"), lambda h: F.get(h, F.lit(0))["b"])
+    return let(supposed, lambda h: F.transform(F.filter(spans(regex, s), lambda x: h.isNull() | (x["a"] < h)), claim))
 
 
 def _superlative() -> Column:
@@ -81,14 +93,14 @@ def _superlative() -> Column:
 def _absolute() -> Column:
     regex = CASELESS + r"\b(?:never\s+fails|always\s+succeeds|eliminates\s+all\s+errors)\b|(?<!\w)100%\s+secure\b"
     open_ = shown() & has(F.col("text"), regex) & ~has(F.col("text"), f"(?iU){L.LITERAL_CLAIM}|\\bthe (?:phrase|wording)\\b") & ~has(F.col("window"), "(?iU)" + L.TESTED_BOUND)
-    made = F.transform(matches(F.col("text"), regex), lambda x, i: span_issue("V016", quoted("Absolute reliability claim", squeeze(x["t"])), x, i, suggestion="State the tested scope and observed result"))
+    made = F.transform(spans(regex), lambda x, i: span_issue("V016", quoted("Absolute reliability claim", squeeze(x["t"])), x, i, suggestion="State the tested scope and observed result"))
     return only_if(open_, made)
 
 
 def _anecdote() -> Column:
     window = F.concat_ws(" ", F.col("text"), F.col("next_text"))
     general = r"(?iU)\b(?:shows?|proves?|demonstrates?|illustrates?|every|all|broader|nationwide|generally)\b"
-    parts = [F.transform(first(F.col("text"), CASELESS + p), _unary(lambda x, k=k: span_issue("S017", quoted("Anecdote as evidence", x["t"]), x, k, full=False))) for k, p in enumerate(L.ANECDOTES)]
+    parts = [F.transform(first_span(CASELESS + p), _unary(lambda x, k=k: span_issue("S017", quoted("Anecdote as evidence", x["t"]), x, k, full=False))) for k, p in enumerate(L.ANECDOTES)]
     return only_if(has(F.col("text"), any_of(L.ANECDOTES)) & ~has(F.col("text"), r"(?iU)\b(?:example|dateline|format|quoted sentence)\b") & has(window, general), F.concat(*parts))
 
 
@@ -96,14 +108,14 @@ def _euphemism() -> Column:
     parts = []
     for k, phrase in enumerate(L.EUPHEMISMS):
         made = S.sentence_issues(S.first("text", CASELESS + escaped([phrase])[0]), "S019", S.lit(f"Corporate euphemism: '{phrase}' — consider stating the action directly"), k)
-        parts.append(f"if(lower(text) rlike {S.lit('(?U)' + L.ORGANIZATION)}, {made}, {NONE})" if phrase in L.AMBIGUOUS_EUPHEMISMS else made)
-    return F.expr(S.guarded(f"text rlike {S.lit(any_of(escaped(L.EUPHEMISMS)))}", parts, NONE))
+        parts.append(f"if(low rlike {S.lit('(?U)' + L.ORGANIZATION)}, {made}, {NONE})" if phrase in L.AMBIGUOUS_EUPHEMISMS else made)
+    return F.expr(S.guarded(S.any_in("low", {*L.EUPHEMISMS, *ODD}), parts, NONE))
 
 
 def _all_spans(rule: str, label: str, regex: str, suggestion: str, confidence: str = "medium", plain: bool = False, keep=None, where: Column | None = None) -> Column:
     """All matches with full spans; plain: the text as it is, else with single blanks."""
-    spans = matches(F.col("text"), regex) if keep is None else F.filter(matches(F.col("text"), regex), keep)
-    made = F.transform(spans, lambda x, i: span_issue(rule, quoted(label, x["t"] if plain else squeeze(x["t"])), x, i, confidence, suggestion))
+    found = spans(regex) if keep is None else F.filter(spans(regex), keep)
+    made = F.transform(found, lambda x, i: span_issue(rule, quoted(label, x["t"] if plain else squeeze(x["t"])), x, i, confidence, suggestion))
     return only_if((shown() if where is None else where) & has(F.col("text"), regex), made)
 
 
@@ -111,7 +123,7 @@ def _ellipsis() -> Column:
     regex = r"(?<![0-9.])\.{3}(?![0-9.!?])"
     bare = F.regexp_replace(strip(F.col("text")), r"^['\"“”‘’`()\[\]{}]+|['\"“”‘’`()\[\]{}]+$", "")
     open_ = shown() & has(F.col("text"), regex) & ~has(F.col("text"), r"(?iU)\b(?:ellipsis|omission|omit(?:ted|s|ting)?|truncat(?:e|ed|es|ion))\b") & ~has(F.col("text"), r"(?iU)^\s*(?:console|log|message|output)\s*:") & (bare != "...")
-    return only_if(open_, F.transform(matches(F.col("text"), regex), lambda x, i: span_issue("T012", "Rhetorical ellipsis: '...'", x, i, suggestion="Use direct punctuation or complete the thought")))
+    return only_if(open_, F.transform(spans(regex), lambda x, i: span_issue("T012", "Rhetorical ellipsis: '...'", x, i, suggestion="Use direct punctuation or complete the thought")))
 
 
 def _capitals() -> Column:
@@ -124,43 +136,48 @@ def _capitals() -> Column:
 WORD = r"(?U)\b\w+(?:[-'’]\w+)*\b"
 
 
-def pairs_of(text: Column) -> Column:
-    """Balanced parentheses of a text as (a, b, parent): offsets of both, and of the open one around it or -1."""
+PAIR = "struct<a:int,b:int,parent:int,l0:int,c0:int,l1:int,c1:int>"
+
+
+def pairs_of(text: Column, line: Column, column: Column) -> Column:
+    """Balanced parentheses of a text that starts at a line and column, as PAIRs: offsets of both, that of the open one around or -1, and their places."""
 
     def step(open_: Column, x: Column) -> Column:
         depth = F.size(open_)
-        own = F.struct(F.element_at(open_, -1).alias("a"), x["a"].alias("b"), F.coalesce(F.get(open_, depth - 2), F.lit(-1)).alias("parent"))
-        after = F.when(x["t"] == "(", F.concat(open_, F.array(x["a"]))).when(depth > 0, F.slice(open_, F.lit(1), depth - 1)).otherwise(open_)
-        return F.struct(after.alias("state"), F.when((x["t"] == ")") & (depth > 0), own).alias("out"))
+        last = F.element_at(open_, -1)
+        own = F.struct(last["a"].alias("a"), x["a"].alias("b"), F.coalesce(F.get(open_, depth - 2)["a"], F.lit(-1)).alias("parent"), last["l"].alias("l0"), last["c"].alias("c0"), x["l1"].alias("l1"), x["c1"].alias("c1"))
+        opened = F.struct(x["a"].alias("a"), x["l0"].alias("l"), x["c0"].alias("c"))
+        then = F.when(x["t"] == "(", F.concat(open_, F.array(opened))).when(depth > 0, F.slice(open_, F.lit(1), depth - 1)).otherwise(open_)
+        return F.struct(then.alias("state"), F.when((x["t"] == ")") & (depth > 0), own).alias("out"))
 
-    return kept(scan(matches(text, r"[()]"), F.expr("cast(array() as array<int>)"), step, "struct<a:int,b:int,parent:int>"))
+    return kept(scan(located(text, r"[()]", line, column), F.expr("cast(array() as array<struct<a:int,l:int,c:int>>)"), step, PAIR))
 
 
 def _parentheticals() -> Column:
-    wide = F.filter(pairs_of(F.col("text")), lambda p: (p["parent"] < 0) & (count(F.substring(F.col("text"), p["a"] + 2, p["b"] - p["a"] - 1), WORD) >= 3))
+    def wide(parts: Column) -> Column:
+        return F.filter(pairs_of(F.col("text"), F.col("start_line"), F.col("start_col")), lambda p: (p["parent"] < 0) & (count(piece(parts, p["a"] + 1, p["b"]), WORD) >= 3))
 
-    def made(spans: Column) -> Column:
-        whole = F.struct(spans[0]["a"].alias("a"), (F.element_at(spans, -1)["b"] + 1).alias("b"))
-        message = F.concat(F.lit("Parenthetical overload: "), F.size(spans).cast("string"), F.lit(" substantial parentheticals in one sentence"))
-        one = span_issue("T014", message, whole, suggestion="Rewrite the sentence or move parenthetical details into separate sentences")
-        return only_if(F.size(spans) >= 3, F.array(one))
+    def made(found: Column) -> Column:
+        a, b = found[0], F.element_at(found, -1)
+        message = F.concat(F.lit("Parenthetical overload: "), F.size(found).cast("string"), F.lit(" substantial parentheticals in one sentence"))
+        one = issue("T014", message, a["l0"], a["c0"], b["c1"], b["l1"], suggestion="Rewrite the sentence or move parenthetical details into separate sentences", place=(F.col("sent"), 0))
+        return only_if(F.size(found) >= 3, F.array(one))
 
-    return only_if(main() & shown() & (count(F.col("text"), r"\(") >= 3), let(wide, made))
+    return only_if(main() & shown() & (count(F.col("text"), r"\(") >= 3), let(let(blocks(F.col("text")), wide), made))
 
 
 def nested_parentheses() -> Column:
     """T015, over chunks: a balanced pair inside another balanced pair, which may span lines."""
 
     def of_chunk(c: Column) -> Column:
-        text, ns = c["text"], F.transform(c["lines"], lambda x: x["n"])
-        line = lambda o: line_of(ns, text, o)
-
         def one(p: Column) -> Column:
-            a, b = p["a"], p["b"] + 1
-            return issue("T015", "Nested parenthetical", line(a), column_of(text, a, F.lit(1)), column_of(text, b, F.lit(1)), F.when(line(a) != line(b), line(b)), "high", "Remove one level of parentheses or rewrite the sentence")
+            return issue("T015", "Nested parenthetical", p["l0"], p["c0"], p["c1"], F.when(p["l0"] != p["l1"], p["l1"]), "high", "Remove one level of parentheses or rewrite the sentence")
+
+        def inside(upto: Column, p: Column) -> Column:  # pairs never cross, so one that begins before the furthest end so far lies in another
+            return F.struct(F.greatest(upto, p["b"]).alias("state"), F.when(upto > p["a"], p).alias("out"))
 
-        nested = lambda ps: let(F.transform(ps, lambda p: p["a"]), lambda known: F.filter(ps, lambda p: F.array_contains(known, p["parent"])))
-        return F.transform(let(pairs_of(text), nested), one)
+        nested = kept(scan(F.sort_array(pairs_of(c["text"], c["first_line"], F.lit(1))), F.lit(-1), inside, PAIR))
+        return F.transform(nested, one)
 
     return of_each(F.filter("chunks", lambda c: count(c["text"], r"\(") >= 2), of_chunk)
 
@@ -180,15 +197,16 @@ def _long_sentence(threshold: int) -> Column:
 
 
 def _opener(rule: str, label: str, pattern: str, suggestion: str, confidence: str, extra: Column | None = None) -> Column:
-    made = F.transform(first(F.col("text"), CASELESS + pattern), lambda x: span_issue(rule, quoted(label, squeeze(x["t"])), x, confidence=confidence, suggestion=suggestion))
+    made = F.transform(first_span(CASELESS + pattern), lambda x: span_issue(rule, quoted(label, squeeze(x["t"])), x, confidence=confidence, suggestion=suggestion))
     where = main() & shown() & has(F.col("text"), CASELESS + pattern)
     return only_if(where if extra is None else where & extra, made)
 
 
 def _slash() -> Column:
-    regex = CASELESS + r"(?<![/\w])and/or(?![/\w])"
-    made = let(matches(F.col("text"), r"(?iU)https?://\S+"), lambda urls: F.transform(F.filter(matches(F.col("text"), regex), lambda x: ~F.exists(urls, lambda u: (u["a"] <= x["a"]) & (x["a"] < u["b"]))), lambda x, i: span_issue("T016", quoted("Slash alternative", x["t"]), x, i, suggestion="Choose 'and', 'or', or 'both' explicitly")))
-    return only_if(shown() & has(F.col("text"), regex), made)
+    regex = r"(?<![/\w])and/or(?![/\w])"
+    found = F.filter(spans(CASELESS + r"https?://\S+|" + regex), lambda x: ~F.startswith(F.lower(x["t"]), F.lit("http")))  # those inside an address are passed over with it
+    made = F.transform(found, lambda x, i: span_issue("T016", quoted("Slash alternative", x["t"]), x, i, suggestion="Choose 'and', 'or', or 'both' explicitly"))
+    return only_if(shown() & has(F.col("text"), CASELESS + regex), made)
 
 
 def _bare_url() -> Column:
@@ -199,9 +217,9 @@ def _bare_url() -> Column:
         extra = F.greatest(count(url, r"\)") - count(url, r"\("), F.lit(0))
         tail = F.length(F.regexp_extract(url, r"\)*$", 0))
         url = F.substring(url, F.lit(1), F.length(url) - F.least(extra, tail))
-        return F.struct(url.alias("t"), x["a"].alias("a"), (x["a"] + F.length(url)).alias("b"))
+        return let(url, lambda u: F.struct(u.alias("t"), x["a"].alias("a"), (x["a"] + F.length(u)).alias("b"), x["l0"].alias("l0"), x["c0"].alias("c0"), x["l0"].alias("l1"), (x["c0"] + F.length(u)).alias("c1")))
 
-    made = F.transform(F.transform(matches(F.col("text"), regex), trimmed), lambda x, i: span_issue("M009", quoted("Bare URL in prose", x["t"]), x, i, "high", "Use descriptive Markdown link text"))
+    made = F.transform(F.transform(spans(regex), trimmed), lambda x, i: span_issue("M009", quoted("Bare URL in prose", x["t"]), x, i, "high", "Use descriptive Markdown link text"))
     return only_if(F.col("markdown") & (F.col("context") == "body") & shown() & has(F.col("text"), regex) & ~has(F.col("text"), r"(?iU)\b(?:literal URL|URL (?:literal|string|value|format|syntax))\b"), made)
 
 
@@ -273,7 +291,7 @@ def grouped(chosen: set[str], thresholds: dict[str, int]) -> list[Column]:
 
         def opened(v: Column) -> Column:
             s = v.__getitem__
-            parts = F.concat(*(F.transform(first(s("text"), CASELESS + p), lambda x: span_issue("G015", quoted("Generic scene-setting opener", squeeze(x["t"])), x, suggestion="Replace the generic opener with the concrete subject or change", s=s)) for p in L.SCENE_OPENERS))
+            parts = F.concat(*(F.transform(first_span(CASELESS + p, s), lambda x: span_issue("G015", quoted("Generic scene-setting opener", squeeze(x["t"])), x, suggestion="Replace the generic opener with the concrete subject or change", s=s)) for p in L.SCENE_OPENERS))
             return only_if(has(s("text"), any_of(L.SCENE_OPENERS)), F.slice(parts, 1, 1))
 
         out.append(of_each(one, opened))
@@ -296,7 +314,7 @@ def _varied(g: Column) -> Column:
             s = lambda name: F.lit(0) if name == "sent" else hits[0][name]
             one = lambda x: span_issue("T006", F.concat(F.lit("Elegant variation: '"), x["t"], F.lit(f"' (also uses '{plain}')")), x, s=s).withField("place", F.array(s("scope"), F.lit(k)))
             said = F.exists(g, lambda y: has(F.lower(y["text"]), rf"(?U)\b{plain}\b"))
-            return only_if((F.size(hits) > 0) & said, F.transform(first(s("text"), rf"{CASELESS}\b{formal}\b"), one))
+            return only_if((F.size(hits) > 0) & said, F.transform(first_span(rf"{CASELESS}\b{formal}\b", s), one))
 
         parts.append(let(F.filter(g, _unary(lambda y, formal=formal: has(y["text"], rf"{CASELESS}\b{formal}\b"))), _unary(found)))
     return F.concat(*parts)
@@ -321,7 +339,7 @@ def listicles() -> Column:
         def opening(hits: Column) -> Column:
             s = hits[0].__getitem__
             b = F.length(F.regexp_extract(s("text"), opener, 0))
-            return F.array(issue("S012", "Listicle in prose: 'First... Second... Third...'", s("start_line"), s("start_col"), column_at(b, s), line_at(b, s), suggestion="Use an explicit numbered list", place=(0, s("start_line"))))
+            return F.array(issue("S012", "Listicle in prose: 'First... Second... Third...'", s("start_line"), s("start_col"), s("start_col") + b, s("start_line"), suggestion="Use an explicit numbered list", place=(0, s("start_line"))))
 
         lowered = F.lower(F.array_join(F.transform(c["lines"], lambda x: x["text"]), " "))
         all_three = lambda t: has(t, rf"(?U)\bthe {L.ORDINALS[0]}\b") & has(t, rf"(?U)\bthe {L.ORDINALS[1]}\b") & has(t, rf"(?U)\bthe {L.ORDINALS[2]}\b")
@@ -348,7 +366,7 @@ def hedging() -> Column:
 
     def redundant(v: Column) -> Column:
         s = v.__getitem__
-        return F.transform(matches(s("text"), modal), lambda x, i: span_issue("G002", quoted("Redundant modal hedge", squeeze(x["t"])), x, i, "high", F.lower(F.regexp_extract(x["t"], modal, 1)), s=s))
+        return F.transform(spans(modal, s), lambda x, i: span_issue("G002", quoted("Redundant modal hedge", squeeze(x["t"])), x, i, "high", F.lower(F.regexp_extract(x["t"], modal, 1)), s=s))
 
     def stacked(v: Column) -> Column:
         message = lambda n: F.concat(F.lit("Hedge stacking: "), n.cast("string"), F.lit(" hedges in one sentence"))

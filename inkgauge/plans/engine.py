@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkgauge.functions.text import groups, is_blank, kept, without_call_sites
+from inkgauge.functions.text import built_once, flat, groups, is_blank, kept, without_call_sites
 from inkgauge.operators import line_rules, markdown, markdown_rules, prose, python_source, sentence_rules
 from inkgauge.operators.findings import NONE
 from inkgauge.plans import policy as policies
@@ -41,33 +41,49 @@ def _plain(content: Column) -> Column:
     lines = F.transform(F.split(content, "\n", -1), lambda x, i: F.struct((i + 1).alias("n"), x.alias("raw")))
     runs = groups(F.filter(lines, lambda r: ~is_blank(r["raw"])), lambda a, b: b["n"] == a["n"] + 1)
     row = lambda r, k: F.struct(r["n"], r["raw"], r["raw"], F.lit("body"), k + 1, k + 1, F.lit(0), F.lit(False), F.lit(False), F.lit(False)).cast(markdown.PROSE)
-    return F.flatten(F.transform(runs, lambda g, k: F.transform(g, lambda r: row(r, k))))
+    return flat(F.transform(runs, lambda g, k: F.transform(g, lambda r: row(r, k))))
+
+
+@built_once
+def _parse_columns() -> dict[str, Column]:
+    """What is parsed of a text that isn't Python, each over the columns before it."""
+    none = F.struct(F.expr(_NO_LINES).alias("lines"), F.expr(_NO_FENCES).alias("fences"))
+    return {
+        "structure": F.when(F.col("is_markdown"), markdown.structure(F.col("content"))).otherwise(none),
+        "heads": markdown.headings(F.col("lines")),
+        "example": markdown.examples(F.col("heads"), F.size("lines")),
+        "prose": F.when(F.col("is_markdown"), markdown.prose(F.col("lines"), F.col("example"))).otherwise(_plain(F.col("content"))),
+    }
+
+
+@built_once
+def _sentence_columns(window: bool) -> dict[str, Column]:
+    return {"chunks": prose.chunks(F.col("prose"), window), "sentences": prose.sentences(F.col("chunks"))}
 
 
 @without_call_sites()
-def parsed(documents: DataFrame, python: bool = True, sentences: bool = True) -> DataFrame:
+def parsed(documents: DataFrame, python: bool = True, sentences: bool = True, window: bool = True) -> DataFrame:
     """The documents (path, content) with lines, fences, heads, example, prose, chunks and sentences; Python's with their facts as well."""
-    docs = _kinded(documents)
+    docs, made = _kinded(documents), _parse_columns()
     text = docs.where(~F.col("is_python")).drop("is_python")
-    none = F.struct(F.expr(_NO_LINES).alias("lines"), F.expr(_NO_FENCES).alias("fences"))
-    text = _made(text, structure=F.when(F.col("is_markdown"), markdown.structure(F.col("content"))).otherwise(none)).select("*", "structure.*").drop("structure")
-    text = _made(text, heads=markdown.headings(F.col("lines")))
-    text = _made(text, example=markdown.examples(F.col("heads"), F.size("lines")))
-    text = _made(text, prose=F.when(F.col("is_markdown"), markdown.prose(F.col("lines"), F.col("example"))).otherwise(_plain(F.col("content"))))
+    text = _made(text, structure=made["structure"]).select("*", "structure.*").drop("structure")
+    for name in ("heads", "example", "prose"):
+        text = _made(text, **{name: made[name]})
     whole = text.drop("is_markdown").withColumn("python", F.lit(False))
     if python:
         facts = _made(python_source.parsed(docs.where("is_python")), raws=F.split("content", "\n", -1))
         facts = _made(facts, prose=python_source.prose())
         whole = whole.unionByName(facts.withColumn("python", F.lit(True)), allowMissingColumns=True)
     if sentences:
-        whole = _made(whole, chunks=prose.chunks(F.col("prose")))
-        whole = _made(whole, sentences=prose.sentences(F.col("chunks")))
+        for name, column in _sentence_columns(window).items():
+            whole = _made(whole, **{name: column})
     return whole
 
 
-def _document_rules(policy: Policy, python: bool) -> list[Column]:
+@built_once
+def _document_rules(chosen: frozenset[str], thresholds: tuple, python: bool) -> list[Column]:
     """Rules over a whole document, each an array of issues. Those of Markdown have nothing to read in others and the other way round."""
-    chosen, limits = policy.rules(), policy.limits()
+    limits = dict(thresholds)
     out = line_rules.counted(chosen, limits) + sentence_rules.grouped(chosen, limits) + markdown_rules.heading_rules(chosen)
     single = {
         "T007": lambda: sentence_rules.punchy_fragments(limits["short_punchy_fragments"]),
@@ -90,12 +106,25 @@ def _document_rules(policy: Policy, python: bool) -> list[Column]:
     return [F.coalesce(x, F.expr(NONE)) for x in out]
 
 
+@built_once
+def _row_rules(chosen: frozenset[str], thresholds: tuple, vocabulary: tuple) -> tuple[list[Column], list[Column]]:
+    """Rules over one line, and over one sentence."""
+    return line_rules.row_rules(chosen, dict(vocabulary)), sentence_rules.row_rules(chosen, dict(thresholds))
+
+
+_suppressions = built_once(policies.suppressions)
+
+
 #: Fields of a unit: what rules of a line and rules of a sentence read, and the findings of the whole document.
 _LINE = ("n", "raw", "text", "low", "context", "scope", "example", "markdown")
-_SENTENCE = ("sent", "k", "source", "start_line", "start_col", "end_line", "end_col", "source_lines", "window", "next_text")
+_SENTENCE = ("sent", "start_line", "start_col", "end_line", "end_col")
+#: What only rules that look at neighbouring sentences read.
+_WINDOW = ("window", "next_text")
+_LOWERED = {"V005", "V008", "S019"}
+_NEIGHBOURS = {"V005", "V008", "V014", "V015", "V016", "S017"}
 _KINDS = {
-    "n": "int", "raw": "string", "text": "string", "low": "string", "context": "string", "scope": "int", "example": "boolean", "markdown": "boolean", "sent": "int", "k": "int", "source": "string", "start_line": "int", "start_col": "int",
-    "end_line": "int", "end_col": "int", "source_lines": "array<int>", "window": "string", "next_text": "string",
+    "n": "int", "raw": "string", "text": "string", "low": "string", "context": "string", "scope": "int", "example": "boolean", "markdown": "boolean", "sent": "int", "start_line": "int", "start_col": "int",
+    "end_line": "int", "end_col": "int", "window": "string", "next_text": "string",
 }
 
 
@@ -107,24 +136,24 @@ def _unit(kind: str, fields: dict[str, Column], issues: Column | None = None) ->
 @without_call_sites()
 def judged(docs: DataFrame, policy: Policy, python: bool = True, suppress: bool = True, extra: list[Column] | None = None) -> DataFrame:
     """The findings of parsed documents, without numbers: path, x (an issue) in one pass."""
-    chosen, limits = policy.rules(), policy.limits()
-    words = {"allowed": policy.allowed, "additional": policy.additional, "allowed_phrases": policy.allowed_phrases}
-    whole = _document_rules(policy, python) + (extra or [])
-    of_line, of_sentence = line_rules.row_rules(chosen, words), sentence_rules.row_rules(chosen, limits)
-    units = []
+    chosen, limits = frozenset(policy.rules()), tuple(sorted(policy.limits().items()))
+    words = tuple((name, tuple(getattr(policy, name))) for name in ("allowed", "additional", "allowed_phrases"))
+    whole = _document_rules(chosen, limits, python) + (extra or [])
+    of_line, of_sentence = _row_rules(chosen, limits, words)
+    units, window = [], bool(chosen & _NEIGHBOURS)
     if whole:
         units.append(F.array(_unit("document", {}, F.concat(*whole))))
     if of_line:
         units.append(F.transform("prose", lambda r: _unit("line", {c: F.lower(r["text"]) if c == "low" else r[c] for c in _LINE})))
     if of_sentence:
-        units.append(F.transform("sentences", lambda s: _unit("sentence", {c: s[c] for c in ("text", "context", "scope", "example", "markdown", *_SENTENCE)})))
+        units.append(F.transform("sentences", lambda s: _unit("sentence", ({"low": F.lower(s["text"])} if chosen & _LOWERED else {}) | {c: s[c] for c in ("text", "context", "scope", "example", "markdown", *_SENTENCE, *(_WINDOW if window else ()))})))
     if not units:
         return docs.select("path", F.explode(F.expr(NONE)).alias("x"))
     none, sup = F.expr(NONE), F.expr(f"cast(array() as {policies.DIRECTIVES})")
     if suppress:
-        sup = policies.suppressions(True)
+        sup = _suppressions(True)
         if python:
-            sup = F.when(F.col("python"), policies.suppressions(False)).otherwise(sup)
+            sup = F.when(F.col("python"), _suppressions(False)).otherwise(sup)
     each = _made(docs, sup=sup) if suppress else docs
     each = each.select("path", *(["sup"] if suppress else []), F.explode(F.concat(*units) if len(units) > 1 else units[0]).alias("u")).select("path", *(["sup"] if suppress else []), "u.*")
     parts = [F.col("issues")] if whole else []
@@ -143,8 +172,9 @@ def findings(documents: DataFrame, policy: Policy | None = None, python: bool =
     extra: columns over a parsed document that give arrays of issues, for rules of one's own.
     """
     policy = policy or Policy()
-    sentences = bool(policy.rules() - _LINE_ONLY) or bool(extra)
-    found = judged(parsed(documents, python, sentences), policy, python, suppress, extra)
+    chosen = policy.rules()
+    sentences = bool(chosen - _LINE_ONLY) or bool(extra)
+    found = judged(parsed(documents, python, sentences, bool(chosen & _NEIGHBOURS) or bool(extra)), policy, python, suppress, extra)
     return policies.finish(found.select("path", "x.*"), policy).select(*COLUMNS, "place")
 
 

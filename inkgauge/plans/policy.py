@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkgauge.functions.text import has, squeeze
+from inkgauge.functions.text import flat, has, squeeze
 from inkgauge.plans import catalog
 from inkgauge.plans import lexicon as L
 
@@ -100,10 +100,10 @@ def suppressions(markdown: bool) -> Column:
         regex = rf"(?iU)^\s*<!--\s*{DIRECTIVE}-ignore-next-line(?:\s+(.*?))?\s*-->\s*$"
         mark = lambda r: F.lower(F.trim(r["raw"]))
         wanted = F.filter("lines", lambda r: F.contains(r["raw"], F.lit("<!--")) & ~r["code"] & F.startswith(mark(r), F.lit("<!--")) & F.contains(mark(r), F.lit(f"{DIRECTIVE}-ignore-next-line")))
-        return F.flatten(F.transform(wanted, lambda r: named(r["n"], r["n"] + 1, F.regexp_extract(r["raw"], regex, 1))))
+        return flat(F.transform(wanted, lambda r: named(r["n"], r["n"] + 1, F.regexp_extract(r["raw"], regex, 1))))
     regex = rf"(?iU)\s*{DIRECTIVE}:\s*ignore\s*=\s*(.*?)\s*$"
     wanted = F.filter("comments", lambda c: F.contains(F.lower(c["text"]), F.lit(f"{DIRECTIVE}:")))
-    return F.flatten(F.transform(wanted, lambda c: named(c["line"], c["line"], F.regexp_extract(c["text"], regex, 1))))
+    return flat(F.transform(wanted, lambda c: named(c["line"], c["line"], F.regexp_extract(c["text"], regex, 1))))
 
 
 def suppressed(directives: Column, x: Column) -> Column:
