@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkgauge.functions.text import flags, flat, groups, has, indent, is_blank, kept, let, mask, mask_front, matches, scan, strip, words
+from inkgauge.functions.text import blocks, flags, flat, groups, has, indent, is_blank, kept, let, mask, mask_front, matches, piece, scan, strip, words
 
 # Patterns of Markdown's marks and the block-level HTML tags.
 QUOTE = r"(?U)^(?:\s{0,3}>\s?)+"
@@ -161,9 +161,16 @@ def _mask_deep(text: Column) -> Column:
         after = F.struct(depth.alias("depth"), F.when((state["depth"] == 0) & link, x["b"] - 1).otherwise(state["a"]).alias("a"))
         return F.struct(after.alias("state"), F.when((state["depth"] == 1) & closes, F.struct(state["a"].alias("a"), x["b"].alias("b"))).alias("out"))
 
+    def blank(v: Column) -> Column:
+        """What lies between the spans, which are in order and apart, and blanks for them."""
+        spans = v["spans"]
+        gaps = F.transform(spans, lambda x, i: F.concat(piece(v["parts"], F.coalesce(F.get(spans, i - 1)["b"], F.lit(0)), x["a"]), F.repeat(F.lit(" "), x["b"] - x["a"])))
+        rest = piece(v["parts"], F.coalesce(F.element_at(spans, -1)["b"], F.lit(0)), v["n"])
+        return F.when(F.size(spans) > 0, F.concat(F.array_join(gaps, ""), rest)).otherwise(F.array_join(v["parts"], ""))
+
     def blanked(value: Column) -> Column:
         spans = kept(scan(matches(value, r"(?s)\\[()\\]|\[[^\]]+\]\(|[()]"), F.expr("named_struct('depth', 0, 'a', 0)"), step, "struct<a:int,b:int>"))
-        return F.aggregate(spans, value, lambda t, x: F.concat(F.substring(t, F.lit(1), x["a"]), F.repeat(F.lit(" "), x["b"] - x["a"]), F.substring(t, x["b"] + 1, F.length(t))))
+        return let(F.struct(blocks(value).alias("parts"), spans.alias("spans"), F.length(value).alias("n")), blank)
 
     return let(text, lambda value: F.when(has(value, r"\]\([^()]*(?:\([^()]*){3}"), blanked(value)).otherwise(value))
 

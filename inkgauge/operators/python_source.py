@@ -131,7 +131,9 @@ def facts(path: str | None, content: str) -> dict:
             continue
         value, names = head.value, [getattr(node, "name", "")]
         if kind == "function":
-            names += [a.arg for a in ast.walk(node.args) if isinstance(a, ast.arg) and a.arg not in ("self", "cls")]
+            own = node.args  # its five lists alone: a default may be a lambda with parameters of its own
+            listed = [*own.posonlyargs, *own.args, *own.kwonlyargs, *filter(None, (own.vararg, own.kwarg))]
+            names += [a.arg for a in listed if a.arg not in ("self", "cls")]
         own = [t for t in texts if (value.lineno, value.col_offset) <= t.start and t.end <= (value.end_lineno, value.end_col_offset)]
         by_line: dict[int, dict[str, int]] = {}
         for span in (s for t in own for s in _spans(t, widths)):

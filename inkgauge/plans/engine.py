@@ -10,6 +10,8 @@ path are judged apart and their findings numbered together. Names that end in .m
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,7 +71,7 @@ def parsed(documents: DataFrame, python: bool = True, sentences: bool = True, wi
     text = _made(text, structure=made["structure"]).select("*", "structure.*").drop("structure")
     for name in ("heads", "example", "prose"):
         text = _made(text, **{name: made[name]})
-    whole = text.drop("is_markdown").withColumn("python", F.lit(False))
+    whole = text.withColumn("python", F.lit(False))
     if python:
         facts = _made(python_source.parsed(docs.where("is_python")), raws=F.split("content", "\n", -1))
         facts = _made(facts, prose=python_source.prose())
@@ -106,6 +108,16 @@ def _document_rules(chosen: frozenset[str], thresholds: tuple, python: bool) ->
     return [F.coalesce(x, F.expr(NONE)) for x in out]
 
 
+def _own_rules(policy: Policy) -> list[Column]:
+    """The chosen rules of one's own, on the kinds of documents that they apply to. Their columns read null where a kind of document lacks what they need."""
+    chosen, limits, out = policy.rules(), policy.limits(), []
+    for u in (u for u in policy.own if u.rule.id in chosen):
+        kinds = {"markdown": F.coalesce("is_markdown", F.lit(False)), "python": F.col("python")}
+        applies = reduce(lambda a, b: a | b, (kinds[k] for k in u.rule.applies_to))
+        out.append(F.coalesce(F.when(applies, u.make(limits.get(u.rule.id))), F.expr(NONE)))
+    return out
+
+
 @built_once
 def _row_rules(chosen: frozenset[str], thresholds: tuple, vocabulary: tuple) -> tuple[list[Column], list[Column]]:
     """Rules over one line, and over one sentence."""
@@ -134,11 +146,11 @@ def _unit(kind: str, fields: dict[str, Column], issues: Column | None = None) ->
 
 
 @without_call_sites()
-def judged(docs: DataFrame, policy: Policy, python: bool = True, suppress: bool = True, extra: list[Column] | None = None) -> DataFrame:
+def judged(docs: DataFrame, policy: Policy, python: bool = True, suppress: bool = True) -> DataFrame:
     """The findings of parsed documents, without numbers: path, x (an issue) in one pass."""
     chosen, limits = frozenset(policy.rules()), tuple(sorted(policy.limits().items()))
     words = tuple((name, tuple(getattr(policy, name))) for name in ("allowed", "additional", "allowed_phrases"))
-    whole = _document_rules(chosen, limits, python) + (extra or [])
+    whole = _document_rules(chosen & frozenset(policies.catalog.RULES), limits, python) + _own_rules(policy)
     of_line, of_sentence = _row_rules(chosen, limits, words)
     units, window = [], bool(chosen & _NEIGHBOURS)
     if whole:
@@ -166,15 +178,12 @@ def judged(docs: DataFrame, policy: Policy, python: bool = True, suppress: bool
 
 
 @without_call_sites()
-def findings(documents: DataFrame, policy: Policy | None = None, python: bool = True, suppress: bool = True, extra: list[Column] | None = None) -> DataFrame:
-    """Findings of documents (path, content) in no order and without numbers: no shuffle at all. place orders those of a rule in a document.
-
-    extra: columns over a parsed document that give arrays of issues, for rules of one's own.
-    """
+def findings(documents: DataFrame, policy: Policy | None = None, python: bool = True, suppress: bool = True) -> DataFrame:
+    """Findings of documents (path, content) in no order and without numbers: no shuffle at all. place orders those of a rule in a document."""
     policy = policy or Policy()
     chosen = policy.rules()
-    sentences = bool(chosen - _LINE_ONLY) or bool(extra)
-    found = judged(parsed(documents, python, sentences, bool(chosen & _NEIGHBOURS) or bool(extra)), policy, python, suppress, extra)
+    own = bool(chosen - set(policies.catalog.RULES))
+    found = judged(parsed(documents, python, bool(chosen - _LINE_ONLY), bool(chosen & _NEIGHBOURS) or own), policy, python, suppress)
     return policies.finish(found.select("path", "x.*"), policy).select(*COLUMNS, "place")
 
 
@@ -190,6 +199,6 @@ def numbered(found: DataFrame) -> DataFrame:
     return found.withColumn("seq", seq).select("path", "seq", *COLUMNS[1:])
 
 
-def check(documents: DataFrame, policy: Policy | None = None, python: bool = True, suppress: bool = True, extra: list[Column] | None = None) -> DataFrame:
+def check(documents: DataFrame, policy: Policy | None = None, python: bool = True, suppress: bool = True) -> DataFrame:
     """Findings of documents (path, content): path, seq, rule_id, message, line, column, end_line, end_column, severity, confidence, suggestion."""
-    return numbered(findings(documents, policy, python, suppress, extra))
+    return numbered(findings(documents, policy, python, suppress))

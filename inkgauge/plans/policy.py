@@ -31,27 +31,34 @@ class Policy:
     allowed: tuple[str, ...] = ()
     additional: tuple[str, ...] = ()
     allowed_phrases: tuple[str, ...] = ("All notable changes", "Critical issue")
+    #: Rules of one's own, which run beside the catalog's.
+    own: tuple[catalog.UserRule, ...] = ()
 
     @classmethod
-    def of_profile(cls, name: str) -> Policy:
+    def of_profile(cls, name: str, own: tuple[catalog.UserRule, ...] = ()) -> Policy:
         rules, severity, confidence = catalog.PROFILES[name]
-        return cls(select=set(rules), minimum_severity=severity, min_confidence=confidence)
+        return cls(select=set(rules) | {u.rule.id for u in own if name in u.rule.profiles}, minimum_severity=severity, min_confidence=confidence, own=own)
 
     def __post_init__(self) -> None:
-        known = {*catalog.RULES, *catalog.CATEGORIES}
+        if len({u.rule.id for u in self.own}) < len(self.own):
+            raise ValueError("two rules of one's own share an id")
+        known = {*self.known(), *catalog.CATEGORIES}
         named = [*(self.select or ()), *self.ignore, *self.severity, *(r for rules in self.per_file_ignores.values() for r in rules)]
         for name in named:
             if name not in known:
                 near = difflib.get_close_matches(name, known, n=1)
                 raise ValueError(f"unknown rule {name!r}" + (f"; did you mean {near[0]!r}?" if near else ""))
         for key, value in self.thresholds.items():
-            if key not in catalog.THRESHOLDS or not isinstance(value, int) or isinstance(value, bool) or value < 1:
+            if key not in {**catalog.THRESHOLDS, **{u.rule.id: 1 for u in self.own if u.threshold is not None}} or not isinstance(value, int) or isinstance(value, bool) or value < 1:
                 raise ValueError(f"thresholds.{key} must be a known name and a positive integer")
         if self.minimum_severity not in catalog.SEVERITIES or self.min_confidence not in catalog.CONFIDENCES or not set(self.severity.values()) <= set(catalog.SEVERITIES):
             raise ValueError("unknown severity or confidence")
 
+    def known(self) -> dict[str, catalog.Rule]:
+        return catalog.RULES | {u.rule.id: u.rule for u in self.own}
+
     def severity_of(self, rule: str) -> str:
-        return self.severity.get(rule, catalog.RULES[rule].severity)
+        return self.severity.get(rule, self.known()[rule].severity)
 
     def rules(self) -> set[str]:
         """The rules that run at all: their branches are never built otherwise."""
@@ -59,22 +66,23 @@ class Policy:
         least = catalog.SEVERITIES[self.minimum_severity]
         return {
             r
-            for r in catalog.RULES
+            for r in self.known()
             if (self.select is None or inside(self.select, r)) and not inside(self.ignore, r) and 0 < catalog.SEVERITIES[self.severity_of(r)] >= least
         }
 
     def limits(self) -> dict[str, int]:
-        return {**catalog.THRESHOLDS, **self.thresholds}
+        return {**catalog.THRESHOLDS, **{u.rule.id: u.threshold for u in self.own if u.threshold is not None}, **self.thresholds}
 
 
 def finish(found: DataFrame, policy: Policy) -> DataFrame:
     """Severities, per-file ignores and the least confidence."""
-    ids = sorted(catalog.RULES)
+    ids = sorted(policy.known())
     level = F.element_at(F.create_map(*(F.lit(v) for r in ids for v in (r, policy.severity_of(r)))), F.col("rule_id"))
     out = found.withColumn("severity", level)
     for pattern, rules in policy.per_file_ignores.items():
-        regex = fnmatch.translate(pattern).replace(r"\Z", r"\z").replace("(?s:", "(?s:")
-        named = has(F.col("path"), r"\A" + regex) | has(F.element_at(F.split("path", "/"), -1), r"\A" + regex)
+        regex = r"\A" + fnmatch.translate(pattern).replace(r"\Z", r"\z")
+        # a null path has no name, so no pattern names it
+        named = F.coalesce(has(F.col("path"), regex) | has(F.element_at(F.split("path", "/"), -1), regex), F.lit(False))
         out = out.where(~(named & (F.col("rule_id").isin(*rules) | F.substring("rule_id", 1, 1).isin(*rules))))
     keep = [c for c, rank in catalog.CONFIDENCES.items() if rank >= catalog.CONFIDENCES[policy.min_confidence]]
     return out if len(keep) == 3 else out.where(F.col("confidence").isin(*keep))
@@ -151,6 +159,14 @@ def unknown(identified: DataFrame, baseline: DataFrame) -> DataFrame:
     return identified.join(_keyed(baseline), KEY, "left_anti")
 
 
+def without_known(found: DataFrame, docs: DataFrame, baseline: DataFrame, workspace: str | None = None) -> DataFrame:
+    """The findings of documents that a baseline, of paths relative to a workspace, doesn't know; their own paths and columns stay."""
+    identified = identities(found, docs).withColumn("own_path", F.col("path"))
+    named = relative(identified, workspace) if workspace else identified
+    left = unknown(named, baseline)
+    return left.select(*(F.col("own_path").alias("path") if c == "path" else F.col(c) for c in found.columns))
+
+
 def legacy_fingerprint(rule: Column, message: Column, path: Column, context: Column) -> Column:
     """The fingerprint of version 1: of rule, message and the three lines around."""
     short = lambda x: F.substring(F.sha2(x, 256), 1, 16)

@@ -1,14 +1,18 @@
-"""Files as documents: discovery on the driver, reading by Spark."""
+"""Files as documents: discovery, and reading by the executors with a row for each file that can't be read."""
 
 from __future__ import annotations
 
 import os
 import subprocess
+from collections.abc import Iterator
 from pathlib import Path, PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkgauge.functions.ship import ship
+
 INCLUDE = ("*.md", "*.mdx", "*.markdown", "*.py")
 
 
@@ -38,12 +42,13 @@ def git_ignored(root: Path, paths: list[Path]) -> set[Path]:
 
 
 def discover(paths: list[str], include: tuple[str, ...] = INCLUDE, exclude: tuple[str, ...] = (), use_git: bool = True) -> list[str]:
-    """Explicit files, and files below folders that include names and neither exclude nor git's ignore rules drop; each once, in order."""
+    """Explicit files, and files below folders that include names and git's ignore rules leave; all but those that exclude drops; each once, in order."""
     found: dict[str, None] = {}
     roots = [Path(p).resolve() for p in paths if Path(p).is_dir()]
     for given in map(Path, paths):
         if given.is_file():
-            found[str(given)] = None
+            if not excluded(given.resolve(), [*roots, given.resolve().parent], list(exclude)):
+                found[str(given)] = None
             continue
         if not given.is_dir():
             raise FileNotFoundError(str(given))
@@ -53,13 +58,54 @@ def discover(paths: list[str], include: tuple[str, ...] = INCLUDE, exclude: tupl
     return list(found)
 
 
+DOCUMENT = "path string, content string, read_error string"
+#: Paths of a read's task at least, and bytes of text of a batch.
+PATHS_A_TASK, BATCH = 64, 8 << 20
+
+
+def text_of(path: str) -> tuple[str | None, str | None]:
+    """A file's text, of strict UTF-8 with line ends as line feeds, or why it can't be read."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            return f.read(), None
+    except (OSError, UnicodeDecodeError) as problem:
+        return None, f"{type(problem).__name__}: {problem}"
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple] = []
+    held = 0
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            rows.append((path, *text_of(path)))
+            held += len(rows[-1][1] or "")
+            if held > BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["path", "content", "read_error"])
+                rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["path", "content", "read_error"])
+
+
+def read_table(paths: DataFrame) -> DataFrame:
+    """Documents (path, content, read_error) of a table of paths, read where its rows are. A file that is gone, forbidden or no UTF-8 has a read_error instead of a content and harms no other."""
+    ship(paths.sparkSession)
+    return paths.select("path").where("path is not null").mapInArrow(_contents, DOCUMENT)
+
+
 def read(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Documents (path, content) of files: strict UTF-8, line ends as line feeds. A file that isn't UTF-8 fails the query."""
-    if not paths:
-        return spark.createDataFrame([], "path string, content string")
-    raw = spark.read.format("binaryFile").load(paths)
-    text = F.validate_utf8(F.decode("content", "UTF-8"))
-    return raw.select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), F.regexp_replace(text, r"\r\n?", "\n").alias("content"))
+    """Documents (path, content, read_error) of a list of files."""
+    listed = spark.createDataFrame([(p,) for p in paths], "path string")
+    return read_table(listed.repartition(max(1, min(len(paths) // PATHS_A_TASK + 1, 10_000))))
+
+
+def readable(documents: DataFrame) -> DataFrame:
+    """Documents (path, content) without those that couldn't be read."""
+    return documents.where("read_error is null").select("path", "content")
+
+
+def unreadable(documents: DataFrame) -> DataFrame:
+    """path, read_error of the files that couldn't be read."""
+    return documents.where("read_error is not null").select("path", "read_error")
 
 
 def from_table(df: DataFrame, key: str, text: str, suffix: str = ".md") -> DataFrame:

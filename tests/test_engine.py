@@ -141,3 +141,131 @@ def test_baseline_states(spark, docs):
     got = {(r.rule_id, r.state) for r in policy.partition(known, old).collect()}
     assert got == {("M004", "active"), ("M007", "new"), ("V001", "stale")}
     assert [r.rule_id for r in policy.unknown(known, old).collect()] == ["M007"]
+
+
+@pytest.mark.parametrize("rules, piece", [({"T016", "G022", "V016"}, "take the former and/or it never fails (a b c d) or\n"), ({"T015"}, "it (is (very) nested) here and\n")])
+def test_one_long_sentence_costs_in_proportion(spark, rules, piece):
+    """A text without full stops is one sentence; its places are counted on from match to match."""
+    import time
+
+    policy, took = Policy(select=rules, minimum_severity="info"), {}
+    for n in (1_000, 10_000, 20_000):
+        df = spark.createDataFrame([("a.txt", piece * n)], "path string, content string")
+        began = time.time()
+        got = engine.findings(df, policy, python=False, suppress=False).groupBy("rule_id").agg(F.count("*").alias("n"), F.max("line").alias("line"), F.min("column").alias("low"), F.max("column").alias("high")).collect()
+        took[n] = time.time() - began
+        assert {r.rule_id: (r.n, r.line, r.high) for r in got} == {rule: (n, n, {r.rule_id: r.low for r in got}[rule]) for rule in rules}
+    assert took[20_000] < 2.5 * took[10_000] + 1
+
+
+def test_places_of_wrapped_matches(spark):
+    text = "One line that goes\non and a large\nnumber of cases came\nto us, or the\nlatter and/or https://a.b/and/or/c (one two three\nfour) (five six seven) (eight nine ten)."
+    df = spark.createDataFrame([("a.md", text)], "path string, content string")
+    found = engine.findings(df, Policy(select={"V014", "G022", "T016", "T014", "M009"}, minimum_severity="info"), python=False)
+    got = {(r.rule_id, r.line, r.column, r.end_line, r.end_column) for r in found.collect()}
+    assert got == {("V014", 2, 8, 3, 10), ("G022", 4, 11, 5, 7), ("T016", 5, 8, 5, 14), ("M009", 5, 15, 5, 35), ("T014", 5, 36, 6, 40)}
+
+
+def test_demanded_literals_are_demanded():
+    """Whatever a pattern matches holds one of its anchors: tried on strings made from the patterns themselves, in any case."""
+    import random
+    import re
+
+    from inkgauge.functions import anchors
+    from inkgauge.plans import lexicon as L
+
+    patterns = [p for table in (L.FIRSTS, L.ALLS, L.MARKDOWN_ALLS, L.COUNTED, L.EVIDENCED) for row in table for p in row[2]] + list(L.INFLECTIONS.values()) + [r"(?:ab|cd)?efg", r"x{2,}yz+abc", r"[^a]bcd|bcde", r"(?i)Ab\\.c(?=d)", r"(?:a|b)(?:c|d)e*"]
+    rng, tried = random.Random(3), 0
+    for p in patterns:
+        known = anchors.anchors(p)
+        if known is None or "\\x{" in p:
+            continue
+        compiled = re.compile(p, re.I)
+        for _ in range(60):
+            text = drawn(p, rng)
+            text = "".join(rng.choice((c.upper(), c.lower())) for c in text)
+            for m in compiled.finditer(text):
+                tried += 1
+                assert any(a in m[0].lower() for a in known), (p, m[0], known)
+    assert tried > 4_000 and anchors.anchors(r"(?:a|b)(?:c|d)e*") is None and anchors.anchors(r"a|bcd") is None
+
+
+def drawn(pattern, rng):
+    """A string that the pattern probably matches, by walking its parse as Python's own parser gives it."""
+    import re
+    from re import _parser
+
+    def walk(items):
+        out = ""
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "NOT_LITERAL":
+                out += "z"
+            elif name == "ANY":
+                out += rng.choice("qz ")
+            elif name == "IN":
+                first = arg[0] if str(arg[0][0]) != "NEGATE" else None
+                out += "z" if first is None else chr(rng.choice([x[1] for x in arg if str(x[0]) == "LITERAL"] or [ord({"CATEGORY_SPACE": " ", "CATEGORY_WORD": "w", "CATEGORY_DIGIT": "7"}.get(str(first[1]), "k"))]))
+            elif name == "BRANCH":
+                out += walk(rng.choice(arg[1]))
+            elif name == "SUBPATTERN":
+                out += walk(arg[-1])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                low, high, inner = arg
+                out += "".join(walk(inner) for _ in range(rng.randint(low, min(int(high), low + 3))))
+        return out
+
+    return walk(_parser.parse(pattern, re.I))
+
+
+def test_parameters_of_default_lambdas_are_none_of_the_function(spark):
+    text = 'def load_file(path, key=lambda x: x, *rest_args, **more):\n    """Load the file path key, rest args and more."""\n'
+    found = engine.check(spark.createDataFrame([("a.py", text)], "path string, content string"), Policy(select={"C007"}, minimum_severity="info"))
+    assert [(r.rule_id, r.line) for r in found.collect()] == [("C007", 2)]
+
+
+def test_per_file_ignores_name_no_null_path(spark):
+    df = spark.createDataFrame([(None, "Feel free to go."), ("zzz.md", "Feel free to go."), ("d/zzz.txt", "Feel free to go.")], "path string, content string")
+    found = engine.check(df, Policy(select={"V002"}, per_file_ignores={"zzz*": {"V"}}))
+    assert [r.path for r in found.collect()] == [None]
+
+
+def test_deep_links_are_masked_in_proportion(spark):
+    link = "see [a b](u(v(w(x)))) now. "
+    for n in (3, 3_000):
+        df = spark.createDataFrame([("a.md", link * n)], "path string, content string")
+        line = engine.parsed(df, python=False, sentences=False).select(F.inline("prose")).first()
+        assert line.text == link.replace("(u(v(w(x))))", " " * 12) * n or len(line.text) == len(line.raw) and "u(v" not in line.text
+
+
+def shouting(threshold):
+    from inkgauge.functions.text import matches
+    from inkgauge.operators.findings import issue, of_each
+
+    spans = lambda r: matches(r["text"], "(?U)WOW")
+    every = of_each(F.col("prose"), lambda r: F.transform(spans(r), lambda x: issue("T901", "Shouting", r["n"], x["a"] + 1, x["b"] + 1)))
+    return F.filter(every, lambda x: F.size(every) >= threshold)
+
+
+def test_rules_of_ones_own_obey_the_policy(spark):
+    own = catalog.user_rule("T901", "Shouting", shouting, severity="info", confidence="low", applies_to=("markdown",), profiles=("general",), threshold=1)
+    text = "WOW it is.\n\nA WOW and WOW.\n\n<!-- inkgauge-ignore-next-line T901 -->\nWOW again."
+    df = spark.createDataFrame([("a.md", text), ("b.py", "# WOW\n"), ("c.txt", "WOW")], "path string, content string")
+    told = lambda **p: [(r.path, r.line, r.column, r.severity, r.confidence) for r in engine.findings(df, Policy(own=(own,), **p)).where("rule_id = 'T901'").orderBy("line", "column").collect()]
+    want = [("a.md", 1, 1), ("a.md", 3, 3), ("a.md", 3, 11)]
+    only = {"T901", "V002"}
+    assert told(minimum_severity="info", select=only) == [(*w, "info", "medium") for w in want]
+    assert told(select=only) == [] and told(minimum_severity="info", select=only, ignore={"T"}) == [] and told(minimum_severity="info", select={"V002"}) == []
+    assert told(severity={"T901": "error"}, select=only) == [(*w, "error", "medium") for w in want]
+    assert told(minimum_severity="info", select=only, thresholds={"T901": 5}) == []
+    assert told(minimum_severity="info", select=only, per_file_ignores={"*.md": {"T901"}}) == []
+    assert Policy(own=(own,), minimum_severity="info").rules() - Policy(minimum_severity="info").rules() == {"T901"} and "T901" not in Policy(own=(own,)).rules()
+    assert "T901" in Policy.of_profile("general", (own,)).rules() and "T901" not in Policy.of_profile("business", (own,)).rules()
+    assert catalog.table(spark, (own,)).where("id = 'T901'").first().config_key == "thresholds.T901"
+    for bad in (("T001", "info"), ("X901", "info"), ("T902", "loud")):
+        with pytest.raises(ValueError):
+            catalog.user_rule(bad[0], "n", shouting, severity=bad[1])
+    with pytest.raises(ValueError):
+        Policy(select={"T901"})

@@ -4,10 +4,12 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
-from inkgauge.plans import policy
+from inkgauge.plans import engine, policy
+from inkgauge.plans.policy import Policy
 from inkgauge.sources import config, files, reports
-from inkgauge.streaming.watch import _Reader
+from inkgauge.streaming import watch
 
 FOUND = "path string, seq long, rule_id string, message string, line int, column int, end_line int, end_column int, severity string, confidence string, suggestion string"
 
@@ -49,26 +51,122 @@ def test_baseline_file(spark, tmp_path):
     assert reports.load_baseline(spark, path).count() == 2
 
 
+def test_one_bad_file_harms_no_other(spark, tmp_path):
+    (tmp_path / "good.md").write_text("Feel free to go.")
+    (tmp_path / "bad.md").write_bytes(b"caf\xe9 \xff")
+    (tmp_path / "empty.md").write_text("")
+    paths = [str(tmp_path / n) for n in ("good.md", "bad.md", "empty.md", "gone.md")] + [str(tmp_path)]
+    docs = files.read(spark, paths)
+    assert {os.path.basename(r.path) for r in files.readable(docs).collect()} == {"good.md", "empty.md"}
+    told = {os.path.basename(r.path): r.read_error.split(":")[0] for r in files.unreadable(docs).collect()}
+    assert told == {"bad.md": "UnicodeDecodeError", "gone.md": "FileNotFoundError", tmp_path.name: "IsADirectoryError"}
+    found = engine.check(files.readable(docs))
+    assert [r.rule_id for r in found.collect()] == ["V002"]
+    assert reports.exit_code(found, files.unreadable(docs)) == 3 and reports.exit_code(found, files.unreadable(files.read(spark, paths[:1]))) == 1
+
+
+def test_explicit_files_can_be_excluded(tmp_path):
+    (tmp_path / "a.md").write_text("x")
+    (tmp_path / "b.txt").write_text("x")
+    given = [str(tmp_path / "a.md"), str(tmp_path / "b.txt")]
+    assert files.discover(given, exclude=("a.md",)) == given[1:]
+
+
+def many_findings(spark, n):
+    """Findings of which a third are of one path, with text that JSON must escape."""
+    k = F.col("id")
+    return spark.range(n).select(
+        F.when(k % 3 == 0, "hot/one.md").when(k % 7 == 0, "a/x.md").otherwise(F.concat(F.lit("a-"), (k % 40).cast("string"), F.lit("/é b.md"))).alias("path"), k.alias("seq"), F.lit("V002").alias("rule_id"), F.concat(F.lit('say "x"\\\n— '), k).alias("message"),
+        (k % 90 + 1).cast("int").alias("line"), F.lit(3).alias("column"), F.lit(None).cast("int").alias("end_line"), F.when(k % 4 > 0, 9).alias("end_column"), F.when(k % 5 == 0, "error").when(k % 2 == 0, "info").otherwise("warning").alias("severity"),
+        F.when(k % 11 == 0, "low").otherwise("medium").alias("confidence"), F.lit(None).cast("string").alias("suggestion"),
+    )
+
+
+@pytest.mark.parametrize("form", ["text", "json", "jsonl", "sarif"])
+def test_written_reports_equal_the_small_form(spark, tmp_path, form):
+    small = {"text": lambda f: "\n".join(reports.as_text(f)) + "\n", "json": reports.as_json, "sarif": reports.as_sarif, "jsonl": lambda f: "".join(json.dumps(json.loads(r.value)) + "\n" for r in reports.jsonl(f).collect())}[form]
+    for n in (0, 1, 3_000):
+        found, path = many_findings(spark, n), tmp_path / f"{n}.{form}"
+        path.write_text("what was there before")
+        reports.write(found, str(path), form)
+        got = path.read_bytes().decode()
+        assert got == small(found) and not [x for x in os.listdir(tmp_path) if x.count(".") > 1]
+        if form in ("json", "sarif"):
+            assert json.dumps(json.loads(got), indent=2) == got
+    if form == "json":
+        whole = json.loads(got)
+        paths = [f["path"] for f in whole["files"]]
+        assert paths == sorted(set(paths), key=lambda p: p.split("/")) and whole["summary"]["total_issues"] == 3_000 == sum(len(f["issues"]) for f in whole["files"])
+
+
+def test_a_failed_report_leaves_what_was_there(spark, tmp_path):
+    path = tmp_path / "r.json"
+    path.write_text("old")
+    broken = many_findings(spark, 500).withColumn("message", F.when(F.col("seq") == 499, F.raise_error(F.lit("no"))).otherwise(F.col("message")))
+    with pytest.raises(Exception, match="no"):
+        reports.write(broken, str(path), "json")
+    assert path.read_text() == "old" and os.listdir(tmp_path) == ["r.json"]
+
+
+def changes_of(reader, start):
+    end = reader.latestOffset()
+    rows = [r for p in reader.partitions(start, end) for r in reader.read(p)]
+    return rows, end
+
+
 def test_watch_gives_modified_files_again(tmp_path):
-    f, g = tmp_path / "f.md", tmp_path / "g.md"
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    f, g = seen / "f.md", seen / "g.md"
     f.write_text("one")
     g.write_text("two")
     os.utime(f, (100, 100))
     os.utime(g, (100, 100))
-    reader = _Reader([str(tmp_path)])
-    rows, at = reader.read(reader.initialOffset())
-    assert sorted(r[2] for r in rows) == ["one", "two"]
-    assert list(reader.read(at)[0]) == []
+    made = lambda: watch.Changes({"paths": json.dumps([str(seen)]), "state": str(tmp_path / "state")})
+    reader = made()
+    rows, at = changes_of(reader, reader.initialOffset())
+    assert sorted(r[2] for r in rows) == ["one", "two"] and changes_of(reader, at) == ([], at)
     f.write_text("three")
     os.utime(f, (200, 200))
     g.unlink()
-    rows, at = reader.read(at)
-    assert [r[2] for r in rows] == ["three"] and at == {str(f): 200.0}
-    old = tmp_path / "old.md"
+    reader = made()  # a restart knows what was seen
+    before = at
+    rows, at = changes_of(reader, at)
+    assert [r[2] for r in rows] == ["three"] and reader.versions.state() == {str(f): 200.0}
+    assert [r[0] for p in made().partitions(before, at) for r in reader.read(p)] == [str(f)]  # the same batch once more
+    old = seen / "old.md"
     old.write_text("older than all")
     os.utime(old, (50, 50))
-    rows, at = reader.read(at)
-    assert [r[2] for r in rows] == ["older than all"] and list(reader.read(at)[0]) == []
+    bad = seen / "bad.md"
+    bad.write_bytes(b"\xff")
+    rows, at = changes_of(reader, at)
+    assert {os.path.basename(r[0]): r[2] for r in rows} == {"old.md": "older than all", "bad.md": None} and any(r[3] for r in rows)
+    for k in range(3 * watch.APART):
+        os.utime(f, (300 + k, 300 + k))
+        rows, after = changes_of(reader, at)
+        assert [r[1] for r in rows] == [300.0 + k]
+        at = after
+        reader.commit(at)
+    assert len(os.listdir(tmp_path / "state")) <= watch.APART + 2
+    assert made().versions.state() == {str(f): 299.0 + 3 * watch.APART, str(old): 50.0, str(bad): os.stat(bad).st_mtime}
+
+
+def test_watch_checks_batches_against_a_baseline(spark, tmp_path):
+    docs = tmp_path / "docs"
+    (docs / "in").mkdir(parents=True)
+    (docs / "a.md").write_text("Feel free to go. It is world-class.")
+    (docs / "in" / "b.md").write_bytes(b"\xff")
+    known = spark.createDataFrame([("a.md", "V002", "feel free to", "?")], "path string, rule_id string, match string, context_hash string")
+    found = engine.check(files.readable(files.read(spark, [str(docs / "a.md")])))
+    known = policy.relative(policy.identities(found, files.read(spark, [str(docs / "a.md")])), str(docs)).where("rule_id = 'V002'").select(*policy.KEY)
+    seen, unread = [], []
+    query = watch.watch(spark, [str(docs)], lambda f, n: seen.append([(r.path, r.rule_id) for r in f.collect()]), str(tmp_path / "state"), Policy(select={"V002", "V004"}), once=True, baseline=known, workspace=str(docs), on_unreadable=lambda u, n: unread.extend(os.path.basename(r.path) for r in u.collect()))
+    query.awaitTermination(120)
+    assert query.exception() is None and seen == [[(str(docs / "a.md"), "V004")]] and unread == ["b.md"]
+    (docs / "c.md").write_text("Certainly! It is so.")
+    query = watch.watch(spark, [str(docs)], lambda f, n: seen.append([(r.path, r.rule_id) for r in f.collect()]), str(tmp_path / "state"), Policy(select={"V002", "V004"}), once=True, baseline=known, workspace=str(docs))
+    query.awaitTermination(120)
+    assert query.exception() is None and seen[1:] == [[(str(docs / "c.md"), "V002")]]
 
 
 def test_configuration(tmp_path):
