@@ -19,6 +19,7 @@ kept; an empty table gives no rows; columns other than doc_id and text are ignor
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter, defaultdict
@@ -118,8 +119,12 @@ class Index:
                 best = max(best, min(covered, 1.0) / 2)
         # wordings of one notice that begin together: the one that fits best, then the longest
         kept: list[tuple[str, int, int, float, int]] = []
+        ranges: dict[str, list[tuple[int, int]]] = defaultdict(list)  # of the kept, which are apart, so only neighbours can overlap
         for match in sorted(placed, key=lambda m: (-round(m[3], 2), -m[4], m[1])):
-            if not any(match[0].split("-")[0] == k[0].split("-")[0] and match[1] < k[2] and k[1] < match[2] for k in kept):
+            own = ranges[match[0].split("-")[0]]
+            at = bisect.bisect_left(own, (match[1], match[2]))
+            if (at == 0 or own[at - 1][1] <= match[1]) and (at == len(own) or match[2] <= own[at][0]):
+                own.insert(at, (match[1], match[2]))
                 kept.append(match)
         found += [(label, a, b, min(1.0, covered), False) for label, a, b, covered, _ in sorted(kept, key=lambda m: (m[1], m[0]))]
         return found, min(1.0, max([best, *(m[3] for m in kept)]))

@@ -41,7 +41,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.digest(decontamination.hits(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
+    return decontamination.digest(decontamination.hits(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), slack=None))
+
+
+def decontamination_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator's proximity matches: per document the items that stand near, and the words between the first and the last rare term of each."""
+    found = decontamination.hits(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    n_near = F.aggregate("near_spans", F.lit(0).cast("long"), lambda a, x: a + x["b"] - x["a"])
+    return found.select("doc_id", F.size("near_items").cast("long").alias("n_near_items"), n_near.alias("n_near"), F.array_join("near_items", ",").alias("near_items"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +89,7 @@ def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_token_counts, op4_quality, op5_decontamination, op6_quality_rules, op7_packing, op8_secret_scan, op9_toxicity, op10_near_dedup, op11_language_id, op12_vector_codes, op13_centroid_clusters)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_token_counts, op4_quality, op5_decontamination, op6_quality_rules, op7_packing, op8_secret_scan, op9_toxicity, op10_near_dedup, op11_language_id, op12_vector_codes, op13_centroid_clusters, decontamination_near)}
 
 
 def oracle_sql() -> dict[str, str]:
