@@ -10,7 +10,8 @@
    voter and pair of voters. Unlabelled rows weigh together as much as the labelled ones at most.
 3. A linear (logistic) classifier on the voters' counts and densities, trained on the model's posterior labels. It alone scores.
 
-Words and the classifier are learnt from at most MAX_LABELLED labelled rows, chosen by their ids' hashes. A learnt voter must bear
+Words are learnt from at most MAX_LABELLED labelled rows, the classifier from these and about MAX_UNLABELLED others, chosen by their ids'
+hashes. A learnt voter must bear
 VOTER_SHARE of all evidence (its count times its lift, over the words of toxic rows), so there are at most some hundreds.
 
 Defined cases: a null or empty text gets the score of a text without any vote; labels other than 0 and 1, held-out rows and null
@@ -33,10 +34,14 @@ from pyspark.sql import functions as F
 
 from inkgauge.llm import common
 
-MAX_LABELLED, VOTER_SHARE = 20_000, 0.001
+MAX_LABELLED, MAX_UNLABELLED, VOTER_SHARE = 20_000, 10_000, 0.001
+#: What an unlabelled row counts in training the classifier, beside a labelled one.
+UNLABELLED = 0.02
+#: Words that a worker remembers, and characters of one at most.
+HELD_WORDS, HELD_LENGTH = 200_000, 40
 SHORTEST, LONGEST = 4, 8  # of word beginnings
-#: The labels' accuracy: at first, at least and at most.
-ACCURACY = (0.9995, 0.9, 0.9998)
+#: The labels' accuracy at first; it is then estimated, and only kept apart from a coin's toss and from certainty.
+ACCURACY = (0.9995, 0.5, 0.9998)
 ROUNDS, CORRELATED_AT = 12, (3, 7)
 CORRELATED = 0.4  # least residual correlation of voters that share a vote
 #: Inputs of the classifier besides the voters; words of a text that one vote needs.
@@ -92,11 +97,14 @@ class Voters:
         words = _WORD.findall(lower)
         votes = list(map(self.seen.get, words))
         if None in votes:
-            if len(self.seen) > 400_000:
+            common.only_cache("toxicity", self.seen.clear)
+            if len(self.seen) > HELD_WORDS:
                 self.seen.clear()
             for i, v in enumerate(votes):
                 if v is None:
-                    votes[i] = self.seen[words[i]] = self._of(words[i])
+                    votes[i] = self._of(words[i])
+                    if len(words[i]) <= HELD_LENGTH:
+                        self.seen[words[i]] = votes[i]
         voting, lift = 0, 0.0
         for v in filter(None, votes):
             found.update(v[0])
@@ -311,16 +319,20 @@ def fit_votes(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _vectors(batch, voters).astype(np.float32)
-            q = believed.posterior([np.array(v, np.int64) for v in batch.column("votes").to_pylist()], batch.column("y").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), pa.array(q)], names=["x", "q"])
-
-    own = votes_of(sample, voters).join(taught, "doc_id")
-    got = own.mapInArrow(inputs, "x binary, q double").toArrow()  # MAX_LABELLED rows at most
+            y = batch.column("y").to_numpy()
+            q = believed.posterior([np.array(v, np.int64) for v in batch.column("votes").to_pylist()], y)
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), pa.array(q), pa.array(y >= 0)], names=["x", "q", "known"])
+
+    # labelled rows, and unlabelled ones chosen by hash: the classifier learns from what the label model believes of both
+    chance = F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1_000_000))
+    open_ = votes.where(F.col("doc_id").isNotNull() & ~common.held_out(F.col("doc_id")) & (chance < 1_000_000 * MAX_UNLABELLED / max(1, sizes.get(False, 0)))).join(taught, "doc_id", "left_anti")
+    own = votes_of(sample, voters).join(taught, "doc_id").unionByName(open_.withColumn("y", F.lit(-1)))
+    got = own.mapInArrow(inputs, "x binary, q double, known boolean").toArrow()  # about MAX_LABELLED and MAX_UNLABELLED rows at most
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, width).astype(float)
-    q = got.column("q").to_numpy()
+    q, weight = got.column("q").to_numpy(), np.where(got.column("known").to_numpy(zero_copy_only=False), 1.0, UNLABELLED)
     common.drop(sample)
     common.drop(counted)
-    return Model(voters, logistic(x, q, np.ones(len(q)))), votes
+    return Model(voters, logistic(x, q, weight)), votes
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
