@@ -41,7 +41,7 @@ UNLABELLED = 0.02
 HELD_WORDS, HELD_LENGTH = 200_000, 40
 SHORTEST, LONGEST = 4, 8  # of word beginnings
 #: The labels' accuracy at first; it is then estimated, and only kept apart from a coin's toss and from certainty.
-ACCURACY = (0.9995, 0.5, 0.9998)
+ACCURACY = (0.8, 0.5, 0.9998)
 ROUNDS, CORRELATED_AT = 12, (3, 7)
 CORRELATED = 0.4  # least residual correlation of voters that share a vote
 #: Inputs of the classifier besides the voters; words of a text that one vote needs.

@@ -233,7 +233,7 @@ def test_noisy_labels_are_found_out(spark):
     model = toxicity.label_model(spark.createDataFrame(rows, "votes array<int>, y int, weight double"), 4)
     gold = np.array([y for _, y, _ in rows])
     q = model.posterior([np.array(v) for v, _, _ in rows], gold)
-    assert 0.65 < model.accuracy < 0.75 and np.mean((q > 0.5) == np.array(truth)) > 0.97
+    assert 0.65 < model.accuracy < 0.75 and np.mean((q > 0.5) == np.array(truth)) > 0.95
     v = np.zeros((len(rows), 5))
     for i, (votes, _, _) in enumerate(rows):
         v[i, votes] = 1
