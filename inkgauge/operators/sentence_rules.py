@@ -58,7 +58,7 @@ def _evidenced(rule: str, label: str, patterns: tuple[str, ...]) -> Column:
 
 
 def _imprecise_quantity() -> Column:
-    regex = CASELESS + r"\b(?:a\s+(?:considerable|large|small)\s+number\s+of|a\s+handful\s+of)\b"
+    regex = CASELESS + L.IMPRECISE_QUANTITY
     sure = F.when(quantity_evidence(), "low").otherwise("medium")
     made = F.transform(spans(regex), lambda x, i: span_issue("V014", quoted("Imprecise quantity", squeeze(x["t"])), x, i, sure, "Use a measured quantity or cite the source"))
     return only_if((F.col("context") != "heading") & shown() & has(F.col("text"), regex), made)
@@ -81,17 +81,15 @@ def _claims(regex: str, s: Field = F.col) -> Column:
 
 
 def _superlative() -> Column:
-    regex = CASELESS + r"\b(?:is|are|was|were|remains?)\s+((?:the\s+)?(?:best(?![- ]in[- ]class\b)|worst|fastest|slowest|largest|smallest|highest|lowest|(?:most|least)\s+(?:accurate|efficient|reliable|scalable|secure)))\b"
-    compared = (
-        r"(?iU)\b(?:among|between|compared\s+(?:to|with)|out\s+of|within)\b|\bof\s+(?:all|our|the|these|those|\d+|one|two|three|four|five|six|seven|eight|nine|ten)\b|\bin\s+(?:our|the|this)\s+(?:benchmark|comparison|evaluation|test)s?\b"
-    )
+    regex = CASELESS + L.SUPERLATIVE
+    compared = "(?iU)" + L.COMPARISON_SET
     open_ = (F.col("context") != "heading") & shown() & has(F.col("text"), regex) & ~has(F.col("text"), r"(?U)\?\s*\z") & ~has(F.col("text"), f"(?iU){L.LITERAL_CLAIM}|\\bthe (?:label|phrase|wording)\\b") & ~has(F.col("window"), compared) & ~quantity_evidence()
     made = F.transform(_claims(regex), lambda x, i: span_issue("V015", quoted("Unbounded superlative", squeeze(x["t"])), x, i, "low", "Name the comparison set and supporting evidence"))
     return only_if(open_, made)
 
 
 def _absolute() -> Column:
-    regex = CASELESS + r"\b(?:never\s+fails|always\s+succeeds|eliminates\s+all\s+errors)\b|(?<!\w)100%\s+secure\b"
+    regex = CASELESS + L.ABSOLUTE
     open_ = shown() & has(F.col("text"), regex) & ~has(F.col("text"), f"(?iU){L.LITERAL_CLAIM}|\\bthe (?:phrase|wording)\\b") & ~has(F.col("window"), "(?iU)" + L.TESTED_BOUND)
     made = F.transform(spans(regex), lambda x, i: span_issue("V016", quoted("Absolute reliability claim", squeeze(x["t"])), x, i, suggestion="State the tested scope and observed result"))
     return only_if(open_, made)
@@ -120,14 +118,14 @@ def _all_spans(rule: str, label: str, regex: str, suggestion: str, confidence: s
 
 
 def _ellipsis() -> Column:
-    regex = r"(?<![0-9.])\.{3}(?![0-9.!?])"
+    regex = L.ELLIPSIS
     bare = F.regexp_replace(strip(F.col("text")), r"^['\"“”‘’`()\[\]{}]+|['\"“”‘’`()\[\]{}]+$", "")
-    open_ = shown() & has(F.col("text"), regex) & ~has(F.col("text"), r"(?iU)\b(?:ellipsis|omission|omit(?:ted|s|ting)?|truncat(?:e|ed|es|ion))\b") & ~has(F.col("text"), r"(?iU)^\s*(?:console|log|message|output)\s*:") & (bare != "...")
+    open_ = shown() & has(F.col("text"), regex) & ~has(F.col("text"), "(?iU)" + L.ELLIPSIS_TALK) & ~has(F.col("text"), "(?iU)" + L.LOG_LINE) & (bare != "...")
     return only_if(open_, F.transform(spans(regex), lambda x, i: span_issue("T012", "Rhetorical ellipsis: '...'", x, i, suggestion="Use direct punctuation or complete the thought")))
 
 
 def _capitals() -> Column:
-    regex = r"(?U)(?<![\w'-])[A-Z]+(?:'[A-Z]+)?(?:[ \t]+[A-Z]+(?:'[A-Z]+)?){2,}(?![\w'-])"
+    regex = "(?U)" + L.CAPITALS
     cues = F.array(*map(F.lit, L.CAPS_CUES))
     keep = lambda x: F.arrays_overlap(F.regexp_extract_all(x["t"], F.lit("[A-Z]+(?:'[A-Z]+)?"), F.lit(0)), cues)
     return _all_spans("T013", "ALL-CAPS emphasis", regex, "Use normal sentence casing unless uppercase is required", "low", True, keep, F.col("context").isin("body", "list_item") & shown())
@@ -183,7 +181,7 @@ def nested_parentheses() -> Column:
 
 
 def _overloaded() -> Column:
-    regex = r"(?iU);(?!\s*(?:and|but|nor|or|so|yet)\b)|\b(?:and|but|nor|or|so|yet)\b|\b(?:although|because(?!\s+of\b)|even\s+(?:if|though)|if|unless|whereas|while)\b"
+    regex = "(?iU)" + L.CLAUSE_BOUNDARY
     n = count(F.col("text"), regex)
     message = F.concat(F.lit("Clause/coordination overload: "), n.cast("string"), F.lit(" boundaries in one sentence"))
     one = issue("G031", message, F.col("start_line"), F.col("start_col"), F.col("end_col"), F.col("end_line"), suggestion="Split the sentence or simplify its clause structure", place=(F.col("sent"),))
@@ -391,15 +389,7 @@ def hedging() -> Column:
 
 def comparatives() -> Column:
     """G038: predicate comparatives without a target, measure or table in the sentence's lines and the four before."""
-    regex = (
-        CASELESS + r"\b(?:is|are|was|were|remain(?:s|ed)?)\s+((?:(?:much|far|significantly|considerably|noticeably|substantially)\s+)?(?:better|worse|faster|slower|easier|harder|cheaper|safer|simpler|clearer|stronger|weaker|higher|lower|"
-        r"larger|smaller|(?:more|less)\s+(?:accurate|complex|efficient|expensive|maintainable|readable|reliable|scalable|secure|stable|verbose)))\b"
-    )
-    target = (
-        r"(?iU)\b(?:against|among|benchmark(?:ed|ing|s)?|between|compared\s+(?:to|with)|compar(?:e[ds]?|ing|ison)s?|differ(?:ed|ence|ences|ent|s)?|evaluat(?:e[ds]?|ing|ion)s?|instead\s+of|relative\s+to|than|versus|vs\.?)\b"
-        r"|\bof\s+(?:both|our|the\s+two|these|those)\b|\b(?:benchmark(?:ed|ing|s)?|chart|figure|table)\s+(?:\d+|[A-Z])\b|\b(?:both|first|former|latter|other|second|third)\b"
-    )
-    measure = r"(?iU)\b\d+(?:,\d{3})*(?:\.\d+)?\s*(?:%|bytes?|gib|gigabytes?|hours?|kb|kib|mb|mib|milliseconds?|ms|operations?|points?|requests?|runs?|seconds?|times?|x)\b"
+    regex, target, measure = CASELESS + L.COMPARATIVE, "(?iU)" + L.COMPARISON_TARGET, "(?iU)" + L.MEASUREMENT
     wanted = lambda s: s["context"].isin("body", "list_item") & ~s["example"] & has(s["text"], regex) & ~has(s["text"], r"(?U)\?\s*\z") & ~has(s["text"], f"(?iU){L.LITERAL_CLAIM}|\\bthe (?:label|phrase|wording)\\b")
     table = r"(?mUd)^\s*\|?.+\|.+\|?\s*$"
 

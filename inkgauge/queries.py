@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from inkgauge import examples
 from inkgauge.operators import markdown
-from inkgauge.plans import catalog, engine, lexicon
+from inkgauge.plans import baseline, catalog, engine, lexicon
 from inkgauge.plans import policy as policies
 from inkgauge.plans.policy import Policy
 from inkgauge.sources import tables
@@ -33,7 +33,7 @@ SNIPPETS = (
 def corpus(spark: SparkSession, sf_dir: str, augmented: bool = True) -> DataFrame:
     docs = tables.read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     extra = F.get(F.array(*map(F.lit, SNIPPETS)), F.pmod("doc_id", F.lit(len(SNIPPETS))).cast("int"))
-    content = F.concat("text", F.lit("\n\n"), extra) if augmented else F.col("text")
+    content = F.concat("text", F.lit("\n\n"), F.coalesce(extra, F.lit(""))) if augmented else F.col("text")  # a null id has no snippet
     return docs.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), content.alias("content"))
 
 
@@ -110,7 +110,9 @@ def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.table(spark).groupBy("category", "severity").agg(F.count("*").alias("n"))
+    """The whole catalog with the findings of phrase and heading rules in the corpus: how many each rule has."""
+    counted = found(spark, sf_dir, {x[0] for x in lexicon.LITERALS} | {"M008", "S028", "T001"}).groupBy(F.col("rule_id").alias("id")).agg(F.count("*").alias("n"))
+    return catalog.table(spark).join(counted, "id", "left").select("id", "name", "category", "severity", "confidence", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,35 +134,56 @@ def baseline_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policies.partition(now, known).groupBy("rule_id", "state").agg(F.count("*").alias("n"))
 
 
+def baseline_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each action makes of a baseline of one rule set, against the findings of another: its counts."""
+    docs = corpus(spark, sf_dir)
+    known = policies.identities(found(spark, sf_dir, {"V002", "G004"}), docs).select(*policies.KEY)
+    state = baseline.compare(found(spark, sf_dir, {"V002", "S014"}), docs, known)
+    return baseline.summaries(state)
+
+
 def _example(table: tuple, k: int) -> Column:
     return F.get(F.array(*(F.lit(x[k]) for x in table)), F.pmod("doc_id", F.lit(len(table))).cast("int"))
 
 
-def _examples(spark: SparkSession, sf_dir: str, table: tuple, suffix: str) -> DataFrame:
-    """The findings of the example that each document holds, of its own rule, at the example's lines."""
-    docs = tables.read(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    whole = F.concat("text", F.lit("\n\n"), _example(table, 1)) if suffix == ".md" else _example(table, 1)
-    before = F.size(F.split("text", "\n", -1)) + 1 if suffix == ".md" else F.lit(0)
-    own = docs.select(F.concat_ws("/", F.lit("d"), F.col("doc_id").cast("string"), before.cast("string"), F.concat(_example(table, 0), F.lit(suffix))).alias("path"), whole.alias("content"))
-    d = engine.findings(own, Policy(select={x[0] for x in table}, minimum_severity="info"), python=suffix == ".py")
-    part = F.split("path", "/")
-    d = d.select(F.get(part, F.lit(1)).cast("long").alias("doc_id"), F.get(part, F.lit(2)).cast("long").alias("before"), F.get(part, F.lit(3)).alias("own"), "rule_id", F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("col"))
-    return d.where((F.col("own") == F.concat("rule_id", F.lit(suffix))) & (F.col("line") > F.col("before"))).select("doc_id", "rule_id", (F.col("line") - F.col("before")).alias("line"), "col")
+_FOUND = "rule_id", "line", "col", "end_line", "end_col", "severity", "confidence", "message", "suggestion"
+
+
+def _examples(spark: SparkSession, sf_dir: str, table: tuple, form: str) -> DataFrame:
+    """The findings, whole, of the example that each document holds (form: behind or before its text, or before its text as Python comments), of the example's rule and at its lines."""
+    docs = tables.read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(_example(table, 0), F.lit(table[0][0])).alias("own"), F.coalesce(_example(table, 1), F.lit(table[0][1])).alias("body"))
+    lines = lambda c: F.size(F.split(c, "\n", -1))
+    whole = {"behind": F.concat("text", F.lit("\n\n"), "body"), "before": F.concat("body", F.lit("\n\n"), "text"), "python": F.concat("body", F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n# ")))}[form]
+    before = lines(F.col("text")) + 1 if form == "behind" else F.lit(0)
+    name = F.concat("own", F.lit(".py" if form == "python" else ".md"))
+    docs = docs.select(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), before.cast("string"), (before + lines(F.col("body")) - int(form == "python")).cast("string"), name).alias("path"), whole.alias("content"))
+    d = engine.findings(docs, Policy(select={x[0] for x in table}, minimum_severity="info"), python=form == "python")
+    part = lambda k: F.get(F.split("path", "/"), F.lit(k))
+    here = (F.substring_index(part(3), ".", 1) == F.col("rule_id")) & (F.col("line") > part(1).cast("int")) & (F.col("line") <= part(2).cast("int"))
+    moved = lambda c: (F.col(c) - part(1).cast("int")).cast("long")
+    return d.where(here).select(
+        F.nullif(part(0), F.lit("")).cast("long").alias("doc_id"), "rule_id", moved("line").alias("line"), F.col("column").cast("long").alias("col"), moved("end_line").alias("end_line"), F.col("end_column").cast("long").alias("end_col"), "severity", "confidence", "message", "suggestion"
+    )
 
 
 def rule_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every Markdown rule that no other query covers, each on documents that hold its example."""
-    return _examples(spark, sf_dir, examples.MARKDOWN, ".md")
+    """Every rule of Markdown, each on documents that hold an example or a near miss of it behind their text."""
+    return _examples(spark, sf_dir, examples.MARKDOWN + examples.MISSES, "behind")
+
+
+def leading_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _examples(spark, sf_dir, examples.LEADING, "before")
 
 
 def python_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _examples(spark, sf_dir, examples.PYTHON, ".py")
+    """Every rule of Python, over sources that hold a document's text as comments."""
+    return _examples(spark, sf_dir, examples.PYTHON, "python")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         line_table, sentence_table, t008_sentence_length, t010_punctuation, g031_clause_overload, s022_wall_of_text, s010_anaphora, t002_bold_overuse, literal_phrases, first_patterns, all_patterns, replacements,
-        heading_levels, rule_catalog, findings_summary, policy_filtered, baseline_partition, rule_examples, python_examples,
+        heading_levels, rule_catalog, findings_summary, policy_filtered, baseline_partition, baseline_summary, rule_examples, leading_examples, python_examples,
     )
     return {f.__name__: f for f in made}
 
@@ -195,7 +218,6 @@ def oracle_sql() -> dict[str, str]:
     word_count = "len(regexp_extract_all(text, '\\S+'))"
     counted = lambda what: f"WITH {_SENTENCES} SELECT doc_id, CAST(sum({what}) AS BIGINT) AS n FROM sentences GROUP BY doc_id HAVING sum({what}) > 0"
     literals = ", ".join(f"({_sql(rule)}, {_sql(f'{label}: ' + chr(39) + p + chr(39))}, {_sql(p.lower())})" for rule, label, phrases in lexicon.LITERALS for p in phrases)
-    firsts = ", ".join(f"({_sql(rule)}, {_sql(label)}, {_sql(after)}, {_sql(p)})" for rule, label, patterns, after in lexicon.FIRSTS for p in patterns)
     alls = [(rule, label, p, after, "i" if any_case else "c") for rule, label, patterns, after, any_case in lexicon.ALLS if rule != "T005" for p in patterns]
     every = " UNION ALL ".join(
         f"SELECT doc_id, {_sql(r)} AS rule_id, line, {_sql(label)} AS label, {_sql(after)} AS after, regexp_extract_all(text, {_sql(p)}, 0, '{f}') AS hits, regexp_split_to_array(text, {_sql('(?i)' + p if f == 'i' else p)}) AS gaps FROM lines WHERE regexp_matches(text, {_sql(p)}, '{f}')"
@@ -217,35 +239,57 @@ m AS (SELECT doc_id, line, level, title, 'M008' AS rule_id, 'Heading level jumps
   UNION ALL SELECT doc_id, line, level, title, 'S028', 'Excessive heading depth: level ' || level || ' heading ''' || title || '''' FROM j WHERE level >= 5
   UNION ALL SELECT doc_id, line, level, title, 'T001', 'Title case heading (consider sentence case)' FROM j WHERE len(w) >= 3 AND len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z]') AND lower(x) NOT IN ({small}))) / len(w) > 0.6)
 SELECT doc_id, rule_id, CAST(line AS BIGINT) AS line, CAST(level + 2 AS BIGINT) AS col, CAST(level + 2 + length(title) AS BIGINT) AS end_col, message FROM m"""
-    places = lambda table: ", ".join(f"({k}, '{rule}', {line}, {col})" for k, (rule, _, found) in enumerate(table) for line, col in found)
-    shown = lambda table: f"WITH e(k, rule_id, line, col) AS (VALUES {places(table)}) SELECT doc_id, rule_id, CAST(line AS BIGINT) AS line, CAST(col AS BIGINT) AS col FROM documents JOIN e ON doc_id % {len(table)} = k"
+    value = lambda v: "NULL" if v is None else _sql(v) if isinstance(v, str) else f"{v}::BIGINT"
+    places = lambda table: ", ".join(f"({k}, '{rule}', {', '.join(map(value, x))})" for k, (rule, _, found) in enumerate(table) for x in found)
+    shown = lambda table: f"WITH e(k, {', '.join(_FOUND)}) AS (VALUES {places(table)}) SELECT doc_id, {', '.join(_FOUND)} FROM documents JOIN e ON coalesce(((doc_id % {len(table)}) + {len(table)}) % {len(table)}, 0) = k"
     known = ", ".join(f"({_sql(rule)}, {_sql(p.lower())})" for rule, _, phrases in lexicon.LITERALS if rule in ("V002", "G004", "S014") for p in phrases)
     clauses = "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+'), lambda x: x IN ('and', 'but', 'nor', 'or', 'so', 'yet', 'although', 'because', 'if', 'unless', 'whereas', 'while'))"
     overload = (
         f"len({clauses}) + len(regexp_extract_all(lower(text), '\\beven\\s+though\\b')) - len(regexp_extract_all(lower(text), '\\bbecause\\s+of\\b')) + length(text) - length(replace(text, ';', '')) "
         "- len(regexp_extract_all(lower(text), ';\\s*(?:and|but|nor|or|so|yet)\\b'))"
     )
-    rules = ", ".join(f"({_sql(r.category)}, {_sql(r.severity)})" for r in catalog.RULES.values())
+    rules = ", ".join(f"({', '.join(map(_sql, (r.id, r.name, r.category, r.severity, r.confidence)))})" for r in catalog.RULES.values())
+    firsts = lambda rules: ", ".join(f"({_sql(rule)}, {_sql(label)}, {_sql(after)}, {_sql(p)})" for rule, label, patterns, after in lexicon.FIRSTS if rule in rules for p in patterns)
+    first_places = lambda rules: f"WITH {_corpus_sql()}, p(rule_id, label, after, pattern) AS (VALUES {firsts(rules)}), m AS (SELECT doc_id, rule_id, line, label, after, regexp_extract(text, pattern, 0, 'i') AS hit, length(regexp_split_to_array(text, '(?i)' || pattern)[1]) AS a FROM lines JOIN p ON regexp_matches(text, pattern, 'i')) SELECT doc_id, rule_id, CAST(line AS BIGINT) AS line, CAST(a + 1 AS BIGINT) AS col, CAST(a + 1 + length(hit) AS BIGINT) AS end_col, label || ': ''' || hit || '''' || after AS message FROM m"
+    literal_places = f"WITH {_corpus_sql()}, p(rule_id, message, phrase) AS (VALUES {literals}) SELECT doc_id, rule_id, CAST(line AS BIGINT) AS line, CAST(strpos(lower(text), phrase) AS BIGINT) AS col, CAST(strpos(lower(text), phrase) + length(phrase) AS BIGINT) AS end_col, message FROM lines JOIN p ON contains(lower(text), phrase)"
+    all_places = f"WITH {_corpus_sql()}, m AS ({every}), e AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m), f AS (SELECT doc_id, rule_id, line, label, after, hits[i] AS hit, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS a FROM e) SELECT doc_id, rule_id, CAST(line AS BIGINT) AS line, CAST(a + 1 AS BIGINT) AS col, CAST(a + 1 + length(hit) AS BIGINT) AS end_col, label || ': ''' || hit || '''' || after AS message FROM f"
+    long_sentences = counted(f"CASE WHEN {word_count} > 40 THEN 1 ELSE 0 END")
+    punctuation = counted("len(regexp_extract_all(text, '(?:\\.{3,}|…)[!?]+|[!?]{2,}'))")
+    walls = f"WITH {_SENTENCES} SELECT doc_id, 'Wall-of-text paragraph: ' || count(*) || ' sentences (threshold 6)' AS message FROM sentences GROUP BY doc_id HAVING count(*) >= 6"
+    parted = f"""WITH {_corpus_sql()}, p(rule_id, phrase) AS (VALUES {known}), m AS (SELECT doc_id, rule_id, phrase, raw, strpos(lower(text), phrase) AS a FROM lines JOIN p ON contains(lower(text), phrase)),
+i AS (SELECT DISTINCT doc_id, rule_id, phrase, lower(trim(regexp_replace(raw[greatest(a - 32, 1):least(length(raw), a - 1 + length(phrase) + 32)], '\\s+', ' ', 'g'))) AS context FROM m)
+SELECT rule_id, CASE rule_id WHEN 'V002' THEN 'active' WHEN 'G004' THEN 'stale' ELSE 'new' END AS state, CAST(count(*) AS BIGINT) AS n FROM i GROUP BY ALL"""
     return {
         "line_table": f"WITH {_corpus_sql()} SELECT doc_id, CAST(line AS BIGINT) AS line, CAST(length(raw) AS BIGINT) AS width, sha256(raw) AS sha FROM raw_lines",
         "sentence_table": f"WITH {_SENTENCES} SELECT doc_id, sent, text FROM sentences",
-        "t008_sentence_length": counted(f"CASE WHEN {word_count} > 40 THEN 1 ELSE 0 END"),
-        "t010_punctuation": counted("len(regexp_extract_all(text, '(?:\\.{3,}|…)[!?]+|[!?]{2,}'))"),
-        "s022_wall_of_text": f"WITH {_SENTENCES} SELECT doc_id, 'Wall-of-text paragraph: ' || count(*) || ' sentences (threshold 6)' AS message FROM sentences GROUP BY doc_id HAVING count(*) >= 6",
+        "t008_sentence_length": long_sentences,
+        "t010_punctuation": punctuation,
+        "s022_wall_of_text": walls,
         "s010_anaphora": anaphora,
         "t002_bold_overuse": "SELECT doc_id, 'Bold overuse: ' || len(regexp_extract_all(text, '\\*\\*[^*]+\\*\\*')) || ' bold phrases in paragraph' AS message FROM documents WHERE len(regexp_extract_all(text, '\\*\\*[^*]+\\*\\*')) > 3",
-        "literal_phrases": f"WITH {_corpus_sql()}, p(rule_id, message, phrase) AS (VALUES {literals}) SELECT doc_id, rule_id, CAST(line AS BIGINT) AS line, CAST(strpos(lower(text), phrase) AS BIGINT) AS col, CAST(strpos(lower(text), phrase) + length(phrase) AS BIGINT) AS end_col, message FROM lines JOIN p ON contains(lower(text), phrase)",
-        "first_patterns": f"WITH {_corpus_sql()}, p(rule_id, label, after, pattern) AS (VALUES {firsts}), m AS (SELECT doc_id, rule_id, line, label, after, regexp_extract(text, pattern, 0, 'i') AS hit, length(regexp_split_to_array(text, '(?i)' || pattern)[1]) AS a FROM lines JOIN p ON regexp_matches(text, pattern, 'i')) SELECT doc_id, rule_id, CAST(line AS BIGINT) AS line, CAST(a + 1 AS BIGINT) AS col, CAST(a + 1 + length(hit) AS BIGINT) AS end_col, label || ': ''' || hit || '''' || after AS message FROM m",
-        "all_patterns": f"WITH {_corpus_sql()}, m AS ({every}), e AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m), f AS (SELECT doc_id, rule_id, line, label, after, hits[i] AS hit, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS a FROM e) SELECT doc_id, rule_id, CAST(line AS BIGINT) AS line, CAST(a + 1 AS BIGINT) AS col, CAST(a + 1 + length(hit) AS BIGINT) AS end_col, label || ': ''' || hit || '''' || after AS message FROM f",
+        "literal_phrases": literal_places,
+        "first_patterns": first_places({x[0] for x in lexicon.FIRSTS}),
+        "all_patterns": all_places,
         "replacements": f"WITH {_corpus_sql()}, m AS ({fixed}) SELECT doc_id, rule_id, CAST(line AS BIGINT) AS line, CAST(col AS BIGINT) AS col, suggestion FROM m WHERE NOT (rule_id = 'V011' AND starts_with(suggestion, 'decid') AND regexp_matches(rest, '^\\s+(?:boundary|matrix|model|rule|table|tree)\\b', 'i'))",
         "heading_levels": heads,
-        "rule_examples": shown(examples.MARKDOWN),
+        "rule_examples": shown(examples.MARKDOWN + examples.MISSES),
+        "leading_examples": shown(examples.LEADING),
         "python_examples": shown(examples.PYTHON),
         "g031_clause_overload": counted(f"CASE WHEN {overload} >= 4 THEN 1 ELSE 0 END"),
         # of the four rules only a skipped level is of high confidence
         "policy_filtered": f"SELECT doc_id, rule_id, 'warning' AS severity, 'high' AS confidence, line FROM ({heads}) WHERE rule_id = 'M008'",
-        "baseline_partition": f"""WITH {_corpus_sql()}, p(rule_id, phrase) AS (VALUES {known}), m AS (SELECT doc_id, rule_id, phrase, raw, strpos(lower(text), phrase) AS a FROM lines JOIN p ON contains(lower(text), phrase)),
-i AS (SELECT DISTINCT doc_id, rule_id, phrase, lower(trim(regexp_replace(raw[greatest(a - 32, 1):least(length(raw), a - 1 + length(phrase) + 32)], '\\s+', ' ', 'g'))) AS context FROM m)
-SELECT rule_id, CASE rule_id WHEN 'V002' THEN 'active' WHEN 'G004' THEN 'stale' ELSE 'new' END AS state, CAST(count(*) AS BIGINT) AS n FROM i GROUP BY ALL""",
-        "rule_catalog": f"SELECT category, severity, CAST(count(*) AS BIGINT) AS n FROM (VALUES {rules}) AS t(category, severity) GROUP BY ALL",
+        "baseline_partition": parted,
+        "baseline_summary": f"""WITH p AS ({parted}), c AS (SELECT CAST(sum(n) FILTER (state = 'active') AS BIGINT) AS active, CAST(sum(n) FILTER (state = 'stale') AS BIGINT) AS stale, CAST(sum(n) FILTER (state = 'new') AS BIGINT) AS new FROM p)
+SELECT 2::BIGINT AS format, active, stale, new, CASE action WHEN 'create' THEN active + new WHEN 'update' THEN active + new + stale WHEN 'prune' THEN active ELSE active + stale END AS entries, action
+FROM c, (VALUES ('create'), ('update'), ('prune'), ('summary')) AS a(action)""",
+        "findings_summary": f"""SELECT rule_id, severity, confidence, CAST(sum(n) AS BIGINT) AS n FROM (
+SELECT 'T008' AS rule_id, 'info' AS severity, 'medium' AS confidence, sum(n) AS n FROM ({long_sentences})
+UNION ALL SELECT 'T010', 'info', 'high', sum(n) FROM ({punctuation})
+UNION ALL SELECT 'S022', 'info', 'medium', count(*) FROM ({walls})
+UNION ALL SELECT rule_id, 'warning', 'medium', count(*) FROM ({literal_places}) WHERE rule_id IN ('V002', 'V004') GROUP BY rule_id
+UNION ALL SELECT rule_id, 'warning', 'medium', count(*) FROM ({first_places(('S003',))}) GROUP BY rule_id
+UNION ALL SELECT rule_id, CASE rule_id WHEN 'S005' THEN 'warning' ELSE 'info' END, 'medium', count(*) FROM ({all_places}) WHERE rule_id IN ('S005', 'G001') GROUP BY rule_id
+UNION ALL SELECT rule_id, CASE rule_id WHEN 'M008' THEN 'warning' ELSE 'info' END, CASE rule_id WHEN 'M008' THEN 'high' ELSE 'medium' END, count(*) FROM ({heads}) WHERE rule_id IN ('M008', 'S028') GROUP BY rule_id)
+GROUP BY ALL HAVING sum(n) > 0""",
+        "rule_catalog": f"SELECT t.id, name, category, severity, confidence, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (VALUES {rules}) AS t(id, name, category, severity, confidence) LEFT JOIN (SELECT rule_id AS id, count(*) AS n FROM (SELECT rule_id FROM ({literal_places}) UNION ALL SELECT rule_id FROM ({heads})) GROUP BY rule_id) f ON t.id = f.id",
     }

@@ -329,11 +329,15 @@ def quality(expected: DataFrame, found: DataFrame, negatives: DataFrame | None =
 
 
 def save_baseline(entries: DataFrame, path: str) -> None:
-    """A sorted baseline file, replaced as a whole."""
-    rows = [r.asDict() for r in entries.select("path", "rule_id", "match", "context_hash").orderBy("path", "rule_id", "match", "context_hash").toLocalIterator()]
-    folder = os.path.dirname(os.path.abspath(path))
-    with tempfile.NamedTemporaryFile("w", dir=folder, delete=False, encoding="utf-8") as out:
-        out.write(json.dumps({"version": 2, "entries": rows}, indent=2, ensure_ascii=False) + "\n")
+    """A sorted baseline file, written entry by entry and replaced as a whole."""
+    fields = ["path", "rule_id", "match", "context_hash"]
+    with tempfile.NamedTemporaryFile("w", dir=os.path.dirname(os.path.abspath(path)), delete=False, encoding="utf-8") as out:
+        out.write('{\n  "version": 2,\n  "entries": [')
+        between = "\n    "
+        for r in entries.select(*fields).orderBy(*fields).toLocalIterator():
+            out.write(between + json.dumps(r.asDict(), indent=2, ensure_ascii=False).replace("\n", "\n    "))
+            between = ",\n    "
+        out.write("]\n}\n" if between == "\n    " else "\n  ]\n}\n")
     os.replace(out.name, path)
 
 

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from inkgauge.plans import engine, policy
+from inkgauge.plans import baseline, engine, policy
 from inkgauge.plans.policy import Policy
 from inkgauge.sources import config, files, reports
 from inkgauge.streaming import watch
@@ -198,3 +198,74 @@ def test_baseline_of_version_one(spark, tmp_path):
     state, stale = policy.partition_legacy(policy.legacy_identities(policy.identities(found, docs), docs), reports.load_baseline(spark, str(path)))
     assert {(r.rule_id, r.match, r.state) for r in state.collect()} == {("V002", "here", "active"), ("V004", "one", "new")}
     assert [r.fingerprint for r in stale.collect()] == ["f" * 32]
+
+
+def tree(root):
+    """Folders with ignore files inside each other, negations, anchored and folder rules, links, and a repository inside."""
+    made = {
+        ".gitignore": "*.log.md\nbuild/\n/only_top.md\ndocs/**/draft*.md\n# no rule\n\\#odd.md\n[ab]?.md\n!keep.log.md\ndeep/a/*/z.md\nspace\\ .md\n",
+        "a.md": "", "x.log.md": "", "keep.log.md": "", "only_top.md": "", "a1.md": "", "c1.md": "", "#odd.md": "", "space .md": "", "b.txt": "", "skip.md": "",
+        "build/in.md": "", "src/build/in.md": "", "src/only_top.md": "", "src/m.py": "", "src/.gitignore": "*.py\n!important.py\n!x.log.md\n", "src/important.py": "", "src/x.log.md": "", "src/sub/q.py": "",
+        "docs/draft1.md": "", "docs/one/draft2.md": "", "docs/one/two/draft3.md": "", "docs/final.md": "", "deep/a/b/z.md": "", "deep/a/z.md": "", "deep/a/b/c/z.md": "",
+        "src/sub/.gitignore": "/n.md\n!q.py\n", "src/sub/n.md": "", "src/sub/more/n.md": "", "build2/.gitignore": "*\n!.gitignore\n", "build2/gone.md": "", ".hidden/h.md": "",
+    }
+    for name, text in made.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    (root / "loop").symlink_to(root, target_is_directory=True)
+
+
+@pytest.mark.parametrize("git", [True, False])
+def test_discovery_by_executors_equals_the_list(spark, tmp_path, git):
+    import subprocess
+
+    from inkgauge.sources import discovery
+
+    root = tmp_path / "repo"
+    root.mkdir()
+    tree(root)
+    subprocess.run(["git", "init", "-q", str(root)], check=True)
+    (root / ".git" / "info" / "exclude").write_text("c1.md\n")
+    for given, exclude in (([str(root)], ("skip.md",)), ([str(root / "src"), str(root / "docs"), str(root / "a.md")], ()), ([str(root / "src" / "sub")], ("more/",))):
+        want = set(files.discover(given, exclude=exclude, use_git=git))
+        rows = [r.path for r in discovery.discover(spark, given, exclude=exclude, use_git=git).collect()]
+        assert set(rows) == want and len(rows) == len(want) and want
+    docs = files.read_table(discovery.discover(spark, [str(root / "docs")], use_git=False))
+    assert docs.where("read_error is null").count() == docs.count() > 2
+    with pytest.raises(FileNotFoundError):
+        discovery.discover(spark, [str(root / "none")])
+
+
+def test_workspaces(spark, tmp_path):
+    (tmp_path / "r" / ".git").mkdir(parents=True)
+    (tmp_path / "r" / "a" / "b").mkdir(parents=True)
+    (tmp_path / "s" / "c").mkdir(parents=True)
+    (tmp_path / "r" / "a" / "x.md").write_text("x")
+    at = lambda *names: [str(tmp_path / n) for n in names]
+    assert baseline.workspace(at("r/a/b", "r/a/x.md")) == baseline.workspace(at("r/a/x.md", "r/a/b")) == str(tmp_path / "r")
+    assert baseline.workspace(at("r/a", "s/c")) == str(tmp_path) and baseline.workspace(at("s/c")) == str(tmp_path / "s" / "c")
+    folder = lambda *paths: baseline.common_folder(spark.createDataFrame([(p,) for p in paths], "path string"))
+    assert folder("/a/b/c.md", "/a/b-d/e.md", None) == "/a" and folder("/a/b/c.md", "/a/b/d/e.md") == "/a/b" and folder("/a.md", "/b/c.md") == "/" and folder("a.md", "b/c.md") == "" and folder(None) is None
+
+
+def test_life_of_a_baseline(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    docs = spark.createDataFrame([(str(tmp_path / "d/a.md"), "Feel free to go.\nIt is world-class."), (str(tmp_path / "d/b.md"), "Certainly! It is so.")], "path string, content string")
+    found = spark.createDataFrame(engine.check(docs, Policy(select={"V002", "V004"})).collect(), FOUND)
+    path, root = str(tmp_path / "base.json"), str(tmp_path)
+    run = lambda f, action: baseline.maintain(spark, f, docs, path, action, root)
+    entries = lambda: [(e["path"], e["rule_id"]) for e in json.load(open(path))["entries"]]
+    assert run(found.where("rule_id = 'V002'"), "create") == {"format": 2, "active": 0, "stale": 0, "new": 2, "entries": 2} and entries() == [("d/a.md", "V002"), ("d/b.md", "V002")]
+    only = found.where("path like '%a.md'")
+    assert run(only, "summary") == {"format": 2, "active": 1, "stale": 1, "new": 1, "entries": 2} and len(entries()) == 2
+    assert run(only, "update")["entries"] == 3 and ("d/a.md", "V004") in entries()
+    assert run(only, "prune") == {"format": 2, "active": 2, "stale": 1, "new": 0, "entries": 2} and entries() == [("d/a.md", "V002"), ("d/a.md", "V004")]
+    assert [r.rule_id for r in policy.without_known(found, docs, reports.load_baseline(spark, path), root).collect()] == ["V002"]
+    told = policy.legacy_identities(policy.relative(found.where("rule_id = 'V004'"), root), policy.relative(docs, root)).first().fingerprint
+    with open(path, "w") as f:
+        json.dump({"version": "1.0", "fingerprints": [told, "f" * 32]}, f)
+    assert run(found, "summary") == {"format": 1, "active": 1, "stale": 1, "new": 2, "entries": 2}
+    assert run(found, "update")["entries"] == 3 == len(entries())
+    assert run(found.where("false"), "prune")["entries"] == 0 == len(entries()) and json.load(open(path)) == {"version": 2, "entries": []}
+    with pytest.raises(ValueError):
+        run(found, "forget")
