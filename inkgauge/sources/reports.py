@@ -311,6 +311,7 @@ def write(found: DataFrame, path: str, form: str = "json", quiet: bool = False,
     spark = found.sparkSession
     ship(spark)
     spark.dataSource.register(ReportFile)
+    path = path if "://" in path else os.path.abspath(path)  # tasks have folders of their own
     options = {"path": path, "form": form, "quiet": str(quiet).lower(), "files_checked": "" if files_checked is None else str(files_checked)}
     _in_order(FORMATS[form](quiet=quiet), found).write.format("findings_report").mode("append").options(**options).save()
 

@@ -159,6 +159,7 @@ def watch(
     """
     ship(spark)
     spark.dataSource.register(ChangedFiles)
+    checkpoint = checkpoint if "://" in checkpoint else os.path.abspath(checkpoint)
     state = os.path.join(checkpoint.removeprefix("file://"), "watched")
     options = {"paths": json.dumps(list(paths)), "include": json.dumps(list(include)), "exclude": json.dumps(list(exclude)), "git": str(use_git).lower(), "state": state}
     stream = spark.readStream.format("changed_files").options(**options).load()
