@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor and the driver see: spark.checkpoint.dir. Where that is unset, one of our own in a local master; a cluster must name one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # local-cluster has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="inkgauge-")
         spark.sparkContext.setCheckpointDir(at)
