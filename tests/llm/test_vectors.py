@@ -127,3 +127,33 @@ def test_exact_beyond_doubles():
     at, entry = np.array([0, 3, 3]), np.array([1, 0, 8])
     assert elkan.between(x, e, at, entry).tolist() == [square(x[a].tolist(), e[b].tolist()) for a, b in zip(at, entry)]
     assert pa.array(elkan.root_up(np.array([2**60]))).to_pylist()[0] > 2**30
+
+
+@pytest.mark.parametrize("name", ["op12_vector_codes", "op13_centroid_clusters"])
+def test_registered_queries_against_their_sql(spark, tmp_path, name):
+    import duckdb
+
+    from inkgauge.llm import queries
+
+    rows, bad = vectors(64, 300)
+    bad = [r for r in bad if r[1] is None or len(r[1]) == 64]  # the SQL knows one length
+    spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, label int").repartition(2).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, queries.queries()[name](spark, str(tmp_path)).collect()), key=repr)
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(con.execute(queries.oracle_sql()[name]).fetchall(), key=repr) and len(got) == len(rows)
+
+
+def test_registered_language_query(spark, tmp_path):
+    import zlib
+
+    from inkgauge.llm import queries
+
+    rows = [(k, "the house and the water of the world " * (k % 3 + 1) if k % 2 else "das haus und das wasser der welt " * (k % 3 + 1), "en" if k % 2 else "de", "s", 9) for k in range(40)] + [(None, None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    df = queries.op11_language_id(spark, str(tmp_path))
+    kinds = dict(df.dtypes)
+    assert {c: kinds[c] for c in ("doc_id", "held_out", "lang_pred", "score")} == {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"}
+    got = df.collect()
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got) and len(got) == 41
+    assert all(r.lang_pred == ("und" if r.doc_id is None else "en" if r.doc_id % 2 else "de") and 0 <= r.score <= 1 for r in got)
