@@ -132,6 +132,8 @@ def check(args: argparse.Namespace, session: Callable[[], SparkSession], out: Ca
     found = engine.check(good, own)
     if args.baseline:
         found = policy.without_known(found, good, reports.load_baseline(spark, args.baseline), baseline.workspace(paths))
+    if not any(Path(p).is_absolute() for p in paths):  # names as they were given
+        found = policy.relative(found, str(Path.cwd()))
     checked = good.count()
     if args.output:
         reports.write(found, args.output, args.format, args.quiet, checked)
