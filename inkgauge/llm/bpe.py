@@ -5,8 +5,9 @@ and punctuation, before they merge, so a text's ids are the concatenation of the
 over a batch's bytes by numpy; each distinct chunk is looked up once a batch, and encoded once by the library and remembered. There
 is no cut beside an apostrophe (it may begin a suffix) or a bar (special tokens hold some).
 
-The memory is bounded in bytes: a cache of HELD bytes is emptied, and chunks of more than _LONGEST bytes (texts without white
-space, for instance) are encoded for their call alone.
+The memory is bounded in bytes: it has two generations of half of HELD bytes. A chunk that is met moves into the younger one; when that is
+full, it becomes the older one, whose chunks that weren't met since are forgotten. So frequent chunks stay, and the many that occur once
+go. Chunks of more than _LONGEST bytes (texts without white space, for instance) are encoded for their call alone.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from inkgauge.llm import common
 
 _LONGEST = 48
 #: Bytes of one encoder's memory: ENTRY for a remembered chunk besides its bytes, four for an id.
-HELD, ENTRY = 128 << 20, 150
+HELD, ENTRY = 112 << 20, 150
 #: Bytes of text that the library encodes in one call, and that a worker turns into ids at once.
-_A_CALL, PORTION = 200_000, 4_000_000
+_A_CALL, PORTION = 100_000, 3_000_000
 _KINDS = np.zeros(256, np.uint8)
 _SPACE, _ALNUM, _PUNCTUATION = 1, 2, 3
 _KINDS[[9, 10, 11, 12, 13, 32]] = _SPACE
@@ -87,7 +88,8 @@ class ChunkEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index: dict[bytes, int] = {}  # the younger generation
+        self.older: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.int32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.sizes = np.zeros(1 << 14, np.int64)
@@ -121,22 +123,25 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the number of ids of each text."""
-        if self.held > HELD:
-            self.clear()
+        if self.held > HELD // 2:
+            self._turn()
         found, counts = chunks(texts)
         coded = found.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         numbers = np.fromiter((self.index.get(c, -1) for c in distinct), np.int64, len(distinct))
         missing = np.flatnonzero(numbers < 0)
+        if len(missing) and self.older:
+            numbers[missing] = np.fromiter((self.older.get(distinct[i], -1) for i in missing), np.int64, len(missing))
+            again = missing[numbers[missing] >= 0]
+            self._remember([distinct[i] for i in again], numbers[again])
+            missing = missing[numbers[missing] < 0]
         kept = self.known, self.used
         if len(missing):
             long = np.fromiter((len(distinct[i]) > _LONGEST for i in missing), bool, len(missing))
             short = missing[~long]
             new = [distinct[i] for i in short]
-            learnt = self._learn(new)
-            numbers[short] = learnt
-            self.index.update(zip(new, learnt))
-            self.held += ENTRY * len(new) + sum(map(len, new)) + 4 * (self.used - kept[1])
+            numbers[short] = self._learn(new)
+            self._remember(new, numbers[short])
             kept = self.known, self.used
             numbers[missing[long]] = self._learn([distinct[i] for i in missing[long]])
         at = numbers[coded.indices.to_numpy()]
@@ -146,6 +151,21 @@ class ChunkEncoder:
         self._forget(*kept)
         return flat, np.diff(edges[upto])
 
+    def _remember(self, chunks: list[bytes], numbers: np.ndarray) -> None:
+        """Put chunks into the younger generation."""
+        self.index.update(zip(chunks, numbers.tolist()))
+        self.held += ENTRY * len(chunks) + sum(map(len, chunks)) + 4 * int(self.sizes[numbers].sum())
+
+    def _turn(self) -> None:
+        """The younger generation becomes the older one, alone in the room of ids."""
+        young, at = list(self.index), np.fromiter(self.index.values(), np.int64, len(self.index))
+        ids, sizes = self._gather(at), self.sizes[at]
+        self.clear()
+        self._room(len(young), len(ids))
+        self.ids[: len(ids)], self.sizes[: len(young)], self.starts[: len(young)] = ids, sizes, np.cumsum(sizes) - sizes
+        self.used, self.known = len(ids), len(young)
+        self.older = dict(zip(young, range(len(young))))
+
     def _forget(self, known: int, used: int) -> None:
         """Drop what was encoded for one call; room beyond twice the need goes too."""
         if self.known > known:
@@ -165,4 +185,5 @@ def encoder(name: str, plain: bool = False) -> ChunkEncoder:
 def encode_with_end(coder: ChunkEncoder, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
     """As encode(), with the id end after each text."""
     flat, sizes = coder.encode(texts)
+    pa.default_memory_pool().release_unused()  # what the last portion needed, which the pool would keep
     return np.insert(flat, np.cumsum(sizes), end), sizes + 1

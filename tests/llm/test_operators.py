@@ -45,6 +45,18 @@ def test_chunk_encoder_equals_the_library():
         assert [x.tolist() for x in coder.encode(pa.array([], pa.string()))] == [[], []]
 
 
+def test_chunks_outlive_generations(monkeypatch):
+    monkeypatch.setattr(bpe, "HELD", 40_000)
+    coder, rng = bpe.ChunkEncoder("byte_bpe_50k.json"), random.Random(3)
+    for k in range(30):
+        texts = ["the frequent words " + " ".join(str(rng.random()) for _ in range(20)) for _ in range(5)]
+        flat, sizes = coder.encode(pa.array(texts))
+        assert np.split(flat, np.cumsum(sizes)[:-1])[-1].tolist() == coder.library.encode(texts[-1], add_special_tokens=False).ids
+        assert sum(sizes) == sum(len(e.ids) for e in coder.library.encode_batch(texts, add_special_tokens=False))
+    assert b" frequent" in coder.index or b" frequent" in coder.older
+    assert len(coder.index) + len(coder.older) < 500  # 3,000 were met
+
+
 def test_literal_special_tokens(spark):
     from tokenizers import Tokenizer
 
