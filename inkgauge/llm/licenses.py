@@ -178,3 +178,19 @@ def scan(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(matches, _MATCH), pa.array(scores, pa.float64())], names=["doc_id", "n_words", "matches", "score"])
 
     return docs.mapInArrow(run, "doc_id long, n_words long, matches array<struct<label:string,start:long,end:long,coverage:double,base:boolean>>, score double")
+
+
+def sql() -> str:
+    """The base phrases in DuckDB's SQL: every place of every text against each phrase."""
+    phrases = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
+    listed = ", ".join(f"({[*p.split()]}, '{label}')" for p, label in phrases)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p(phrase, label) AS (VALUES {listed}),
+place AS (SELECT rid, label, phrase, w, unnest(range(1, len(w) - len(phrase) + 2)) AS i FROM d, p WHERE len(w) >= len(phrase)),
+hit AS (SELECT rid, label, i - 1 AS found FROM place WHERE w[i] = phrase[1] AND w[i:i + len(phrase) - 1] = phrase),
+each AS (SELECT rid, count(*) AS n_base, min(found) AS first_word, max(found) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM hit GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+  CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels
+FROM d LEFT JOIN each USING (rid)"""

@@ -356,3 +356,20 @@ def _set_keys(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
         for batch in common.portions(whole):
             keys = [_set_key(shingle_set(t, k)) for t in common.texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("doc_id"), pa.array(keys, pa.binary())], names=["own", "doc_id", "sk"])
+
+
+def sql(k: int = WIDTH) -> str:
+    """The groups in DuckDB's SQL: all pairs of documents that share a shingle, as strings; labels spread along the links."""
+    return f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT rid, array_to_string(w[i:i + {k - 1}], ' ') AS shingle
+  FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - {k}, 0) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+shared AS (SELECT a.rid AS x, b.rid AS y, count(*) AS n FROM s a JOIN s b ON a.shingle = b.shingle AND a.rid < b.rid GROUP BY ALL),
+link AS MATERIALIZED (SELECT x, y FROM shared JOIN n p ON p.rid = x JOIN n q ON q.rid = y WHERE 100 * shared.n >= 80 * (p.n + q.n - shared.n)),
+ends AS MATERIALIZED (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+label(rid, least) AS (SELECT rid, doc_id FROM d UNION SELECT y, least FROM label JOIN ends ON x = label.rid),
+whole AS (SELECT rid, min(least) AS component_id FROM label GROUP BY rid)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM d LEFT JOIN n USING (rid) JOIN whole USING (rid)"""

@@ -24,6 +24,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1_license_scan finds of the base phrases: the columns that SQL can express."""
+    return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = token_files.read(token_files.write(_read(spark, sf_dir, "documents")))
     return docs.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
@@ -64,6 +69,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find(_read(spark, sf_dir, "documents")))
 
 
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8_secret_scan finds of the base kinds: the columns that SQL can express."""
+    return op8_secret_scan(spark, sf_dir).drop("spans")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, votes = toxicity.fit_votes(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     scored = toxicity.score_votes(votes, model)
@@ -89,8 +99,8 @@ def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_token_counts, op4_quality, op5_decontamination, op6_quality_rules, op7_packing, op8_secret_scan, op9_toxicity, op10_near_dedup, op11_language_id, op12_vector_codes, op13_centroid_clusters, decontamination_near)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_token_counts, op4_quality, op5_decontamination, op6_quality_rules, op7_packing, op8_secret_scan, op9_toxicity, op10_near_dedup, op11_language_id, op12_vector_codes, op13_centroid_clusters, decontamination_near, license_base, secret_base)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontamination.sql(), "op6_quality_rules": quality_rules.sql(), "op12_vector_codes": vector_codes.sql(), "op13_centroid_clusters": clustering.sql()}
+    return {"license_base": licenses.sql(), "secret_base": secret_scan.sql(), "op10_near_dedup": neardup.sql(), "op5_decontamination": decontamination.sql(), "op6_quality_rules": quality_rules.sql(), "op12_vector_codes": vector_codes.sql(), "op13_centroid_clusters": clustering.sql()}

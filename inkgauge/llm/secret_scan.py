@@ -187,3 +187,24 @@ def redact(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
     """text with every span replaced by mark; spans that touch or overlap as one."""
     ranges = T.merged(F.transform(spans, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
     return F.when(F.size(spans) > 0, let(ranges, lambda r: T.replaced(text, r, mark))).otherwise(text)
+
+
+def sql() -> str:
+    """The base kinds in DuckDB's SQL: a match's place is the length of all pieces and matches before it."""
+    either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    names = "|".join(map(either, ("password", "passwd", "secret", "token", "api_?key")))
+    assign = f"""({names})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    kinds = ((0, "assign", assign, f"len(regexp_extract(m, '{assign}', 2)) >= 8"), (1, "access", "AKIA[A-Z0-9]+", "len(m) >= 16"), (2, "hex", "[0-9a-f]+", "len(m) >= 32"))
+    found = " UNION ALL ".join(
+        f"SELECT rid, {k} AS k, '{name}' AS kind, m, a FROM (SELECT rid, unnest(ms) AS m, unnest([list_sum([len(x) for x in ps[1:i]]) + coalesce(list_sum([len(x) for x in ms[1:i - 1]]), 0) for i in range(1, len(ms) + 1)]) AS a "
+        f"FROM (SELECT rid, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS ps FROM d WHERE regexp_matches(t, '{some}'))) WHERE {kept}"
+        for (k, name, pattern, kept), some in zip(kinds, (f"({names})", "AKIA[A-Z0-9]{12}", "[0-9a-f]{32}"))
+    )
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+each AS (SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + len(m) AS BIGINT), ',' ORDER BY a, k) AS listed FROM found GROUP BY rid)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+  sha256(coalesce(listed, '')) AS base_sha256
+FROM d LEFT JOIN each USING (rid)"""
