@@ -146,15 +146,20 @@ def _example(table: tuple, k: int) -> Column:
     return F.get(F.array(*(F.lit(x[k]) for x in table)), F.pmod("doc_id", F.lit(len(table))).cast("int"))
 
 
+#: Between a text and the example behind it.
+_APART = "\n\n<!-- -->\n\n"
 _FOUND = "rule_id", "line", "col", "end_line", "end_col", "severity", "confidence", "message", "suggestion"
 
 
 def _examples(spark: SparkSession, sf_dir: str, table: tuple, form: str) -> DataFrame:
-    """The findings, whole, of the example that each document holds (form: behind or before its text, or before its text as Python comments), of the example's rule and at its lines."""
+    """The findings, whole, of the example that each document holds (form: behind or before its text, or before its text as Python comments), of the example's rule and at its lines.
+
+    A comment that no one sees parts an example from the text before it: a text that is itself one short paragraph would lead the example's run of them.
+    """
     docs = tables.read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(_example(table, 0), F.lit(table[0][0])).alias("own"), F.coalesce(_example(table, 1), F.lit(table[0][1])).alias("body"))
     lines = lambda c: F.size(F.split(c, "\n", -1))
-    whole = {"behind": F.concat("text", F.lit("\n\n"), "body"), "before": F.concat("body", F.lit("\n\n"), "text"), "python": F.concat("body", F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n# ")))}[form]
-    before = lines(F.col("text")) + 1 if form == "behind" else F.lit(0)
+    whole = {"behind": F.concat("text", F.lit(_APART), "body"), "before": F.concat("body", F.lit("\n\n"), "text"), "python": F.concat("body", F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n# ")))}[form]
+    before = lines(F.col("text")) + _APART.count("\n") - 1 if form == "behind" else F.lit(0)
     name = F.concat("own", F.lit(".py" if form == "python" else ".md"))
     docs = docs.select(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), before.cast("string"), (before + lines(F.col("body")) - int(form == "python")).cast("string"), name).alias("path"), whole.alias("content"))
     d = engine.findings(docs, Policy(select={x[0] for x in table}, minimum_severity="info"), python=form == "python")
