@@ -148,10 +148,10 @@ def _keyed(df: DataFrame) -> DataFrame:
 
 
 def partition(identified: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Entries of findings and baseline with their state: active (in both), new, or stale."""
-    now, old = _keyed(identified), _keyed(baseline)
-    state = lambda df, s: df.withColumn("state", F.lit(s))
-    return state(now.intersect(old), "active").unionByName(state(now.subtract(old), "new")).unionByName(state(old.subtract(now), "stale"))
+    """Entries of findings and baseline with their state: active (in both), new, or stale. Both are read once, by one grouping."""
+    side = lambda df, now: df.select(*KEY, F.lit(now).alias("now"), F.lit(not now).alias("old"))
+    both = side(_keyed(identified), True).unionByName(side(_keyed(baseline), False)).groupBy(*KEY).agg(F.max("now").alias("now"), F.max("old").alias("old"))
+    return both.select(*KEY, F.when(F.col("now") & F.col("old"), "active").when(F.col("now"), "new").otherwise("stale").alias("state"))
 
 
 def unknown(identified: DataFrame, baseline: DataFrame) -> DataFrame:
