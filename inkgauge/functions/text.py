@@ -18,8 +18,8 @@ CASELESS, EXACT = "(?iUd)", "(?Ud)"
 SPANS = "array<struct<t:string,a:int,b:int>>"
 #: Set around matches while a text is cut: a code point that stands for no character.
 MARK = "\uffff"
-#: Items of one inner fold.
-SLICE = 64
+#: Items of one inner fold in SQL text, and of one in scan().
+SLICE, SHORT = 64, 12
 
 
 @contextmanager
@@ -56,9 +56,9 @@ def built_once(make: Callable) -> Callable:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once: a lambda's variable is never inlined.
 
-    element_at() knows its type; [0] works it out anew for each row, by a walk through the whole body.
+    The end of a fold over nothing copies neither the value nor what body gives; transform() copies each result, texts and arrays included.
     """
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.aggregate(F.expr("cast(array() as array<int>)"), value, lambda acc, x: acc, body)
 
 
 def flat(items: Column) -> Column:
@@ -94,24 +94,25 @@ def has(text: Column, regex: str) -> Column:
 def scan(items: Column, zero: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
     """What step(state, item) = struct(state, out) gives for each item in order, as an array of kind.
 
-    A fold that appends to one growing array copies it at every step. Here runs of SLICE items are folded into short arrays
-    of their own, which are joined once, so the cost is in proportion to the number of items.
+    A fold that appends to one growing array copies it at every step, whole. Here runs of SHORT items are folded into short arrays of their
+    own, runs of SHORT of those into longer ones, which are joined once. Keep what step gives small: texts are better read by index afterwards.
     """
-    none = F.expr(f"cast(array() as array<{kind}>)")
+    none = lambda depth: F.expr(f"cast(array() as {'array<' * depth}{kind}{'>' * depth})")
 
-    def grown(acc: Column, item: Column) -> Column:
-        return let(step(acc["state"], item), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+    def folded(value: Column, start: Column, one: Callable[[Column, Column], Column], depth: int) -> Column:
+        grown = lambda acc, x: let(one(acc["state"], x), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+        return F.aggregate(value, F.struct(start.alias("state"), none(depth).alias("out")), grown)
 
-    def whole(value: Column) -> Column:
-        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(value) - 1) / SLICE).cast("int")), lambda i: F.slice(value, i * SLICE + 1, F.lit(SLICE)))
+    def joined(part: Column, state: Column, one: Callable[[Column, Column], Column], depth: int) -> Column:
+        return let(folded(part, state, one, depth), lambda r: F.struct(r["state"].alias("state"), (r["out"] if depth == 1 else flat(r["out"])).alias("out")))
 
-        def run(acc: Column, part: Column) -> Column:
-            start = F.struct(acc["state"].alias("state"), none.alias("out"))
-            return let(F.aggregate(part, start, grown), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+    def whole(value: Column) -> Column:  # runs are told by number: an array of runs would be a copy of all items
+        last = F.floor((F.size(value) - 1) / SHORT).cast("int")
+        short = lambda state, k: joined(F.slice(value, k * SHORT + 1, F.lit(SHORT)), state, step, 1)
+        long = lambda state, j: joined(F.sequence(j * SHORT, F.least(j * SHORT + SHORT - 1, last)), state, short, 2)
+        return flat(folded(F.sequence(F.lit(0), F.floor(last / SHORT).cast("int")), zero, long, 2)["out"])
 
-        return flat(F.aggregate(parts, F.struct(zero.alias("state"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("out")), run)["out"])
-
-    return let(items, lambda value: F.when(F.size(value) > 0, whole(value)).otherwise(none))
+    return let(items, lambda value: F.when(F.size(value) > 0, whole(value)).otherwise(none(1)))
 
 
 def kept(items: Column) -> Column:
@@ -258,7 +259,9 @@ def located(text: Column, regex: str, line: Column, column: Column) -> Column:
 
             return let(after(state["l"], state["c"], x["gap"]), own)
 
-        return scan(pairs, F.struct(F.lit(0).alias("at"), line.cast("int").alias("l"), column.cast("int").alias("c")), step, PLACE)
+        # a single match needs no fold
+        alone = let(after(line.cast("int"), column.cast("int"), F.get(parts, F.lit(0))), lambda start: F.array(_place(F.get(parts, F.lit(1)), F.length(F.get(parts, F.lit(0))), start)))
+        return F.when(F.size(parts) == 3, alone).otherwise(scan(pairs, F.struct(F.lit(0).alias("at"), line.cast("int").alias("l"), column.cast("int").alias("c")), step, PLACE))
 
     return F.when(has(text, regex), let(cut(text, regex), found)).otherwise(F.expr(f"cast(array() as array<{PLACE}>)"))
 

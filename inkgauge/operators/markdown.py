@@ -32,6 +32,11 @@ LINK_DESTINATION = r"(?s)\[[^\]]+\]\((?:\\.|[^()\\]|\((?:\\.|[^()\\]|\((?:\\.|[^
 AUTOLINK = r"(?U)(?<=<)https?://[^>\s]+(?=>)"
 
 
+#: What a text must hold for any of its lines to be more than plain prose or a blank line; and what a prose line must hold for more than plain text.
+MARKS = r"(?mU)[`\[<>#|~]|^\s*(?:[-+*=]|\d+[.)]|import\s|export\s)"
+LINE_MARKS = r"(?U)[`\[<#|]|^\s*(?:[-*+]|\d+[.)])\s"
+
+
 def _with_end(rows: Column, wanted) -> Column:
     """The rows that matter and, last, one without text at the document's last line, which ends what is open."""
     end = F.struct(F.size(rows).alias("n"), F.lit(None).cast("string").alias("raw"), F.lit(0).alias("q"), F.lit(None).cast("string").alias("s"), F.lit(False).alias("code"))
@@ -214,7 +219,11 @@ def prose(lines: Column, example: Column) -> Column:
 
         none = F.lit(None).cast("string")
         flushed = lambda k: F.struct(r["n"].alias("n"), r["raw"].alias("raw"), F.lit(True).alias("flush"), k.alias("skip"), none.alias("kind"), none.alias("text"), F.lit(0).alias("marker"), F.lit(0).alias("indent"))
-        return let(skip, lambda k: F.when(k | under | is_blank(s), flushed(k)).otherwise(let(F.struct(head.alias("head"), marker.alias("marker")), shaped)))
+        plain = lambda: F.struct(r["n"].alias("n"), r["raw"].alias("raw"), F.lit(False).alias("flush"), F.lit(False).alias("skip"), F.lit("body").alias("kind"), s.alias("text"), F.lit(0).alias("marker"), indent(s).alias("indent"))
+        own_text = F.when((r["q"] > 0) | own | has(s, LINE_MARKS), let(F.struct(head.alias("head"), marker.alias("marker")), shaped)).otherwise(plain())
+        return let(skip, lambda k: F.when(k | under | is_blank(s), flushed(k)).otherwise(own_text))
+
+    told = "struct<context:string,block:int,brk:boolean>"
 
     def step(state: Column, x: Column) -> Column:
         # a plain line goes on with a list item while it and all lines since the item's first are indented enough
@@ -228,10 +237,10 @@ def prose(lines: Column, example: Column) -> Column:
             block = state["block"] + fresh.cast("int")
             brk = F.when(fresh, state["skips"]).otherwise(state["brk"])
             after = F.struct(F.lit(False).alias("seg"), F.lit(False).alias("skips"), c.alias("ctx"), of.alias("of"), least.alias("least"), short.alias("short"), block.alias("block"), brk.alias("brk"))
-            out = F.struct(x["n"].alias("n"), x["raw"].alias("raw"), x["text"].alias("text"), c.alias("context"), block.alias("block"), block.alias("chunk"), F.lit(0).alias("scope"), brk.alias("break_before"), F.get(example, x["n"] - 1).alias("example"), F.lit(True).alias("markdown"))
+            out = F.struct(c.alias("context"), block.alias("block"), brk.alias("brk"))
             return F.struct(after.alias("state"), out.alias("out"))
 
-        none = F.lit(None).cast(PROSE)
+        none = F.lit(None).cast(told)
         flushed = F.struct(state.withField("seg", F.lit(True)).withField("skips", state["skips"] | x["skip"]).alias("state"), none.alias("out"))
         return F.when(x["flush"], flushed).when(x["text"].isNull(), F.struct(state.alias("state"), none.alias("out"))).otherwise(let(context, line_of))
 
@@ -239,7 +248,12 @@ def prose(lines: Column, example: Column) -> Column:
         setext = F.transform(rows, lambda r, i: ~r["code"] & ~F.coalesce(F.get(rows, i + 1)["code"], F.lit(True)) & _underlined(r, F.get(rows, i + 1)))
         shaped = let(setext, lambda sx: F.transform(rows, lambda r, i: line(r, F.coalesce(F.get(sx, i - 1), F.lit(False)), F.get(sx, i))))
         zero = F.expr("named_struct('seg', true, 'skips', false, 'ctx', '', 'of', '', 'least', 0, 'short', false, 'block', 0, 'brk', false)")
-        return kept(scan(shaped, zero, step, PROSE))
+
+        def whole(x: Column, y: Column) -> Column:
+            made = F.struct(x["n"], x["raw"], x["text"], y["context"], y["block"], y["block"], F.lit(0), y["brk"], F.get(example, x["n"] - 1), F.lit(True))
+            return F.when(y.isNotNull(), made.cast(PROSE))
+
+        return let(shaped, lambda xs: let(scan(xs, zero, step, told), lambda ys: kept(F.transform(xs, lambda x, i: let(F.get(ys, i), lambda y: whole(x, y))))))
 
     return let(lines, run)
 

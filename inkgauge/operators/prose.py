@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkgauge.functions.text import MARK, after, blocks, flat, groups, kept, let, piece, scan
+from inkgauge.functions.text import MARK, blocks, flat, groups, kept, let, piece, scan
 
 #: End of a sentence: closing punctuation and quotes before white space, unless an abbreviation or initialism ends there. The
 #: abbreviations are fixed values.
@@ -15,55 +17,78 @@ BOUNDARY = (
 )
 
 
-def split_sentences(text: Column, line: Column) -> Column:
-    """Sentences of a text of lines, the first of which has that number: text, a (offset), l0 and c0 (line and 1-based column of the start), l1 and c1 (of the end).
+#: A line and a column in one number, which a fold copies at no cost.
+_LINE = 1 << 32
+
+
+def _on(place: Column, part: Column) -> Column:
+    """The place where a part that starts at a place ends."""
+    breaks = F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit("")))
+    jumped = (F.shiftright(place, 32) + breaks) * F.lit(_LINE) + F.length(F.substring_index(part, "\n", -1)) + 1
+    return F.when(F.contains(part, F.lit("\n")), jumped).otherwise(place + F.length(part))
+
 
-    One search marks the boundaries, one split cuts there, one linear fold counts lines and columns. A text's U+FFFF is read as U+FFFE.
+def split_sentences(text: Column, line: Column, own: Callable[[Column], Column], offsets: bool = True) -> Column:
+    """Sentences of a text of lines, the first of which has that number, as own() makes them of text, a (offset, where wanted), l0 and c0 (line and 1-based column of the start), l1 and c1 (of the end).
+
+    One search marks the boundaries, one split cuts there, one linear fold over numbers counts lines and columns. A text's U+FFFF is read as U+FFFE.
     """
+    line_of, column_of = (lambda p: F.shiftright(p, 32).cast("int")), (lambda p: p.bitwiseAND(F.lit(_LINE - 1)).cast("int"))
+
+    def step(place: Column, t: Column) -> Column:
+        return let(_on(place, t), lambda e: F.struct(e.alias("state"), e.alias("out")))
+
+    def far(at: Column, t: Column) -> Column:
+        return let(at + F.length(t), lambda e: F.struct(e.alias("state"), e.alias("out")))
 
-    def step(state: Column, x: Column) -> Column:
-        lead = F.when(F.rlike(x["t"], F.lit(r"(?U)^\s")), F.length(F.regexp_extract(x["t"], r"(?U)^\s*", 0))).otherwise(0)
+    def sentence(x: Column, t: Column, i: Column) -> Column:
+        def cut(y: Column) -> Column:
+            wide = F.length(y["lead"])
+            rest = F.when(wide == 0, t).otherwise(F.substring(t, wide + 1, F.length(t)))
+            body = F.when(i == F.size(x["pieces"]) - 1, F.regexp_replace(rest, r"(?U)\s+\z", "")).otherwise(rest)  # the others end with a mark
+            start = F.when(wide == 0, y["before"]).otherwise(_on(y["before"], y["lead"]))
+            return let(F.struct(body.alias("text"), start.alias("start"), wide.alias("wide")), placed)
 
-        def cut(lead: Column) -> Column:
-            rest = F.when(lead == 0, x["t"]).otherwise(F.substring(x["t"], lead + 1, F.length(x["t"])))
-            body = F.when(x["last"], F.regexp_replace(rest, r"(?U)\s+\z", "")).otherwise(rest)  # the others end with a mark
-            start = F.when(lead == 0, F.struct(state["l"].alias("l"), state["c"].alias("c"))).otherwise(after(state["l"], state["c"], F.substring(x["t"], F.lit(1), lead)))
-            return F.struct(body.alias("body"), start.alias("s"), (state["at"] + lead).alias("a"))
+        def placed(z: Column) -> Column:
+            end = F.when(i == F.size(x["pieces"]) - 1, _on(z["start"], z["text"])).otherwise(F.get(x["ends"], i))  # others end where their piece does
+            at = {"a": F.coalesce(F.get(x["offsets"], i - 1), F.lit(0)) + z["wide"]} if offsets else {}
+            fields = {"text": z["text"], **at, "l0": line_of(z["start"]), "c0": column_of(z["start"])}
+            whole = lambda e: own(F.struct(*(c.alias(name) for name, c in fields.items()), line_of(e).alias("l1"), column_of(e).alias("c1")))
+            return F.when(z["text"] != "", let(end, whole))
 
-        def placed(y: Column) -> Column:
-            def out(e: Column) -> Column:
-                own = F.struct(y["body"].alias("text"), y["a"].alias("a"), y["s"]["l"].alias("l0"), y["s"]["c"].alias("c0"), e["l"].alias("l1"), e["c"].alias("c1"))
-                return F.struct(F.struct((y["a"] + F.length(y["body"])).alias("at"), e["l"].alias("l"), e["c"].alias("c")).alias("state"), F.when(y["body"] != "", own).alias("out"))
+        before = F.coalesce(F.get(x["ends"], i - 1), x["first"])
+        return let(F.struct(before.alias("before"), F.regexp_extract(t, r"(?U)^\s*", 0).alias("lead")), cut)
 
-            return let(after(y["s"]["l"], y["s"]["c"], y["body"]), out)
+    def placed_all(first: Column) -> Column:
+        def run(p: Column) -> Column:
+            more = [scan(p, F.lit(0), far, "int").alias("offsets")] if offsets else []
+            whole = F.struct(p.alias("pieces"), scan(p, first, step, "bigint").alias("ends"), first.alias("first"), *more)
+            return let(whole, lambda x: kept(F.transform(x["pieces"], lambda t, i: sentence(x, t, i))))
 
-        return let(let(lead, cut), placed)
+        return let(F.split(F.regexp_replace(F.replace(text, F.lit(MARK), F.lit("\ufffe")), BOUNDARY, f"$0{MARK}"), MARK, -1), run)
 
-    pieces = F.split(F.regexp_replace(F.replace(text, F.lit(MARK), F.lit("\ufffe")), BOUNDARY, f"$0{MARK}"), MARK, -1)
-    items = let(pieces, lambda p: F.transform(p, lambda t, i: F.struct(t.alias("t"), (i == F.size(p) - 1).alias("last"))))
-    zero = F.struct(F.lit(0).alias("at"), line.cast("int").alias("l"), F.lit(1).alias("c"))
-    return kept(scan(items, zero, step, "struct<text:string,a:int,l0:int,c0:int,l1:int,c1:int>"))
+    return let(line.cast("bigint") * F.lit(_LINE) + 1, placed_all)
 
 
 def _sentences(c: Column, window: bool) -> Column:
     """The sentences of a chunk; window: with the source of each and its neighbours, and the next one's text. Lines of a chunk follow each other."""
     first = F.get(c["lines"], F.lit(0))
 
-    def own(x: Column, k: Column) -> Column:
+    def own(x: Column) -> Column:
         return F.struct(
-            c["chunk"].alias("scope"), k.alias("k"), c["context"].alias("context"), x["text"].alias("text"), x["l0"].alias("start_line"), x["c0"].alias("start_col"), x["l1"].alias("end_line"), x["c1"].alias("end_col"),
+            c["chunk"].alias("scope"), c["context"].alias("context"), x["text"].alias("text"), x["l0"].alias("start_line"), x["c0"].alias("start_col"), x["l1"].alias("end_line"), x["c1"].alias("end_col"),
             F.when(x["l0"] == c["first_line"], first["example"]).otherwise(F.get(c["lines"], x["l0"] - c["first_line"])["example"]).alias("example"), first["markdown"].alias("markdown"),
         )
 
-    found = split_sentences(c["text"], c["first_line"])
     if not window:
-        return let(found, lambda v: F.transform(v, own))
+        return split_sentences(c["text"], c["first_line"], own, False)
+    found = split_sentences(c["text"], c["first_line"], lambda x: x)
     raw = F.array_join(F.transform(c["lines"], lambda x: x["raw"]), "\n")
 
     def joined(v: Column) -> Column:
         def with_sources(z: Column) -> Column:
             near = lambda k: F.get(z["sources"], k)
-            return F.transform(z["found"], lambda x, k: F.struct(own(x, k).alias("s"), F.concat_ws(" ", near(k - 1), near(k), near(k + 1)).alias("window"), F.get(z["found"], k + 1)["text"].alias("next_text")))
+            return F.transform(z["found"], lambda x, k: F.struct(own(x).alias("s"), F.concat_ws(" ", near(k - 1), near(k), near(k + 1)).alias("window"), F.get(z["found"], k + 1)["text"].alias("next_text")))
 
         # where nothing is masked the sentences are their own source
         source = let(raw, lambda r: F.when(r == c["text"], F.transform(v, lambda x: x["text"])).otherwise(let(blocks(r), lambda parts: F.transform(v, lambda x: piece(parts, x["a"], x["a"] + F.length(x["text"]))))))

@@ -235,7 +235,7 @@ def row_rules(chosen: set[str], thresholds: dict[str, int]) -> list[Column]:
         "S017": _anecdote,
         "S019": _euphemism,
         "T008": lambda: _long_sentence(thresholds["sentence_length_max"]),
-        "T010": lambda: _all_spans("T010", "Repeated or mixed punctuation", r"(?:\.{3,}|…)[!?]+|[!?]{2,}", "Use a single terminal punctuation mark", "high", True),
+        "T010": lambda: _all_spans("T010", "Repeated or mixed punctuation", L.REPEATED_PUNCTUATION, "Use a single terminal punctuation mark", "high", True),
         "T012": _ellipsis,
         "T013": _capitals,
         "T014": _parentheticals,

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkgauge.functions.text import built_once, flat, groups, is_blank, kept, without_call_sites
+from inkgauge.functions.text import built_once, flat, groups, has, is_blank, kept, without_call_sites
 from inkgauge.operators import line_rules, markdown, markdown_rules, prose, python_source, sentence_rules
 from inkgauge.operators.findings import NONE
 from inkgauge.plans import policy as policies
@@ -33,16 +33,21 @@ def _made(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
 
 
+def _joined(arrays: list[Column]) -> Column:
+    """One array of several; joining a single one would cost as much as two."""
+    return F.concat(*arrays) if len(arrays) > 1 else arrays[0]
+
+
 def _kinded(documents: DataFrame) -> DataFrame:
     path = F.coalesce("path", F.lit(""))
     return documents.select("path", F.coalesce("content", F.lit("")).alias("content")).withColumns({"is_markdown": F.rlike(path, F.lit(MARKDOWN)), "is_python": F.rlike(path, F.lit(PYTHON))})
 
 
-def _plain(content: Column) -> Column:
-    """Prose of a text of no known kind: runs of lines that aren't blank."""
+def _plain(content: Column, known: bool = False) -> Column:
+    """Prose of a text of no known kind, or of Markdown without marks: runs of lines that aren't blank."""
     lines = F.transform(F.split(content, "\n", -1), lambda x, i: F.struct((i + 1).alias("n"), x.alias("raw")))
     runs = groups(F.filter(lines, lambda r: ~is_blank(r["raw"])), lambda a, b: b["n"] == a["n"] + 1)
-    row = lambda r, k: F.struct(r["n"], r["raw"], r["raw"], F.lit("body"), k + 1, k + 1, F.lit(0), F.lit(False), F.lit(False), F.lit(False)).cast(markdown.PROSE)
+    row = lambda r, k: F.struct(r["n"], r["raw"], r["raw"], F.lit("body"), k + 1, k + 1, F.lit(0), F.lit(False), F.lit(False), F.lit(known)).cast(markdown.PROSE)
     return flat(F.transform(runs, lambda g, k: F.transform(g, lambda r: row(r, k))))
 
 
@@ -54,18 +59,23 @@ def _parse_columns() -> dict[str, Column]:
         "structure": F.when(F.col("is_markdown"), markdown.structure(F.col("content"))).otherwise(none),
         "heads": markdown.headings(F.col("lines")),
         "example": markdown.examples(F.col("heads"), F.size("lines")),
-        "prose": F.when(F.col("is_markdown"), markdown.prose(F.col("lines"), F.col("example"))).otherwise(_plain(F.col("content"))),
+        "prose": F.when(~F.col("is_markdown"), _plain(F.col("content"))).when(has(F.col("content"), markdown.MARKS), markdown.prose(F.col("lines"), F.col("example"))).otherwise(_plain(F.col("content"), True)),
     }
 
 
 @built_once
-def _sentence_columns(window: bool) -> dict[str, Column]:
-    return {"chunks": prose.chunks(F.col("prose"), window), "sentences": prose.sentences(F.col("chunks"))}
+def _sentence_columns(window: bool, chunks: bool, docstrings: bool) -> dict[str, Column]:
+    """Chunks and sentences; sentences alone are made in one go, and chunks are never a column. A docstring's lines are whole chunks, as is a comment beside one."""
+    lines = F.col("prose")
+    if docstrings:
+        lines = F.filter(lines, lambda r: F.exists("docstrings", lambda d: r["n"].between(d["line"], d["end_line"])))
+    made = prose.chunks(lines, window)
+    return {"chunks": made, "sentences": prose.sentences(F.col("chunks"))} if chunks else {"sentences": prose.sentences(made)}
 
 
 @without_call_sites()
-def parsed(documents: DataFrame, python: bool = True, sentences: bool = True, window: bool = True) -> DataFrame:
-    """The documents (path, content) with lines, fences, heads, example, prose, chunks and sentences; Python's with their facts as well."""
+def parsed(documents: DataFrame, python: bool = True, sentences: bool = True, window: bool = True, chunks: bool = True, docstrings: bool = False) -> DataFrame:
+    """The documents (path, content) with lines, fences, heads, example, prose, and where wanted chunks and sentences; Python's with their facts as well. docstrings: sentences of docstrings' lines alone."""
     docs, made = _kinded(documents), _parse_columns()
     text = docs.where(~F.col("is_python")).drop("is_python")
     text = _made(text, structure=made["structure"]).select("*", "structure.*").drop("structure")
@@ -77,7 +87,7 @@ def parsed(documents: DataFrame, python: bool = True, sentences: bool = True, wi
         facts = _made(facts, prose=python_source.prose())
         whole = whole.unionByName(facts.withColumn("python", F.lit(True)), allowMissingColumns=True)
     if sentences:
-        for name, column in _sentence_columns(window).items():
+        for name, column in _sentence_columns(window, chunks, docstrings and python).items():
             whole = _made(whole, **{name: column})
     return whole
 
@@ -153,11 +163,16 @@ def judged(docs: DataFrame, policy: Policy, python: bool = True, suppress: bool
     whole = _document_rules(chosen & frozenset(policies.catalog.RULES), limits, python) + _own_rules(policy)
     of_line, of_sentence = _row_rules(chosen, limits, words)
     units, window = [], bool(chosen & _NEIGHBOURS)
+    lowered = {"low": F.lower(F.col("text"))} if of_line or chosen & _LOWERED else {}
+    rows = "prose" if of_line else "sentences"
+    alone = bool(of_line) + bool(of_sentence) == 1 and not whole  # lines or sentences are rows as they are
+    if alone:
+        units.append(F.col(rows))
     if whole:
         units.append(F.array(_unit("document", {}, F.concat(*whole))))
-    if of_line:
+    if of_line and not alone:
         units.append(F.transform("prose", lambda r: _unit("line", {c: F.lower(r["text"]) if c == "low" else r[c] for c in _LINE})))
-    if of_sentence:
+    if of_sentence and not alone:
         units.append(F.transform("sentences", lambda s: _unit("sentence", ({"low": F.lower(s["text"])} if chosen & _LOWERED else {}) | {c: s[c] for c in ("text", "context", "scope", "example", "markdown", *_SENTENCE, *(_WINDOW if window else ()))})))
     if not units:
         return docs.select("path", F.explode(F.expr(NONE)).alias("x"))
@@ -167,13 +182,15 @@ def judged(docs: DataFrame, policy: Policy, python: bool = True, suppress: bool
         if python:
             sup = F.when(F.col("python"), _suppressions(False)).otherwise(sup)
     each = _made(docs, sup=sup) if suppress else docs
-    each = each.select("path", *(["sup"] if suppress else []), F.explode(F.concat(*units) if len(units) > 1 else units[0]).alias("u")).select("path", *(["sup"] if suppress else []), "u.*")
-    parts = [F.col("issues")] if whole else []
-    if of_line:
-        parts.append(F.when(F.col("unit") == "line", F.concat(*of_line)).otherwise(none))
-    if of_sentence:
-        parts.append(F.when(F.col("unit") == "sentence", F.concat(*of_sentence)).otherwise(none))
-    found = each.select("path", *(["sup"] if suppress else []), F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("x"))
+    each = each.select("path", *(["sup"] if suppress else []), F.explode(_joined(units)).alias("u")).select("path", *(["sup"] if suppress else []), "u.*")
+    if alone and lowered:
+        each = _made(each, **lowered)
+    parts = [*of_line, *of_sentence] if alone else [F.col("issues")] if whole else []
+    if of_line and not alone:
+        parts.append(F.when(F.col("unit") == "line", _joined(of_line)).otherwise(none))
+    if of_sentence and not alone:
+        parts.append(F.when(F.col("unit") == "sentence", _joined(of_sentence)).otherwise(none))
+    found = each.select("path", *(["sup"] if suppress else []), F.explode(_joined(parts)).alias("x"))
     return found.where(~policies.suppressed(F.col("sup"), F.col("x"))).select("path", "x") if suppress else found
 
 
@@ -183,7 +200,9 @@ def findings(documents: DataFrame, policy: Policy | None = None, python: bool =
     policy = policy or Policy()
     chosen = policy.rules()
     own = bool(chosen - set(policies.catalog.RULES))
-    found = judged(parsed(documents, python, bool(chosen - _LINE_ONLY), bool(chosen & _NEIGHBOURS) or own), policy, python, suppress)
+    of_sentences = chosen - _LINE_ONLY - _FACTS_ONLY
+    docs = parsed(_open_documents(documents, chosen), python, bool(of_sentences), bool(chosen & _NEIGHBOURS) or own, bool(chosen & _CHUNKS) or own, of_sentences == {"C007"})
+    found = judged(docs, policy, python, suppress)
     return policies.finish(found.select("path", "x.*"), policy).select(*COLUMNS, "place")
 
 
@@ -191,6 +210,25 @@ def findings(documents: DataFrame, policy: Policy | None = None, python: bool =
 _LINE_ONLY = {x[0] for table in (line_rules.L.LITERALS, line_rules.L.FIRSTS, line_rules.L.ALLS, line_rules.L.MARKDOWN_ALLS, line_rules.L.REPLACEMENTS, line_rules.L.COUNTED) for x in table} | {
     "V001", "V007", "S004", "S007", "S008", "S009", "S013", "S016", "S021", "S025", "S028", "S029", "T001", "T002", "T003", "T004", "G003", "M003", "M004", "M005", "M006", "M007", "M008", "M010",
 }
+#: What a document's content must hold, so often, for a rule to find anything: places that no mask, join or cut of lines can make. Rules that aren't listed may find anything anywhere.
+_DEMANDS = {
+    "T010": (line_rules.L.REPEATED_PUNCTUATION, 1),
+    "G031": (r"(?iU)\b(?:and|but|nor|or|so|yet|although|because|if|though|unless|whereas|while)\b|;", 4),
+}
+
+
+def _open_documents(documents: DataFrame, chosen: set[str]) -> DataFrame:
+    """The documents in which the chosen rules may find something: one search of each, before they are parsed."""
+    if not chosen or not chosen <= set(_DEMANDS):
+        return documents
+    found = [has(F.col("content"), regex) if least == 1 else F.regexp_count("content", F.lit(regex)) >= least for regex, least in (_DEMANDS[rule] for rule in sorted(chosen))]
+    return documents.where(reduce(lambda a, b: a | b, found))
+
+
+#: Rules that read facts of Python sources but no sentences.
+_FACTS_ONLY = {"C001", "C002", "C003", "C004", "C006", "C008", "M001"}
+#: Rules that read chunks.
+_CHUNKS = {"S012", "S022", "T006", "T007", "T015"}
 
 
 def numbered(found: DataFrame) -> DataFrame:
