@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgauge.functions.ship import ship
-from inkgauge.functions.text import first, flat, groups, has, indent, is_blank, let, matches, strip
+from inkgauge.functions.text import first, flat, groups, has, indent, is_blank, let, matches
 from inkgauge.operators.findings import issue, none, of_each, quoted, rows
 from inkgauge.operators.markdown import PROSE
 from inkgauge.plans import lexicon as L
@@ -146,7 +146,8 @@ def facts(path: str | None, content: str) -> dict:
         (line, col), text = t.start, t.string[1:].strip()
         inline = bool(t.line[:col].strip())
         meta = line == 1 and t.string.startswith("#!") or line <= 2 and re.search(r"coding\s*[:=]\s*[-\w.]+", t.string) is not None
-        restates = not inline and identifier_words(text) in told.get((line + 1, col), ())
+        about = told.get((line + 1, col))
+        restates = bool(about) and not inline and identifier_words(text) in about
         comments.append({"line": line, "col": col + 1, "end": t.end[1], "text": text, "inline": inline, "meta": meta, "restates": restates, "code": None if inline else _code_kind(text)})
     long = [n for n in nodes if isinstance(n, ast.Constant) and isinstance(n.value, str) and "\n" in n.value]
     return {"path": path, "content": content, "parses": tree is not None, "docstrings": sorted(docstrings, key=lambda d: d["line"]), "comments": comments, "strings": [{"a": n.lineno, "b": n.lineno + n.value.count("\n")} for n in long]}
@@ -192,7 +193,8 @@ def prose() -> Column:
 def _first_of(table: tuple, text: Column) -> Column:
     """k (order), a, n (place and width) and name of the first pattern of a table that a text has."""
     found = lambda p, name: F.when(has(text, "(?iU)" + p), F.transform(first(text, "(?iU)" + p), lambda x: F.struct(x["a"].alias("a"), (x["b"] - x["a"]).alias("n"), F.lit(name).alias("name")))[0])
-    return F.coalesce(*(found(p, name) for p, name in table))
+    mark = r"#\s*"  # all patterns begin with it, so one search tells whether any is there
+    return F.when(has(text, f"(?iU){mark}(?:{'|'.join(p.removeprefix(mark) for p, _ in table)})"), F.coalesce(*(found(p, name) for p, name in table)))
 
 
 def rules(chosen: set[str]) -> list[Column]:
@@ -264,7 +266,7 @@ def rules(chosen: set[str]) -> list[Column]:
 
         out.append(rows(F.filter("docstrings", lambda d: (d["kind"] == "function") & (F.size(d["words"]) >= 2)), signature))
     if "M001" in chosen:
-        marked = lambda r, i: F.startswith(strip(r), F.lit("#")) & ~F.exists("strings", lambda s: (s["a"] <= i + 1) & (i + 1 <= s["b"]))
+        marked = lambda r, i: has(r, r"(?U)\A\s*#") & ~F.exists("strings", lambda s: (s["a"] <= i + 1) & (i + 1 <= s["b"]))
         hit = lambda r: F.coalesce(*(F.when(has(r, p), F.transform(first(r, p), _one(lambda x, name=name: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.lit(name).alias("name"))))[0]) for p, name in L.MARKUP))
         one = lambda i, h: F.when(h.isNotNull(), issue("M001", F.concat(F.lit("Markdown in comment: "), h["name"]), i + 1, h["a"] + 1, h["b"] + 1, confidence="low"))
         out.append(rows(F.transform("raws", lambda r, i: F.when(F.contains(r, F.lit("#")) & marked(r, i), let(hit(r), lambda h: one(i, h)))), lambda x: x))
