@@ -7,7 +7,8 @@ is no cut beside an apostrophe (it may begin a suffix) or a bar (special tokens
 
 The memory is bounded in bytes: it has two generations of half of HELD bytes. A chunk that is met moves into the younger one; when that is
 full, it becomes the older one, whose chunks that weren't met since are forgotten. So frequent chunks stay, and the many that occur once
-go. Chunks of more than _LONGEST bytes (texts without white space, for instance) are encoded for their call alone.
+go. Chunks of more than _LONGEST bytes (texts without white space, for instance) are encoded for their call alone. Remembered chunks lie in
+one Arrow array a generation, a third of what Python's objects would take; a call's chunks are looked up in it together.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ import pyarrow.compute as pc
 from inkgauge.llm import common
 
 _LONGEST = 48
-#: Bytes of one encoder's memory: ENTRY for a remembered chunk besides its bytes, four for an id.
-HELD, ENTRY = 112 << 20, 150
+#: Bytes of one encoder's memory: ENTRY for a remembered chunk besides its bytes (its places, and the table that a look-up makes for its time), four for an id.
+HELD, ENTRY = 84 << 20, 105
 #: Bytes of text that the library encodes in one call, and that a worker turns into ids at once.
-_A_CALL, PORTION = 100_000, 3_000_000
+_A_CALL, PORTION = 100_000, 2_000_000
 _KINDS = np.zeros(256, np.uint8)
 _SPACE, _ALNUM, _PUNCTUATION = 1, 2, 3
 _KINDS[[9, 10, 11, 12, 13, 32]] = _SPACE
@@ -70,6 +71,33 @@ def chunks(texts: pa.Array) -> tuple[pa.BinaryArray, np.ndarray]:
     return found, np.diff(np.searchsorted(places, edges))
 
 
+class _Generation:
+    """Remembered chunks, each with its number."""
+
+    def __init__(self, chunks: pa.BinaryArray, numbers: np.ndarray) -> None:
+        self.chunks, self.numbers = chunks, numbers
+
+    def __len__(self) -> int:
+        return len(self.chunks)
+
+    def __contains__(self, chunk: bytes) -> bool:
+        return self.find(pa.array([chunk], pa.binary()))[0] >= 0
+
+    def find(self, chunks: pa.BinaryArray) -> np.ndarray:
+        """Their numbers, -1 where a chunk isn't here."""
+        if not len(self.chunks):
+            return np.full(len(chunks), -1, np.int64)
+        at = pc.fill_null(pc.index_in(chunks, value_set=self.chunks), -1).to_numpy()
+        return np.where(at >= 0, self.numbers[at], -1)
+
+    def add(self, chunks: pa.BinaryArray, numbers: np.ndarray) -> None:
+        self.chunks, self.numbers = pa.concat_arrays([self.chunks, chunks]), np.concatenate([self.numbers, numbers])
+
+
+def _no_chunks() -> _Generation:
+    return _Generation(pa.array([], pa.binary()), np.zeros(0, np.int64))
+
+
 class ChunkEncoder:
     """ids of texts under a tokenizers file.
 
@@ -88,8 +116,7 @@ class ChunkEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}  # the younger generation
-        self.older: dict[bytes, int] = {}
+        self.index, self.older = _no_chunks(), _no_chunks()  # index: the younger generation
         self.ids = np.zeros(1 << 16, np.int32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.sizes = np.zeros(1 << 14, np.int64)
@@ -127,23 +154,23 @@ class ChunkEncoder:
             self._turn()
         found, counts = chunks(texts)
         coded = found.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        numbers = np.fromiter((self.index.get(c, -1) for c in distinct), np.int64, len(distinct))
+        distinct = coded.dictionary
+        numbers = self.index.find(distinct)
         missing = np.flatnonzero(numbers < 0)
-        if len(missing) and self.older:
-            numbers[missing] = np.fromiter((self.older.get(distinct[i], -1) for i in missing), np.int64, len(missing))
+        if len(missing) and len(self.older):
+            numbers[missing] = self.older.find(distinct.take(pa.array(missing)))
             again = missing[numbers[missing] >= 0]
-            self._remember([distinct[i] for i in again], numbers[again])
+            self._remember(distinct.take(pa.array(again)), numbers[again])
             missing = missing[numbers[missing] < 0]
         kept = self.known, self.used
         if len(missing):
-            long = np.fromiter((len(distinct[i]) > _LONGEST for i in missing), bool, len(missing))
+            long = pc.binary_length(distinct.take(pa.array(missing))).to_numpy() > _LONGEST
             short = missing[~long]
-            new = [distinct[i] for i in short]
-            numbers[short] = self._learn(new)
+            new = distinct.take(pa.array(short))
+            numbers[short] = self._learn(new.to_pylist())
             self._remember(new, numbers[short])
             kept = self.known, self.used
-            numbers[missing[long]] = self._learn([distinct[i] for i in missing[long]])
+            numbers[missing[long]] = self._learn(distinct.take(pa.array(missing[long])).to_pylist())
         at = numbers[coded.indices.to_numpy()]
         flat = self._gather(at)
         edges = np.concatenate([[0], np.cumsum(self.sizes[at])])
@@ -151,20 +178,20 @@ class ChunkEncoder:
         self._forget(*kept)
         return flat, np.diff(edges[upto])
 
-    def _remember(self, chunks: list[bytes], numbers: np.ndarray) -> None:
+    def _remember(self, chunks: pa.BinaryArray, numbers: np.ndarray) -> None:
         """Put chunks into the younger generation."""
-        self.index.update(zip(chunks, numbers.tolist()))
-        self.held += ENTRY * len(chunks) + sum(map(len, chunks)) + 4 * int(self.sizes[numbers].sum())
+        self.index.add(chunks, numbers)
+        self.held += ENTRY * len(chunks) + (pc.sum(pc.binary_length(chunks)).as_py() or 0) + 4 * int(self.sizes[numbers].sum())
 
     def _turn(self) -> None:
         """The younger generation becomes the older one, alone in the room of ids."""
-        young, at = list(self.index), np.fromiter(self.index.values(), np.int64, len(self.index))
+        young, at = self.index.chunks, self.index.numbers
         ids, sizes = self._gather(at), self.sizes[at]
         self.clear()
         self._room(len(young), len(ids))
         self.ids[: len(ids)], self.sizes[: len(young)], self.starts[: len(young)] = ids, sizes, np.cumsum(sizes) - sizes
         self.used, self.known = len(ids), len(young)
-        self.older = dict(zip(young, range(len(young))))
+        self.older = _Generation(young, np.arange(len(young)))
 
     def _forget(self, known: int, used: int) -> None:
         """Drop what was encoded for one call; room beyond twice the need goes too."""

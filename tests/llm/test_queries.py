@@ -3,6 +3,7 @@
 import hashlib
 import random
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -152,6 +153,19 @@ def test_encoder_memory_is_bounded():
     assert used == {0} and len(coder.index) == 0
 
 
+def test_remembered_chunks_are_compact():
+    coder = bpe.ChunkEncoder("byte_bpe_50k.json")
+    texts = pa.array([" ".join(f"w{k:07d}" for k in range(lo, lo + 20_000)) for lo in range(0, 100_000, 20_000)])
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    try:
+        coder.encode(texts)
+        held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    finally:
+        tracemalloc.stop()
+    assert len(coder.index) >= 99_000 and held < 130 * len(coder.index)
+
+
 def test_long_texts_cost_in_proportion(spark):
     took = {}
     for n in (2_000, 20_000, 40_000):
