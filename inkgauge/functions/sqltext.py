@@ -73,7 +73,9 @@ def sentence_issues(spans: str, rule: str, message: str, order: int, confidence:
 
 
 def any_in(lowered: str, literals: frozenset[str] | set[str] | tuple[str, ...]) -> str:
-    """Whether a lower-cased text holds any of some literals: byte searches, for which one constant array is one expression."""
+    """Whether a lower-cased text holds any of some literals: byte searches, for which one constant array is one expression. lowered = met: whether any is among those that were met in it."""
+    if lowered == "met":
+        return f"arrays_overlap(met, array({', '.join(map(lit, sorted(literals)))}))"
     found = f"exists(array({', '.join(map(lit, sorted(literals)))}), an -> contains(al, an))"
     return found.replace("contains(al,", f"contains({lowered},") if lowered.isidentifier() else f"element_at(transform(array({lowered}), al -> {found}), 1)"
 

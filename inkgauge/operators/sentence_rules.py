@@ -189,7 +189,7 @@ def _overloaded() -> Column:
 
 
 def _long_sentence(threshold: int) -> Column:
-    n = F.size(words(F.col("text")))
+    n = count(F.col("text"), r"(?U)\S+")
     message = F.concat(F.lit("Long sentence: "), n.cast("string"), F.lit(f" words (threshold {threshold})"))
     return only_if(main() & (n > threshold), F.array(issue("T008", message, F.col("start_line"), F.col("start_col"), F.col("end_col"), F.col("end_line"), place=(F.col("sent"),))))
 
@@ -221,6 +221,13 @@ def _bare_url() -> Column:
     return only_if(F.col("markdown") & (F.col("context") == "body") & shown() & has(F.col("text"), regex) & ~has(F.col("text"), r"(?iU)\b(?:literal URL|URL (?:literal|string|value|format|syntax))\b"), made)
 
 
+def demand(chosen: frozenset[str], thresholds: dict[str, int]) -> tuple[int | None, str | None, int | None] | None:
+    """What the chosen rules of sentences demand of a sentence (prose.Demand), if that is known of each: more than n words are at least 2 n + 1 characters."""
+    if not chosen or not chosen <= {"T008", "T010", "S022"}:
+        return None
+    return 2 * thresholds["sentence_length_max"] if "T008" in chosen else None, L.REPEATED_PUNCTUATION if "T010" in chosen else None, thresholds["wall_of_text_sentences"] if "S022" in chosen else None
+
+
 def row_rules(chosen: set[str], thresholds: dict[str, int]) -> list[Column]:
     """The chosen rules as columns over sentences with their windows (and example, markdown)."""
     made = {rule: lambda x=x: _evidenced(*x) for x in L.EVIDENCED for rule in [x[0]]}
@@ -280,7 +287,7 @@ def grouped(chosen: set[str], thresholds: dict[str, int]) -> list[Column]:
         cited = lambda s: F.when(has(s["text"], EXACT + L.CITATION), True)
         out.append(_run_rule(_runs(found, cited), "S018", thresholds["citation_name_drop"], told("Citation name-dropping: ", " consecutive 'Author (Year) verb' sentences")))
     if "S022" in chosen:
-        out.append(rows(F.col("chunks"), lambda c: _wall(c["sents"], thresholds["wall_of_text_sentences"])))
+        out.append(rows(F.col("chunks"), lambda c: _wall(c["sents"], c["n_sents"], thresholds["wall_of_text_sentences"])))
     if "T006" in chosen:
         said = F.filter("chunks", lambda c: has(c["text"], CASELESS + r"\b(?:said|use|show|get)\b"))
         out.append(of_each(said, lambda c: _varied(c["sents"])))
@@ -296,11 +303,11 @@ def grouped(chosen: set[str], thresholds: dict[str, int]) -> list[Column]:
     return out
 
 
-def _wall(sents: Column, least: int) -> Column:
+def _wall(sents: Column, n: Column, least: int) -> Column:
     first, last = sents[0], F.element_at(sents, -1)
-    message = F.concat(F.lit("Wall-of-text paragraph: "), F.size(sents).cast("string"), F.lit(f" sentences (threshold {least})"))
+    message = F.concat(F.lit("Wall-of-text paragraph: "), n.cast("string"), F.lit(f" sentences (threshold {least})"))
     one = issue("S022", message, first["start_line"], first["start_col"], last["end_col"], last["end_line"], suggestion="Split the paragraph into shorter paragraphs")
-    return F.when((F.size(sents) >= least) & first["context"].isin("body", "blockquote") & ~first["example"], one)
+    return F.when((n >= least) & first["context"].isin("body", "blockquote") & ~first["example"], one)
 
 
 def _varied(g: Column) -> Column:

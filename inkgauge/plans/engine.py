@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkgauge.functions.text import built_once, flat, groups, has, is_blank, kept, without_call_sites
+from inkgauge.functions.text import built_once, flat, groups, has, is_blank, kept, let, without_call_sites
 from inkgauge.operators import line_rules, markdown, markdown_rules, prose, python_source, sentence_rules
 from inkgauge.operators.findings import NONE
 from inkgauge.plans import policy as policies
@@ -52,11 +52,11 @@ def _plain(content: Column, known: bool = False) -> Column:
 
 
 @built_once
-def _parse_columns() -> dict[str, Column]:
-    """What is parsed of a text that isn't Python, each over the columns before it."""
+def _parse_columns(lines: bool = True) -> dict[str, Column]:
+    """What is parsed of a text that isn't Python, each over the columns before it. lines: those of Markdown without marks too, which its headings and prose don't need."""
     none = F.struct(F.expr(_NO_LINES).alias("lines"), F.expr(_NO_FENCES).alias("fences"))
     return {
-        "structure": F.when(F.col("is_markdown"), markdown.structure(F.col("content"))).otherwise(none),
+        "structure": F.when(F.col("is_markdown") if lines else F.col("is_markdown") & has(F.col("content"), markdown.MARKS), markdown.structure(F.col("content"))).otherwise(none),
         "heads": markdown.headings(F.col("lines")),
         "example": markdown.examples(F.col("heads"), F.size("lines")),
         "prose": F.when(~F.col("is_markdown"), _plain(F.col("content"))).when(has(F.col("content"), markdown.MARKS), markdown.prose(F.col("lines"), F.col("example"))).otherwise(_plain(F.col("content"), True)),
@@ -64,19 +64,22 @@ def _parse_columns() -> dict[str, Column]:
 
 
 @built_once
-def _sentence_columns(window: bool, chunks: bool, docstrings: bool) -> dict[str, Column]:
+def _sentence_columns(window: bool, chunks: bool, docstrings: bool, demand: tuple | None = None) -> dict[str, Column]:
     """Chunks and sentences; sentences alone are made in one go, and chunks are never a column. A docstring's lines are whole chunks, as is a comment beside one."""
     lines = F.col("prose")
     if docstrings:
         lines = F.filter(lines, lambda r: F.exists("docstrings", lambda d: r["n"].between(d["line"], d["end_line"])))
-    made = prose.chunks(lines, window)
+    made = prose.chunks(lines, window, demand)
     return {"chunks": made, "sentences": prose.sentences(F.col("chunks"))} if chunks else {"sentences": prose.sentences(made)}
 
 
 @without_call_sites()
-def parsed(documents: DataFrame, python: bool = True, sentences: bool = True, window: bool = True, chunks: bool = True, docstrings: bool = False) -> DataFrame:
-    """The documents (path, content) with lines, fences, heads, example, prose, and where wanted chunks and sentences; Python's with their facts as well. docstrings: sentences of docstrings' lines alone."""
-    docs, made = _kinded(documents), _parse_columns()
+def parsed(documents: DataFrame, python: bool = True, sentences: bool = True, window: bool = True, chunks: bool = True, docstrings: bool = False, lines: bool = True, demand: tuple | None = None) -> DataFrame:
+    """The documents (path, content) with lines, fences, heads, example, prose, and where wanted chunks and sentences; Python's with their facts as well. docstrings: sentences of docstrings' lines alone.
+
+    lines: Markdown without marks has lines too. demand: those sentences alone that meet it.
+    """
+    docs, made = _kinded(documents), _parse_columns(lines)
     text = docs.where(~F.col("is_python")).drop("is_python")
     text = _made(text, structure=made["structure"]).select("*", "structure.*").drop("structure")
     for name in ("heads", "example", "prose"):
@@ -87,7 +90,7 @@ def parsed(documents: DataFrame, python: bool = True, sentences: bool = True, wi
         facts = _made(facts, prose=python_source.prose())
         whole = whole.unionByName(facts.withColumn("python", F.lit(True)), allowMissingColumns=True)
     if sentences:
-        for name, column in _sentence_columns(window, chunks, docstrings and python).items():
+        for name, column in _sentence_columns(window, chunks, docstrings and python, demand).items():
             whole = _made(whole, **{name: column})
     return whole
 
@@ -138,14 +141,14 @@ _suppressions = built_once(policies.suppressions)
 
 
 #: Fields of a unit: what rules of a line and rules of a sentence read, and the findings of the whole document.
-_LINE = ("n", "raw", "text", "low", "context", "scope", "example", "markdown")
+_LINE = ("n", "raw", "text", "low", "met", "context", "scope", "example", "markdown")
 _SENTENCE = ("sent", "start_line", "start_col", "end_line", "end_col")
 #: What only rules that look at neighbouring sentences read.
 _WINDOW = ("window", "next_text")
 _LOWERED = {"V005", "V008", "S019"}
 _NEIGHBOURS = {"V005", "V008", "V014", "V015", "V016", "S017"}
 _KINDS = {
-    "n": "int", "raw": "string", "text": "string", "low": "string", "context": "string", "scope": "int", "example": "boolean", "markdown": "boolean", "sent": "int", "start_line": "int", "start_col": "int",
+    "n": "int", "raw": "string", "text": "string", "low": "string", "met": "array<string>", "context": "string", "scope": "int", "example": "boolean", "markdown": "boolean", "sent": "int", "start_line": "int", "start_col": "int",
     "end_line": "int", "end_col": "int", "window": "string", "next_text": "string",
 }
 
@@ -165,13 +168,21 @@ def judged(docs: DataFrame, policy: Policy, python: bool = True, suppress: bool
     units, window = [], bool(chosen & _NEIGHBOURS)
     lowered = {"low": F.lower(F.col("text"))} if of_line or chosen & _LOWERED else {}
     rows = "prose" if of_line else "sentences"
-    alone = bool(of_line) + bool(of_sentence) == 1 and not whole  # lines or sentences are rows as they are
+    said = line_rules.demanded(chosen) if of_line else None
+    alone = bool(of_line) + bool(of_sentence) == 1 and not whole and said is None  # lines or sentences are rows as they are
+    if said is not None:
+        docs = _made(docs, said=line_rules.met(said))
     if alone:
         units.append(F.col(rows))
     if whole:
         units.append(F.array(_unit("document", {}, F.concat(*whole))))
     if of_line and not alone:
-        units.append(F.transform("prose", lambda r: _unit("line", {c: F.lower(r["text"]) if c == "low" else r[c] for c in _LINE})))
+        line = lambda r, low, met: _unit("line", {c: low if c == "low" else r[c] for c in _LINE if c != "met"} | met)
+        if said is None:
+            units.append(F.transform("prose", lambda r: line(r, F.lower(r["text"]), {})))
+        else:  # only lines that hold what a rule demands
+            lines = F.filter("prose", lambda r: let(F.lower(r["text"]), lambda low: F.exists("said", lambda a: F.contains(low, a))))
+            units.append(F.transform(lines, lambda r: let(F.lower(r["text"]), lambda low: line(r, low, {"met": F.filter("said", lambda a: F.contains(low, a))}))))
     if of_sentence and not alone:
         units.append(F.transform("sentences", lambda s: _unit("sentence", ({"low": F.lower(s["text"])} if chosen & _LOWERED else {}) | {c: s[c] for c in ("text", "context", "scope", "example", "markdown", *_SENTENCE, *(_WINDOW if window else ()))})))
     if not units:
@@ -201,7 +212,7 @@ def findings(documents: DataFrame, policy: Policy | None = None, python: bool =
     chosen = policy.rules()
     own = bool(chosen - set(policies.catalog.RULES))
     of_sentences = chosen - _LINE_ONLY - _FACTS_ONLY
-    docs = parsed(_open_documents(documents, chosen), python, bool(of_sentences), bool(chosen & _NEIGHBOURS) or own, bool(chosen & _CHUNKS) or own, of_sentences == {"C007"})
+    docs = parsed(_open_documents(documents, chosen), python, bool(of_sentences), bool(chosen & _NEIGHBOURS) or own, bool(chosen & _CHUNKS) or own, of_sentences == {"C007"}, own or not chosen <= _NO_LINES_READ, None if own else sentence_rules.demand(frozenset(of_sentences), policy.limits()))
     found = judged(docs, policy, python, suppress)
     return policies.finish(found.select("path", "x.*"), policy).select(*COLUMNS, "place")
 
@@ -210,6 +221,8 @@ def findings(documents: DataFrame, policy: Policy | None = None, python: bool =
 _LINE_ONLY = {x[0] for table in (line_rules.L.LITERALS, line_rules.L.FIRSTS, line_rules.L.ALLS, line_rules.L.MARKDOWN_ALLS, line_rules.L.REPLACEMENTS, line_rules.L.COUNTED) for x in table} | {
     "V001", "V007", "S004", "S007", "S008", "S009", "S013", "S016", "S021", "S025", "S028", "S029", "T001", "T002", "T003", "T004", "G003", "M003", "M004", "M005", "M006", "M007", "M008", "M010",
 }
+#: Rules that read no lines of Markdown but its prose, sentences and headings.
+_NO_LINES_READ = {x[0] for table in (line_rules.L.LITERALS, line_rules.L.FIRSTS, line_rules.L.ALLS, line_rules.L.REPLACEMENTS) for x in table} | {"T008", "T010", "G031", "S010", "S022", "M008", "S028", "T001"}
 #: What a document's content must hold, so often, for a rule to find anything: places that no mask, join or cut of lines can make. Rules that aren't listed may find anything anywhere.
 _DEMANDS = {
     "T010": (line_rules.L.REPEATED_PUNCTUATION, 1),

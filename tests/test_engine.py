@@ -269,3 +269,21 @@ def test_rules_of_ones_own_obey_the_policy(spark):
             catalog.user_rule(bad[0], "n", shouting, severity=bad[1])
     with pytest.raises(ValueError):
         Policy(select={"T901"})
+
+
+def test_demands_leave_out_nothing_that_is_found(spark):
+    """Rules whose demands are known find the same alone as beside a rule of which nothing is known, for which everything is made."""
+    long = "Some " + "word " * 45 + "end."
+    texts = [
+        f"One. Two.\nThree? {long}\nFour!! Five?! {long}  \n\n# Head\n\n##### Deep\n\nA pivotal moment. B. C. D. E. F. G.   ",
+        " ".join([f"Short one {i}." for i in range(70)] + [long, "What?!"]) + "\nLooking ahead, it serves as a Here's a\nboasts `x` end",
+        " \n\n", "", "It faces. Despite their best, it still faces.\n> quoted?! " + long, "\n".join(f"{long} No?!" for _ in range(40)),
+    ]
+    docs = spark.createDataFrame([(f"{i}.{kind}", t) for i, t in enumerate(texts) for kind in ("md", "txt")], "path string, content string")
+    chosen = {"V002", "V004", "S003", "S005", "G001", "T008", "T010", "S022", "M008", "S028"}
+    fields = ("path", "rule_id", "message", "line", "column", "end_line", "end_column")
+    found = lambda rules: sorted(tuple(r) for r in engine.findings(docs, Policy(select=rules, minimum_severity="info"), python=False, suppress=False).where(F.col("rule_id").isin(*chosen)).select(*fields).na.fill(0).collect())
+    got = found(chosen)
+    assert got == found(chosen | {"V001", "G031", "S016"}) and {x[1] for x in got} == chosen
+    made = engine.parsed(docs, False, window=False, lines=False, demand=(80, None, 6)).where("path = '1.md'").select(F.explode("chunks").alias("c")).select("c.n_sents", F.size("c.sents")).first()
+    assert made[0] >= 72 and made[1] < 10
