@@ -162,9 +162,10 @@ def _examples(spark: SparkSession, sf_dir: str, table: tuple, form: str) -> Data
     before = lines(F.col("text")) + _APART.count("\n") - 1 if form == "behind" else F.lit(0)
     name = F.concat("own", F.lit(".py" if form == "python" else ".md"))
     docs = docs.select(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), before.cast("string"), (before + lines(F.col("body")) - int(form == "python")).cast("string"), name).alias("path"), whole.alias("content"))
-    d = engine.findings(docs, Policy(select={x[0] for x in table}, minimum_severity="info"), python=form == "python")
     part = lambda k: F.get(F.split("path", "/"), F.lit(k))
-    here = (F.substring_index(part(3), ".", 1) == F.col("rule_id")) & (F.col("line") > part(1).cast("int")) & (F.col("line") <= part(2).cast("int"))
+    own = F.substring_index(part(3), ".", 1)
+    d = engine.findings(docs, Policy(select={x[0] for x in table}, minimum_severity="info"), python=form == "python", sought=own)
+    here = (own == F.col("rule_id")) & (F.col("line") > part(1).cast("int")) & (F.col("line") <= part(2).cast("int"))
     moved = lambda c: (F.col(c) - part(1).cast("int")).cast("long")
     return d.where(here).select(
         F.nullif(part(0), F.lit("")).cast("long").alias("doc_id"), "rule_id", moved("line").alias("line"), F.col("column").cast("long").alias("col"), moved("end_line").alias("end_line"), F.col("end_column").cast("long").alias("end_col"), "severity", "confidence", "message", "suggestion"
